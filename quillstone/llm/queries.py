@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, decontaminate, packing, token_output, warc
+from quillstone.llm import common, decontaminate, line_dedup, packing, quality, token_output, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +34,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "cleaned")
 
 
+#: Four folds of five may be learnt from; the fifth is held out.
+TRAIN = "crc32(cast(doc_id AS string)) % 5 <> 0"
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    return held_out(quality.scores(docs, labels, "quality", TRAIN, threshold=0.3)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, room=1024)
 
@@ -43,7 +57,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, files).drop("payload")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_decontamination, op6_best_fit_packing, op8_warc)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    return held_out(toxicity.scores(docs, labels, "toxic", TRAIN, threshold=0.5)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.encode("cleaned", "UTF-8")).alias("cleaned_md5"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_decontamination, op4_quality, op6_best_fit_packing, op8_warc, op9_toxicity, op10_line_dedup)}
 
 #: DuckDB SQL for the queries' rows.
 ORACLES: dict[str, str] = {
@@ -75,4 +99,16 @@ ORACLES: dict[str, str] = {
             CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
         FROM q LEFT JOIN r USING (digest)""",
+    "op10_line_dedup": """
+        WITH line AS (
+            SELECT doc_id, source, i, string_split(text, chr(10))[i] AS raw
+            FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+        long AS (SELECT doc_id, source, i, trim(raw, ' ') AS l FROM line WHERE length(trim(raw, ' ')) >= 20),
+        spread AS (SELECT l, min({'d': doc_id, 'i': i}) AS first FROM long GROUP BY l HAVING count(DISTINCT source) >= 3),
+        gone AS (SELECT doc_id, i FROM long JOIN spread USING (l) WHERE {'d': doc_id, 'i': i} <> first),
+        kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS cleaned
+            FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(cleaned) AS cleaned_md5
+        FROM documents LEFT JOIN kept USING (doc_id)""",
 }

@@ -11,7 +11,7 @@ import numpy as np
 import regex
 
 #: Pieces that a worker remembers, and the longest of them in characters. Both bound memory only: other pieces are encoded anew.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 #: A space before something that is no white space; a byte-level pre-tokenizer always starts a token there.
 _BEFORE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
