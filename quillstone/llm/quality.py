@@ -54,17 +54,6 @@ def _floats(batch: pa.RecordBatch, column: str, n: int) -> np.ndarray:
     return np.asarray(batch.column(column).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the statistics of each text as one array column, `x`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
-
-    return df.select("doc_id", text).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, x array<double>")
-
-
 def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The non-decreasing rates closest to ones / total, by pooling adjacent violators; empty bins take no part (NaN)."""
     pools: list[list[float]] = []
@@ -101,8 +90,8 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.at, self.rate), 0, 1)
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str, train_where: str, sample: int = SAMPLE) -> Model:
-    """Learn from at most about `sample` labelled rows that train_where (over doc_id) admits.
+def train(df: DataFrame, labels: DataFrame, label: str = "quality", train_where: str = "true", sample: int = SAMPLE) -> Model:
+    """Learn from the texts of at most about `sample` labelled rows that train_where (over doc_id) admits.
 
     Of these, those whose crc32 of the id gives 4 modulo 5 calibrate, the others fit the ridge. Rows without label
     are left out; several labels of a document are averaged. Without labelled rows every score is one half.
@@ -112,9 +101,16 @@ def train(stats: DataFrame, labels: DataFrame, label: str, train_where: str, sam
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     if n > sample:
         own = own.where(part < int(sample / n * (1 << 30)))
-    known = stats.join(F.broadcast(own), "doc_id").withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 4)
-    known = common.cut(known.select("x", "y", "held"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 4
+    known = df.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "y", held.alias("held"))
     k = len(STATISTICS)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("y"), batch.column("held")], names=["x", "y", "held"])
+
+    known = common.cut(known.mapInArrow(measure, "x array<double>, y double, held boolean"))
     sums = known.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k)]).first()
     if not sums["n"]:
         return Model(np.zeros(k), np.ones(k))
@@ -161,20 +157,21 @@ def train(stats: DataFrame, labels: DataFrame, label: str, train_where: str, sam
     return model
 
 
-def scores(df: DataFrame, labels: DataFrame, label: str = "quality", train_where: str = "true", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score (0 to 1: how likely label 1 is), predicted (1 from threshold on), one row per row of df.
+def scores(df: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """All columns of df, and score (0 to 1: how likely label 1 is) and predicted (1 from threshold on).
 
     Null and empty texts have statistics of zero and a score as any other. Null and repeated doc_ids and repeated
-    rows are kept. An empty table gives no rows. df's other columns play no part.
+    rows are kept. An empty table gives no rows. Only the text enters the score; columns named score or predicted
+    are replaced.
     """
-    stats = common.cut(with_statistics(df))
-    model = train(stats, labels, label, train_where, sample)
-    k = len(STATISTICS)
+    df = df.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = model.score(_floats(batch, "x", k))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                s = model.score(np.array([statistics(t) for t in batch.column(text).to_pylist()]))
+                new = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "score", "predicted"])
 
-    return stats.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return df.mapInArrow(run, ", ".join([*fields, "score double, predicted int"]))

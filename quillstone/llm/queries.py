@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, decontaminate, line_dedup, packing, quality, token_output, toxicity, warc
+from quillstone.llm import common, decontaminate, embedding_dedup, line_dedup, lm_scoring, minhash_dedup, packing, quality, token_output, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "token-ids")
     shards = token_output.write(table(spark, sf_dir, "documents"), folder, tokenizer(), end_id=0)
@@ -44,13 +50,22 @@ def held_out(df: DataFrame) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
-    return held_out(quality.scores(docs, labels, "quality", TRAIN, threshold=0.3)).select("doc_id", "held_out", "score", "predicted")
+    model = quality.train(docs, labels, "quality", TRAIN)
+    return held_out(quality.scores(docs.select("doc_id", "text"), model, threshold=0.3)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, room=1024)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "warc")
     files = warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
@@ -67,7 +82,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.encode("cleaned", "UTF-8")).alias("cleaned_md5"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_decontamination, op4_quality, op6_best_fit_packing, op8_warc, op9_toxicity, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_lm_scoring, op2_token_output, op3_decontamination, op4_quality, op5_embedding_dedup, op6_best_fit_packing, op7_minhash_dedup, op8_warc, op9_toxicity, op10_line_dedup,
+)}
 
 #: DuckDB SQL for the queries' rows.
 ORACLES: dict[str, str] = {
@@ -91,6 +108,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
             sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        part AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+        FROM embeddings LEFT JOIN part ON vec_id = part.a LEFT JOIN n ON vec_id = n.a""",
+    "op7_minhash_dedup": r"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS g FROM doc),
+        shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM place),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle AS a JOIN shingle AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        link AS (SELECT a, b FROM both_ JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        part AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
+        FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN part ON doc_id = part.a""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
         q AS (SELECT *, sha1(html) AS digest FROM p),
