@@ -34,7 +34,8 @@ def boilerplate(lines: DataFrame, sites: int, near: float = NEAR) -> DataFrame:
     band = max(2.0, near * sites)
     groups = common.cut(groups.where(F.col("spread") >= sites - band))
     unclear = groups.where(F.col("spread") <= sites + band).select("h", "g")
-    exact = lines.where("site is not null").join(unclear, ["h", "g"]).select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("exact"))
+    # distinct before the join: of a very common line, each task then sends its few sites only
+    exact = lines.where("site is not null").select("h", "g", "site").distinct().join(unclear, ["h", "g"]).groupBy("h", "g").agg(F.count("*").alias("exact"))
     out = groups.join(exact, ["h", "g"], "left").where(F.when(F.col("spread") > sites + band, True).otherwise(F.col("exact") >= sites))
     return out.select("h", "g", "first")
 

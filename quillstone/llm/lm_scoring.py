@@ -135,6 +135,8 @@ class Trainer:
         h = np.zeros((lanes, self.net.units), np.float32)
         for i in range(0, size, STEPS):
             h = self.window(h, x[i : i + STEPS], y[i : i + STEPS])
+        if (rest := tokens[lanes * size :]).size:  # what the lanes leave over, fewer tokens than lanes
+            self.window(np.zeros((1, self.net.units), np.float32), np.concatenate([[0], rest[:-1]])[:, None], rest[:, None])
 
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         net, p = self.net, self.net.p
@@ -351,7 +353,7 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = words(text)
-                found = [points_of.get(x) for x in w]
+                found = [points_of.get(x if len(x) <= LONGEST else key(x)) for x in w]
                 rare = [key(x) for x, f in zip(w, found, strict=True) if f is None]
                 end = points_of.get(END)
                 n_known = len(w) - len(rare) + (end is not None)
