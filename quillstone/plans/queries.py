@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import queries_formulas
+from quillstone.plans import queries_eval, queries_formulas, queries_lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (queries_formulas,):
+for module in (queries_lake, queries_formulas, queries_eval):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
