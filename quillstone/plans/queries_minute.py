@@ -17,10 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable:
+def query(sql: str | None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -154,3 +155,12 @@ def minute_market_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         {s('sum(CASE WHEN abs(close - open) <= 0.5 * abs(peak - close) THEN volume ELSE 0 END) / sum(volume)', 6, 'mf_dos_consist_volume')}, {s('stddev_pop(CASE WHEN high THEN r END)', 6, 'mf_volume_up_return_std')} FROM q GROUP BY ts_code, trade_date""")
 def minute_volume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.volume_events(adapters.minute_bars(spark, sf_dir)))
+
+
+@query(None)
+def minute_session_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regressions, spectra, distributions and support areas of each session; tests hold the kernels to known values."""
+    from quillstone.operators import session_kernels
+
+    b = adapters.minute_bars(spark, sf_dir).withColumn("high", F.greatest("open", "close")).withColumn("low", F.least("open", "close"))
+    return session_kernels.cross_sectional(session_kernels.features(b))
