@@ -137,7 +137,7 @@ def ledger(days: pd.DataFrame, costs: Costs) -> pd.DataFrame:
                 continue
             have = shares.get(c, 0.0) * price[c]
             goal = want.get(c, 0.0) * value
-            if abs(goal - have) <= costs.band * value:
+            if not abs(goal - have) > costs.band * value:
                 continue
             if goal < have:
                 n = shares[c] if goal <= 0 else math.floor((have - goal) / price[c] / costs.lot) * costs.lot

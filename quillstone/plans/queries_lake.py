@@ -27,11 +27,11 @@ def query(sql: str) -> Callable:
 
 
 def r(c: str, d: int = 6) -> str:
-    return f"{rounded(c, d)} AS {c}"
+    return f"({rounded(c, d)} + 0.0D) AS {c}"  # no negative zero
 
 
 def s(c: str, d: int = 6, name: str | None = None) -> str:
-    return f"{rounded(c, d, 'duckdb')} AS {name or c}"
+    return f"({rounded(c, d, 'duckdb')} + CAST(0 AS DOUBLE)) AS {name or c}"
 
 
 RAW_SQL = """raw AS (
@@ -66,9 +66,9 @@ def lake_normalise_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", "ts_code", "minute_index", "price", "shares", reason.alias("reason"), F.coalesce(scalar.is_a_share(F.col("ts_code")), F.lit(False)).alias("a_share"), scalar.vendor_symbol(F.col("ts_code")).alias("vendor_code"))
 
 
-@query(f"WITH {BARS_SQL} SELECT trade_date, ts_code, open, high, low, close, volume, {s('amount', 2)}, {s('twap * bar_count', 5, 'twap').removesuffix(' AS twap')} / bar_count AS twap, {s('amount', 2).removesuffix(' AS amount')} / volume AS vwap, bar_count, traded_bars FROM bars")
+@query(f"WITH {BARS_SQL} SELECT trade_date, ts_code, open, high, low, close, volume, {s('amount', 2)}, {s('twap * bar_count', 7, 'twap').removesuffix(' AS twap')} / bar_count AS twap, {s('amount', 2).removesuffix(' AS amount')} / volume AS vwap, bar_count, traded_bars FROM bars")
 def lake_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.bars(spark, sf_dir).selectExpr("trade_date", "ts_code", "open", "high", "low", "close", "volume", r("amount", 2), f"{rounded('twap * bar_count', 5)} / bar_count AS twap", f"{rounded('amount', 2)} / volume AS vwap", "bar_count", "traded_bars")
+    return adapters.bars(spark, sf_dir).selectExpr("trade_date", "ts_code", "open", "high", "low", "close", "volume", r("amount", 2), f"{rounded('twap * bar_count', 7)} / bar_count AS twap", f"({rounded('amount', 2)} + 0.0D) / volume AS vwap", "bar_count", "traded_bars")
 
 
 @query(f"""WITH {BARS_SQL} SELECT trade_date, ts_code, day_index, close, {s('ret', 8)},
