@@ -2,11 +2,12 @@
 
 An odd sketch is a bitmap in which each MinHash sample of a document flips one bit. The XOR of two sketches has a
 bit set for samples in which the documents differ, so its population count estimates high similarities precisely
-in a few bytes; a candidate pair is looked at in full only if that estimate leaves a link possible.
+in a few bytes; a candidate pair is looked at in full only if that estimate leaves a link possible. For short sets, the
+same bitmap over all shingles gives a bound: its XOR has at most as many bits as the sets have differences.
 
 Documents with one and the same shingle set form a class with one representative. In each band's bucket, members
-are compared with a centre first; only members whose components still differ after that are compared with each
-other. A large group of near copies thus costs about one comparison per member and band, not all pairs.
+are compared with a few centres first; only members whose components still differ after that are compared with each
+other. A large group of near copies thus costs a few comparisons per member, not all pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
@@ -25,10 +26,12 @@ from quillstone.llm import common
 #: Bands and rows of each: a pair at similarity 0.8 shares no band with probability 5e-8. Bits of the odd sketch. Seed.
 BANDS, ROWS, BITS, SEED = 32, 4, 512, 11
 SAMPLES = BANDS * ROWS
-#: A pair is dropped unseen only where its estimate is this far below the threshold: five standard errors of the MinHash estimate and the sketch.
-MARGIN = 0.25
-#: Rounds of comparison with centres before members are compared with each other; members per comparison task; rows whose broadcast is always small.
-STARS, MEMBERS, SMALL = 2, 512, 200_000
+#: A pair is dropped unseen only where its estimate is this far below the threshold: about five standard errors at similarity 0.8.
+MARGIN = 0.18
+#: Bits of the parity bitmap of a whole set, kept for sets up to SHORT shingles. It rules pairs out without any error.
+PARITY, SHORT = 2048, 3000
+#: Centres of each bucket, how many of all its centres a member is compared with first; members per comparison task; rows whose broadcast is always small.
+CENTRES, FIRST, MEMBERS, SMALL = 3, 4, 512, 200_000
 
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -77,39 +80,38 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray | None:
+    """The parity bitmap of a whole set as 64-bit words; none for long sets, which would fill it."""
+    if not 0 < len(hashes) <= SHORT:
+        return None
+    bits = np.bincount((_mix(hashes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def set_key(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
 def signatures(df: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set), bands, sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, key (of the whole set), bands, sketch, parity."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text, k)
-                rows.append((doc, len(s), set_key(s), *(signature(s) if len(s) else (None, None))))
+                rows.append((doc, len(s), set_key(s), *(signature(s) if len(s) else (None, None)), parity(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch array<bigint>")
-
-
-def similar_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their odd sketches don't rule out."""
-    one = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
-    most = 2 * SAMPLES * (1 - (percent / 100 - MARGIN))  # flipped bits in expectation at the margin
-    return both.where(ones <= BITS / 2 * (1 - np.exp(-2 * most / BITS))).select("a", "b")
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity. Each b's set meets its partners' one by one, in tasks of bounded size."""
     dealt = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")).drop("n")
-    dealt = common.cut(dealt)
+    dealt = dealt.select(common.apart("b").alias("b"), "salts")
     member = pairs.join(dealt, "b").select(F.col("a").alias("doc_id"), F.struct(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("to"))
     centre = dealt.select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("doc_id", F.struct(F.col("b").alias("centre"), "salt", F.lit(0).alias("role")).alias("to"))
     tasks = member.unionByName(centre).groupBy("doc_id").agg(F.collect_list("to").alias("to"))
@@ -159,42 +161,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     return met.mapInArrow(meet, "a bigint, b bigint")
 
 
+def _ones(a: str, b: str, bits: int) -> Column:
+    """Bits in which two bitmaps differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)), F.lit(0))
+
+
+def _possible(percent: int) -> Column:
+    """Whether the sketches of two documents (sa, pa, na and sb, pb, nb) leave a link possible."""
+    most = 2 * SAMPLES * (1 - (percent / 100 - MARGIN))  # flipped bits in expectation at the margin
+    likely = _ones("sa", "sb", BITS) <= BITS / 2 * (1 - np.exp(-2 * most / BITS))
+    # 100 * shared >= percent * all means at most this many differences
+    fits = _ones("pa", "pb", PARITY) * F.lit(100 + percent) <= (F.col("na") + F.col("nb")) * F.lit(100 - percent)
+    return likely & F.coalesce(fits, F.lit(True))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between representatives that connect every pair of similar ones, directly or through others."""
-    spark = docs.sparkSession
-    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    shared = common.cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    buckets = common.cut(buckets.join(shared, "bucket"))
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    tried = found
-    state = buckets.withColumn("component", F.col("doc_id"))
-    for turn in range(STARS + 1):
-        if turn:
-            part = common.components(found)
-            state = buckets.join(part, buckets["doc_id"] == part["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        centres = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc_id", "component"), F.xxhash64(F.lit(turn), "doc_id")).alias("c"), F.count("*").alias("n")).where("x < y")
-        centres = common.cut(centres.select("bucket", "c", "n"))
-        if centres.isEmpty():
-            break
-        if turn < STARS:
-            pairs = state.join(centres, "bucket").where("component <> c.component").select("doc_id", F.col("c.doc_id").alias("c"))
-            pairs = pairs.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).distinct()
-        else:
-            # what is left: members of different components, in tiles of a bucket
-            sized = state.join(centres.select("bucket", F.ceil(F.col("n") / MEMBERS).cast("int").alias("salts")), "bucket").join(reps.select("doc_id", "sketch"), "doc_id")
-            left = sized.select("bucket", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-            right = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-            ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
-            most = 2 * SAMPLES * (1 - (percent / 100 - MARGIN))
-            pairs = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (ones <= BITS / 2 * (1 - np.exp(-2 * most / BITS)))).select("a", "b").distinct()
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = common.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if turn == 0 else tried.unionByName(pairs)
-        likely = common.cut(similar_enough(pairs, reps, percent))
-        if likely.isEmpty():
-            continue
-        found = common.cut(found.unionByName(confirm(likely, docs, reps, k, percent)))
-    return found
+    every = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    sizes = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(common.apart("bucket").alias("bucket"), "n")
+    shared = common.cut(every.join(sizes, "bucket"))
+    # who shares its buckets with most others is closest to the middle of its group, and links with most of it
+    degree = shared.groupBy("doc_id").agg(F.sum("n").alias("degree")).select(common.apart("doc_id").alias("doc_id"), "degree")
+    known = common.cut(shared.join(degree, "doc_id"))
+    middle = F.struct("degree", "doc_id")
+    order = lambda i: F.xxhash64(F.lit(i), "doc_id")
+    centres = known.groupBy("bucket").agg(F.max(middle).alias("m"), *(F.min_by(middle, order(i)).alias(f"c{i}") for i in range(CENTRES - 1)))
+    centres = centres.select(common.apart("bucket").alias("bucket"), F.array_distinct(F.array("m", *(f"c{i}" for i in range(CENTRES - 1)))).alias("centres"))
+    buckets = common.cut(known.join(centres, "bucket").select("bucket", "n", "doc_id", "centres"))
+    one = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    # of all centres of its buckets, a member meets the few in the middle, so these are mostly the same for a whole group
+    pairs = buckets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("c"))
+    others = F.filter("c", lambda x: x["doc_id"] != F.col("doc_id"))
+    pairs = _ordered(pairs.select(F.col("doc_id").alias("a"), F.explode(F.slice(F.sort_array(others, asc=False), 1, FIRST)).alias("x")).select("a", F.col("x.doc_id").alias("b")))
+    first = common.cut(pairs.join(one("a"), "a").join(one("b"), "b").where(_possible(percent)).select("a", "b"))
+    found = common.cut(confirm(first, docs, reps, k, percent))
+    # what is left: members of one bucket whose components differ, in tiles of the bucket
+    part = common.components(found)
+    state = buckets.join(part, buckets["doc_id"] == part["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(common.apart("bucket").alias("bucket"))
+    state = common.cut(state.join(mixed, "bucket").join(reps.select("doc_id", "sketch", "bands", "parity", "n_shingles"), "doc_id").withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")))
+    left = state.select("bucket", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), F.col("parity").alias("pa"), F.col("n_shingles").alias("na"))
+    right = state.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("parity").alias("pb"), F.col("n_shingles").alias("nb"))
+    # a pair counts in the first bucket that its members share
+    here = F.element_at(F.filter(F.zip_with("ba", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("bucket")
+    rest = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & here).select("a", "b")
+    rest = common.cut(rest.join(first, ["a", "b"], "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(common.cut(confirm(rest, docs, reps, k, percent)))
 
 
 def dedup(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -211,7 +227,7 @@ def dedup(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = common.cut(linked.groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = linked.join(classes, (linked["key"] == classes["key"]) & (linked["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id", "key"])
     # a doc_id with several texts represents the least of their keys only; its other rows' classes join it below
-    reps = common.cut(reps.select("doc_id", "key", "bands", "sketch"))
+    reps = common.cut(reps.select("doc_id", "n_shingles", "key", "bands", "sketch", "parity"))
     same = linked.join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = links(df, reps, k, percent).unionByName(same)
     part = common.cut(common.components(edges))
