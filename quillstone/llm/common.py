@@ -11,10 +11,11 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LONG = "bigint"
+#: Documents in one batch for Python.
+BATCH = 2048
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,8 +36,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, for clusters where it isn't installed."""
+    """Send the package to the executors, once per application, for clusters where it isn't installed.
+
+    Batches for Python are made smaller than the default, which fits short rows, since these hold whole documents.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
@@ -54,9 +60,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder, so that a lost executor costs no rerun of what led to them."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with their lineage cut, written in the shared folder, so that a lost executor costs no rerun of what led to them.
+
+    A table that is read back has the size of its files. A checkpoint would keep the estimate of the plan it came
+    from, and in a loop of joins these estimates multiply until planning itself takes minutes.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what cut() has written; DataFrames that came of it can't be read any more."""
+    for path in _made:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    _made.clear()
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -99,27 +122,33 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def apart(column: str) -> Column:
+    """The same whole number, but not the same column to the planner.
+
+    A join with an aggregate by the same key would take over the aggregate's partitioning, and a hot key of the other
+    side then can't be split. This way both sides get exchanges of their own, which adaptive execution splits.
+    """
+    return F.col(column).bitwiseXOR(F.lit(0).cast("bigint"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that an edge names; component is the smallest node that it reaches.
 
     Alternating large-star and small-star steps: each needs one shuffle of at most as many rows as there are edges,
     their number grows with the logarithm of the longest path, and nothing is collected. A node with very many
-    neighbours is no single row or group: its smallest neighbour is an aggregate, joined back to its edges. The
-    aggregates are cut off so that both sides of these joins are plain exchanges, whose hot keys Spark can split.
+    neighbours is no single row or group: its smallest neighbour is an aggregate, joined back to its edges.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.where("u != v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart("u").alias("w"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(apart("u").alias("w"), "m")
+        small = large.join(low, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = cut(small.where("u <> v").distinct())
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(state) == last:
+        if tuple(state) == last or not state["n"]:
             break
         last = tuple(state)
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
