@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quillstone.llm import common
 from quillstone.llm.tokens import encoder
 
-#: Steps of the multiplicative weights, their rate, the power of the length that they start from, and how often the remainder is solved again.
-STEPS, RATE, PRIOR, ROUNDS = 300, 1.0, 0.3, 4
+#: Steps of the multiplicative weights, their rate, the share of the possible multiplicity that a step takes, and how often the remainder is solved again.
+STEPS, RATE, SHARE, ROUNDS = 300, 2.0, 0.3, 4
 
 
 def price(values: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, steps: int = STEPS
 
     The dual prices start a little above proportion for long lengths, which are the hardest to place.
     """
-    prior = (lengths / room) ** PRIOR
+    prior = lengths / room
     weight, covered = prior, np.zeros(len(lengths))
     found: dict[bytes, int] = {}
     kinds: list[np.ndarray] = []
@@ -62,7 +62,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, steps: int = STEPS
     for _ in range(steps):
         copies = price(lengths * weight, lengths, room)
         has = copies > 0
-        step = float((counts[has] / copies[has]).min())
+        step = SHARE * float((counts[has] / copies[has]).min())
         key = copies.tobytes()
         if key not in found:
             found[key] = len(kinds)
