@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import panel
 from quillstone.plans.compiler import rounded
+from quillstone.session import ship
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

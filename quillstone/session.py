@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Results rely on these: timestamps are exchange-local and read as UTC; errors are errors; plans adapt to what they meet.
@@ -22,3 +26,20 @@ def session(name: str = "quillstone", **more: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, for clusters where it isn't installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
