@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import session
+
 #: Documents in one batch for Python.
 BATCH = 2048
 
@@ -32,26 +32,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, for clusters where it isn't installed.
-
-    Batches for Python are made smaller than the default, which fits short rows, since these hold whole documents.
-    """
-    sc = spark.sparkContext
+    """Send the package to the executors, and make batches for Python smaller than the default, which fits short rows; these hold whole documents."""
+    session.ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(path))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
