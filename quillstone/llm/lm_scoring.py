@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import common
 
 #: Words that tasks know by heart (the most frequent), classes, those of a single word, units of the network, tokens in a training window and its lanes, seed.
-TABLE, CLASSES, SINGLES, UNITS, STEPS, LANES, SEED = 1 << 18, 128, 64, 16, 16, 256, 5
+TABLE, CLASSES, SINGLES, UNITS, STEPS, LANES, SEED = 1 << 18, 96, 48, 16, 16, 512, 5
 #: Documents of the warm start and bytes taken of each; passes over them. Rates of the warm start and of the pass over all documents.
 WARM, WARM_BYTES, WARM_PASSES, WARM_RATE, RATE = 512, 8192, 4, 0.01, 0.004
 #: Tokens that a task scores at a time, and lanes in which their documents lie.
@@ -114,8 +115,10 @@ class Network:
         """Unnormalised probabilities of all classes and their sums; logits are kept within what single precision holds."""
         y = h @ self.p["o"]
         y += self.p["b"]
-        np.clip(y, -40, 40, out=y)
-        return (p := np.exp(y)), p.sum(axis=1)
+        if np.abs(self.p["o"]).sum(axis=0).max() + np.abs(self.p["b"]).max() > 40:  # states lie within -1 and 1
+            np.clip(y, -40, 40, out=y)
+        p = np.exp(y, out=y)
+        return p, p.sum(axis=1)
 
 
 class Trainer:
@@ -341,8 +344,12 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tbl, cl, flat_, rooms = final.value
-        own, trained = _KnownClasses(final.value), Network(cl.size, UNITS).load(flat_)
-        points_of = {w: np.log10(n + 1) for w, n in tbl.items()}
+        trained, index = Network(cl.size, UNITS).load(flat_), {w: i for i, w in enumerate(tbl)}
+        # of each word of the table its class and points; the last place stands for words beyond it
+        class_of = np.array([*(cl[w] for w in tbl), 0], np.int64)
+        points_of = np.array([*(np.log10(n + 1) for n in tbl.values()), 0.0])
+        end = END in index
+        end_points = float(points_of[index[END]]) if end else 0.0
         row, held, seqs, waiting = TaskContext.get().partitionId() << 40, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -353,14 +360,20 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 w = words(text)
-                found = [points_of.get(x if len(x) <= LONGEST else key(x)) for x in w]
-                rare = [key(x) for x, f in zip(w, found, strict=True) if f is None]
-                end = points_of.get(END)
-                n_known = len(w) - len(rare) + (end is not None)
-                held.append((row, doc, len(w) + 1, n_known, sum(f for f in found if f is not None) + (end or 0.0), rare))
-                seqs.append(own.ids(w))
+                at = np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w))
+                seq = np.zeros(len(w) + 1, np.int64)
+                seq[:-1] = class_of[at]
+                rare = []
+                for j in np.flatnonzero(at < 0).tolist():
+                    k = key(w[j])
+                    seq[j] = cl[k]
+                    at[j] = index.get(k, -1) if len(w[j]) > LONGEST else -1
+                    if at[j] < 0:
+                        rare.append(k)
+                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points_of[at].sum()) + end_points, rare))
+                seqs.append(seq)
                 row += 1
-                waiting += len(w) + 1
+                waiting += len(seq)
                 if waiting > CHUNK:
                     yield flush()
                     held.clear()
