@@ -1,9 +1,9 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits in one sequence. The program (fewest configurations that cover
-every length's count) is solved by multiplicative weights: a length's weight falls as it gets covered, and a knapsack
-dynamic program prices the best configuration at each step. The fractional solution is rounded down, and so again
-for what remains; the rest goes best-fit, longest first. Only the histogram (one count per length) reaches the
+every length's count) is solved by column generation: from a greedy cover of all lengths on, a knapsack dynamic program
+prices the best configurations at the basis's duals. The fractional solution, a whole cover, is rounded, and so again
+for what remains; what rounding leaves goes best-fit, longest first. Only the histogram (one count per length) reaches the
 driver, and what goes back is a table whose size doesn't depend on the documents: where the pieces of a length go,
 by their rank in it.
 """
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from quillstone.llm import common
 from quillstone.llm.tokens import encoder
 
-#: Steps of the multiplicative weights, their rate, the share of the possible multiplicity that a step takes, and how often the remainder is solved again.
-STEPS, RATE, SHARE, ROUNDS = 300, 2.0, 0.3, 4
+#: Pivots after which the program stops short of its optimum (what it has is a whole cover all the same), the share (or half a sequence) above the bound at which it ends, columns taken of one pricing, pivots between fresh inverses, and how often the remainder is solved again.
+PIVOTS, GAP, COLUMNS, FRESH, ROUNDS = 4000, 1e-4, 32, 1000, 4
 
 
-def price(values: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
-    """The most valuable configuration (copies of each length) that fits: an unbounded knapsack by dynamic programming."""
+def _knapsack(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the given one, the value of the best configuration and the length it takes there (-1: none, go one down)."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
     order = np.argsort(lengths)
     sizes, worth = lengths[order], values[order]
@@ -38,60 +38,118 @@ def price(values: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
             gain = best[c - sizes[:k]] + worth[:k]
             j = int(gain.argmax())
             if gain[j] > best[c]:
-                best[c], took[c] = gain[j], j
-    copies, c = np.zeros(len(lengths), np.int64), room
+                best[c], took[c] = gain[j], order[j]
+    return best, took
+
+
+def _trace(took: np.ndarray, lengths: np.ndarray, c: int) -> np.ndarray:
+    """Copies of each length in the best configuration of room c."""
+    copies = np.zeros(len(lengths), np.int64)
     while c > 0:
         if took[c] < 0:
             c -= 1
         else:
-            copies[order[took[c]]] += 1
-            c -= sizes[took[c]]
+            copies[took[c]] += 1
+            c -= lengths[took[c]]
     return copies
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, room: int, steps: int = STEPS, rate: float = RATE) -> tuple[list[np.ndarray], np.ndarray]:
-    """A fractional solution of the configuration program: configurations and how often each is used.
+def price(values: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """The most valuable configuration (copies of each length) that fits: an unbounded knapsack by dynamic programming."""
+    return _trace(_knapsack(values, lengths, room)[1], lengths, room)
 
-    The dual prices start a little above proportion for long lengths, which are the hardest to place.
-    """
-    prior = lengths / room
-    weight, covered = prior, np.zeros(len(lengths))
-    found: dict[bytes, int] = {}
-    kinds: list[np.ndarray] = []
-    used: list[float] = []
-    for _ in range(steps):
-        copies = price(lengths * weight, lengths, room)
-        has = copies > 0
-        step = SHARE * float((counts[has] / copies[has]).min())
-        key = copies.tobytes()
-        if key not in found:
-            found[key] = len(kinds)
-            kinds.append(copies)
-            used.append(0.0)
-        used[found[key]] += step
-        covered += step * copies / counts
-        weight = prior * np.exp(-rate * covered)
-    return kinds, np.array(used) / max(covered.max(), 1.0)
 
+def _first_cover(lengths: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
+    """One configuration a length, as columns of a triangular matrix: longest first, each is used until one of its lengths is used up."""
+    left, alive, columns = counts.astype(float), [int(i) for i in np.argsort(lengths)], []
+    while alive:
+        copies, gap = np.zeros(len(lengths), np.int64), room
+        for i in reversed(alive):
+            copies[i], gap = gap // lengths[i], gap % lengths[i]
+        has = np.flatnonzero(copies)
+        out = has[(left[has] / copies[has]).argmin()]
+        left = np.maximum(left - left[out] / copies[out] * copies, 0.0)
+        alive.remove(int(out))
+        columns.append(copies)
+    return np.array(columns).T
 
-def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: copies} and how many sequences are packed so; every piece has its place, no sequence is over-full."""
+
+def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVOTS) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """A fractional solution of the configuration program that covers every count exactly: configurations, how often each is used, and a lower bound on any packing.
+
+    Columns are generated: the knapsack prices configurations at the duals of the basis, and the dual value over the
+    best price is the bound. The solution has at most one configuration for each length.
+    """
+    basis, demand = _first_cover(lengths, counts, room), counts.astype(float)
+    inverse = np.linalg.inv(basis.astype(float))
+    x, duals = np.maximum(inverse @ demand, 0.0), inverse.sum(axis=0)
+    bound, done, stale, before = float(lengths @ demand) / room, 0, 0, -1
+    while done < pivots and x.sum() > max(bound * (1 + GAP), bound + 0.5):
+        best, took = _knapsack(duals, lengths, room)
+        bound = max(bound, float(duals @ demand) / max(best[room], 1.0))
+        if best[room] <= 1 + 1e-9 or done == before:
+            break
+        before = done
+        worth = duals + best[room - lengths]  # of the best configuration with this length in it
+        for i in [-1, *np.argsort(-worth, kind="stable")[:COLUMNS]]:
+            copies = _trace(took, lengths, room if i < 0 else room - lengths[i])
+            if i >= 0:
+                copies[i] += 1
+            gain = float(duals @ copies) - 1
+            if gain <= 1e-9:
+                continue
+            has = np.flatnonzero(copies)
+            move = (inverse[:, has] * copies[has]).sum(axis=1)
+            can = np.flatnonzero(move > 1e-9)
+            out = can[(x[can] / move[can]).argmin()]
+            step = x[out] / move[out]
+            x = np.maximum(x - step * move, 0.0)
+            x[out] = step
+            row = inverse[out] / move[out]
+            move[out] = 0.0
+            at, along = np.flatnonzero(np.abs(move) > 1e-13), np.flatnonzero(np.abs(row) > 1e-13)
+            inverse[np.ix_(at, along)] -= move[at, None] * row[along]
+            inverse[out] = row
+            duals = duals - gain * row
+            basis[:, out] = copies
+            done, stale = done + 1, stale + 1
+        if stale >= FRESH:
+            inverse, stale = np.linalg.inv(basis.astype(float)), 0
+            x, duals = np.maximum(inverse @ demand, 0.0), inverse.sum(axis=0)
+    return list(basis.T), x, bound
+
+
+def programmed(histogram: dict[int, int], room: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int], float]:
+    """What the program places, what its rounding leaves, and the lower bound on the sequences of any packing.
+
+    Each configuration is used as often as the fraction rounded down says; then those of the largest rests once more,
+    where enough pieces are left. What remains is solved again.
+    """
     left = {k: v for k, v in histogram.items() if v}
     out: list[tuple[dict[int, int], int]] = []
     if full := left.pop(room, 0):
         out.append(({room: 1}, full))
-    for _ in range(ROUNDS):
+    bound = 0.0
+    for turn in range(ROUNDS):
         if sum(left.values()) < 64:
             break
         lengths, counts = np.array(sorted(left)), np.array([left[k] for k in sorted(left)])
-        kinds, used = solve(lengths, counts, room)
-        for k in np.argsort(-used):
+        kinds, used, least = solve(lengths, counts, room)
+        bound = bound if turn else least
+        whole = np.floor(used + 1e-6)
+        todo = [(k, int(whole[k])) for k in np.argsort(-used, kind="stable")] + [(k, 1) for k in np.argsort(whole - used, kind="stable") if used[k] - whole[k] > 1e-6]
+        for k, most in todo:
             has = kinds[k] > 0
-            times = int(min(used[k] + 1e-9, (counts[has] // kinds[k][has]).min()))
-            if times:
+            if times := min(most, int((counts[has] // kinds[k][has]).min())):
                 counts = counts - times * kinds[k]
                 out.append(({int(n): int(c) for n, c in zip(lengths[has], kinds[k][has], strict=True)}, times))
         left = {int(k): int(v) for k, v in zip(lengths, counts, strict=True) if v}
+    return out, left, full + bound
+
+
+def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations {length: copies} and how many sequences are packed so; every piece has its place, no sequence is over-full."""
+    out, left, _ = programmed(histogram, room)
     return out + best_fit(left, room)
 
 
