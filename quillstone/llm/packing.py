@@ -83,6 +83,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVO
     basis, demand = _first_cover(lengths, counts, room), counts.astype(float)
     inverse = np.linalg.inv(basis.astype(float))
     x, duals = np.maximum(inverse @ demand, 0.0), inverse.sum(axis=0)
+    sound = (basis.copy(), x.copy())
     bound, done, stale, before = float(lengths @ demand) / room, 0, 0, -1
     while done < pivots and x.sum() > max(bound * (1 + GAP), bound + 0.5):
         best, took = _knapsack(duals, lengths, room)
@@ -100,8 +101,12 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVO
                 continue
             has = np.flatnonzero(copies)
             move = (inverse[:, has] * copies[has]).sum(axis=1)
-            can = np.flatnonzero(move > 1e-9)
-            out = can[(x[can] / move[can]).argmin()]
+            can = np.flatnonzero(move > 1e-7)
+            if not len(can):
+                continue
+            ratio = x[can] / move[can]
+            can = can[ratio <= ratio.min() + 1e-9]
+            out = can[move[can].argmax()]  # of equal ones the largest pivot, which keeps the basis far from singular
             step = x[out] / move[out]
             x = np.maximum(x - step * move, 0.0)
             x[out] = step
@@ -114,8 +119,14 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVO
             basis[:, out] = copies
             done, stale = done + 1, stale + 1
         if stale >= FRESH:
-            inverse, stale = np.linalg.inv(basis.astype(float)), 0
+            try:
+                inverse, stale = np.linalg.inv(basis.astype(float)), 0
+            except np.linalg.LinAlgError:
+                break
             x, duals = np.maximum(inverse @ demand, 0.0), inverse.sum(axis=0)
+            sound = sound if np.abs(basis @ x - demand).max() > 1e-6 * demand.max() or x.sum() > sound[1].sum() else (basis.copy(), x.copy())
+    if np.abs(basis @ x - demand).max() > 1e-6 * demand.max():  # rounding errors have grown
+        basis, x = sound
     return list(basis.T), x, bound
 
 

@@ -22,3 +22,25 @@ def test_plans_reach_the_bound_where_best_fit_does_not():
     total, (_, _, bound) = sum(t for _, t in packing.plan(h, 1024)), packing.programmed(h, 1024)
     assert bound <= total <= 1.001 * bound + 1
     assert sum(t for _, t in packing.best_fit(h, 1024)) > 1.03 * bound
+
+
+def test_few_pieces_of_many_lengths_have_a_whole_cover():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        pool = rng.integers(1, 1024, 1200) if seed % 2 else np.minimum(1023, rng.lognormal(5, 1, 900).astype(int) + 1)
+        lengths, counts = np.unique(pool, return_counts=True)
+        kinds, used, bound = packing.solve(lengths, counts, 1024)
+        assert np.allclose(np.array(kinds).T @ used, counts) and bound <= used.sum() + 1e-6
+        h = {int(k): int(v) for k, v in zip(lengths, counts, strict=True)}
+        placed = {}
+        for kind, times in packing.plan(h, 1024):
+            for n, c in kind.items():
+                placed[n] = placed.get(n, 0) + c * times
+        assert placed == h
+
+
+def test_equal_ratios_leave_the_basis_regular():
+    rng = np.random.default_rng(0)
+    lengths, counts = np.unique(np.concatenate([rng.integers(330, 700, 300), rng.integers(1, 1024, 150)]), return_counts=True)
+    kinds, used, bound = packing.solve(lengths, counts, 1024)
+    assert np.allclose(np.array(kinds).T @ used, counts) and bound <= used.sum() + 1e-6
