@@ -26,8 +26,8 @@ from quillstone.llm import common
 #: Bands and rows of each: a pair at similarity 0.8 shares no band with probability 5e-8. Bits of the odd sketch. Seed.
 BANDS, ROWS, BITS, SEED = 32, 4, 512, 11
 SAMPLES = BANDS * ROWS
-#: A pair is dropped unseen only where its estimate is this far below the threshold: about five standard errors at similarity 0.8.
-MARGIN = 0.18
+#: A pair is dropped unseen only where its estimate is this far below the threshold: at similarity 0.8 some 2e-8 of the pairs.
+MARGIN = 0.25
 #: Bits of the parity bitmap of a whole set, kept for sets up to SHORT shingles. It rules pairs out without any error.
 PARITY, SHORT = 2048, 3000
 #: Centres of each bucket, how many of all its centres a member is compared with first; members per comparison task; rows whose broadcast is always small.
