@@ -3,13 +3,13 @@ import json
 from datetime import date, datetime
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from quillstone.functions import scalar
 from quillstone.operators import joins, panel, quality
 from quillstone.sources import readers
 from quillstone.sources.store import FactorStore, StoreError, ingest_snapshot, write_partitioned
+from shown import rows
 
 HEADER = "时间,代码,名称,开盘价,收盘价,最高价,最低价,成交量,成交额,涨幅,振幅"
 

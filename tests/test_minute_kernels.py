@@ -1,11 +1,11 @@
 import math
 
 import numpy as np
-from conftest import rows
 from pyspark.sql import functions as F
 
 from quillstone.operators import minute
 from quillstone.operators import session_kernels as k
+from shown import rows
 
 
 def test_distribution_functions():

@@ -1,11 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
 
 from quillstone.operators import evaluate as ev
 from quillstone.operators import portfolio as pf
 from quillstone.operators import risk
+from shown import rows
 
 
 def test_capped_simplex_and_turnover():

@@ -2,9 +2,9 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
-from conftest import rows
 
 from quillstone.operators import research as rs
+from shown import rows
 
 
 def test_windows_end_before_the_lag():
