@@ -7,25 +7,32 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import session
 
-#: Documents in one batch for Python.
+#: Documents in one batch for Python; its bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set).
 BATCH = 2048
+#: Keys that hold at least one in so many rows are hot: there are at most so many of them, which bounds their broadcast.
+HOT = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine), a temporary folder is set as checkpoint folder.
+    Only where that is unset and the master is local (tests on one machine), a temporary folder is set as checkpoint
+    folder. On a cluster without that setting there is no folder that all can read, which is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillstone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -40,8 +47,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh, not yet made path under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, not yet made path under the shared folder; clean() deletes it."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,7 +61,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +68,7 @@ _made: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete what cut() has written; DataFrames that came of it can't be read any more."""
+    """Delete what was written under new_folder(), by cut() or as files; DataFrames that came of it can't be read any more."""
     for path in _made:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
@@ -69,8 +77,11 @@ def clean(spark: SparkSession) -> None:
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """A pyarrow file system and the path in it for a URI or plain path; works on executors too."""
-    if not urlparse(uri).scheme:
+    scheme = urlparse(uri).scheme
+    if not scheme:
         return pafs.LocalFileSystem(), uri
+    if scheme in ("s3a", "s3n"):  # names of one store for Hadoop, which pyarrow knows by its own
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri.replace("file:///", "file:/", 1).replace("file:/", "file:///", 1))
 
 
@@ -90,12 +101,73 @@ def write_file(folder: str, name: str, chunks: Iterator[bytes], attempt: str) ->
     return n
 
 
-def read_file(folder: str, name: str) -> bytes:
+def open_file(folder: str, name: str) -> pa.NativeFile:
+    """A file that is read from any place in it."""
+    fs, path = open_fs(folder)
+    return fs.open_input_file(f"{path}/{name}")
+
+
+def open_stream(folder: str, name: str, buffer: int = 1 << 20) -> pa.NativeFile:
+    """A file that is read from its beginning on, a buffer at a time."""
     fs, path = open_fs(folder)
-    with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
+    return fs.open_input_stream(f"{path}/{name}", compression=None, buffer_size=buffer)
+
+
+def read_file(folder: str, name: str) -> bytes:
+    with open_stream(folder, name) as f:
         return f.read()
 
 
+def drawn(df: DataFrame, id_: str, text: str, rows: int, chars: int) -> list[Row]:
+    """A bounded sample of distinct rows with whole texts: those of smallest hash, up to `rows` of them and `chars` characters in all.
+
+    Rows without id or text take no part, and neither does a row whose text alone goes beyond what is left of the
+    characters. What is drawn depends on the rows only, not on how they are partitioned.
+    """
+    keyed = df.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).withColumn("_k", F.xxhash64(id_, text))
+    chosen, left = [], chars
+    for x in keyed.select("_k", F.length(text).alias("_n")).distinct().orderBy("_k", "_n").limit(rows).collect():
+        if x["_n"] <= left:
+            left -= x["_n"]
+            chosen.append(x["_k"])
+    some = keyed.where(F.col("_k").isin(chosen)).dropDuplicates(["_k"]) if chosen else None
+    return sorted(some.drop("_k").collect(), key=lambda x: (x[id_], x[text])) if some else []
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, row: list[str]) -> DataFrame:
+    """big joined with small, which has one row a key and in column `count` how many of big's `total` rows have the key.
+
+    A hot key's rows are split by a hash of the columns `row` of big, and small's row for it is repeated, so that no task
+    gets much more than one in HOT rows of a key. The broadcast that tells big's rows has at most HOT rows.
+    """
+    parts = F.ceil(F.col(count) * HOT / F.lit(max(total, 1))).cast("int")
+    hot = small.where(F.col(count) * HOT >= total).select(*on, parts.alias("_parts"))
+    left = big.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*row), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) * HOT >= total, parts).otherwise(1) - 1)))
+    return left.join(right, [*on, "_part"]).drop("_part")
+
+
+def add_arrays(parts: DataFrame, column: str, order: str, ways: int = 32) -> np.ndarray | None:
+    """The sum of an array column of equal lengths, in doubles; None of no rows.
+
+    The rows, one or a few a task, are dealt to `ways` tasks that add them up, and the driver adds one array of each.
+    Rows are added in the order of a column, so that the sum doesn't depend on which task ends first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(column):
+                a = x.values.to_numpy(zero_copy_only=False).astype(float)
+                total = a if total is None else total + a
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"way": pa.array([TaskContext.get().partitionId()]), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    dealt = parts.select(column, order).repartition(ways, order).sortWithinPartitions(order)
+    sums = sorted(dealt.mapInArrow(run, "way bigint, v array<double>").collect(), key=lambda x: x["way"])
+    return np.sum([x["v"] for x in sums], axis=0) if sums else None
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state of the task: make() runs once in each task and returns the function for its batches."""
 

@@ -5,10 +5,11 @@ predicts the next one; within a class the softmax over words has their log count
 counts of all words but no table of them in the network. Frequent words are classes of their own; the others share
 classes by their last letters and the mark after them. Each class has one place for words never seen in training.
 
-Counts cover all training documents. The network learns by truncated backpropagation through time: a warm start on a
-small sample on the driver, then one pass over all training documents, in which every partition trains on its own
-documents from the same start, and the results are averaged by tokens. Scoring carries the state through each whole
-document. Words beyond the bounded table of frequent ones get their counts by a join.
+Counts cover all training documents. The network learns by truncated backpropagation through time: a warm start on
+whole texts of a bounded sample on the driver, then one pass over all training documents, in which every partition
+trains on its own documents from the same start, and the results are averaged by tokens (so the parameters depend on
+how the table is partitioned). Scoring carries the state through each whole document. Words beyond the bounded table
+of frequent ones get their counts by a join.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from quillstone.llm import common
 
 #: Words that tasks know by heart (the most frequent), classes, those of a single word, units of the network, tokens in a training window and its lanes, seed.
 TABLE, CLASSES, SINGLES, UNITS, STEPS, LANES, SEED = 1 << 18, 128, 64, 16, 16, 256, 5
-#: Documents of the warm start and bytes taken of each; passes over them. Rates of the warm start and of the pass over all documents.
-WARM, WARM_BYTES, WARM_PASSES, WARM_RATE, RATE = 512, 8192, 4, 0.01, 0.004
-#: Tokens that a task scores at a time, and lanes in which their documents lie.
+#: Documents of the warm start and characters of them in all (whole texts only); passes over them. Rates of the warm start and of the pass over all documents.
+WARM, WARM_CHARS, WARM_PASSES, WARM_RATE, RATE = 512, 4_000_000, 4, 0.01, 0.004
+#: Tokens that a task scores at a time (more only where one document alone has more), and lanes in which their documents lie.
 CHUNK, ROWS = 1_500_000, 384
 END, LONGEST, _MARKS = b" ", 32, b".,!?;:|"
 
@@ -73,6 +74,19 @@ class Classes(dict):
         return Classes, (self.singles, self.endings)
 
 
+class Scratch:
+    """Arrays that are used again and again, for making large ones anew costs more than what is computed in them."""
+
+    def __init__(self):
+        self.flat: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.flat or self.flat[name].size < n:
+            self.flat[name] = np.empty(n, np.float32)
+        return self.flat[name][:n].reshape(shape)
+
+
 class Network:
     """A gated recurrent unit over one-hot classes with a softmax output, all in single precision."""
 
@@ -85,6 +99,7 @@ class Network:
         draw = lambda s: rng.normal(0, 0.3 / np.sqrt(s[0] if len(s) > 1 and s[0] == units else 1), s)
         self.p = {k: draw(s).astype(np.float32) for k, s in shapes.items()}
         self.p["b"] = np.zeros(classes, np.float32) if start is None else start.astype(np.float32)
+        self.scratch = Scratch()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
@@ -112,8 +127,8 @@ class Network:
         return c + z * (h - c), z, r, w, c
 
     def surprise(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormalised probabilities of all classes and their sums; logits are kept within what single precision holds."""
-        y = h @ self.p["o"]
+        """Unnormalised probabilities of all classes (until the next call) and their sums; logits are kept within what single precision holds."""
+        y = np.matmul(h, self.p["o"], out=self.scratch("y", len(h), self.classes)) if h.dtype == np.float32 else h @ self.p["o"]
         y += self.p["b"]
         if np.abs(self.p["o"]).sum(axis=0).max() + np.abs(self.p["b"]).max() > 40:  # states lie within -1 and 1
             np.clip(y, -40, 40, out=y)
@@ -143,41 +158,43 @@ class Trainer:
 
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         net, p = self.net, self.net.p
-        n, t = net.units, len(x)
-        before, kept, states = [], [], []
+        n, t, lanes, size = net.units, len(x), len(h), y.size
+        goes_on = (x != 0).astype(np.float32)[:, :, None]  # after an end, a new document
+        room = net.scratch
+        before, states, de, dw = (room(k, t, lanes, m) for k, m in (("before", n), ("states", n), ("de", 3 * n), ("dw", n)))
+        kept = []
         for i in range(t):
-            h = h * (x[i] != 0)[:, None]  # after an end, a new document
-            before.append(h)
-            h, *more = net.step(h, x[i])
+            np.multiply(h, goes_on[i], out=before[i])
+            h, *more = net.step(before[i], x[i])
             kept.append(more)
-            states.append(h)
-        all_h = np.concatenate(states)
-        prob, total = net.surprise(all_h)
-        prob /= total[:, None]
-        flat_y = y.ravel()
-        prob[np.arange(len(flat_y)), flat_y] -= 1
-        prob /= len(flat_y)
-        grad = {"o": all_h.T @ prob, "b": prob.sum(axis=0), "u": np.zeros_like(p["u"]), "v": np.zeros_like(p["v"])}
-        back = (prob @ p["o"].T).reshape(t, -1, n)
-        d, de = np.zeros_like(h), np.empty((t, len(h), 3 * n), np.float32)
+            states[i] = h
+        flat_h = states.reshape(size, n)
+        prob, total = net.surprise(flat_h)
+        total *= size
+        prob *= (1 / total)[:, None]
+        prob[np.arange(size), y.ravel()] -= np.float32(1 / size)
+        grad = {"o": flat_h.T @ prob, "b": np.ones(size, np.float32) @ prob}
+        back = np.matmul(prob, p["o"].T, out=room("back", size, n)).reshape(t, lanes, n)
+        ut, vt = p["u"].T.copy(), p["v"].T.copy()
+        d = np.zeros((lanes, n), np.float32)
         for i in range(t - 1, -1, -1):
             z, r, w, c = kept[i]
-            was = before[i]
-            d = d + back[i]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (was - c) * z * (1 - z)
-            dr = dc * w * r * (1 - r)
-            dw = dc * r
-            both = np.concatenate([dz, dr], axis=1)
-            grad["u"] += was.T @ both
-            grad["v"] += was.T @ dw
-            de[i, :, : 2 * n], de[i, :, 2 * n :] = both, dc
-            d = (d * z + both @ p["u"].T + dw @ p["v"].T) * (x[i] != 0)[:, None]
+            d += back[i]
+            dc, both = de[i, :, 2 * n :], de[i, :, : 2 * n]
+            dz = d * z  # what goes straight to the state before
+            np.multiply(d - dz, 1 - c * c, out=dc)
+            np.multiply(dz * (before[i] - c), 1 - z, out=both[:, :n])
+            np.multiply(dc, r, out=dw[i])
+            np.multiply(dw[i] * w, 1 - r, out=both[:, n:])
+            d = (dz + both @ ut + dw[i] @ vt) * goes_on[i]
+        flat_before, flat_de = before.reshape(size, n), de.reshape(size, 3 * n)
+        grad["u"], grad["v"] = flat_before.T @ flat_de[:, : 2 * n], flat_before.T @ dw.reshape(size, n)
         flat_x = x.ravel()
         order = np.argsort(flat_x, kind="stable")
         cuts = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
         grad["e"] = np.zeros_like(p["e"])
-        grad["e"][flat_x[order][cuts]] = np.add.reduceat(de.reshape(-1, 3 * n)[order], cuts, axis=0)
+        sorted_de = np.take(flat_de, order, axis=0, out=room("sorted", size, 3 * n), mode="clip")
+        grad["e"][flat_x[order][cuts]] = np.add.reduceat(sorted_de, cuts, axis=0)
         self.n += 1
         rate = self.rate / np.sqrt(1 + self.n / 200) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, g in grad.items():
@@ -190,7 +207,8 @@ class Trainer:
 def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each document's class ids, state carried from its first token to its last.
 
-    Whole documents lie one after the other in lanes of about equal length; finished lanes drop out.
+    Whole documents lie one after the other in lanes of about equal length; finished lanes drop out. Memory follows
+    the tokens, however unequal the documents are.
     """
     lanes: list[list[int]] = [[] for _ in range(min(ROWS, len(docs)))]
     heap = [(0, i) for i in range(len(lanes))]
@@ -200,30 +218,28 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
         heapq.heappush(heap, (n + len(docs[k]), i))
     lanes.sort(key=lambda ks: -sum(len(docs[k]) for k in ks))
     sizes = np.array([sum(len(docs[k]) for k in ks) for ks in lanes])
-    table = np.zeros((len(lanes), sizes.max()), np.int64)
-    for row, ks in zip(table, lanes, strict=True):
-        whole = np.concatenate([docs[k] for k in ks])
-        row[: len(whole)] = whole
-    y = np.ascontiguousarray(table.T)
-    x = np.concatenate([np.zeros((1, len(lanes)), np.int64), y[:-1]])
-    out = np.zeros(table.shape, np.float32)
+    starts = np.cumsum(sizes) - sizes
+    order = [k for ks in lanes for k in ks]
+    y = np.concatenate([docs[k] for k in order])
+    x = np.concatenate([[0], y[:-1]])  # what comes before a document is an end, also where lanes meet
+    out = np.empty(len(y), np.float32)
     h = np.zeros((len(lanes), net.units), np.float32)
-    for i in range(0, len(y), STEPS):
+    room = net.scratch("states", STEPS, len(lanes), net.units).ravel()
+    for i in range(0, int(sizes[0]), STEPS):
         live = int(np.searchsorted(-sizes, -i, side="left"))  # lanes longer than i
-        h, states = h[:live], []
-        for t in range(i, min(i + STEPS, len(y))):
-            h = net.step(h * (x[t, :live] != 0)[:, None], x[t, :live])[0]
-            states.append(h)
-        prob, total = net.surprise(np.concatenate(states))
-        want = y[i : i + STEPS, :live]
-        got = np.log(prob[np.arange(want.size), want.ravel()] / total)
-        out[:live, i : i + STEPS] = got.reshape(want.shape).T
+        steps = np.arange(i, min(i + STEPS, int(sizes[0])))[:, None]
+        real = steps < sizes[:live]
+        at = np.where(real, starts[:live] + steps, 0)
+        before, h = x[at], h[:live]
+        states = room[: at.size * net.units].reshape(*at.shape, net.units)
+        for row, state in zip(before, states, strict=True):
+            state[:] = h = net.step(h * (row != 0)[:, None], row)[0]
+        prob, total = net.surprise(states.reshape(at.size, net.units))
+        got = np.log(prob[np.arange(at.size), y[at].ravel()] / total)
+        out[at[real]] = got.reshape(at.shape)[real]
     result = np.empty(len(docs))
-    for row, ks in zip(out, lanes, strict=True):
-        at = 0
-        for k in ks:
-            result[k] = row[at : at + len(docs[k])].sum(dtype=np.float64)
-            at += len(docs[k])
+    ends = np.cumsum([len(docs[k]) for k in order])
+    result[order] = np.add.reduceat(out.astype(np.float64), np.concatenate([[0], ends[:-1]]))
     return result
 
 
@@ -277,7 +293,8 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
     counts = common.cut(count_words(learnt))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = least_count(counts, TABLE)
-    table = {bytes(x["word"]): x["n"] for x in counts.where(F.col("n") >= least).collect()}
+    # the end is in the table whatever its count, for no join looks it up
+    table = {bytes(x["word"]): x["n"] for x in counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect()}
 
     ranked = sorted((w for w in table if w != END), key=lambda w: (-table[w], w))
     singles = ranked[:SINGLES]
@@ -310,10 +327,8 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
 
     known = Known({w: classes[w] for w in table})
     net = Network(classes.size, UNITS, start)
-    some = [x[0] for x in learnt.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM).collect()]
-    drawn = learnt.where(F.col("doc_id").isin(some)).select(F.substring("text", 1, WARM_BYTES)).collect() if some else []
-    if drawn:
-        warm, trainer = np.concatenate([ids(x[0]) for x in drawn]), Trainer(net, WARM_RATE)
+    if drawn := common.drawn(learnt, "doc_id", "text", WARM, WARM_CHARS):
+        warm, trainer = np.concatenate([ids(x["text"]) for x in drawn]), Trainer(net, WARM_RATE)
         for _ in range(WARM_PASSES):
             trainer.run(warm, 64)
     shared = spark.sparkContext.broadcast((table, classes, net.flat()))
@@ -333,12 +348,12 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
         if waiting:
             trainer.run(np.concatenate(held))
             done += waiting
-        if done:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([done], pa.int64()), "p": pa.array([trainer.net.flat()], pa.list_(pa.float32()))})
+        if done:  # weighted by tokens, whose number comes last
+            v = np.append(trainer.net.flat().astype(float), 1.0) * done
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()]), "v": pa.array([v], pa.list_(pa.float64()))})
 
-    parts = learnt.select("text").mapInArrow(learn, "n bigint, p array<float>")
-    mean = parts.select("n", F.posexplode("p").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).collect()
-    flat = np.array([x["x"] for x in sorted(mean, key=lambda x: x["i"])], np.float32) if mean else net.flat()
+    summed = common.add_arrays(learnt.select("text").mapInArrow(learn, "part bigint, v array<double>"), "v", "part")
+    flat = net.flat() if summed is None else (summed[:-1] / summed[-1]).astype(np.float32)
     final = spark.sparkContext.broadcast((table, classes, flat, np.log10(room)))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("points", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
@@ -370,15 +385,15 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
                     at[j] = index.get(k, -1) if len(w[j]) > LONGEST else -1
                     if at[j] < 0:
                         rare.append(k)
-                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points_of[at].sum()) + end_points, rare))
-                seqs.append(seq)
-                row += 1
-                waiting += len(seq)
-                if waiting > CHUNK:
+                if held and waiting + len(seq) > CHUNK:
                     yield flush()
                     held.clear()
                     seqs.clear()
                     waiting = 0
+                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points_of[at].sum()) + end_points, rare))
+                seqs.append(seq)
+                row += 1
+                waiting += len(seq)
         if held:
             yield flush()
 
