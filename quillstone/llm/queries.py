@@ -45,7 +45,8 @@ TRAIN = "crc32(cast(doc_id AS string)) % 5 <> 0"
 
 
 def held_out(df: DataFrame) -> DataFrame:
-    return df.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    """A row without doc_id isn't held out."""
+    return df.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

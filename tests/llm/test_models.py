@@ -1,5 +1,7 @@
 import math
 import random
+import time
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -44,6 +46,28 @@ def test_rare_words_get_their_counts_by_the_join(spark, monkeypatch):
     assert all(few[d].n_known == r.n_known and abs(few[d].base_score - r.base_score) < 1e-9 for d, r in whole.items())
 
 
+def test_the_end_is_known_however_rare_it_is(spark, monkeypatch):
+    docs = [(0, "a b c " * 50), (1, "a b c d e f " * 40)]
+    monkeypatch.setattr(lm_scoring, "TABLE", 2)
+    counts = Counter(w for _, t in docs for w in [*t.split(), "\n"])
+    total, distinct = sum(counts.values()), len(counts)
+    for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        tokens = [*docs[r.doc_id][1].split(), "\n"]
+        assert r.n_known == r.n_tokens == len(tokens)
+        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens)) < 1e-6
+
+
+def test_scoring_memory_follows_the_tokens_not_the_longest_document():
+    net, rng = lm_scoring.Network(6, 4), np.random.default_rng(0)
+    docs = [np.append(rng.integers(1, 6, n), 0) for n in (60_000, *[3] * 400)]
+    tracemalloc.start()
+    got = lm_scoring.score_documents(net, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    assert abs(got[1] - lm_scoring.score_documents(net, docs[1:2])[0]) < 1e-4
+
+
 def test_class_probabilities_add_up_to_one_and_gradients_are_right():
     net = lm_scoring.Network(6, 4)
     docs = [np.array([1, 2, 3, 0]), np.array([0]), np.array([5, 5, 0])]
@@ -120,6 +144,17 @@ def test_segments_equal_the_definition():
         assert all(abs(p - s[a:b].sum()) < 1e-9 for a, b, p in got)
 
 
+def test_the_scan_is_linear():
+    took = []
+    for n in (20_000, 160_000):
+        s = np.tile([1.0, -2.0], n // 2)
+        begin = time.process_time()
+        assert len(toxicity.segments(s)) == n // 2
+        assert len(toxicity.segments(-s[::-1])) == 1
+        took.append(time.process_time() - begin)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
 def _labelled(n):
     random.seed(6)
     rows, labels = [], []
@@ -150,6 +185,73 @@ def test_held_out_accuracy(labelled):
     assert t.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.97
 
 
+def test_quality_equals_brute_force(labelled):
+    """The same scores from all rows at once: standardise, cosine features, ridge by least squares, isotonic rates of bins."""
+    docs, labels = labelled
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    fold = lambda d: crc32(str(d).encode()) % 5
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    x = {d: np.array(quality.statistics(t)) for d, t in texts.items()}
+    known = sorted(d for d in y if fold(d) != 0)
+    rows = np.array([x[d] for d in known])
+    mean, scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-6)
+    rng, n = np.random.default_rng(quality.SEED), quality.FEATURES
+    w = rng.normal(size=(rows.shape[1], n)) / (quality.WIDTH * np.sqrt(rows.shape[1]))
+    phase = rng.uniform(0, 2 * np.pi, n)
+    z = lambda ds: np.column_stack([np.sqrt(2 / n) * np.cos(np.clip((np.array([x[d] for d in ds]) - mean) / scale, -6, 6) @ w + phase), np.ones(len(ds))])
+    fit, check = [d for d in known if fold(d) != 4], [d for d in known if fold(d) == 4]
+    penalty = np.sqrt(quality.RIDGE * len(fit)) * np.eye(n + 1)[:n]
+    beta = np.linalg.lstsq(np.vstack([z(fit), penalty]), np.append([y[d] for d in fit], np.zeros(n)), rcond=None)[0]
+    bins = np.clip(((z(check) @ beta + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    total, ones = np.bincount(bins, minlength=quality.BINS).astype(float), np.bincount(bins, weights=[y[d] for d in check], minlength=quality.BINS)
+    rate = quality.isotonic(total, ones)
+    seen = total > 0
+    centre = (np.arange(quality.BINS) + 0.5) / quality.BINS * 2 - 0.5
+    levels = np.unique(rate[seen])
+    at = [np.average(centre[seen][rate[seen] == v], weights=total[seen][rate[seen] == v]) for v in levels]
+    every = sorted(texts)
+    want = np.interp(z(every) @ beta, at, levels)
+    got = {r.doc_id: r.score for r in quality.scores(docs, quality.train(docs, labels, "quality", queries.TRAIN)).collect()}
+    assert np.allclose([got[d] for d in every], want, atol=1e-6)
+
+
+def test_toxicity_equals_brute_force(labelled):
+    """Lexicon, segments, law and curve from all rows at once."""
+    docs, labels = labelled
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fold = lambda d: crc32(str(d).encode()) % 5
+    counts = [Counter(), Counter()]
+    for d, t in texts.items():
+        if fold(d) not in (0, 4):
+            counts[y[d]].update(u for w in toxicity.tokens(t) for u in toxicity.units(w))
+    clean, toxic = (sum(c.values()) for c in counts)
+    odds = {}
+    for u, t in counts[1].items():
+        c = counts[0][u]
+        p = toxicity.FLOOR + toxicity.PRIOR / (clean + toxic) * (c + t)
+        o = math.log((t + p) / (toxic + toxicity.PRIOR - t - p)) - math.log((c + p) / (clean + toxicity.PRIOR - c - p))
+        if t > 1 and o > toxicity.DRIFT and o / math.sqrt(1 / (t + p) + 1 / (c + p)) >= toxicity.LEAST_Z:
+            odds[u] = o
+    score = lambda w: max((odds[u] for u in toxicity.units(w) if u in odds), default=0.0) - toxicity.DRIFT
+    found = {d: (len(toxicity.tokens(t)), [p for *_, p in toxicity.segments(np.array([score(w) for w in toxicity.tokens(t)] or [0.0]))]) for d, t in texts.items()}
+    calm = [found[d] for d in texts if fold(d) == 4 and not y[d]]
+    size = sum(n for n, _ in calm)
+    seen = Counter(round(p, 1) for _, ps in calm for p in ps)
+    shape = min(toxicity.decay(Counter({-toxicity.DRIFT: max(size - sum(seen.values()), 1)}) + seen), 2.0)
+    rate = max(sum(k * math.exp(min(shape * s, 50)) for s, k in seen.items()) / max(len(seen), 1) / size, 1 / size)
+    law = toxicity.Calibration(shape, rate)
+    evidence = {d: math.log1p(sum(law.each(n, ps))) for d, (n, ps) in found.items()}
+    e, label = (np.array(v) for v in zip(*[(min(round(evidence[d], 2), 20), y[d]) for d in texts if fold(d) == 4], strict=True))
+    loss = lambda a, b: float(np.logaddexp(0, a * e + b).sum() - label @ (a * e + b)) + 0.005 * (a * a + b * b)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, labels, "toxic", queries.TRAIN).collect()}
+    ids = [d for d in texts if 1e-6 < got[d] < 1 - 1e-6]
+    logit = np.array([math.log(got[d] / (1 - got[d])) for d in ids])
+    a, b = np.polyfit([evidence[d] for d in ids], logit, 1)  # the curve that was fitted, read off the scores
+    assert np.allclose(logit, [a * evidence[d] + b for d in ids], atol=1e-6)
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
+
+
 def test_passages_are_where_the_words_are(labelled):
     docs, labels = labelled
     for r in toxicity.scores(docs, labels).where("predicted = 1").join(docs, "doc_id").limit(20).collect():
