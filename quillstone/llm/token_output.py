@@ -6,6 +6,7 @@ A folder holds `dictionary.zdict` and shards `part-NNNNN.ids`. A shard is
 
 and its index is a Zstandard frame (without dictionary) of JSON: the dictionary's SHA-256, bytes per id, tokens, and
 the columns doc_id, offset, length and n_tokens. A short document is read by its offset: one small read, one frame.
+Shards follow the bytes of the texts, and whoever reads a whole one reads it frame by frame.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from quillstone.llm import common
 from quillstone.llm.tokens import encoder
 
 MAGIC = b"QSIDS001"
-#: Documents whose id arrays train the dictionary (those of smallest hash), and its bytes. The dictionary changes sizes only, never contents.
-SAMPLE, DICTIONARY_BYTES, LEVEL = 1024, 65_536, 3
+#: Documents whose id arrays train the dictionary (whole ones of smallest hash) and their characters in all, its bytes, and the level. The dictionary changes sizes only, never contents.
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1024, 16_000_000, 65_536, 3
+#: Bytes of text in a shard: at most so many on average, and where that makes fewer shards than the cluster has use for, not under the second.
+SHARD_BYTES, LEAST_BYTES = 256_000_000, 4_000_000
 
 
 def _pack(ids: bytes, width: int) -> bytes:
@@ -54,15 +57,17 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: i
     """Encode doc_id, text and write the shards in ascending order of doc_id; one row per shard: shard, n_docs, n_tokens.
 
     A null text is an empty one (only the end id). Null doc_ids come first. Repeated doc_ids and rows are kept, in
-    order of their text. Other columns are ignored. An empty table gives shards without documents.
+    order of their texts' hashes; even those of one doc_id are dealt to several shards. Other columns are ignored. An
+    empty table gives shards without documents.
     """
     spark = df.sparkSession
     docs = df.select("doc_id", "text")
-    some = [x[0] for x in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+    if not shards:
+        size, cores = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0, spark.sparkContext.defaultParallelism
+        shards = max(1, -(-size // SHARD_BYTES), min(4 * cores, -(-size // LEAST_BYTES)))
     e = encoder(tokenizer)
     width = 2 if e.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    samples = docs.where(F.col("doc_id").isin(some)).select(F.substring("text", 1, 100_000)).collect() if some else []
-    raw = train([_pack(x, width) for x in e.encode([x[0] for x in samples]) if x])
+    raw = train([_pack(x, width) for x in e.encode([x["text"] for x in common.drawn(docs, "doc_id", "text", SAMPLE, SAMPLE_CHARS)]) if x])
     common.write_file(folder, "dictionary.zdict", iter([raw]), "driver")
     digest, end = hashlib.sha256(raw).hexdigest(), np.array([end_id], "<u4").tobytes()
 
@@ -90,17 +95,23 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: i
         common.write_file(folder, f"part-{k:05d}.ids", chunks(), str(task.taskAttemptId()))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "n_docs": pa.array([len(index["doc_id"])], pa.int64()), "n_tokens": pa.array([sum(index["n_tokens"])], pa.int64())})
 
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "row"]
+    numbered = docs.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return common.cut(ordered.mapInArrow(run, "shard int, n_docs bigint, n_tokens bigint"))
 
 
-def _parse(raw: bytes) -> dict:
-    n = len(MAGIC)
-    if raw[:n] != MAGIC or raw[-n:] != MAGIC:
+def _index(f: pa.NativeFile) -> dict:
+    """The index of an open shard, read from its end."""
+    n, size = len(MAGIC), f.size()
+    f.seek(max(0, size - n - 8))
+    tail = f.read(n + 8)
+    f.seek(0)
+    if f.read(n) != MAGIC or tail[8:] != MAGIC:
         raise ValueError("not a whole shard")
-    size = int.from_bytes(raw[-n - 8 : -n], "little")
-    return json.loads(zstandard.ZstdDecompressor().decompress(raw[-n - 8 - size : -n - 8]))
+    length = int.from_bytes(tail[:8], "little")
+    f.seek(size - n - 8 - length)
+    return json.loads(zstandard.ZstdDecompressor().decompress(f.read(length)))
 
 
 def _check(dictionary: bytes, about: dict) -> None:
@@ -110,13 +121,8 @@ def _check(dictionary: bytes, about: dict) -> None:
 
 def fetch(folder: str, shard: int, position: int) -> np.ndarray:
     """The ids of one document: its frame alone is read and decompressed."""
-    fs, path = common.open_fs(folder)
-    n = len(MAGIC)
-    with fs.open_input_file(f"{path}/part-{shard:05d}.ids") as f:
-        f.seek(f.size() - n - 8)
-        size = int.from_bytes(f.read(8), "little")
-        f.seek(f.size() - n - 8 - size)
-        about = json.loads(zstandard.ZstdDecompressor().decompress(f.read(size)))
+    with common.open_file(folder, f"part-{shard:05d}.ids") as f:
+        about = _index(f)
         f.seek(about["offset"][position])
         frame = f.read(about["length"][position])
     raw = common.read_file(folder, "dictionary.zdict")
@@ -140,20 +146,24 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
             for k in batch.column("id").to_pylist():
                 if k not in sizes:
                     continue
-                raw, dictionary = memoryview(common.read_file(folder, f"part-{k:05d}.ids")), common.read_file(folder, "dictionary.zdict")
-                about, at = _parse(raw), base[k]
+                name, dictionary, at = f"part-{k:05d}.ids", common.read_file(folder, "dictionary.zdict"), base[k]
+                with common.open_file(folder, name) as f:
+                    about = _index(f)
                 _check(dictionary, about)
                 expand = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
                 rows: list[tuple] = []
-                for doc, offset, length, n in zip(about["doc_id"], about["offset"], about["length"], about["n_tokens"], strict=True):
-                    ids = _unpack(expand.decompress(raw[offset : offset + length]), about["width"])
-                    if len(ids) != 4 * n:
-                        raise ValueError(f"document {doc} has {len(ids) // 4} ids, its index says {n}")
-                    rows.append((doc, at, n, zlib.crc32(ids), ids))
-                    at += n
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows = []
+                held = 0
+                with common.open_stream(folder, name) as f:
+                    f.read(len(MAGIC))
+                    for doc, length, n in zip(about["doc_id"], about["length"], about["n_tokens"], strict=True):
+                        ids = _unpack(expand.decompress(f.read(length)), about["width"])
+                        if len(ids) != 4 * n:
+                            raise ValueError(f"document {doc} has {len(ids) // 4} ids, its index says {n}")
+                        rows.append((doc, at, n, zlib.crc32(ids), ids))
+                        at, held = at + n, held + len(ids)
+                        if len(rows) == 1000 or held > 8_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 

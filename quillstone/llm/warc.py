@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -18,10 +19,12 @@ from quillstone.llm import common
 
 #: The skippable frame that the WARC-zstd format reserves for a dictionary (fixed value).
 SKIPPABLE = 0x184D2A5D
-#: Pages that train the dictionary (those of smallest hash), bytes taken of each, and the dictionary's size.
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1024, 65_536, 65_536, 3
+#: Pages that train the dictionary (whole ones of smallest hash) and their characters in all, the dictionary's size, and the level.
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1024, 16_000_000, 65_536, 3
 #: The date in the headers; no page has one of its own, and a rerun task must write the same bytes.
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of an archive that are read at a time.
+PART = 65_536
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,21 +55,21 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def records(raw: bytes) -> Iterator[bytes]:
-    """The records of an archive, from its bytes alone."""
-    view = memoryview(raw)
-    if int.from_bytes(view[:4], "little") != SKIPPABLE:
+def records(archive: BinaryIO | pa.NativeFile) -> Iterator[bytes]:
+    """The records of an archive, which is read from its beginning on, a part at a time."""
+    head = archive.read(8)
+    if int.from_bytes(head[:4], "little") != SKIPPABLE:
         raise ValueError("no dictionary frame")
-    at = 8 + int.from_bytes(view[4:8], "little")
-    expand = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(view[8:at])))
-    while at < len(view):
+    expand = zstandard.ZstdDecompressor(dict_data=_dictionary(archive.read(int.from_bytes(head[4:], "little"))))
+    rest = archive.read(PART)
+    while rest:
         one, parts = expand.decompressobj(), []
         while not one.eof:
-            if at >= len(view):
+            if not rest:
                 raise ValueError("the archive ends within a record")
-            parts.append(one.decompress(view[at : at + 16_384]))
-            at += min(16_384, len(view) - at)
-        at -= len(one.unused_data)
+            parts.append(one.decompress(rest))
+            rest = one.unused_data if one.eof else archive.read(PART)
+        rest = rest or archive.read(PART)
         yield b"".join(parts)
 
 
@@ -80,12 +83,13 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """
     spark = pages.sparkSession
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("size", F.octet_length("html")).withColumn("key", F.when(F.col("size") >= least, F.sha1(F.encode("html", "UTF-8"))))
-    again = p.where("key is not null").groupBy("key").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
+    # a page that is too small to be looked up has a key that no other's equals, so that these don't meet in one task
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string"))
+    p = p.withColumn("size", F.octet_length("html")).withColumn("key", F.when(F.col("size") >= least, F.sha1(F.encode("html", "UTF-8"))).otherwise(alone))
+    again = p.where(F.col("size") >= least).groupBy("key").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
     p = p.join(again, "key", "left").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("refers")), F.col("refers")))
-    some = [x[0] for x in pages.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
-    drawn = pages.where(F.col("page_id").isin(some)).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES)).collect() if some else []
-    samples = [record(k, u, x, hashlib.sha1(x).hexdigest(), None, False) for k, u, h in drawn for x in [(h or "").encode("utf-8", "surrogatepass")]]
+    chosen = common.drawn(pages.select("page_id", "url", "html"), "page_id", "html", SAMPLE, SAMPLE_CHARS)
+    samples = [record(x["page_id"], x["url"], y, hashlib.sha1(y).hexdigest(), None, False) for x in chosen for y in [x["html"].encode("utf-8", "surrogatepass")]]
     try:
         raw = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small to train on
@@ -133,12 +137,14 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                rows = []
-                for x in records(common.read_file(folder, names[k])):
-                    rows.append(one(x))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows = []
+                rows, held = [], 0
+                with common.open_stream(folder, names[k]) as archive:
+                    for x in records(archive):
+                        rows.append(one(x))
+                        held += len(x)
+                        if len(rows) == 500 or held > 8_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
