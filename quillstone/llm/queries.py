@@ -144,7 +144,7 @@ ORACLES: dict[str, str] = {
         WITH line AS (
             SELECT doc_id, source, i, string_split(text, chr(10))[i] AS raw
             FROM (SELECT doc_id, source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-        long AS (SELECT doc_id, source, i, trim(raw, ' ') AS l FROM line WHERE length(trim(raw, ' ')) >= 20),
+        long AS (SELECT doc_id, source, i, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM line WHERE length(trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20),
         spread AS (SELECT l, min({'d': doc_id, 'i': i}) AS first FROM long GROUP BY l HAVING count(DISTINCT source) >= 3),
         gone AS (SELECT doc_id, i FROM long JOIN spread USING (l) WHERE {'d': doc_id, 'i': i} <> first),
         kept AS (

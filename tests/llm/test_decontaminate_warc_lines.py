@@ -62,15 +62,16 @@ def test_warc_round_trip_with_revisits(spark):
 def test_line_dedup_equals_brute_force_and_keeps_first_places(spark, odd):
     random.seed(2)
     lines = [f"this is a line that some sites share, number {i}" for i in range(12)] + ["short", ""]
-    rows = [(d, "\n".join(random.choices(lines, k=random.randint(1, 6))), f"s{random.randint(0, 7)}" if d % 9 else None) for d in range(120)]
+    around = ["", " ", "\t", "\r", " \x0b\x0c"]
+    rows = [(d, "\n".join(random.choice(around) + x + random.choice(around) for x in random.choices(lines, k=random.randint(1, 6))), f"s{random.randint(0, 7)}" if d % 9 else None) for d in range(120)]
     spread, first = {}, {}
     for d, t, s in rows:
         for i, x in enumerate(t.split("\n")):
-            if len(x.strip(" ")) >= 20:
-                spread.setdefault(x.strip(" "), set()).add(s)
-                first.setdefault(x.strip(" "), (d, i))
+            if len(x.strip()) >= 20:
+                spread.setdefault(x.strip(), set()).add(s)
+                first.setdefault(x.strip(), (d, i))
     bad = {x for x, s in spread.items() if len(s - {None}) >= 5}
-    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if x.strip(" ") not in bad or first[x.strip(" ")] == (d, i)) for d, t, _ in rows}
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if x.strip() not in bad or first[x.strip()] == (d, i)) for d, t, _ in rows}
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sites=5).collect()
     assert {r.doc_id: r.cleaned for r in got} == want
     assert line_dedup.dedup(odd).count() == odd.count()
