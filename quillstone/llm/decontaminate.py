@@ -45,8 +45,8 @@ class Automaton:
             if 0 < len(text) < window:
                 whole.setdefault(last, []).append((len(text), item))
         order = sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True)
-        for v in order:  # what contains a stretch contains its ends
-            if self.link[v] > 0:
+        for v in order:  # what contains a stretch contains its ends; only ends of a window's length matter
+            if self.size[self.link[v]] >= window:
                 owners[self.link[v]] |= owners[v]
         #: For each state, the least match that means a hit; the state of its last window's stretch; short items that end here.
         self.least, self.state, self.short = [window] * len(self.size), [0] * len(self.size), [()] * len(self.size)
@@ -124,16 +124,16 @@ class Automaton:
         return merged, items
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int) -> list[Automaton]:
-    """Automata of bounded size over all items with words; items without an id or text have no windows."""
+def blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+    """item_id and text of the items with a text, in parts of bounded size."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_words)))
-    out = []
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        out.append(Automaton([(i, words(t)) for i, t in sorted(some.collect())], window))
-    return out
+    total = items.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    n = max(1, -(-total // (4 * block_words)))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+
+
+def automaton(items: DataFrame, window: int) -> Automaton:
+    return Automaton([(i, words(t)) for i, t in sorted(items.collect())], window)
 
 
 def _join(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,39 +157,63 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = BLOCK_WORDS, texts: bool = True) -> DataFrame:
     """All columns of df, and of each document n_words, n_hit, n_items, items_sha256, contaminated, cleaned.
 
     cleaned is the text without its hit spans, and null (the document goes) if more than `coverage` of its words
     are hit. A word is hit if it lies in an occurrence of `window` consecutive words of an item, or of all words of
     an item that has fewer. A null or empty text has no words and stays as it is. Repeated rows and ties are
     treated each for itself; an empty table or benchmark gives no rows or no hits. df needs the column text only;
-    its columns of the names above are replaced.
+    its columns of the names above are replaced. Without `texts`, text and cleaned are left out.
+
+    A benchmark beyond block_words is taken in several passes over the texts, one automaton at a time on the driver
+    and in the tasks; each pass adds the spans and items that it finds to the rows.
     """
     spark = df.sparkSession
-    built = spark.sparkContext.broadcast(automata(benchmark, window, block_words))
-    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "cleaned"]
-    df = df.drop(*own)
+    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["cleaned"] if texts else [])]
+    df = df.drop(*own, "cleaned")
+    fields = [(f"`{f.name}`", f.dataType.simpleString()) for f in df.schema.fields]
+    parts = blocks(benchmark, block_words)
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def passed(rows: DataFrame, items: DataFrame) -> DataFrame:
+        """The rows with what an automaton finds added to the columns _spans and _items."""
+        built = spark.sparkContext.broadcast(automaton(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [built.value.scan(words(x)) for x in batch.column("text").to_pylist()]
+                before = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True) if "_spans" in batch.schema.names else [([], [])] * len(found)
+                both = [([*a, *({"a": i, "b": j} for i, j in x)], [*b, *map(str, sorted(y))]) for (a, b), (x, y) in zip(before, found, strict=True)]
+                kept = [k for k in batch.schema.names if k not in ("_spans", "_items")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([x for x, _ in both], span), pa.array([x for _, x in both], pa.list_(pa.string()))], names=[*kept, "_spans", "_items"])
+
+        out = common.cut(rows.mapInArrow(run, ", ".join([*(f"{k} {t}" for k, t in fields), "_spans array<struct<a:bigint,b:bigint>>, _items array<string>"])))
+        built.destroy()
+        return out
+
+    rows = df
+    for items in parts[:-1]:
+        rows = passed(rows, items)
+    last = spark.sparkContext.broadcast(automaton(parts[-1], window))
     added = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("cleaned", pa.string())])
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, spans: list[dict], items: list[str]) -> tuple:
         w = words(text)
-        spans, items = [], set()
-        for x in built.value:
-            a, b = x.scan(w)
-            spans += a
-            items |= b
-        spans = _join(spans)
-        hit = sum(b - a for a, b in spans)
-        named = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-        return len(w), hit, len(items), named, hit > 0, text if not hit else remove(text, spans) if hit <= coverage * len(w) else None
+        found, more = last.value.scan(w)
+        hits = _join([*((x["a"], x["b"]) for x in spans), *found])
+        named, hit = sorted({*items, *map(str, more)}), sum(b - a for a, b in hits)
+        digest = hashlib.sha256(",".join(named).encode()).hexdigest()
+        return len(w), hit, len(named), digest, hit > 0, *([text if not hit else remove(text, hits) if hit <= coverage * len(w) else None] if texts else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = [one(x) for x in batch.column("text").to_pylist()]
-                new = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), added.types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *own])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, cleaned string"])
-    return df.mapInArrow(run, schema)
+                read = batch.column("text").to_pylist()
+                before = [batch.column(k).to_pylist() if k in batch.schema.names else [[]] * len(read) for k in ("_spans", "_items")]
+                new = zip(*(one(*x) for x in zip(read, *before, strict=True)), strict=True)
+                kept = [k for k in batch.schema.names if k not in ("_spans", "_items") and (texts or k != "text")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(x, t) for x, t in zip(new, added.types, strict=False))], names=[*kept, *own])
+
+    new = dict(zip(added.names, ("bigint", "bigint", "bigint", "string", "boolean", "string"), strict=True))
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {t}" for k, t in fields if texts or k != "`text`"), *(f"{k} {new[k]}" for k in own)]))

@@ -37,7 +37,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "cleaned")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), texts=False)
 
 
 #: Four folds of five may be learnt from; the fifth is held out.
