@@ -2,8 +2,9 @@
 
 An odd sketch is a bitmap in which each MinHash sample of a document flips one bit. The XOR of two sketches has a
 bit set for samples in which the documents differ, so its population count estimates high similarities precisely
-in a few bytes; a candidate pair is looked at in full only if that estimate leaves a link possible. For short sets, the
-same bitmap over all shingles gives a bound: its XOR has at most as many bits as the sets have differences.
+in a few bytes; a candidate pair is looked at in full only if that estimate leaves a link possible. For two short sets,
+the same bitmap over all shingles gives a bound instead: its XOR has at most as many bits as the sets have differences,
+so that no linked pair is lost there.
 
 Documents with one and the same shingle set form a class with one representative. In each band's bucket, members
 are compared with a few centres first; only members whose components still differ after that are compared with each
@@ -30,8 +31,8 @@ SAMPLES = BANDS * ROWS
 MARGIN = 0.25
 #: Bits of the parity bitmap of a whole set, kept for sets up to SHORT shingles. It rules pairs out without any error.
 PARITY, SHORT = 2048, 3000
-#: Centres of each bucket, how many of all its centres a member is compared with first; members per comparison task; rows whose broadcast is always small.
-CENTRES, FIRST, MEMBERS, SMALL = 3, 4, 512, 200_000
+#: Centres of each bucket, how many of all its centres a member is compared with first; members of a tile of a bucket; members that meet a centre in one group; rows whose broadcast is always small.
+CENTRES, FIRST, MEMBERS, GROUP, SMALL = 3, 4, 512, 64, 200_000
 
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -109,31 +110,34 @@ def signatures(df: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. Each b's set meets its partners' one by one, in tasks of bounded size."""
-    dealt = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")).drop("n")
+    """Pairs (a, b) of nodes whose full sets reach the similarity. Each b's set meets its partners' one by one, in groups of bounded size."""
+    dealt = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int")).drop("n")
     dealt = dealt.select(common.apart("b").alias("b"), "salts")
-    member = pairs.join(dealt, "b").select(F.col("a").alias("doc_id"), F.struct(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("to"))
-    centre = dealt.select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("doc_id", F.struct(F.col("b").alias("centre"), "salt", F.lit(0).alias("role")).alias("to"))
-    tasks = member.unionByName(centre).groupBy("doc_id").agg(F.collect_list("to").alias("to"))
-    tasks = common.cut(tasks.join(reps.select("doc_id", "key"), "doc_id"))
+    member = pairs.join(dealt, "b").select(F.col("a").alias("node"), F.struct(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("to"))
+    centre = dealt.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b").select("node", F.struct(F.col("b").alias("centre"), "salt", F.lit(0).alias("role")).alias("to"))
+    sent = member.unionByName(centre)
+    # where a node goes, in lists of bounded length
+    lists = sent.groupBy("node").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lists")).select(common.apart("node").alias("node"), "lists")
+    tasks = sent.join(lists, "node").groupBy("node", F.pmod(F.xxhash64("to"), F.col("lists")).alias("list")).agg(F.collect_list("to").alias("to"))
+    tasks = common.cut(tasks.join(reps.select("node", "doc_id", "key"), "node").drop("list"))
     if tasks.count() <= SMALL:
         tasks = F.broadcast(tasks)
     schema = pa.schema([("centre", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("member", pa.int64()), ("hashes", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
-            for doc, text, key, to in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "key", "to")), strict=True):
-                s = shingles(text, k)
-                if set_key(s) != key:  # another row of this doc_id
-                    continue
-                raw = s.tobytes()
-                for x in to:
-                    rows.append((x["centre"], x["salt"], x["role"], doc, raw))
+            rows, size, last = [], 0, (None, None, b"")
+            for node, text, key, to in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "key", "to")), strict=True):
+                if last[:2] != (node, text):
+                    s = shingles(text, k)
+                    last = node, text, s.tobytes() if set_key(s) == key else None  # none: another row of this doc_id
+                raw = last[2]
+                for x in to if raw is not None else ():
+                    rows.append((x["centre"], x["salt"], x["role"], node, raw))
                     size += len(raw)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows, size = [], 0
+                    if size > 8_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -167,12 +171,12 @@ def _ones(a: str, b: str, bits: int) -> Column:
 
 
 def _possible(percent: int) -> Column:
-    """Whether the sketches of two documents (sa, pa, na and sb, pb, nb) leave a link possible."""
+    """Whether the sketches of two documents (sa, pa, na and sb, pb, nb) leave a link possible: surely, where both sets are short, else by the estimate."""
     most = 2 * SAMPLES * (1 - (percent / 100 - MARGIN))  # flipped bits in expectation at the margin
     likely = _ones("sa", "sb", BITS) <= BITS / 2 * (1 - np.exp(-2 * most / BITS))
     # 100 * shared >= percent * all means at most this many differences
     fits = _ones("pa", "pb", PARITY) * F.lit(100 + percent) <= (F.col("na") + F.col("nb")) * F.lit(100 - percent)
-    return likely & F.coalesce(fits, F.lit(True))
+    return F.coalesce(fits, likely)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -180,32 +184,32 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between representatives that connect every pair of similar ones, directly or through others."""
-    every = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    """Links (a, b) between nodes, one for each representative, that connect every pair of similar ones, directly or through others."""
+    every = reps.select(F.explode("bands").alias("bucket"), "node")
     sizes = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(common.apart("bucket").alias("bucket"), "n")
     shared = common.cut(every.join(sizes, "bucket"))
     # who shares its buckets with most others is closest to the middle of its group, and links with most of it
-    degree = shared.groupBy("doc_id").agg(F.sum("n").alias("degree")).select(common.apart("doc_id").alias("doc_id"), "degree")
-    known = common.cut(shared.join(degree, "doc_id"))
-    middle = F.struct("degree", "doc_id")
-    order = lambda i: F.xxhash64(F.lit(i), "doc_id")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree")).select(common.apart("node").alias("node"), "degree")
+    known = common.cut(shared.join(degree, "node"))
+    middle = F.struct("degree", "node")
+    order = lambda i: F.xxhash64(F.lit(i), "node")
     centres = known.groupBy("bucket").agg(F.max(middle).alias("m"), *(F.min_by(middle, order(i)).alias(f"c{i}") for i in range(CENTRES - 1)))
     centres = centres.select(common.apart("bucket").alias("bucket"), F.array_distinct(F.array("m", *(f"c{i}" for i in range(CENTRES - 1)))).alias("centres"))
-    buckets = common.cut(known.join(centres, "bucket").select("bucket", "n", "doc_id", "centres"))
-    one = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    buckets = common.cut(known.join(centres, "bucket").select("bucket", "n", "node", "centres"))
+    one = lambda c: reps.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
     # of all centres of its buckets, a member meets the few in the middle, so these are mostly the same for a whole group
-    pairs = buckets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("c"))
-    others = F.filter("c", lambda x: x["doc_id"] != F.col("doc_id"))
-    pairs = _ordered(pairs.select(F.col("doc_id").alias("a"), F.explode(F.slice(F.sort_array(others, asc=False), 1, FIRST)).alias("x")).select("a", F.col("x.doc_id").alias("b")))
+    pairs = buckets.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("c"))
+    others = F.filter("c", lambda x: x["node"] != F.col("node"))
+    pairs = _ordered(pairs.select(F.col("node").alias("a"), F.explode(F.slice(F.sort_array(others, asc=False), 1, FIRST)).alias("x")).select("a", F.col("x.node").alias("b")))
     first = common.cut(pairs.join(one("a"), "a").join(one("b"), "b").where(_possible(percent)).select("a", "b"))
     found = common.cut(confirm(first, docs, reps, k, percent))
     # what is left: members of one bucket whose components differ, in tiles of the bucket
-    part = common.components(found)
-    state = buckets.join(part, buckets["doc_id"] == part["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    part = common.components(found).withColumnRenamed("node", "member")
+    state = buckets.join(part, buckets["node"] == part["member"], "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(common.apart("bucket").alias("bucket"))
-    state = common.cut(state.join(mixed, "bucket").join(reps.select("doc_id", "sketch", "bands", "parity", "n_shingles"), "doc_id").withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")))
-    left = state.select("bucket", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), F.col("parity").alias("pa"), F.col("n_shingles").alias("na"))
-    right = state.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("parity").alias("pb"), F.col("n_shingles").alias("nb"))
+    state = common.cut(state.join(mixed, "bucket").join(reps.select("node", "sketch", "bands", "parity", "n_shingles"), "node").withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")))
+    left = state.select("bucket", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), F.col("parity").alias("pa"), F.col("n_shingles").alias("na"))
+    right = state.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("parity").alias("pb"), F.col("n_shingles").alias("nb"))
     # a pair counts in the first bucket that its members share
     here = F.element_at(F.filter(F.zip_with("ba", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("bucket")
     rest = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & here).select("a", "b")
@@ -226,10 +230,12 @@ def dedup(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linked = sigs.where("key is not null and doc_id is not null")
     classes = common.cut(linked.groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = linked.join(classes, (linked["key"] == classes["key"]) & (linked["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id", "key"])
-    # a doc_id with several texts represents the least of their keys only; its other rows' classes join it below
-    reps = common.cut(reps.select("doc_id", "n_shingles", "key", "bands", "sketch", "parity"))
+    # a doc_id of several texts may represent several classes, so representatives have numbers of their own
+    reps = common.cut(reps.select(F.monotonically_increasing_id().alias("node"), "doc_id", "n_shingles", "key", "bands", "sketch", "parity"))
     same = linked.join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = links(df, reps, k, percent).unionByName(same)
+    name = lambda c: reps.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    found = links(df, reps, k, percent).join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    edges = found.unionByName(same)
     part = common.cut(common.components(edges))
     out = sigs.join(part, sigs["doc_id"] == part["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

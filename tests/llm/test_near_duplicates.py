@@ -45,6 +45,7 @@ def _texts(seed):
 @pytest.mark.parametrize(("seed", "members"), [(0, 512), (1, 3)])
 def test_minhash_equals_brute_force(spark, monkeypatch, seed, members):
     monkeypatch.setattr(minhash_dedup, "MEMBERS", members)
+    monkeypatch.setattr(minhash_dedup, "GROUP", members)
     texts = _texts(seed)
 
     def shingles(t):
@@ -78,6 +79,15 @@ def test_minhash_edges(spark, odd):
     assert minhash_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_a_doc_id_of_several_texts_keeps_the_links_of_each(spark):
+    random.seed(3)
+    one, two = (random.choices([f"w{i}" for i in range(300)], k=100) for _ in range(2))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (5, near(one)), (6, near(two)), (7, "something else altogether")]
+    got = minhash_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 5: 1, 6: 1, 7: 7}
+
+
 @pytest.mark.parametrize("tile", [2000, 7])
 def test_embedding_join_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
