@@ -2,18 +2,21 @@
 
 Two unit vectors of cosine c lie at squared distance 2 - 2c. A fixed rotation spreads that over all coordinates; these
 are split into blocks, and of a pair within the whole budget at least one block lies within its proportional share. So
-each block is range-joined by itself: vectors go to strips along the block's first coordinate, those near a border to
-the strip below too, and within a strip, pairs whose block distance is in budget are candidates, verified exactly. The
-union over blocks is complete, and a pair counts in the first block that admits it, so it counts once.
-
-Equal vectors of one label form a class with one representative. Strips are cut into tiles of bounded size; each pair
-of tiles is a task of its own and returns sums of links and a spanning forest of them, never the pairs.
+each block is range-joined by itself: vectors go to cells of a grid over the block's first coordinates (more of them for
+larger labels, so that cells stay small), those near a border are guests of the neighbours that come before their own,
+and within a cell, pairs whose block distance is in budget are candidates, verified exactly. The union over blocks is
+complete, and a pair counts in the first block that admits it, so it counts once.
+
+Equal vectors of one label form a class with one representative. Cells of more than a tile (groups of nearly equal
+vectors) are cut into tiles of bounded size; each pair of tiles is a task of its own and returns sums of links and a
+spanning forest of them, never the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import common
 
-#: Blocks, width of a strip in block distances, rows of a tile, seed of the rotation, and the slack that rounding needs.
+#: Blocks, width of a cell in block distances, rows of a tile, seed of the rotation, and the slack that rounding needs.
 BLOCKS, STRIP, TILE, SEED, SLACK = 8, 3.0, 2000, 3, 1e-9
+#: Coordinates that a grid has at most, and how many times fewer vectors each makes of a cell, by which their number is chosen.
+GRID, FEWER = 4, 2.4
 
 
 def rotation(size: int) -> np.ndarray:
@@ -42,14 +47,15 @@ def _budget(size: int, cosine: float) -> list[float]:
     return [(2 - 2 * cosine) * (b.stop - b.start) / size + SLACK for b in _blocks(size)]
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    v = np.stack([np.frombuffer(x, np.float64) for x in raw])
+def _unit(raw: list[bytes], size: int) -> np.ndarray:
+    """Unit vectors of the bytes, which are single or double precision."""
+    v = np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * size else np.float64).astype(np.float64) for x in raw])
     v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares of tiny or huge numbers stay in range
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def classes(df: DataFrame) -> DataFrame:
-    """vec_id, label, and of vectors that can link their bytes and key; equal vectors share a key."""
+    """vec_id, label, and of vectors that can link their bytes (in single precision where that holds them) and key; equal vectors share a key."""
     schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("raw", pa.binary()), ("key", pa.binary()), ("size", pa.int32())])
 
     def one(label: str | None, v: list[float | None] | None) -> tuple[bytes | None, bytes | None, int | None]:
@@ -59,7 +65,9 @@ def classes(df: DataFrame) -> DataFrame:
         if not np.isfinite(a).all() or not a.any():
             return None, None, None
         raw = a.tobytes()
-        return raw, hashlib.blake2b(raw + label.encode(), digest_size=16).digest(), len(a)
+        with np.errstate(over="ignore"):
+            short = a.astype(np.float32)
+        return short.tobytes() if (short == a).all() else raw, hashlib.blake2b(raw + label.encode(), digest_size=16).digest(), len(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,26 +79,40 @@ def classes(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, "vec_id bigint, label string, raw binary, key binary, size int")
 
 
-def strips(reps: DataFrame, cosine: float) -> DataFrame:
-    """A row for each block of each representative: its strip, and again as a guest of the strip below if that border is near."""
-    schema = pa.schema([("label", pa.string()), ("size", pa.int32()), ("block", pa.int32()), ("strip", pa.int32()), ("guest", pa.bool_()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("raw", pa.binary())])
+def _before(coordinates: int) -> list[np.ndarray]:
+    """Steps to the neighbours of a cell that come before it: the first coordinate that differs is smaller."""
+    steps = [np.array(x) for x in product((-1, 0, 1), repeat=coordinates)]
+    return [x for x in steps if x.any() and x[np.flatnonzero(x)[0]] < 0]
+
+
+def cells(reps: DataFrame, cosine: float) -> DataFrame:
+    """A row for each block of each representative: its cell, and again as a guest of each earlier neighbour cell whose border is near.
+
+    Of a pair within the block's reach, the one in the later cell is a guest of the other's, so they meet once.
+    """
+    schema = pa.schema([("label", pa.string()), ("size", pa.int32()), ("block", pa.int32()), ("cell", pa.binary()), ("guest", pa.bool_()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.to_pandas()
-            for size, rows in t.groupby("size"):
-                y, share = _unit(list(rows["raw"])) @ rotation(int(size)), _budget(int(size), cosine)
-                parts = []
+            for (size, grid), rows in t.groupby(["size", "grid"]):
+                y, share = _unit(list(rows["raw"]), int(size)) @ rotation(int(size)), _budget(int(size), cosine)
                 for b, (cols, budget) in enumerate(zip(_blocks(int(size)), share, strict=True)):
-                    reach = np.sqrt(budget)
+                    reach, used = np.sqrt(budget), y[:, cols][:, : int(grid)]
                     width = STRIP * reach
-                    strip = np.floor(y[:, cols.start] / width).astype(np.int32)
-                    near = y[:, cols.start] - strip * width <= reach * (1 + SLACK)
-                    for guest, which in ((False, np.ones(len(rows), bool)), (True, near)):
-                        parts.append(rows.loc[which, ["label", "size", "vec_id", "copies", "raw"]].assign(block=b, strip=strip[which] - guest, guest=guest))
-                yield pa.RecordBatch.from_pandas(pd.concat(parts)[schema.names], schema=schema, preserve_index=False)
+                    cell = np.floor(used / width).astype("<i4")
+                    over = used - cell * width
+                    low, high = over <= reach * (1 + SLACK), width - over <= reach * (1 + SLACK)
+                    parts = [(False, np.arange(len(rows)), cell)]
+                    for step in _before(used.shape[1]):
+                        near = np.flatnonzero((low | (step >= 0)).all(axis=1) & (high | (step <= 0)).all(axis=1))
+                        parts.append((True, near, cell[near] + step.astype("<i4")))
+                    for guest, which, at in parts:
+                        some = rows.iloc[which]
+                        placed = some[["label", "size", "vec_id", "copies", "raw"]].assign(block=b, cell=[x.tobytes() for x in at], guest=guest)
+                        yield pa.RecordBatch.from_pandas(placed[schema.names], schema=schema, preserve_index=False)
 
-    return reps.mapInArrow(run, "label string, size int, block int, strip int, guest boolean, vec_id bigint, copies bigint, raw binary")
+    return reps.mapInArrow(run, "label string, size int, block int, cell binary, guest boolean, vec_id bigint, copies bigint, raw binary")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -120,7 +142,7 @@ def compare(t: pd.DataFrame, cosine: float) -> pd.DataFrame:
     right = left if same and not (t["side"] == 1).any() else t[t["side"] == 1]
     if not len(left) or not len(right):
         return pd.DataFrame({"kind": [], "a": [], "b": []})
-    u, v = _unit(list(left["raw"])), _unit(list(right["raw"]))
+    u, v = _unit(list(left["raw"]), size), _unit(list(right["raw"]), size)
     yu, yv = u @ turn, v @ turn
     cu, cv = yu[:, cols[block]], yv[:, cols[block]]
     limit = share[block] + 1e-6
@@ -134,7 +156,7 @@ def compare(t: pd.DataFrame, cosine: float) -> pd.DataFrame:
             near &= np.arange(len(v))[None, :] > np.arange(at, min(at + 256, len(u)))[:, None]
         i, j = np.nonzero(near)
         i += at
-        for k in range(0, len(i), 100_000):  # verified in pieces, so that a dense strip needs no more memory
+        for k in range(0, len(i), 100_000):  # verified in pieces, so that a dense cell needs no more memory
             p, q = i[k : k + 100_000], j[k : k + 100_000]
             linked = np.einsum("ij,ij->i", u[p], v[q]) >= cosine
             p, q = p[linked], q[linked]
@@ -174,11 +196,15 @@ def dedup(df: DataFrame, cosine: float = 0.98) -> DataFrame:
     reps = own.join(groups, (own["key"] == groups["key"]) & (own["vec_id"] == groups["rep"])).select("vec_id", "label", "size", "raw", "copies", own["key"].alias("key")).dropDuplicates(["key"])
     # representatives are numbered by class: one vec_id may stand for several
     reps = common.cut(reps.withColumn("node", F.monotonically_increasing_id()))
-    placed = common.cut(strips(reps.select(F.col("node").alias("vec_id"), "label", "size", "raw", "copies"), cosine))
-    place = ["label", "size", "block", "strip"]
-    dealt = placed.groupBy(*place).agg(F.ceil(F.count_if(~F.col("guest")) / TILE).cast("int").alias("homes"), F.ceil(F.count_if(F.col("guest")) / TILE).cast("int").alias("guests")).where("homes > 0")
+    groups = common.cut(reps.groupBy("label", "size").agg(F.count("*").alias("n")))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    grid = F.least(F.greatest(F.ceil(F.log(F.col("n") / TILE) / np.log(FEWER)), F.lit(1)), F.lit(GRID)).cast("int").alias("grid")
+    sized = common.join_spread(reps, groups, ["label", "size"], "n", total, ["node"])
+    placed = common.cut(cells(sized.select(F.col("node").alias("vec_id"), "label", "size", "raw", "copies", grid), cosine))
+    place = ["label", "size", "block", "cell"]
+    dealt = placed.groupBy(*place).agg(F.ceil(F.count_if(~F.col("guest")) / TILE).cast("int").alias("homes"), F.ceil(F.count_if(F.col("guest")) / TILE).cast("int").alias("guests"), F.count("*").alias("n")).where("homes > 0")
     dealt = common.cut(dealt)
-    tiled = placed.join(dealt, place)
+    tiled = common.join_spread(placed, dealt, place, "n", placed.count(), ["vec_id"])
     tile = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
     home = tiled.where("not guest").withColumn("t", tile("homes"))
     # tile pairs: of homes with themselves (i = j), with later homes (i < j), and with guests (numbered after the homes)

@@ -107,6 +107,20 @@ def test_embedding_join_equals_brute_force(spark, monkeypatch, tile):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (sum(i in x for x in links), want[i]) for i in want}
 
 
+@pytest.mark.parametrize("grid", [1, 2, 3])
+def test_pairs_in_reach_meet_in_one_cell(spark, monkeypatch, grid):
+    monkeypatch.setattr(embedding_dedup, "FEWER", 1 + 1e-6)
+    monkeypatch.setattr(embedding_dedup, "TILE", 50)
+    monkeypatch.setattr(embedding_dedup, "GRID", grid)
+    rng = np.random.default_rng(grid)
+    base = rng.normal(size=(60, 32))
+    v = np.concatenate([base, base + 0.12 * rng.normal(size=base.shape), base + 0.12 * rng.normal(size=base.shape)])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(v), dtype=bool)
+    got = embedding_dedup.dedup(spark.createDataFrame([(i, x, 0) for i, x in enumerate(v.tolist())], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert near.sum() > 100 and {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
 def test_embedding_edges(spark):
     schema = "vec_id bigint, embedding array<float>, label int, copies int"
     assert embedding_dedup.dedup(spark.createDataFrame([], schema)).count() == 0
