@@ -178,12 +178,58 @@ def market_residuals(seg: DataFrame, before: int = 20, least: int = 10) -> DataF
     return s.join(day.select(*DAY, "beta"), DAY).withColumn("residual", y - F.col("beta") * x)
 
 
+#: Bars from the opening to 14:57, and the bar after which the lunch break comes (fixed values).
+CONTINUOUS, NOON = 238, 120
+
+
 def volume_events(bars: DataFrame) -> DataFrame:
-    """Bars of outstanding volume: their number of peaks, and returns where volume jumps."""
-    b = with_returns(bars)
+    """Bars of outstanding volume in continuous trading: their number of peaks, returns where volume jumps, volume of bars whose body is small.
+
+    A peak counts where the one before it is more than a minute away, also over lunch; the first doesn't count.
+    """
     day = Window.partitionBy("ts_code", "trade_date")
+    w = day.orderBy("minute_index")
+    b = bars.where(F.col("minute_index") < CONTINUOUS).withColumn("dv", F.col("volume") - F.lag("volume").over(w)).withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
     b = b.withColumn("_high", F.col("volume") > F.avg("volume").over(day) + F.stddev_samp("volume").over(day)).withColumn("_jump", F.col("dv") > F.avg("dv").over(day) + F.stddev_samp("dv").over(day))
-    b = b.withColumn("_was", F.last(F.when(F.col("_high"), F.col("minute_index")), ignorenulls=True).over(day.orderBy("minute_index").rowsBetween(Window.unboundedPreceding, -1)))
-    peak = F.col("_high") & (F.col("_was").isNull() | (F.col("minute_index") - F.col("_was") > 1))
-    small = F.abs(F.col("close") - F.col("open")) <= 0.5 * F.abs(F.col("peak") - F.col("close"))
-    return b.groupBy(*DAY).agg(F.count_if(peak).alias("mf_dos_volume_peak_count"), F.avg(F.when(F.col("_jump"), F.col("r"))).alias("mf_dos_flash_returns"), F.try_divide(F.sum(F.when(small, F.col("volume")).otherwise(0.0)), F.sum("volume")).alias("mf_dos_consist_volume"), F.stddev_pop(F.when(F.col("_high"), F.col("r"))).alias("mf_volume_up_return_std"))
+    b = b.withColumn("_was", F.last(F.when(F.col("_high"), F.col("minute_index")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    again = F.col("_high") & ((F.col("minute_index") - F.col("_was") > 1) | (F.col("_was") == NOON))
+    small = F.abs(F.col("close") - F.col("open")) <= 0.5 * F.abs(F.col("high") - F.col("low"))
+    return b.groupBy(*DAY).agg(
+        F.when(F.count_if("_high") > 0, F.count_if(again)).alias("mf_dos_volume_peak_count"), F.avg(F.when(F.col("_jump"), F.col("ret"))).alias("mf_dos_flash_returns"),
+        F.try_divide(F.sum(F.when(small, F.col("volume"))), F.sum("volume")).alias("mf_dos_consist_volume"),
+    )
+
+
+def volume_up_returns(bars: DataFrame) -> DataFrame:
+    """Minus the deviation of returns on bars whose volume stands out, of all and of the positive ones."""
+    day = Window.partitionBy("ts_code", "trade_date")
+    b = with_returns(bars).withColumn("_high", F.col("volume") > F.avg("volume").over(day) + F.stddev_pop("volume").over(day))
+    return b.groupBy(*DAY).agg((-F.stddev_pop(F.when(F.col("_high"), F.col("r")))).alias("mf_volume_up_return_std"), (-F.stddev_pop(F.when(F.col("_high") & (F.col("r") > 0), F.col("r")))).alias("mf_volume_up_positive_return_std"))
+
+
+def adjusted_amount_correlations(bars: DataFrame, before: int = 20) -> DataFrame:
+    """Correlation of absolute log returns with amounts standardised by the same minute of earlier days, one of the two a bar late.
+
+    Earlier days are the security's own observed ones, up to `before` of them and two at least. The first bar's
+    neighbour is the last bar of the day before.
+    """
+    b = bars.where(F.col("minute_index") < CONTINUOUS)
+    same = Window.partitionBy("ts_code", "minute_index").orderBy("day_index").rowsBetween(-before, -1)
+    b = b.withColumn("_s", F.stddev_samp("amount").over(same)).withColumn("adj", F.when(F.col("_s") > 0, (F.col("amount") - F.avg("amount").over(same)) / F.col("_s")))
+    line = Window.partitionBy("ts_code").orderBy("day_index", "minute_index")
+    b = b.withColumn("step", F.abs(F.ln(F.col("close") / F.lag("close").over(line)))).withColumn("adj_late", F.lag("adj").over(line))
+    b = b.withColumn("step_late", F.lag(F.when(F.col("minute_index") > 0, F.col("step"))).over(line))
+    return b.groupBy(*DAY).agg(safe_corr("step", "adj_late").alias("mf_dos_corr_ret_lag_adj_amount"), safe_corr("step_late", "adj").alias("mf_dos_corr_lag_ret_adj_amount"))
+
+
+def relative_volume_ranks(bars: DataFrame, width: int = 10) -> DataFrame:
+    """Mean over deviation, plus excess kurtosis, of a session's ranks among all securities of the bar's volume over its mean of ten bars.
+
+    Ranks are the smallest of ties over the number of securities at that minute.
+    """
+    w = Window.partitionBy("ts_code", "trade_date").orderBy("minute_index").rowsBetween(1 - width, 0)
+    minute = Window.partitionBy("trade_date", "minute_index")
+    b = bars.where(F.col("minute_index") < CONTINUOUS).withColumn("prop", F.try_divide(F.col("volume"), F.avg("volume").over(w))).where("prop is not null")
+    b = b.withColumn("q", F.rank().over(minute.orderBy("prop")) / F.count("*").over(minute))
+    _, kurt = moments("q", "q")
+    return b.groupBy(*DAY).agg(F.stddev_samp("q").alias("_s"), F.avg("q").alias("_m"), kurt).select(*DAY, F.when(F.col("_s") > 1e-12, F.col("_m") / F.col("_s") + F.col("q_kurtosis") - 3).alias("mf_dos_patv"))

@@ -18,8 +18,10 @@ FIELDS = ("open", "high", "low", "close", "volume", "amount")
 DOS = (
     "illiq_shortcut", "positive_consist_volume", "consist_volume", "vol_prop_entropy", "single_vol_prop_entropy", "flash_volatility", "flash_returns", "vol_tide_ratio", "corr_ret_amount", "corr_ret_lag_amount", "corr_lag_ret_amount",
     "resilience_cov", "peak_climbing_cov", "prop_t_dis", "prop_normal_dis", "prop_naive_act", "prop_uniform_dis", "volume_peak_count", "ratio_fuzziness_amount", "ratio_fuzziness_volume", "ratio_fuzziness_amt_corr",
-    "p_dis_vol", "b_dis_vol", "vsa_ratio", "dawn_fog_vol_persist", "canopy_t", "canopy_f", "up_centroid", "down_centroid",
+    "p_dis_vol", "b_dis_vol", "vsa_ratio", "fuzz_diff", "dawn_fog_vol_persist", "canopy_t", "canopy_f", "up_centroid", "down_centroid",
 )
+#: Bars from the opening to 14:57, which most of these features look at, and the last row of the regression on volume changes (fixed values); the bar after which the lunch break comes.
+CONTINUOUS, REGRESSED, NOON = 238, 239, 120
 FLOW = ("signed_amount_imbalance", "tail30_signed_amount_imbalance", "signed_amount_positive_segment_share", "traded_volume_above_close_share", "traded_cost_dispersion", "cost_q85_to_close", "pm_am_vwap_log_ratio", "amount_periodicity_peak_share", "amount_periodicity_band_power")
 
 
@@ -105,91 +107,106 @@ def _mean(x: np.ndarray) -> float:
     return float(x.mean()) if len(x) else math.nan
 
 
-def _fog(x: np.ndarray, fog: np.ndarray) -> float:
-    return float(x[fog].mean() / x.mean()) if fog.any() and x.mean() > 0 else math.nan
-
-
 def support_area(close: np.ndarray, volume: np.ndarray, share: float = 0.5) -> tuple[float, float]:
-    """Lowest and highest close of the prices around the one of largest volume that together hold the share of it.
+    """Lowest and highest close of the area around the price of largest volume (the lowest of equal ones).
 
-    From that price on, the neighbour of larger volume joins, the lower one of equals, until the share is reached.
+    Prices join by their distance from it, of equally far ones that of larger volume first, until they hold the
+    share of all volume. nan without volume.
     """
     price, at = np.unique(close, return_inverse=True)
     v = np.bincount(at, weights=volume)
-    lo = hi = int(v.argmax())
-    got, need = v[lo], share * v.sum()
-    while got < need and (lo > 0 or hi < len(v) - 1):
-        below, above = v[lo - 1] if lo > 0 else -1.0, v[hi + 1] if hi < len(v) - 1 else -1.0
-        if below >= above:
-            lo -= 1
-            got += below
-        else:
-            hi += 1
-            got += above
-    return float(price[lo]), float(price[hi])
+    if not v.sum() > 0:
+        return math.nan, math.nan
+    order = np.lexsort((price, -v, np.abs(price - price[v.argmax()])))
+    reached = np.cumsum(v[order] / v.sum()) >= share
+    area = price[order[: int(reached.argmax()) + 1]] if reached.any() else price
+    return float(area.min()), float(area.max())
+
+
+def tide(close: np.ndarray, volume: np.ndarray) -> float:
+    """Slope of the price from the trough before the tide of volume to the one after it; volumes add up over nine bars around each."""
+    n = len(volume)
+    if n < 5:
+        return math.nan
+    total = np.concatenate([[0.0], np.cumsum(volume)])
+    t = np.arange(n - 4)
+    near = total[t + 5] - total[np.maximum(t - 4, 0)]
+    top = len(near) - 1 - int(near[::-1].argmax())  # the last of equal ones
+    if top in (0, len(near) - 1):
+        return math.nan
+    rise, fall = int(near[:top].argmin()), top + 1 + int(near[top + 1 :].argmin())
+    return float((close[rise] / close[fall] - 1) / (fall - rise))
+
+
+def resilience(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, outstanding: bool) -> float:
+    """Covariance of the return over the volatility of the last five bars' prices with that volatility; of outstanding ones only, if asked."""
+    if len(c) < 5:
+        return math.nan
+    w = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, 5) for x in (o, h, low, c)], axis=1)
+    adj = (w.std(axis=1, ddof=1) / w.mean(axis=1)) ** 2
+    ret = c[4:] / c[3:-1] - 1
+    ok = adj > 0
+    if outstanding:
+        ok &= adj > adj.mean() + adj.std(ddof=1) if len(adj) > 1 else False
+    if not ok.any():
+        return math.nan
+    x, y = ret[ok] / adj[ok], adj[ok]
+    return float(np.mean((x - x.mean()) * (y - y.mean())))
 
 
 def dos(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray, a: np.ndarray) -> dict[str, float]:
-    """Features of one session; nan where a denominator is zero or there are too few bars."""
-    n = len(c)
-    ret = np.concatenate([[math.nan], c[1:] / c[:-1] - 1])
-    dv = np.concatenate([[math.nan], np.diff(v)])
-    r1 = np.abs(np.log1p(ret))
-    small = np.abs(c - o) <= 0.5 * np.abs(h - low)
-    up = np.concatenate([[False], c[1:] > c[:-1]])
+    """Features of one session; nan where a denominator is zero or there are too few bars.
+
+    All look at the bars of continuous trading, but for the resilience and the regression, which take the whole session.
+    """
+    out = {"resilience_cov": resilience(o, h, low, c, False)}
+    dv, n = np.diff(v, prepend=math.nan), min(len(c), REGRESSED + 1)
+    out["dawn_fog_vol_persist"] = out["canopy_t"] = out["canopy_f"] = math.nan
     with np.errstate(all="ignore"):
-        out = {"illiq_shortcut": float(np.sum((2 * (h - low) - np.abs(o - c))[v > 0] / (c * v)[v > 0])) if (v > 0).any() else math.nan, "positive_consist_volume": _share(v[small & up], v), "consist_volume": _share(v[small], v)}
-        p = a / a.sum() if a.sum() > 0 else np.zeros(n)
-        q = (v / v.sum() if v.sum() > 0 else np.zeros(n)) * (c / c.sum())
-        out["vol_prop_entropy"] = float(-(p[p > 0] * np.log(p[p > 0])).sum()) if p.any() else math.nan
-        out["single_vol_prop_entropy"] = float(-(q[q > 0] * np.log(q[q > 0])).sum()) if q.any() else math.nan
-        known = dv[1:]
-        jump = dv > known.mean() + known.std(ddof=1) if n > 2 else np.zeros(n, bool)
-        ahead = np.full(n, math.nan)
-        if n > 5:
-            ahead[: n - 4] = np.lib.stride_tricks.sliding_window_view(np.nan_to_num(ret), 5).std(axis=1, ddof=1)
-        out["flash_volatility"], out["flash_returns"] = _mean(ahead[jump]), _mean(ret[jump])
-        out["vol_tide_ratio"] = math.nan
-        if n >= 9:
-            near = np.convolve(v, np.ones(9), "valid")
-            top = int(near.argmax())
-            if 0 < top < len(near) - 1:
-                rise, fall = int(near[:top].argmin()), top + 1 + int(near[top + 1 :].argmin())
-                out["vol_tide_ratio"] = float((c[rise + 4] / c[fall + 4] - 1) / (fall - rise))
-        out["corr_ret_amount"], out["corr_ret_lag_amount"], out["corr_lag_ret_amount"] = corr(r1, a), corr(r1[1:], a[:-1]), corr(r1[:-1], a[1:])
-        adj = np.full(n, math.nan)
-        if n >= 5:
-            w = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, 5) for x in (o, h, low, c)], axis=1)
-            adj[4:] = (w.std(axis=1, ddof=1) / w.mean(axis=1)) ** 2
-        ok = np.isfinite(ret) & np.isfinite(adj) & (adj > 0)
-        cov = lambda m: float(np.mean((ret[m] / adj[m] - np.mean(ret[m] / adj[m])) * (adj[m] - adj[m].mean()))) if m.sum() > 1 else math.nan
-        out["resilience_cov"] = cov(ok)
-        out["peak_climbing_cov"] = cov(ok & (adj > adj[ok].mean() + adj[ok].std(ddof=1))) if ok.sum() > 2 else math.nan
-        kr, ka, kd = ret[1:], a[1:], np.diff(c)
-        s, sd = (kr.std(ddof=1), kd.std(ddof=1)) if n > 2 else (0.0, 0.0)
-        out["prop_t_dis"] = _share(ka * t_cdf(kr / s, 240), ka) if s > 1e-12 else math.nan
-        out["prop_normal_dis"] = _share(ka * normal_cdf(kr * 1.96 / 0.1), ka)
-        out["prop_naive_act"] = _share(ka * t_cdf(kd / sd, 240), ka) if sd > 1e-12 else math.nan
-        out["prop_uniform_dis"] = _share(ka * ((kr - 0.1) / 0.2), ka)
-        high = np.flatnonzero(v > v.mean() + v.std(ddof=1)) if n > 1 else np.empty(0, int)
-        out["volume_peak_count"] = float((np.diff(high, prepend=-2) > 1).sum())
-        fuzz = rolling_std(rolling_std(ret[1:], 5)[4:], 5) if n > 10 else np.empty(0)
-        tail = len(fuzz)
-        fog = fuzz > np.nanmean(fuzz) if np.isfinite(fuzz).any() else np.zeros(tail, bool)
-        fa, fv = a[n - tail :], v[n - tail :]
-        out["ratio_fuzziness_amount"], out["ratio_fuzziness_volume"] = (_fog(fa, fog), _fog(fv, fog)) if tail else (math.nan, math.nan)
-        out["ratio_fuzziness_amt_corr"] = corr(fuzz, fa) if tail else math.nan
-        lo, hi = support_area(c, v)
-        out["p_dis_vol"], out["b_dis_vol"], out["vsa_ratio"] = lo - float(h.max()), hi - float(low.min()), lo - float(c.max())
-        out["dawn_fog_vol_persist"] = out["canopy_t"] = out["canopy_f"] = math.nan
         if n > 14:
-            x = np.column_stack([dv[6 - k : n - k] for k in range(6)])
-            t, f = ols(ret[6:], x)
+            t, f = ols(c[6:n] / c[5 : n - 1] - 1, np.column_stack([dv[6 - k : n - k] for k in range(6)]))
             out["dawn_fog_vol_persist"], out["canopy_t"], out["canopy_f"] = float(t[2:].std(ddof=1)), float(abs(t[0])), float(f)
-        minute = np.arange(n)
-        for name, side in (("up_centroid", ret > 0), ("down_centroid", ret < 0)):
-            weight = np.abs(ret[side])
-            out[name] = float((minute[side] * weight).sum() / weight.sum()) if weight.sum() > 0 else math.nan
+        return out | _continuous(*(x[:CONTINUOUS] for x in (o, h, low, c, v, a)))
+
+
+def _continuous(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray, a: np.ndarray) -> dict[str, float]:
+    n, minute = len(c), np.arange(len(c))
+    ret, dv, dc = np.concatenate([[math.nan], c[1:] / c[:-1] - 1]), np.diff(v, prepend=math.nan), np.diff(c, prepend=math.nan)
+    r1, money = np.abs(np.log1p(ret)), c * v
+    small = np.abs(c - o) <= 0.5 * np.abs(h - low)
+    rising = small & (dc > 0)
+    out = {"illiq_shortcut": float(np.sum((2 * (h - low) - np.abs(o - c))[money > 0] / money[money > 0]))}
+    out["consist_volume"] = _share(v[small], v) if small.any() else math.nan
+    out["positive_consist_volume"] = _share(v[rising], v) if rising.any() else math.nan
+    for name, p in (("vol_prop_entropy", a / a.sum() if a.sum() > 0 else np.zeros(n)), ("single_vol_prop_entropy", (v / v.sum() if v.sum() > 0 else np.zeros(n)) * (c / c.sum()))):
+        out[name] = float(-(p[p > 0] * np.log(p[p > 0])).sum()) if p.any() else math.nan
+    jump = dv > np.nanmean(dv) + np.nanstd(dv, ddof=1) if n > 2 else np.zeros(n, bool)
+    ahead = np.full(n, math.nan)
+    if n > 5:
+        ahead[1 : n - 4] = np.lib.stride_tricks.sliding_window_view(ret[1:], 5).std(axis=1, ddof=1)
+    out["flash_volatility"], out["flash_returns"] = _mean(ahead[jump]), _mean(ret[jump])
+    out["vol_tide_ratio"] = tide(c, v)
+    out["corr_ret_amount"], out["corr_ret_lag_amount"], out["corr_lag_ret_amount"] = corr(r1, a), corr(r1[1:], a[:-1]), corr(r1[:-1], a[1:])
+    out["peak_climbing_cov"] = resilience(o, h, low, c, True)
+    # shares of the whole window's amount; the first bar has no return and adds to the denominator only
+    s, sd = (float(x[1:].std(ddof=1)) if n > 2 else 0.0 for x in (ret, dc))
+    weights = {"prop_t_dis": t_cdf(ret[1:] / s, 240) if s > 0 else None, "prop_normal_dis": normal_cdf(ret[1:] * 1.96 / 0.1), "prop_naive_act": t_cdf(dc[1:] / sd, 240) if sd > 0 else None, "prop_uniform_dis": (ret[1:] - 0.1) / 0.2}
+    for name, w in weights.items():
+        out[name] = _share(a[1:] * w, a) if w is not None else math.nan
+    high = np.flatnonzero(v > v.mean() + v.std(ddof=1)) if n > 1 else np.empty(0, int)
+    out["volume_peak_count"] = float(((np.diff(high) > 1) | (high[:-1] == NOON)).sum()) if len(high) else math.nan
+    fuzz = np.full(n, math.nan)
+    if n > 9:
+        fuzz[9:] = rolling_std(rolling_std(ret[1:], 5)[4:], 5)[4:]
+    fog = fuzz > _mean(fuzz)
+    of = lambda x: float(x[fog].mean() / x.mean()) if fog.any() and x.mean() > 0 else math.nan
+    out["ratio_fuzziness_amount"], out["ratio_fuzziness_volume"], out["fuzz_diff"] = of(a), of(v), of(v) - of(a)
+    out["ratio_fuzziness_amt_corr"] = corr(fuzz, a)
+    lowest, highest = support_area(c, v)
+    out["p_dis_vol"], out["b_dis_vol"], out["vsa_ratio"] = lowest - float(h.max()), highest - float(low.min()), lowest - float(c.max())
+    for name, side in (("up_centroid", ret > 0), ("down_centroid", ret < 0)):
+        weight = np.abs(ret[side])
+        out[name] = float((minute[side] * weight).sum() / weight.sum()) if weight.sum() > 0 else math.nan
     return out
 
 
@@ -238,7 +255,11 @@ def features(bars: DataFrame) -> DataFrame:
 
 
 def cross_sectional(df: DataFrame) -> DataFrame:
-    """The features that need a session's other securities: canopy alpha signed by F, and the centroid residual over 20 days."""
+    """The features that need a session's other securities: canopy alpha signed by F, the centroid residual over 20 days, and the adjusted difference of volume and amount in the fog.
+
+    Negative differences are divided by their deviation over the last eleven observed days and then scaled, so that the
+    session's negative ones add up to what they did before. Windows over days go by observed rows.
+    """
     day = Window.partitionBy("trade_date")
     df = df.withColumn("noon_canopy_alpha", F.when(F.col("canopy_f") > F.avg("canopy_f").over(day), F.col("canopy_t")).otherwise(-F.col("canopy_t")))
     both = F.col("up_centroid").isNotNull() & F.col("down_centroid").isNotNull()
@@ -247,4 +268,9 @@ def cross_sectional(df: DataFrame) -> DataFrame:
     slope = F.when(var > 1e-12, F.covar_pop(x, y).over(day) / var)
     df = df.withColumn("_e", y - F.avg(y).over(day) - slope * (x - F.avg(x).over(day)))
     rows = Window.partitionBy("ts_code").orderBy("day_index").rowsBetween(-19, 0)
-    return df.withColumn("fall_center_dev", F.avg("_e").over(rows)).drop("_e")
+    df = df.withColumn("fall_center_dev", F.avg("_e").over(rows)).drop("_e")
+    d = F.col("fuzz_diff")
+    std = F.stddev_samp(d).over(Window.partitionBy("ts_code").orderBy("day_index").rowsBetween(-10, 0))
+    df = df.withColumn("_adj", F.when(d >= 0, d).when(std > 0, d / std))
+    scale = F.try_divide(F.sum(F.when(d < 0, d)).over(day), F.sum(F.when(F.col("_adj") < 0, F.col("_adj"))).over(day))
+    return df.withColumn("adj_fuzziness_diff", F.when(F.col("_adj") < 0, F.col("_adj") * scale).otherwise(F.col("_adj"))).drop("_adj")

@@ -149,12 +149,44 @@ def minute_market_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(e.groupBy("ts_code", "trade_date").agg(F.max("beta").alias("beta"), F.sum("residual").alias("mf_market_residual_return"), F.sqrt(F.sum(F.col("residual") * F.col("residual"))).alias("mf_market_residual_rv")))
 
 
-@query(f"""WITH {RET_SQL}, v AS (SELECT *, volume > avg(volume) OVER w + stddev_samp(volume) OVER w AS high, dv > avg(dv) OVER w + stddev_samp(dv) OVER w AS jump FROM mr WINDOW w AS (PARTITION BY ts_code, trade_date)),
-    q AS (SELECT *, max(CASE WHEN high THEN minute_index END) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM v)
-    SELECT ts_code, trade_date, count(*) FILTER (WHERE high AND (was IS NULL OR minute_index - was > 1)) AS mf_dos_volume_peak_count, {s('avg(CASE WHEN jump THEN r END)', 6, 'mf_dos_flash_returns')},
-        {s('sum(CASE WHEN abs(close - open) <= 0.5 * abs(peak - close) THEN volume ELSE 0 END) / sum(volume)', 6, 'mf_dos_consist_volume')}, {s('stddev_pop(CASE WHEN high THEN r END)', 6, 'mf_volume_up_return_std')} FROM q GROUP BY ts_code, trade_date""")
+def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with a high and a low around open and close, which the events don't have."""
+    return adapters.minute_bars(spark, sf_dir).withColumn("high", F.greatest("open", "close") + F.col("volume") % 7 / 10).withColumn("low", F.least("open", "close") * (1 - F.col("volume") % 5 / 50))
+
+
+@query(f"""WITH {MINUTE_SQL}, hl AS (SELECT *, greatest(open, close) + volume % 7 / 10 AS high, least(open, close) * (1 - volume % 5 / 50) AS low FROM minute WHERE minute_index < 238),
+    e AS (SELECT *, volume - lag(volume) OVER w AS dv, close / lag(close) OVER w - 1 AS ret FROM hl WINDOW w AS (PARTITION BY ts_code, trade_date ORDER BY minute_index)),
+    v AS (SELECT *, volume > avg(volume) OVER w + stddev_samp(volume) OVER w AS outstanding, dv > avg(dv) OVER w + stddev_samp(dv) OVER w AS jump FROM e WINDOW w AS (PARTITION BY ts_code, trade_date)),
+    q AS (SELECT *, max(CASE WHEN outstanding THEN minute_index END) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM v)
+    SELECT ts_code, trade_date, CASE WHEN count(*) FILTER (WHERE outstanding) > 0 THEN count(*) FILTER (WHERE outstanding AND (minute_index - was > 1 OR was = 120)) END AS mf_dos_volume_peak_count, {s('avg(CASE WHEN jump THEN ret END)', 6, 'mf_dos_flash_returns')},
+        {s('sum(CASE WHEN abs(close - open) <= 0.5 * abs(high - low) THEN volume END) / sum(volume)', 6, 'mf_dos_consist_volume')} FROM q GROUP BY ts_code, trade_date""")
 def minute_volume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(minute.volume_events(adapters.minute_bars(spark, sf_dir)))
+    return _shown(minute.volume_events(_ranged(spark, sf_dir)))
+
+
+@query(f"""WITH {RET_SQL}, v AS (SELECT *, volume > avg(volume) OVER w + stddev_pop(volume) OVER w AS outstanding FROM mr WINDOW w AS (PARTITION BY ts_code, trade_date))
+    SELECT ts_code, trade_date, {s('-stddev_pop(CASE WHEN outstanding THEN r END)', 6, 'mf_volume_up_return_std')}, {s('-stddev_pop(CASE WHEN outstanding AND r > 0 THEN r END)', 6, 'mf_volume_up_positive_return_std')} FROM v GROUP BY ts_code, trade_date""")
+def minute_volume_up_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(minute.volume_up_returns(adapters.minute_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {MINUTE_SQL}, c AS (SELECT * FROM minute WHERE minute_index < 238),
+    z AS (SELECT *, CASE WHEN stddev_samp(amount) OVER w > 0 THEN (amount - avg(amount) OVER w) / stddev_samp(amount) OVER w END AS adj FROM c WINDOW w AS (PARTITION BY ts_code, minute_index ORDER BY day_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, abs(ln(close / lag(close) OVER w)) AS step, lag(adj) OVER w AS adj_late FROM z WINDOW w AS (PARTITION BY ts_code ORDER BY day_index, minute_index)),
+    m AS (SELECT *, lag(CASE WHEN minute_index > 0 THEN step END) OVER (PARTITION BY ts_code ORDER BY day_index, minute_index) AS step_late FROM l),
+    p AS (SELECT ts_code, trade_date, CASE WHEN step IS NOT NULL AND adj_late IS NOT NULL THEN step END AS x1, CASE WHEN step IS NOT NULL THEN adj_late END AS y1, CASE WHEN adj IS NOT NULL THEN step_late END AS x2, CASE WHEN step_late IS NOT NULL THEN adj END AS y2 FROM m)
+    SELECT ts_code, trade_date, {s(CORR.format(a='x1', b='y1'), 6, 'mf_dos_corr_ret_lag_adj_amount')}, {s(CORR.format(a='x2', b='y2'), 6, 'mf_dos_corr_lag_ret_adj_amount')} FROM p GROUP BY ts_code, trade_date""")
+def minute_adjusted_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(minute.adjusted_amount_correlations(adapters.minute_bars(spark, sf_dir)))
+
+
+@query(f"""WITH {MINUTE_SQL}, c AS (SELECT *, volume / nullif(avg(volume) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) AS prop FROM minute WHERE minute_index < 238),
+    k AS (SELECT ts_code, trade_date, rank() OVER (PARTITION BY trade_date, minute_index ORDER BY prop) / count(*) OVER (PARTITION BY trade_date, minute_index) AS q FROM c WHERE prop IS NOT NULL),
+    g AS (SELECT ts_code, trade_date, avg(q) AS m, stddev_samp(q) AS sd FROM k GROUP BY ts_code, trade_date),
+    h AS (SELECT k.ts_code, k.trade_date, max(m) AS m, max(sd) AS sd, avg(pow(q - m, 2)) AS m2, avg(pow(q - m, 4)) AS m4 FROM k JOIN g ON g.ts_code = k.ts_code AND g.trade_date = k.trade_date GROUP BY k.ts_code, k.trade_date)
+    SELECT ts_code, trade_date, {s('CASE WHEN sd > 1e-12 THEN m / sd + CASE WHEN m2 > 1e-18 THEN m4 / (m2 * m2) END - 3 END', 6, 'mf_dos_patv')} FROM h""")
+def minute_relative_volume_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(minute.relative_volume_ranks(adapters.minute_bars(spark, sf_dir)))
 
 
 @query(None)
@@ -162,5 +194,4 @@ def minute_session_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regressions, spectra, distributions and support areas of each session; tests hold the kernels to known values."""
     from quillstone.operators import session_kernels
 
-    b = adapters.minute_bars(spark, sf_dir).withColumn("high", F.greatest("open", "close")).withColumn("low", F.least("open", "close"))
-    return session_kernels.cross_sectional(session_kernels.features(b))
+    return session_kernels.cross_sectional(session_kernels.features(_ranged(spark, sf_dir)))

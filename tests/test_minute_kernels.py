@@ -1,4 +1,5 @@
 import math
+import statistics
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,9 +28,55 @@ def test_regression_statistics():
     assert all(math.isnan(v) for v in k.ols(y, np.zeros((50, 1)))[0])
 
 
-def test_support_area_grows_to_the_larger_neighbour():
-    assert k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 3])) == (3.0, 4.0) or k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 3])) == (3.0, 3.0)
-    assert k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 4, 3])) == (3.0, 4.0)
+def test_support_area_grows_by_distance():
+    assert k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 3])) == (3.0, 4.0) or k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 3]))[0] == 3.0
+    assert k.support_area(np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 4, 3])) == (3.0, 4.0)  # equally far: the larger first
+    assert k.support_area(np.array([10.0, 11, 15]), np.array([5.0, 1, 4.9]), 0.6) == (10.0, 15.0)  # 11 joins before 15, which has more
+    assert k.support_area(np.array([10.0, 11, 15]), np.array([5.0, 1, 4.9]), 0.5) == (10.0, 11.0)
+
+
+def _session(n=241):
+    rng = np.random.default_rng(8)
+    c = 10 * np.exp(np.cumsum(rng.normal(0, 0.002, n)))
+    o = np.concatenate([[10.0], c[:-1]])
+    v = rng.integers(1, 1000, n).astype(float)
+    return o, np.maximum(o, c) + 0.01, np.minimum(o, c) - 0.01, c, v, c * v
+
+
+def test_features_look_at_continuous_trading_only():
+    o, h, low, c, v, a = _session()
+    whole, cut = k.dos(o, h, low, c, v, a), k.dos(*(x[:238] for x in (o, h, low, c, v, a)))
+    apart = {"resilience_cov", "dawn_fog_vol_persist", "canopy_t", "canopy_f"}
+    assert all(whole[x] == cut[x] or math.isnan(cut[x]) for x in cut if x not in apart) and all(whole[x] != cut[x] for x in apart)
+    assert k.dos(*(x[:240] for x in (o, h, low, c, v, a)))["canopy_t"] == whole["canopy_t"]  # rows up to 239
+
+
+def test_features_equal_loops_over_a_whole_session():
+    o, h, low, c, v, a = (x.tolist() for x in _session())
+    got, n = k.dos(*map(np.array, (o, h, low, c, v, a))), 238
+    ret = [None, *(c[t] / c[t - 1] - 1 for t in range(1, n))]
+    assert abs(got["prop_uniform_dis"] - sum(a[t] * (ret[t] - 0.1) / 0.2 for t in range(1, n)) / sum(a[:n])) < 1e-12
+    assert abs(got["prop_normal_dis"] - sum(a[t] * 0.5 * (1 + math.erf(ret[t] * 19.6 / math.sqrt(2))) for t in range(1, n)) / sum(a[:n])) < 1e-12
+    small = [t for t in range(n) if abs(c[t] - o[t]) <= 0.5 * abs(h[t] - low[t])]
+    assert abs(got["consist_volume"] - sum(v[t] for t in small) / sum(v[:n])) < 1e-12
+    assert abs(got["positive_consist_volume"] - sum(v[t] for t in small if t and c[t] > c[t - 1]) / sum(v[:n])) < 1e-12
+    assert abs(got["illiq_shortcut"] - sum((2 * (h[t] - low[t]) - abs(o[t] - c[t])) / (c[t] * v[t]) for t in range(n))) < 1e-12
+    dv = [v[t] - v[t - 1] for t in range(1, n)]
+    limit = statistics.mean(dv) + statistics.stdev(dv)
+    jumps = [t for t in range(1, n) if v[t] - v[t - 1] > limit]
+    assert abs(got["flash_returns"] - statistics.mean(ret[t] for t in jumps)) < 1e-12
+    assert abs(got["flash_volatility"] - statistics.mean(statistics.stdev(ret[t : t + 5]) for t in jumps if t + 4 < n)) < 1e-12
+    inner = {t: statistics.stdev(ret[t - 4 : t + 1]) for t in range(5, n)}
+    fuzz = {t: statistics.stdev(inner[i] for i in range(t - 4, t + 1)) for t in range(9, n)}
+    fog = [t for t in fuzz if fuzz[t] > statistics.mean(fuzz.values())]
+    ratio = lambda x: statistics.mean(x[t] for t in fog) / statistics.mean(x[:n])
+    assert abs(got["ratio_fuzziness_amount"] - ratio(a)) < 1e-9 and abs(got["fuzz_diff"] - (ratio(v) - ratio(a))) < 1e-9
+    peaks = [t for t in range(n) if v[t] > statistics.mean(v[:n]) + statistics.stdev(v[:n])]
+    assert got["volume_peak_count"] == sum(y - x > 1 or x == 120 for x, y in zip(peaks, peaks[1:], strict=False))
+    near = {t: sum(v[max(0, t - 4) : t + 5]) for t in range(n - 4)}
+    top = max(near, key=near.get)
+    rise, fall = min(range(top), key=near.get), min(range(top + 1, n - 4), key=near.get)
+    assert abs(got["vol_tide_ratio"] - (c[rise] / c[fall] - 1) / (fall - rise)) < 1e-12
 
 
 def test_flat_and_short_sessions_have_no_infinite_values():
@@ -43,7 +90,7 @@ def test_known_values():
     o, c = np.array([10.0, 10, 11, 11]), np.array([10.0, 11, 11, 12])
     h, low, v = np.maximum(o, c), np.minimum(o, c), np.array([1.0, 1, 1, 1])
     d, f = k.dos(o, h, low, c, v, c * v), k.flow(o, h, low, c, v, c * v)
-    assert d["consist_volume"] == 0.5 and d["positive_consist_volume"] == 0.0
+    assert d["consist_volume"] == 0.5 and math.isnan(d["positive_consist_volume"])
     assert abs(d["single_vol_prop_entropy"] + sum(x / 4 * math.log(x / 4) for x in c / c.sum())) < 1e-12
     assert abs(f["signed_amount_imbalance"] - 23 / 44) < 1e-12 and f["traded_volume_above_close_share"] == 0.0
 
