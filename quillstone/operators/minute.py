@@ -161,15 +161,21 @@ def chip_features(bars: DataFrame, low: int = -11, high: int = 10, quantile: flo
     )
 
 
-def market_residuals(seg: DataFrame, before: int = 20, least: int = 10) -> DataFrame:
+#: Five-minute segments of a session, and those of its first half (fixed values).
+SEGMENTS, MORNING = 48, 24
+
+
+def market_residuals(seg: DataFrame, before: int = 20, least: int = 10, coverage: float = 0.8) -> DataFrame:
     """Residual of each segment's return against the mean of all other securities, with a beta of the prior sessions.
 
-    Each security's market leaves itself out: (sum - own) / (n - 1). Sums for the regression are added per session
-    first, so the range window runs over sessions, not bars.
+    Each security's market leaves itself out: (sum - own) / (n - 1); it exists where at least the share `coverage` of
+    the session's securities has the segment. Sums for the regression are added per session first, so the range
+    window runs over sessions, not bars.
     """
-    m = seg.groupBy("trade_date", "segment").agg(F.sum("seg_return").alias("_s"), F.count("seg_return").alias("_n"))
-    s = seg.join(m, ["trade_date", "segment"]).withColumn("market", F.try_divide(F.col("_s") - F.col("seg_return"), F.col("_n") - 1))
-    x, y = F.col("market"), F.col("seg_return")
+    members = seg.groupBy("trade_date").agg(F.count_distinct("ts_code").alias("_all"))
+    m = seg.groupBy("trade_date", "segment").agg(F.sum("seg_return").alias("_s"), F.count("seg_return").alias("_n")).join(members, "trade_date")
+    s = seg.join(m, ["trade_date", "segment"]).withColumn("market", F.when(F.col("_n") >= coverage * F.col("_all"), F.try_divide(F.col("_s") - F.col("seg_return"), F.col("_n") - 1)))
+    x, y = F.col("market"), F.when(F.col("market").isNotNull(), F.col("seg_return"))
     day = s.groupBy(*DAY).agg(F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.count(x).alias("n"))
     w = Window.partitionBy("ts_code").orderBy("day_index").rangeBetween(-before, -1)
     t = lambda c: F.sum(c).over(w)
@@ -178,6 +184,29 @@ def market_residuals(seg: DataFrame, before: int = 20, least: int = 10) -> DataF
     return s.join(day.select(*DAY, "beta"), DAY).withColumn("residual", y - F.col("beta") * x)
 
 
+def residual_features(residuals: DataFrame, tail: int = 6) -> DataFrame:
+    """Sums of residuals over the session and its last half hour, where all segments have one, and their volatility."""
+    e, late = F.col("residual"), F.col("segment") >= SEGMENTS - tail
+    return residuals.groupBy(*DAY).agg(
+        F.max("beta").alias("beta"), F.when(F.count(e) == SEGMENTS, F.sum(e)).alias("mf_market_residual_return"), F.when(F.count_if(late & e.isNotNull()) == tail, F.sum(F.when(late, e))).alias("mf_tail30_market_residual_return"),
+        F.when(F.count(e) == SEGMENTS, F.sqrt(F.sum(e * e))).alias("mf_market_residual_rv"),
+    )
+
+
+def rank_features(seg: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
+    """Each segment's return ranked among all securities (0 to 1, ties in the middle): how often one stays on top from segment to segment but over lunch, and the last half hour's mean rank less the first's."""
+    place = Window.partitionBy("trade_date", "segment")
+    ties = Window.partitionBy("trade_date", "segment", "seg_return")
+    s = seg.withColumn("q", F.try_divide(F.rank().over(place.orderBy("seg_return")) + (F.count("*").over(ties) - 1) / 2 - 1, F.count("*").over(place) - 1))
+    before = Window.partitionBy(*DAY).orderBy("segment").rangeBetween(-1, -1)
+    s = s.withColumn("was", F.when(F.col("segment") != MORNING, F.max("q").over(before)))
+    pair, first, last = F.col("q").isNotNull() & F.col("was").isNotNull(), F.col("segment") < tail, F.col("segment") >= SEGMENTS - tail
+    mean = lambda inside: F.when(F.count_if(inside & F.col("q").isNotNull()) == tail, F.avg(F.when(inside, F.col("q"))))
+    return s.groupBy(*DAY).agg(
+        F.when(F.count_if(pair) == SEGMENTS - 2, F.count_if(pair & (F.col("q") >= top) & (F.col("was") >= top)) / (SEGMENTS - 2)).alias("mf_cs_rank_top30_persistence"), (mean(last) - mean(first)).alias("mf_cs_rank_tail30_minus_open30"),
+    )
+
+
 #: Bars from the opening to 14:57, and the bar after which the lunch break comes (fixed values).
 CONTINUOUS, NOON = 238, 120
 

@@ -138,15 +138,30 @@ def minute_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.chip_features(adapters.minute_bars(spark, sf_dir)))
 
 
-@query(f"""WITH {SEG_SQL}, m AS (SELECT *, (sum(seg_return) OVER (PARTITION BY trade_date, segment) - seg_return) / nullif(count(seg_return) OVER (PARTITION BY trade_date, segment) - 1, 0) AS market FROM sg),
-    dd AS (SELECT ts_code, trade_date, day_index, sum(market) AS sx, sum(seg_return) AS sy, sum(market * market) AS sxx, sum(market * seg_return) AS sxy, count(market) AS n FROM m GROUP BY 1, 2, 3),
+SEG48_SQL = RET_SQL + """,
+sg AS (SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bars) AS INT) AS segment, sum(r) AS seg_return FROM mr GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {SEG48_SQL}, al AS (SELECT trade_date, count(DISTINCT ts_code) AS members FROM sg GROUP BY trade_date),
+    m AS (SELECT sg.*, CASE WHEN count(seg_return) OVER (PARTITION BY sg.trade_date, segment) >= 0.8 * members THEN (sum(seg_return) OVER (PARTITION BY sg.trade_date, segment) - seg_return) / nullif(count(seg_return) OVER (PARTITION BY sg.trade_date, segment) - 1, 0) END AS market FROM sg JOIN al ON al.trade_date = sg.trade_date),
+    dd AS (SELECT ts_code, trade_date, day_index, sum(market) AS sx, sum(seg_return) FILTER (WHERE market IS NOT NULL) AS sy, sum(market * market) AS sxx, sum(market * seg_return) AS sxy, count(market) AS n FROM m GROUP BY 1, 2, 3),
     be AS (SELECT *, sum(n) OVER w AS wn, sum(sx) OVER w AS wx, sum(sy) OVER w AS wy, sum(sxx) OVER w AS wxx, sum(sxy) OVER w AS wxy, count(n) OVER w AS days FROM dd WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)),
     bb AS (SELECT ts_code, trade_date, CASE WHEN days >= 10 AND wn * wxx - wx * wx > 1e-18 THEN (wn * wxy - wx * wy) / (wn * wxx - wx * wx) END AS beta FROM be),
     e AS (SELECT m.ts_code, m.trade_date, segment, beta, seg_return - beta * market AS res FROM m JOIN bb ON bb.ts_code = m.ts_code AND bb.trade_date = m.trade_date)
-    SELECT ts_code, trade_date, {s('max(beta)', 6, 'beta')}, {s('sum(res)', 6, 'mf_market_residual_return')}, {s('sqrt(sum(res * res))', 6, 'mf_market_residual_rv')} FROM e GROUP BY ts_code, trade_date""")
+    SELECT ts_code, trade_date, {s('max(beta)', 6, 'beta')}, {s('CASE WHEN count(res) = 48 THEN sum(res) END', 6, 'mf_market_residual_return')}, {s('CASE WHEN count(res) FILTER (WHERE segment >= 42) = 6 THEN sum(res) FILTER (WHERE segment >= 42) END', 6, 'mf_tail30_market_residual_return')},
+        {s('CASE WHEN count(res) = 48 THEN sqrt(sum(res * res)) END', 6, 'mf_market_residual_rv')} FROM e GROUP BY ts_code, trade_date""")
 def minute_market_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = minute.market_residuals(minute.segments(adapters.minute_bars(spark, sf_dir)))
-    return _shown(e.groupBy("ts_code", "trade_date").agg(F.max("beta").alias("beta"), F.sum("residual").alias("mf_market_residual_return"), F.sqrt(F.sum(F.col("residual") * F.col("residual"))).alias("mf_market_residual_rv")))
+    return _shown(minute.residual_features(minute.market_residuals(minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS))))
+
+
+@query(f"""WITH {SEG48_SQL}, q AS (SELECT *, (rank() OVER (PARTITION BY trade_date, segment ORDER BY round_even(seg_return, 10)) + (count(*) OVER (PARTITION BY trade_date, segment, round_even(seg_return, 10)) - 1) / 2.0 - 1) / nullif(count(*) OVER (PARTITION BY trade_date, segment) - 1, 0) AS q FROM sg),
+    w AS (SELECT *, CASE WHEN segment <> 24 THEN max(q) OVER (PARTITION BY ts_code, trade_date ORDER BY segment RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS was FROM q)
+    SELECT ts_code, trade_date, {s('CASE WHEN count(*) FILTER (WHERE q IS NOT NULL AND was IS NOT NULL) = 46 THEN count(*) FILTER (WHERE q >= 0.7 AND was >= 0.7) / 46 END', 6, 'mf_cs_rank_top30_persistence')},
+        {s('CASE WHEN count(q) FILTER (WHERE segment >= 42) = 6 AND count(q) FILTER (WHERE segment < 6) = 6 THEN avg(q) FILTER (WHERE segment >= 42) - avg(q) FILTER (WHERE segment < 6) END', 6, 'mf_cs_rank_tail30_minus_open30')} FROM w GROUP BY ts_code, trade_date""")
+def minute_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns are rounded before they are ranked, so that ties don't hang on the order of summation."""
+    seg = minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS).withColumn("seg_return", F.bround("seg_return", 10))
+    return _shown(minute.rank_features(seg))
 
 
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
