@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quillstone import session
 
-#: Documents in one batch for Python; its bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set).
-BATCH = 2048
+#: Documents in one batch for Python, and its bytes (a batch ends with the row that reaches them).
+BATCH, BATCH_BYTES = 2048, 16 << 20
 #: Keys that hold at least one in so many rows are hot: there are at most so many of them, which bounds their broadcast.
 HOT = 1000
 
@@ -42,8 +42,10 @@ def shared_root(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, and make batches for Python smaller than the default, which fits short rows; these hold whole documents."""
     session.ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
