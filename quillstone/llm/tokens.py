@@ -75,9 +75,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        about = json.loads(self.tokenizer.to_str())
-        before, after = about["pre_tokenizer"] or {}, about["post_processor"] or {"type": "ByteLevel"}
-        self.plain = about["model"]["type"] == "BPE" and not about["normalizer"] and before.get("type") == after["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        # each part tells its own settings; the whole file, parsed, would hold the vocabulary and merges once more
+        about = lambda part, else_: json.loads(part.__getstate__()) if part else else_
+        before, after = about(self.tokenizer.pre_tokenizer, {}), about(self.tokenizer.post_processor, {"type": "ByteLevel"})
+        self.plain = type(self.tokenizer.model).__name__ == "BPE" and not self.tokenizer.normalizer and before.get("type") == after["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         if self.plain:
             self.tokens = _Tokens(self.tokenizer)
             self.words = _Words(self.tokens)
