@@ -31,8 +31,8 @@ SAMPLES = BANDS * ROWS
 MARGIN = 0.25
 #: Bits of the parity bitmap of a whole set, kept for sets up to SHORT shingles. It rules pairs out without any error.
 PARITY, SHORT = 2048, 3000
-#: Centres of each bucket, how many of all its centres a member is compared with first; members of a tile of a bucket; members that meet a centre in one group; rows whose broadcast is always small.
-CENTRES, FIRST, MEMBERS, GROUP, SMALL = 3, 4, 512, 64, 200_000
+#: Centres of each bucket, how many of all its centres a member is compared with first; members of a tile of a bucket; members that meet a centre in one group; rows of one number each whose broadcast is always small; bytes of other rows that are broadcast.
+CENTRES, FIRST, MEMBERS, GROUP, SMALL, LIGHT = 3, 4, 512, 64, 200_000, 32_000_000
 
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -120,7 +120,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     lists = sent.groupBy("node").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lists")).select(common.apart("node").alias("node"), "lists")
     tasks = sent.join(lists, "node").groupBy("node", F.pmod(F.xxhash64("to"), F.col("lists")).alias("list")).agg(F.collect_list("to").alias("to"))
     tasks = common.cut(tasks.join(reps.select("node", "doc_id", "key"), "node").drop("list"))
-    if tasks.count() <= SMALL:
+    held = tasks.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("to")), F.lit(0)).alias("places")).first()
+    if held["rows"] * 128 + held["places"] * 48 <= LIGHT:
         tasks = F.broadcast(tasks)
     schema = pa.schema([("centre", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("member", pa.int64()), ("hashes", pa.binary())])
 
