@@ -215,7 +215,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     here = F.element_at(F.filter(F.zip_with("ba", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("bucket")
     rest = left.join(right, ["bucket", "salt"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & here).select("a", "b")
     rest = common.cut(rest.join(first, ["a", "b"], "left_anti"))
-    return found if rest.isEmpty() else found.unionByName(common.cut(confirm(rest, docs, reps, k, percent)))
+    return found if rest.isEmpty() else found.unionByName(confirm(rest, docs, reps, k, percent))
 
 
 def dedup(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -237,6 +237,6 @@ def dedup(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     name = lambda c: reps.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id"))
     found = links(df, reps, k, percent).join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     edges = found.unionByName(same)
-    part = common.cut(common.components(edges))
+    part = common.components(edges)
     out = sigs.join(part, sigs["doc_id"] == part["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
