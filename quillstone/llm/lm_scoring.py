@@ -34,6 +34,8 @@ TABLE, CLASSES, SINGLES, UNITS, STEPS, LANES, SEED = 1 << 18, 128, 64, 16, 16, 2
 WARM, WARM_CHARS, WARM_PASSES, WARM_RATE, RATE = 512, 4_000_000, 4, 0.01, 0.004
 #: Tokens that a task scores at a time (more only where one document alone has more), and lanes in which their documents lie.
 CHUNK, ROWS = 1_500_000, 384
+#: Rows of class probabilities that are computed at a time.
+BLOCK = 1024
 END, LONGEST, _MARKS = b" ", 32, b".,!?;:|"
 
 
@@ -112,28 +114,40 @@ class Network:
             at += n
         return self
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state, and what backpropagation needs of this step."""
-        n, e = self.units, self.p["e"][x]
-        g = h @ self.p["u"]
-        g += e[:, : 2 * n]
-        np.negative(g, out=g)
-        np.exp(g, out=g)
-        g += 1
-        np.reciprocal(g, out=g)
-        z, r = g[:, :n], g[:, n:]
-        w = h @ self.p["v"]
-        c = np.tanh(e[:, 2 * n :] + r * w)
-        return c + z * (h - c), z, r, w, c
-
-    def surprise(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """The parameters of a step, each gate's apart (those of both gates negated, for their sigmoid), and whether logits may need clipping."""
+        n, p = self.units, self.p
+        e = np.ascontiguousarray(p["e"].reshape(self.classes, 3, n).transpose(1, 0, 2))
+        np.negative(e[:2], out=e[:2])
+        u = -p["u"].reshape(n, 2, n).transpose(1, 0, 2)
+        return e, np.ascontiguousarray(u), p["v"], bool(np.abs(p["o"]).sum(axis=0).max() + np.abs(p["b"]).max() > 40)  # states lie within -1 and 1
+
+    def step(self, h: np.ndarray, x: np.ndarray, parts: tuple | None = None) -> tuple[np.ndarray, ...]:
+        """Next state, and what backpropagation needs of this step: the two gates, what the second one scales, the candidate."""
+        e, u, v, _ = parts or self.parts()
+        own = e.take(x, axis=1)
+        gates = np.matmul(h, u)
+        gates += own[:2]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        w = h @ v
+        c = gates[1] * w
+        c += own[2]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= gates[0]
+        new += c
+        return new, gates[0], gates[1], w, c
+
+    def surprise(self, h: np.ndarray, parts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Unnormalised probabilities of all classes (until the next call) and their sums; logits are kept within what single precision holds."""
         y = np.matmul(h, self.p["o"], out=self.scratch("y", len(h), self.classes)) if h.dtype == np.float32 else h @ self.p["o"]
         y += self.p["b"]
-        if np.abs(self.p["o"]).sum(axis=0).max() + np.abs(self.p["b"]).max() > 40:  # states lie within -1 and 1
+        if (parts or self.parts())[3]:
             np.clip(y, -40, 40, out=y)
         p = np.exp(y, out=y)
-        return p, p.sum(axis=1)
+        return p, p @ np.ones(p.shape[1], p.dtype)
 
 
 class Trainer:
@@ -160,48 +174,61 @@ class Trainer:
         net, p = self.net, self.net.p
         n, t, lanes, size = net.units, len(x), len(h), y.size
         goes_on = (x != 0).astype(np.float32)[:, :, None]  # after an end, a new document
-        room = net.scratch
-        before, states, de, dw = (room(k, t, lanes, m) for k, m in (("before", n), ("states", n), ("de", 3 * n), ("dw", n)))
-        kept = []
+        room, parts = net.scratch, net.parts()
+        before, states, z, r, w, c, back = (room(k, t, lanes, n) for k in ("before", "states", "z", "r", "w", "c", "back"))
         for i in range(t):
             np.multiply(h, goes_on[i], out=before[i])
-            h, *more = net.step(before[i], x[i])
-            kept.append(more)
-            states[i] = h
-        flat_h = states.reshape(size, n)
-        prob, total = net.surprise(flat_h)
-        total *= size
-        prob *= (1 / total)[:, None]
-        prob[np.arange(size), y.ravel()] -= np.float32(1 / size)
-        grad = {"o": flat_h.T @ prob, "b": np.ones(size, np.float32) @ prob}
-        back = np.matmul(prob, p["o"].T, out=room("back", size, n)).reshape(t, lanes, n)
-        ut, vt = p["u"].T.copy(), p["v"].T.copy()
+            states[i], z[i], r[i], w[i], c[i] = net.step(before[i], x[i], parts)
+            h = states[i]
+        flat_h, flat_back, flat_y = states.reshape(size, n), back.reshape(size, n), y.ravel()
+        grad = {k: np.zeros_like(p[k]) for k in ("e", "u", "o", "b")}
+        out_t = p["o"].T.copy()
+        for i in range(0, size, BLOCK):  # so many rows of probabilities at a time stay in the processor's cache
+            rows, goal = flat_h[i : i + BLOCK], flat_y[i : i + BLOCK]
+            prob, total = net.surprise(rows, parts)
+            prob[np.arange(len(rows)), goal] -= total
+            weight = 1 / (total * size)
+            grad["o"] += (rows * weight[:, None]).T @ prob
+            grad["b"] += weight @ prob
+            np.multiply(prob @ out_t, weight[:, None], out=flat_back[i : i + BLOCK])
+        # how the gates and the candidate answer to what goes into them, for all steps at once
+        to_z, to_r, to_c = (room(k, t, lanes, n) for k in ("to_z", "to_r", "to_c"))
+        np.multiply(np.subtract(before, c, out=to_z), 1 - z, out=to_z)
+        np.multiply(w, np.subtract(1, r, out=to_r), out=to_r)
+        np.subtract(1, np.multiply(c, c, out=to_c), out=to_c)
+        (uz, ur), vt = (np.ascontiguousarray(m) for m in p["u"].reshape(n, 2, n).transpose(1, 2, 0)), p["v"].T.copy()
+        dz, dr, dc, dw = (room(k, t, lanes, n) for k in ("dz", "dr", "dc", "dw"))
         d = np.zeros((lanes, n), np.float32)
         for i in range(t - 1, -1, -1):
-            z, r, w, c = kept[i]
             d += back[i]
-            dc, both = de[i, :, 2 * n :], de[i, :, : 2 * n]
-            dz = d * z  # what goes straight to the state before
-            np.multiply(d - dz, 1 - c * c, out=dc)
-            np.multiply(dz * (before[i] - c), 1 - z, out=both[:, :n])
-            np.multiply(dc, r, out=dw[i])
-            np.multiply(dw[i] * w, 1 - r, out=both[:, n:])
-            d = (dz + both @ ut + dw[i] @ vt) * goes_on[i]
-        flat_before, flat_de = before.reshape(size, n), de.reshape(size, 3 * n)
-        grad["u"], grad["v"] = flat_before.T @ flat_de[:, : 2 * n], flat_before.T @ dw.reshape(size, n)
+            straight = d * z[i]  # what goes straight to the state before
+            np.multiply(d - straight, to_c[i], out=dc[i])
+            np.multiply(straight, to_z[i], out=dz[i])
+            np.multiply(dc[i], r[i], out=dw[i])
+            np.multiply(dw[i], to_r[i], out=dr[i])
+            straight += dz[i] @ uz
+            straight += dr[i] @ ur
+            straight += dw[i] @ vt
+            straight *= goes_on[i]
+            d = straight
+        flat_before = before.reshape(size, n).T
+        grad["v"] = flat_before @ dw.reshape(size, n)
         flat_x = x.ravel()
-        order = np.argsort(flat_x, kind="stable")
+        order = np.argsort(flat_x.astype(np.int16), kind="stable")
         cuts = np.flatnonzero(np.diff(flat_x[order], prepend=-1))
-        grad["e"] = np.zeros_like(p["e"])
-        sorted_de = np.take(flat_de, order, axis=0, out=room("sorted", size, 3 * n), mode="clip")
-        grad["e"][flat_x[order][cuts]] = np.add.reduceat(sorted_de, cuts, axis=0)
+        seen, sorted_d = flat_x[order][cuts], room("sorted", size, n)
+        for k, m in enumerate((dz, dr, dc)):
+            flat = m.reshape(size, n)
+            if k < 2:
+                grad["u"][:, k * n : (k + 1) * n] = flat_before @ flat
+            grad["e"][seen, k * n : (k + 1) * n] = np.add.reduceat(np.take(flat, order, axis=0, out=sorted_d, mode="clip"), cuts, axis=0)
         self.n += 1
         rate = self.rate / np.sqrt(1 + self.n / 200) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, g in grad.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.s[k] += 0.001 * (g * g - self.s[k])
             p[k] -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
-        return h
+        return h.copy()  # not a view of what the next window overwrites
 
 
 def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -224,7 +251,7 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate([[0], y[:-1]])  # what comes before a document is an end, also where lanes meet
     out = np.empty(len(y), np.float32)
     h = np.zeros((len(lanes), net.units), np.float32)
-    room = net.scratch("states", STEPS, len(lanes), net.units).ravel()
+    room, parts = net.scratch("states", STEPS, len(lanes), net.units).ravel(), net.parts()
     for i in range(0, int(sizes[0]), STEPS):
         live = int(np.searchsorted(-sizes, -i, side="left"))  # lanes longer than i
         steps = np.arange(i, min(i + STEPS, int(sizes[0])))[:, None]
@@ -233,10 +260,13 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
         before, h = x[at], h[:live]
         states = room[: at.size * net.units].reshape(*at.shape, net.units)
         for row, state in zip(before, states, strict=True):
-            state[:] = h = net.step(h * (row != 0)[:, None], row)[0]
-        prob, total = net.surprise(states.reshape(at.size, net.units))
-        got = np.log(prob[np.arange(at.size), y[at].ravel()] / total)
-        out[at[real]] = got.reshape(at.shape)[real]
+            state[:] = h = net.step(h * (row != 0)[:, None], row, parts)[0]
+        flat, goal = states.reshape(at.size, net.units), y[at].ravel()
+        got = np.empty(at.size, np.float32)
+        for j in range(0, at.size, BLOCK):
+            prob, total = net.surprise(flat[j : j + BLOCK], parts)
+            got[j : j + BLOCK] = prob[np.arange(len(total)), goal[j : j + BLOCK]] / total
+        out[at[real]] = np.log(got).reshape(at.shape)[real]
     result = np.empty(len(docs))
     ends = np.cumsum([len(docs[k]) for k in order])
     result[order] = np.add.reduceat(out.astype(np.float64), np.concatenate([[0], ends[:-1]]))
@@ -315,27 +345,19 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
     room = np.where(single, np.maximum(tokens_in + 1, 1), tokens_in + words_in + 1)  # a single word's class holds it for certain
     start = np.log((tokens_in + 0.5) / (tokens_in.sum() + 0.5 * classes.size))
 
-    def ids(text: str | None) -> np.ndarray:
-        w = words(text)
-        out = np.zeros(len(w) + 1, np.int64)
-        out[:-1] = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-        return out
-
-    class Known(dict):
-        def __missing__(self, w: bytes) -> int:
-            return classes[key(w)]
-
-    known = Known({w: classes[w] for w in table})
+    heard = list(table)  # the words of the table, with their classes and log counts in the same order
+    classes_of, points_of = np.array([classes[w] for w in heard], np.int64), np.log10(np.array([table[w] for w in heard], float) + 1)
+    known = _KnownClasses(heard, classes_of, classes)
     net = Network(classes.size, UNITS, start)
     if drawn := common.drawn(learnt, "doc_id", "text", WARM, WARM_CHARS):
-        warm, trainer = np.concatenate([ids(x["text"]) for x in drawn]), Trainer(net, WARM_RATE)
+        warm, trainer = np.concatenate([known.ids(words(x["text"])) for x in drawn]), Trainer(net, WARM_RATE)
         for _ in range(WARM_PASSES):
             trainer.run(warm, 64)
-    shared = spark.sparkContext.broadcast((table, classes, net.flat()))
+    shared = spark.sparkContext.broadcast((heard, classes_of, classes, net.flat()))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cl, flat = shared.value
-        own = _KnownClasses(shared.value)
+        *known_, cl, flat = shared.value
+        own = _KnownClasses(*known_, cl)
         trainer = Trainer(Network(cl.size, UNITS).load(flat.copy()), RATE)
         done, held, waiting = 0, [], 0
         for batch in batches:
@@ -354,17 +376,15 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
 
     summed = common.add_arrays(learnt.select("text").mapInArrow(learn, "part bigint, v array<double>"), "v", "part")
     flat = net.flat() if summed is None else (summed[:-1] / summed[-1]).astype(np.float32)
-    final = spark.sparkContext.broadcast((table, classes, flat, np.log10(room)))
+    final = spark.sparkContext.broadcast((heard, classes_of, points_of, classes, flat, np.log10(room)))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("points", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tbl, cl, flat_, rooms = final.value
-        trained, index = Network(cl.size, UNITS).load(flat_), {w: i for i, w in enumerate(tbl)}
-        # of each word of the table its class and points; the last place stands for words beyond it
-        class_of = np.array([*(cl[w] for w in tbl), 0], np.int64)
-        points_of = np.array([*(np.log10(n + 1) for n in tbl.values()), 0.0])
+        in_table, class_of, points, cl, flat_, rooms = final.value
+        trained, index = Network(cl.size, UNITS).load(flat_), dict(zip(in_table, range(len(in_table)), strict=True))
+        class_of, points = np.append(class_of, 0), np.append(points, 0.0)  # the last place stands for words beyond the table
         end = END in index
-        end_points = float(points_of[index[END]]) if end else 0.0
+        end_points = float(points[index[END]]) if end else 0.0
         row, held, seqs, waiting = TaskContext.get().partitionId() << 40, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -390,7 +410,7 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
                     held.clear()
                     seqs.clear()
                     waiting = 0
-                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points_of[at].sum()) + end_points, rare))
+                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points[at].sum()) + end_points, rare))
                 seqs.append(seq)
                 row += 1
                 waiting += len(seq)
@@ -411,9 +431,9 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
 class _KnownClasses(dict):
     """Word -> class for the words that tasks know by heart; others by their endings."""
 
-    def __init__(self, shared: tuple):
-        table, self.classes = shared[0], shared[1]
-        super().__init__({w: self.classes[w] for w in table})
+    def __init__(self, heard: list[bytes], classes_of: np.ndarray, classes: Classes):
+        self.classes = classes
+        super().__init__(zip(heard, classes_of.tolist(), strict=True))
 
     def __missing__(self, word: bytes) -> int:
         return self.classes[key(word)]
