@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Pieces that a worker remembers, and the longest of them in characters. Both bound memory only: other pieces are encoded anew.
-REMEMBERED, LONGEST = 250_000, 48
+#: Words and other pieces that a worker remembers, and the longest of them in characters. All bound memory only: others are encoded anew.
+REMEMBERED_WORDS, REMEMBERED_PIECES, LONGEST = 400_000, 100_000, 48
 #: A space before something that is no white space; a byte-level pre-tokenizer always starts a token there.
 _BEFORE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
@@ -33,11 +34,20 @@ class _Tokens(dict):
         for c in [*map(chr, range(0x80)), *map(chr, range(0x80, 0x800)), *(chr(x << 12 | 0x800) for x in range(1, 16) if x != 13), "ࠀ", "퟿", *(chr(x << 18) for x in range(1, 4)), "\U00010000", chr(0x100000), *(chr(0x0800 + (x << 6)) for x in range(32))]:
             for byte, seen in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
                 self.shown[byte] = seen
+        #: Whether printable ASCII but the space is shown as it is; then a word needs no look at its bytes.
+        self.as_is = all(self.shown[b] == chr(b) for b in range(0x21, 0x7F))
+
+    def ids(self, piece: str) -> bytes:
+        if self.as_is and piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.shown[0x20])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        found = [x.id for x in self.tokenize(shown)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.shown)
-        ids = np.array([x.id for x in self.tokenize(shown)], "<u4").tobytes()
-        if len(self) < REMEMBERED and len(piece) <= LONGEST:
+        ids = self.ids(piece)
+        if len(self) < REMEMBERED_PIECES and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
@@ -50,12 +60,12 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
-            ids = self.tokens[" " + word]
+            ids = self.tokens.ids(" " + word)
         elif word[-1:] in _MARKS and word[:-1].isalpha():
-            ids = self.tokens[" " + word[:-1]] + self.tokens[word[-1]]
+            ids = self[word[:-1]] + self.tokens[word[-1]]
         else:
             ids = b"".join(map(self.tokens.__getitem__, _SPLIT.findall(" " + word)))
-        if len(self) < REMEMBERED and len(word) <= LONGEST:
+        if len(self) < REMEMBERED_WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
