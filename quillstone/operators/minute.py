@@ -118,7 +118,7 @@ def quadrant_correlations(bars: DataFrame) -> DataFrame:
         for name, p, v in (("mm", False, False), ("mp", False, True), ("pm", True, False), ("pp", True, True)):
             inside = ((F.col(price) >= 0) == F.lit(p)) & ((F.col("dv") >= 0) == F.lit(v))
             b = b.withColumn(f"_{kind}{name}x", F.when(inside, F.col(price))).withColumn(f"_{kind}{name}y", F.when(inside, F.col("dv")))
-            parts.append(safe_corr(f"_{kind}{name}x", f"_{kind}{name}y").alias(f"{kind}_{name}"))
+            parts.append(pearson(f"_{kind}{name}x", f"_{kind}{name}y").alias(f"{kind}_{name}"))
     return b.groupBy(*DAY).agg(*parts)
 
 
@@ -128,36 +128,92 @@ def segments(bars: DataFrame, count: int = 8) -> DataFrame:
     return b.groupBy(*DAY, "segment").agg(F.sum("r").alias("seg_return"), F.sum("amount").alias("seg_amount"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("seg_rv"), F.try_divide(F.avg(F.abs("r")), F.avg("amount")).alias("seg_amihud"), safe_corr("r", "amount").alias("seg_corr"))
 
 
-def segment_features(bars: DataFrame, count: int = 8) -> DataFrame:
-    """Dispersion and autocorrelation of segment returns, and contrasts of the last segment with the first."""
-    s = segments(bars, count)
-    w = Window.partitionBy(*DAY).orderBy("segment")
-    s = s.withColumn("_next", F.lead("seg_return").over(w))
-    at = lambda k, c: F.max(F.when(F.col("segment") == k, F.col(c)))
-    log_ratio = lambda a, b: F.ln((a + 1e-12) / (b + 1e-12))
-    tail, head = count - 1, 0
-    return s.groupBy(*DAY).agg(
-        F.stddev_pop("seg_return").alias("mf_segment_return_dispersion"), safe_corr("seg_return", "_next").alias("mf_segment_return_lag1_autocorr"),
-        F.stddev_pop("seg_corr").alias("mf_cpv_segment_std"), log_ratio(at(head, "seg_amount"), at(tail, "seg_amount")).alias("mf_open30_tail30_amount_ratio"),
-        log_ratio(F.sum(F.when(F.col("segment") < count // 2, F.col("seg_amount"))), F.sum(F.when(F.col("segment") >= count // 2, F.col("seg_amount")))).alias("mf_am_pm_amount_ratio"),
-        log_ratio(at(tail, "seg_rv"), at(head, "seg_rv")).alias("mf_tail30_open30_rv_ratio"), log_ratio(at(tail, "seg_amihud"), at(head, "seg_amihud")).alias("mf_tail30_open30_amihud_ratio"),
-        (at(tail, "seg_return") - at(head, "seg_return")).alias("mf_tail30_minus_open30_return"),
+#: Bars of a session, the minutes at which its second to eighth segment start, and its 1 % return bins (fixed values).
+SESSION, STARTS, BINS = 241, (30, 60, 90, 121, 151, 181, 211), (-11, 10)
+
+
+def pearson(a: str, b: str) -> Column:
+    """Correlation of at least three pairs."""
+    return F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) >= 3, safe_corr(a, b))
+
+
+def candidates(bars: DataFrame) -> DataFrame:
+    """A session's price-volume correlations, volatility at its price extremes, shares, and contrasts of its eight segments.
+
+    Sessions of another number of bars have their segments in proportion. A fifth of the bars, rounded up, are the
+    highest and the lowest (ties: the later and the earlier bar first). Seasonality is the correlation of returns with
+    amount shares over their means of 20 prior sessions, ten at least. One shuffle by stock-day serves all but that.
+    """
+    day = Window.partitionBy("ts_code", "trade_date")
+    w = day.orderBy("minute_index")
+    b, later = with_returns(bars), F.col("minute_index") > 0
+    for name, column in (("r1", "r"), ("v1", "volume"), ("a1", "amount"), ("c1", "close")):
+        b = b.withColumn(name, F.when(later, F.col(column)))
+    b = b.withColumn("da", F.col("amount") - F.lag("amount").over(w)).withColumn("share", F.try_divide(F.col("amount"), F.sum("amount").over(day)))
+    b = b.withColumn("rv5", F.sqrt(F.sum(F.col("r") * F.col("r")).over(w.rowsBetween(-4, 0)))).withColumn("illiquid", F.when(F.col("amount") > 0, F.abs("r1") / F.col("amount")))
+    b = b.withColumn("_high", F.row_number().over(day.orderBy(F.desc("close"), F.desc("minute_index")))).withColumn("_low", F.row_number().over(day.orderBy("close", "minute_index")))
+    b = b.withColumn("segment", sum((F.col("minute_index") * SESSION >= k * F.col("bars")).cast("int") for k in STARTS))
+    prior = Window.partitionBy("ts_code", "minute_index").orderBy("day_index").rowsBetween(-20, -1)
+    season = b.withColumn("_m", F.when(F.count("share").over(prior) >= 10, F.avg("share").over(prior))).withColumn("_x", F.col("share") / (F.col("_m") + 1e-12))
+    fifth, c = F.ceil(F.col("bars") * 0.2), F.col("share") - 1 / F.col("bars")
+    m2 = F.avg(c * c)
+    part = lambda inside: F.try_divide(F.avg(F.when(inside, F.col("rv5"))), F.avg("rv5"))
+    whole = b.groupBy(*DAY).agg(
+        part(F.col("_high") <= fifth).alias("high_price_vol_ratio"), part(F.col("_low") <= fifth).alias("low_price_vol_ratio"), pearson("r1", "v1").alias("return_volume_corr"), pearson("r1", "a1").alias("return_amount_corr"),
+        pearson("c1", "dv").alias("price_dvolume_corr"), pearson("r1", "da").alias("return_damount_corr"), F.avg("illiquid").alias("amihud_intraday"),
+        F.when(m2 > 1e-12, F.avg(c * c * c) / F.pow(m2, F.lit(1.5))).alias("mf_amount_share_skewness"), F.when(m2 > 1e-12, F.avg(c * c * c * c) / (m2 * m2)).alias("mf_amount_share_kurtosis"),
+    )
+    seg = b.groupBy(*DAY, "segment").agg(
+        F.ln(F.max_by("close", "minute_index") / F.min_by("close", "minute_index")).alias("sr"), F.sum("amount").alias("sa"), F.sum("share").alias("ss"), F.coalesce(F.sum(F.col("r1") * F.col("r1")), F.lit(0.0)).alias("sq"), F.avg("illiquid").alias("am"),
+        pearson("r1", "a1").alias("sc"),
     )
+    seg = seg.withColumn("_next", F.lead("sr").over(Window.partitionBy(*DAY).orderBy("segment")))
+    at = lambda k, x: F.max(F.when(F.col("segment") == k, F.col(x)))
+    half = lambda x, inside: F.sum(F.when(inside, F.col(x)))
+    log_ratio = lambda x, y: F.ln((x + 1e-12) / (y + 1e-12))
+    morning, tail = F.col("segment") < 4, len(STARTS)
+    parts = seg.groupBy(*DAY).agg(
+        F.stddev_pop("sc").alias("cpv_segment_std"), at(tail, "sc").alias("cpv_segment_last30"), F.stddev_pop("sr").alias("mf_segment_return_dispersion"), pearson("sr", "_next").alias("mf_segment_return_lag1_autocorr"),
+        at(0, "ss").alias("mf_open30_amount_share"), log_ratio(at(0, "sa"), at(tail, "sa")).alias("mf_open30_tail30_amount_ratio"), log_ratio(half("sa", morning), half("sa", ~morning)).alias("mf_am_pm_amount_ratio"),
+        log_ratio(at(tail, "sa"), F.get(F.sort_array(F.collect_list("sa")), F.lit(3))).alias("mf_tail30_amount_to_segment_median"),
+        log_ratio(F.sqrt(at(tail, "sq")), F.sqrt(at(0, "sq"))).alias("mf_tail30_open30_rv_ratio"), log_ratio(F.sqrt(half("sq", ~morning)), F.sqrt(half("sq", morning))).alias("mf_pm_am_rv_ratio"),
+        log_ratio(at(tail, "am"), at(0, "am")).alias("mf_tail30_open30_amihud_ratio"), at(tail, "am").alias("_am"), (at(tail, "sr") - at(0, "sr")).alias("mf_tail30_minus_open30_return"),
+        (F.atanh(at(tail, "sc")) - F.atanh(at(0, "sc"))).alias("mf_tail30_minus_open30_ra_corr"),
+    )
+    # what has no base yet has no seasonality, so these rows need not be joined before they are added up
+    seasonal = season.groupBy(*DAY).agg(pearson("r", "_x").alias("mf_minute_amount_seasonality_return_corr_w20"))
+    out = whole.join(parts, DAY).join(seasonal, DAY).withColumn("mf_tail30_day_amihud_ratio", log_ratio(F.col("_am"), F.col("amihud_intraday"))).drop("_am")
+    return out
+
+
+def prior_means(daily: DataFrame, names: dict[str, str], before: int = 20, least: int = 10) -> DataFrame:
+    """Means over the security's own earlier sessions, strictly before this one and `least` at least. {column: name of its mean}; the columns themselves go."""
+    w = Window.partitionBy("ts_code").orderBy("day_index").rowsBetween(-before, -1)
+    return daily.select(*(c for c in daily.columns if c not in names), *(F.when(F.count(c).over(w) >= least, F.avg(c).over(w)).alias(n) for c, n in names.items()))
+
+
+def prior_z(column: str, before: int = 20, least: int = 10) -> Column:
+    """The value against mean and sample deviation of the security's earlier sessions."""
+    w = Window.partitionBy("ts_code").orderBy("day_index").rowsBetween(-before, -1)
+    sd = F.stddev_samp(column).over(w)
+    return F.when((F.count(column).over(w) >= least) & (sd > 1e-12), (F.col(column) - F.avg(column).over(w)) / sd)
 
 
-def chip_features(bars: DataFrame, low: int = -11, high: int = 10, quantile: float = 0.8) -> DataFrame:
-    """The amount's distribution over return bins of 1 %: deviation, skewness, kurtosis, top bins, and an upper quantile."""
+def chip_features(bars: DataFrame, quantile: float = 0.8) -> DataFrame:
+    """The amount's shares of 22 return bins of 1 %, empty ones included: deviation, skewness and kurtosis of the shares, the top three, and the return at which `quantile` of the amount is reached from below."""
+    low, high = BINS
+    n = high - low + 1
     w = Window.partitionBy("ts_code", "trade_date").orderBy("minute_index")
     b = bars.withColumn("_o", F.first("open").over(w))
     b = b.withColumn("bin", F.least(F.greatest(F.floor(F.ln(F.col("close") / F.col("_o")) * 100), F.lit(low)), F.lit(high)).cast("int"))
     h = b.groupBy(*DAY, "bin").agg(F.sum("amount").alias("a"))
     day = Window.partitionBy(*DAY)
-    h = h.withColumn("p", F.try_divide("a", F.sum("a").over(day))).withColumn("mu", F.sum(F.col("p") * F.col("bin")).over(day)).withColumn("cum", F.sum("p").over(day.orderBy("bin"))).withColumn("k", F.row_number().over(day.orderBy(F.desc("p"), "bin")))
-    c = F.col("bin") - F.col("mu")
-    m2 = F.sum(F.col("p") * c * c)
+    h = h.withColumn("p", F.try_divide("a", F.sum("a").over(day))).withColumn("cum", F.sum("p").over(day.orderBy("bin"))).withColumn("k", F.row_number().over(day.orderBy(F.desc("p"), "bin")))
+    c, empty = F.col("p") - 1 / n, n - F.count("*")
+    m = {k: (F.sum(F.pow(c, F.lit(k))) + empty * (-1 / n) ** k) / n for k in (2, 3, 4)}
     return h.groupBy(*DAY).agg(
-        F.sqrt(m2).alias("mf_chip_return_bin_std"), F.when(m2 > 1e-12, F.sum(F.col("p") * c * c * c) / F.pow(m2, F.lit(1.5))).alias("mf_chip_return_bin_skewness"), F.when(m2 > 1e-12, F.sum(F.col("p") * c * c * c * c) / (m2 * m2)).alias("mf_chip_return_bin_kurtosis"),
-        F.sum(F.when(F.col("k") <= 3, F.col("p"))).alias("mf_chip_top3_return_bin_share"), F.min(F.when(F.col("cum") >= quantile - 1e-12, F.col("bin"))).cast("double").alias("mf_chip_return_q80"),
+        F.sqrt(m[2]).alias("mf_chip_return_bin_std"), F.when(m[2] > 1e-12, m[3] / F.pow(m[2], F.lit(1.5))).alias("mf_chip_return_bin_skewness"), F.when(m[2] > 1e-12, m[4] / (m[2] * m[2])).alias("mf_chip_return_bin_kurtosis"),
+        F.sum(F.when(F.col("k") <= 3, F.col("p"))).alias("mf_chip_top3_return_bin_share"), (F.min(F.when(F.col("cum") >= quantile - 1e-12, F.col("bin"))) * 0.01).alias("mf_chip_return_q80"),
     )
 
 

@@ -106,7 +106,7 @@ def _quadrant_sql() -> str:
         for name, p, v in (("mm", "<", "<"), ("mp", "<", ">="), ("pm", ">=", "<"), ("pp", ">=", ">=")):
             inside = f"{price} {p} 0 AND dv {v} 0"
             cols += [f"CASE WHEN {inside} THEN {price} END AS {kind}{name}x", f"CASE WHEN {inside} THEN dv END AS {kind}{name}y"]
-            parts.append(s(CORR.format(a=f"{kind}{name}x", b=f"{kind}{name}y"), 6, f"{kind}_{name}"))
+            parts.append(s(f"CASE WHEN count({kind}{name}x) >= 3 THEN " + CORR.format(a=f"{kind}{name}x", b=f"{kind}{name}y") + " END", 6, f"{kind}_{name}"))
     return f"WITH {RET_SQL}, n AS (SELECT *, lead(d) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index) AS nd, volume AS volume_, d AS dp_x, CASE WHEN d IS NOT NULL THEN volume END AS dp_y FROM mr), q AS (SELECT ts_code, trade_date, close, volume_, dp_x, dp_y, {', '.join(cols)} FROM n) SELECT ts_code, trade_date, {', '.join(parts)} FROM q GROUP BY ts_code, trade_date"
 
 
@@ -115,25 +115,88 @@ def minute_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.quadrant_correlations(adapters.minute_bars(spark, sf_dir)))
 
 
-SEG_SQL = RET_SQL + f""",
-sg AS (
-    SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 8 / bars) AS INT) AS segment, sum(r) AS seg_return, sum(amount) AS seg_amount, sqrt(sum(r * r)) AS seg_rv, avg(abs(r)) / avg(amount) AS seg_amihud, {CORR.format(a='r', b='amount')} AS seg_corr FROM mr GROUP BY 1, 2, 3, 4)"""
+#: Daily columns that are given as their means over earlier sessions.
+MEANS = {c: f"mf_{c}_w20" for c in ("high_price_vol_ratio", "low_price_vol_ratio", "return_volume_corr", "return_amount_corr", "price_dvolume_corr", "return_damount_corr", "amihud_intraday", "cpv_segment_std", "cpv_segment_last30")}
 
 
-@query(f"""WITH {SEG_SQL}, l AS (SELECT *, lead(seg_return) OVER (PARTITION BY ts_code, trade_date ORDER BY segment) AS nx FROM sg), l2 AS (SELECT *, CASE WHEN nx IS NOT NULL THEN seg_return END AS sx FROM l),
-    g AS (SELECT ts_code, trade_date, stddev_pop(seg_return) AS d, {CORR.format(a='sx', b='nx')} AS ac, stddev_pop(seg_corr) AS cs, max(seg_amount) FILTER (WHERE segment = 0) AS a0, max(seg_amount) FILTER (WHERE segment = 7) AS a7, sum(seg_amount) FILTER (WHERE segment < 4) AS am, sum(seg_amount) FILTER (WHERE segment >= 4) AS pm,
-        max(seg_rv) FILTER (WHERE segment = 0) AS v0, max(seg_rv) FILTER (WHERE segment = 7) AS v7, max(seg_amihud) FILTER (WHERE segment = 0) AS i0, max(seg_amihud) FILTER (WHERE segment = 7) AS i7, max(seg_return) FILTER (WHERE segment = 7) - max(seg_return) FILTER (WHERE segment = 0) AS dr FROM l2 GROUP BY ts_code, trade_date)
-    SELECT ts_code, trade_date, {s('d', 6, 'mf_segment_return_dispersion')}, {s('ac', 6, 'mf_segment_return_lag1_autocorr')}, {s('cs', 6, 'mf_cpv_segment_std')}, {s('ln((a0 + 1e-12) / (a7 + 1e-12))', 6, 'mf_open30_tail30_amount_ratio')}, {s('ln((am + 1e-12) / (pm + 1e-12))', 6, 'mf_am_pm_amount_ratio')},
-        {s('ln((v7 + 1e-12) / (v0 + 1e-12))', 6, 'mf_tail30_open30_rv_ratio')}, {s('ln((i7 + 1e-12) / (i0 + 1e-12))', 6, 'mf_tail30_open30_amihud_ratio')}, {s('dr', 6, 'mf_tail30_minus_open30_return')} FROM g""")
-def minute_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(minute.segment_features(adapters.minute_bars(spark, sf_dir)))
+def _mean_sql(c: str, name: str) -> str:
+    return s(f"CASE WHEN count({c}) OVER h >= 10 THEN avg({c}) OVER h END", 6, name)
+
+
+def _z_sql(c: str, name: str) -> str:
+    return s(f"CASE WHEN count({c}) OVER h >= 10 AND stddev_samp({c}) OVER h > 1e-12 THEN ({c} - avg({c}) OVER h) / stddev_samp({c}) OVER h END", 6, name)
+
+
+HISTORY_SQL = "WINDOW h AS (PARTITION BY ts_code ORDER BY day_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+
+def _candidates_sql() -> str:
+    pearson = lambda a, b: f"CASE WHEN count({a}) FILTER (WHERE {b} IS NOT NULL) >= 3 THEN {CORR.format(a=f'CASE WHEN {b} IS NOT NULL THEN {a} END', b=f'CASE WHEN {a} IS NOT NULL THEN {b} END')} END"
+    ratio = lambda a, b: f"ln(({a} + 1e-12) / ({b} + 1e-12))"
+    at = lambda k, x: f"max({x}) FILTER (WHERE segment = {k})"
+    segment = " + ".join(f"CAST(minute_index * 241 >= {k} * bars AS INT)" for k in minute.STARTS)
+    given = ("amount_share_skewness", "amount_share_kurtosis", "minute_amount_seasonality_return_corr_w20", "segment_return_dispersion", "segment_return_lag1_autocorr", "open30_amount_share", "open30_tail30_amount_ratio", "am_pm_amount_ratio", "tail30_amount_to_segment_median",
+             "tail30_open30_rv_ratio", "pm_am_rv_ratio", "tail30_open30_amihud_ratio", "tail30_day_amihud_ratio", "tail30_minus_open30_return", "tail30_minus_open30_ra_corr")
+    return f"""WITH {RET_SQL}, x AS (
+        SELECT *, CASE WHEN minute_index > 0 THEN r END AS r1, CASE WHEN minute_index > 0 THEN volume END AS v1, CASE WHEN minute_index > 0 THEN amount END AS a1, CASE WHEN minute_index > 0 THEN close END AS c1, amount - lag(amount) OVER w AS da,
+            amount / sum(amount) OVER dd AS share, sqrt(sum(r * r) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS rv5, CASE WHEN amount > 0 AND minute_index > 0 THEN abs(r) / amount END AS illiquid,
+            row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY close DESC, minute_index DESC) AS hi, row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY close, minute_index) AS lo, {segment} AS segment
+        FROM mr WINDOW w AS (PARTITION BY ts_code, trade_date ORDER BY minute_index), dd AS (PARTITION BY ts_code, trade_date)),
+    sn AS (SELECT *, share / (CASE WHEN count(share) OVER p >= 10 THEN avg(share) OVER p END + 1e-12) AS sx FROM x WINDOW p AS (PARTITION BY ts_code, minute_index ORDER BY day_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    wh AS (SELECT ts_code, trade_date, day_index, avg(rv5) FILTER (WHERE hi <= ceil(bars * 0.2)) / nullif(avg(rv5), 0) AS high_price_vol_ratio, avg(rv5) FILTER (WHERE lo <= ceil(bars * 0.2)) / nullif(avg(rv5), 0) AS low_price_vol_ratio,
+            {pearson('r1', 'v1')} AS return_volume_corr, {pearson('r1', 'a1')} AS return_amount_corr, {pearson('c1', 'dv')} AS price_dvolume_corr, {pearson('r1', 'da')} AS return_damount_corr, avg(illiquid) AS amihud_intraday,
+            avg(pow(share - 1 / bars, 2)) AS m2, avg(pow(share - 1 / bars, 3)) AS m3, avg(pow(share - 1 / bars, 4)) AS m4, {pearson('r', 'sx')} AS minute_amount_seasonality_return_corr_w20 FROM sn GROUP BY 1, 2, 3),
+    sg AS (SELECT ts_code, trade_date, segment, ln(arg_max(close, minute_index) / arg_min(close, minute_index)) AS sr, sum(amount) AS sa, sum(share) AS ss, coalesce(sum(r1 * r1), 0) AS sq, avg(illiquid) AS am, {pearson('r1', 'a1')} AS sc FROM x GROUP BY 1, 2, 3),
+    nx AS (SELECT *, lead(sr) OVER (PARTITION BY ts_code, trade_date ORDER BY segment) AS sr2 FROM sg),
+    pt AS (SELECT ts_code, trade_date, stddev_pop(sc) AS cpv_segment_std, {at(7, 'sc')} AS cpv_segment_last30, stddev_pop(sr) AS segment_return_dispersion, {pearson('sr', 'sr2')} AS segment_return_lag1_autocorr, {at(0, 'ss')} AS open30_amount_share,
+            {ratio(at(0, 'sa'), at(7, 'sa'))} AS open30_tail30_amount_ratio, {ratio('sum(sa) FILTER (WHERE segment < 4)', 'sum(sa) FILTER (WHERE segment >= 4)')} AS am_pm_amount_ratio, {ratio(at(7, 'sa'), 'list_sort(list(sa))[4]')} AS tail30_amount_to_segment_median,
+            {ratio(f"sqrt({at(7, 'sq')})", f"sqrt({at(0, 'sq')})")} AS tail30_open30_rv_ratio, {ratio('sqrt(sum(sq) FILTER (WHERE segment >= 4))', 'sqrt(sum(sq) FILTER (WHERE segment < 4))')} AS pm_am_rv_ratio, {ratio(at(7, 'am'), at(0, 'am'))} AS tail30_open30_amihud_ratio,
+            {at(7, 'am')} AS am7, {at(7, 'sr')} - {at(0, 'sr')} AS tail30_minus_open30_return, atanh({at(7, 'sc')}) - atanh({at(0, 'sc')}) AS tail30_minus_open30_ra_corr FROM nx GROUP BY 1, 2),
+    al AS (SELECT wh.*, pt.* EXCLUDE (ts_code, trade_date), CASE WHEN m2 > 1e-12 THEN m3 / pow(m2, 1.5) END AS amount_share_skewness, CASE WHEN m2 > 1e-12 THEN m4 / (m2 * m2) END AS amount_share_kurtosis, {ratio('am7', 'amihud_intraday')} AS tail30_day_amihud_ratio
+        FROM wh JOIN pt ON pt.ts_code = wh.ts_code AND pt.trade_date = wh.trade_date)
+    SELECT ts_code, trade_date, {', '.join(s(c, 6, 'mf_' + c) for c in given)}, {', '.join(_mean_sql(c, n) for c, n in MEANS.items())}, {_z_sql('open30_amount_share', 'mf_open30_amount_z20')}, {_z_sql('tail30_open30_rv_ratio', 'mf_tail30_rv_z20')} FROM al {HISTORY_SQL}"""
+
+
+@query(_candidates_sql())
+def minute_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = minute.candidates(adapters.minute_bars(spark, sf_dir))
+    daily = daily.withColumn("mf_open30_amount_z20", minute.prior_z("mf_open30_amount_share")).withColumn("mf_tail30_rv_z20", minute.prior_z("mf_tail30_open30_rv_ratio"))
+    return _shown(minute.prior_means(daily, MEANS))
+
+
+#: Daily correlations within quadrants (signs of price and volume change) and the published names of their means (fixed: these name the opposite quadrant).
+QUADRANTS = {
+    "price_volume": "mf_cpv_price_volume_level_w20",
+    "now_mm": "mf_cpv_dprice_dvolume_pp_w20", "now_mp": "mf_cpv_dprice_dvolume_pm_w20", "now_pm": "mf_cpv_dprice_dvolume_mp_w20", "now_pp": "mf_cpv_dprice_dvolume_mm_w20",
+    "lead_mm": "mf_cpv_dvolume_lead_dprice_pp_w20", "lead_pm": "mf_cpv_dvolume_lead_dprice_pm_w20", "lead_mp": "mf_cpv_dvolume_lead_dprice_mp_w20", "lead_pp": "mf_cpv_dvolume_lead_dprice_mm_w20",
+}
+
+
+def _quadrant_means_sql() -> str:
+    cols, parts = [], [f"{CORR.format(a='close', b='volume')} AS price_volume"]
+    for kind, price in (("now", "d"), ("lead", "nd")):
+        for name, p, v in (("mm", "<", "<"), ("mp", "<", ">="), ("pm", ">=", "<"), ("pp", ">=", ">=")):
+            inside, n = f"{price} {p} 0 AND dv {v} 0", f"{kind}_{name}"
+            cols += [f"CASE WHEN {inside} THEN {price} END AS x_{n}", f"CASE WHEN {inside} THEN dv END AS y_{n}"]
+            parts.append(f"CASE WHEN count(x_{n}) >= 3 THEN {CORR.format(a=f'x_{n}', b=f'y_{n}')} END AS {n}")
+    return f"""WITH {RET_SQL}, n AS (SELECT *, lead(d) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index) AS nd FROM mr), q AS (SELECT ts_code, trade_date, day_index, close, volume, {', '.join(cols)} FROM n),
+    g AS (SELECT ts_code, trade_date, day_index, {', '.join(parts)} FROM q GROUP BY 1, 2, 3) SELECT ts_code, trade_date, {', '.join(_mean_sql(c, n) for c, n in QUADRANTS.items())} FROM g {HISTORY_SQL}"""
+
+
+@query(_quadrant_means_sql())
+def minute_quadrant_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = minute.quadrant_correlations(adapters.minute_bars(spark, sf_dir))
+    return _shown(minute.prior_means(daily.select(*minute.DAY, *QUADRANTS), QUADRANTS))
 
 
 @query(f"""WITH {MINUTE_SQL}, o AS (SELECT *, first_value(open) OVER (PARTITION BY ts_code, trade_date ORDER BY minute_index) AS o FROM minute),
     h AS (SELECT ts_code, trade_date, CAST(least(greatest(floor(ln(close / o) * 100), -11), 10) AS INT) AS bin, sum(amount) AS a FROM o GROUP BY 1, 2, 3), p AS (SELECT *, a / sum(a) OVER (PARTITION BY ts_code, trade_date) AS p FROM h),
-    q AS (SELECT *, sum(p * bin) OVER (PARTITION BY ts_code, trade_date) AS mu, sum(p) OVER (PARTITION BY ts_code, trade_date ORDER BY bin) AS cum, row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY p DESC, bin) AS k FROM p),
-    g AS (SELECT ts_code, trade_date, sum(p * pow(bin - mu, 2)) AS m2, sum(p * pow(bin - mu, 3)) AS m3, sum(p * pow(bin - mu, 4)) AS m4, sum(p) FILTER (WHERE k <= 3) AS t3, min(bin) FILTER (WHERE cum >= 0.8 - 1e-12) AS q80 FROM q GROUP BY ts_code, trade_date)
-    SELECT ts_code, trade_date, {s('sqrt(m2)', 6, 'mf_chip_return_bin_std')}, {s('CASE WHEN m2 > 1e-12 THEN m3 / pow(m2, 1.5) END', 6, 'mf_chip_return_bin_skewness')}, {s('CASE WHEN m2 > 1e-12 THEN m4 / (m2 * m2) END', 6, 'mf_chip_return_bin_kurtosis')}, {s('t3', 6, 'mf_chip_top3_return_bin_share')}, CAST(q80 AS DOUBLE) AS mf_chip_return_q80 FROM g""")
+    q AS (SELECT *, sum(p) OVER (PARTITION BY ts_code, trade_date ORDER BY bin) AS cum, row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY p DESC, bin) AS k FROM p),
+    al AS (SELECT d.ts_code, d.trade_date, g.i AS bin, coalesce(p.p, 0) AS p FROM (SELECT DISTINCT ts_code, trade_date FROM p) AS d CROSS JOIN range(-11, 11) AS g(i) LEFT JOIN p ON p.ts_code = d.ts_code AND p.trade_date = d.trade_date AND p.bin = g.i),
+    mo AS (SELECT ts_code, trade_date, avg(pow(p - 1 / 22, 2)) AS m2, avg(pow(p - 1 / 22, 3)) AS m3, avg(pow(p - 1 / 22, 4)) AS m4 FROM al GROUP BY ts_code, trade_date),
+    g AS (SELECT ts_code, trade_date, sum(p) FILTER (WHERE k <= 3) AS t3, min(bin) FILTER (WHERE cum >= 0.8 - 1e-12) * 0.01 AS q80 FROM q GROUP BY ts_code, trade_date)
+    SELECT g.ts_code, g.trade_date, {s('sqrt(m2)', 6, 'mf_chip_return_bin_std')}, {s('CASE WHEN m2 > 1e-12 THEN m3 / pow(m2, 1.5) END', 6, 'mf_chip_return_bin_skewness')}, {s('CASE WHEN m2 > 1e-12 THEN m4 / (m2 * m2) END', 6, 'mf_chip_return_bin_kurtosis')}, {s('t3', 6, 'mf_chip_top3_return_bin_share')}, {s('q80', 6, 'mf_chip_return_q80')}
+    FROM g JOIN mo ON mo.ts_code = g.ts_code AND mo.trade_date = g.trade_date""")
 def minute_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.chip_features(adapters.minute_bars(spark, sf_dir)))
 
