@@ -122,10 +122,47 @@ def quadrant_correlations(bars: DataFrame) -> DataFrame:
     return b.groupBy(*DAY).agg(*parts)
 
 
+#: Bars from the opening to 14:57, and the bar after which the lunch break comes (fixed values).
+CONTINUOUS, NOON = 238, 120
+
+
+def traded_returns(bars: DataFrame) -> DataFrame:
+    """with_returns(), and as `move` the return while trade goes on: none for the first bar, that against its own open for the first after lunch."""
+    i = F.col("minute_index")
+    return with_returns(bars).withColumn("move", F.when(i == NOON + 1, F.ln(F.col("close") / F.col("open"))).when(i > 0, F.col("r")))
+
+
 def segments(bars: DataFrame, count: int = 8) -> DataFrame:
-    """Return, amount and correlation of return and amount in equal parts of the session."""
-    b = with_returns(bars).withColumn("segment", F.floor(F.col("minute_index") * count / F.col("bars")).cast("int"))
-    return b.groupBy(*DAY, "segment").agg(F.sum("r").alias("seg_return"), F.sum("amount").alias("seg_amount"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("seg_rv"), F.try_divide(F.avg(F.abs("r")), F.avg("amount")).alias("seg_amihud"), safe_corr("r", "amount").alias("seg_corr"))
+    """Return while trade goes on, and amount, in equal parts of the session; what lies over lunch or before the first close doesn't count."""
+    b = traded_returns(bars).withColumn("segment", F.floor(F.col("minute_index") * count / F.col("bars")).cast("int"))
+    return b.groupBy(*DAY, "segment").agg(F.sum("move").alias("seg_return"), F.sum("amount").alias("seg_amount"))
+
+
+def signed_amounts(bars: DataFrame, tail: int = 30) -> DataFrame:
+    """Share of amounts on bars that don't fall less that on bars that fall, of the session and its tail; the first bar and bars without trade stay out."""
+    b = traded_returns(bars).where("move is not null and amount > 0 and volume > 0")
+    signed, late = F.when(F.col("move") >= 0, F.col("amount")).otherwise(-F.col("amount")), F.col("minute_index") >= F.col("bars") - tail
+    return b.groupBy(*DAY).agg(
+        F.try_divide(F.sum(signed), F.sum("amount")).alias("mf_signed_amount_imbalance"),
+        F.try_divide(F.sum(F.when(late, signed)), F.sum(F.when(late, F.col("amount")))).alias("mf_tail30_signed_amount_imbalance"),
+    )
+
+
+def gap_features(bars: DataFrame, opening: int = 30, noon: int = NOON, before: int = 20, days: int = 5) -> DataFrame:
+    """Gaps from the close of the calendar session before: the last `days` of them added up (of the `before` sessions and this one), how the opening goes against the gap, and the gap over lunch.
+
+    A gap of zero counts as one upwards. A session that the security didn't trade leaves no gap to the next.
+    """
+    at = lambda k, c: F.max(F.when(F.col("minute_index") == k, F.col(c)))
+    daily = bars.groupBy(*DAY).agg(F.min_by("open", "minute_index").alias("o"), F.max_by("close", "minute_index").alias("c"), at(opening, "close").alias("co"), at(noon, "close").alias("cn"), at(noon + 1, "open").alias("on"))
+    w = Window.partitionBy("ts_code").orderBy("day_index")
+    daily = daily.withColumn("gap", F.ln(F.col("o") / F.max("c").over(w.rangeBetween(-1, -1))))
+    daily = daily.withColumn("_last", F.collect_list("gap").over(w.rangeBetween(-before, 0)))
+    total = F.aggregate(F.slice("_last", -days, days), F.lit(0.0), lambda x, y: x + y)
+    return daily.select(
+        *DAY, F.when(F.col("gap").isNotNull() & (F.size("_last") >= days), total).alias("mf_overnight_gap_sum_w5"),
+        (F.when(F.col("gap") >= 0, -1.0).when(F.col("gap") < 0, 1.0) * F.ln(F.col("co") / F.col("o"))).alias("mf_gap_open30_reversal"), F.ln(F.col("on") / F.col("cn")).alias("mf_lunch_gap"),
+    )
 
 
 #: Bars of a session, the minutes at which its second to eighth segment start, and its 1 % return bins (fixed values).
@@ -230,7 +267,8 @@ def market_residuals(seg: DataFrame, before: int = 20, least: int = 10, coverage
     """
     members = seg.groupBy("trade_date").agg(F.count_distinct("ts_code").alias("_all"))
     m = seg.groupBy("trade_date", "segment").agg(F.sum("seg_return").alias("_s"), F.count("seg_return").alias("_n")).join(members, "trade_date")
-    s = seg.join(m, ["trade_date", "segment"]).withColumn("market", F.when(F.col("_n") >= coverage * F.col("_all"), F.try_divide(F.col("_s") - F.col("seg_return"), F.col("_n") - 1)))
+    s = seg.join(m, ["trade_date", "segment"]).withColumn("others", F.try_divide(F.col("_s") - F.col("seg_return"), F.col("_n") - 1))
+    s = s.withColumn("market", F.when(F.col("_n") >= coverage * F.col("_all"), F.col("others")))
     x, y = F.col("market"), F.when(F.col("market").isNotNull(), F.col("seg_return"))
     day = s.groupBy(*DAY).agg(F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.count(x).alias("n"))
     w = Window.partitionBy("ts_code").orderBy("day_index").rangeBetween(-before, -1)
@@ -249,11 +287,20 @@ def residual_features(residuals: DataFrame, tail: int = 6) -> DataFrame:
     )
 
 
+def down_resilience(residuals: DataFrame, before: int = 20, least: int = 10, share: float = 0.2) -> DataFrame:
+    """Mean residual over segments, three at least, in which all others together fell, and by more than in a fifth of the prior sessions' same segment."""
+    w = Window.partitionBy("ts_code", "segment").orderBy("day_index").rangeBetween(-before, -1)
+    s = residuals.withColumn("_old", F.sort_array(F.collect_list("others").over(w)))
+    limit = F.get("_old", F.floor((F.size("_old") - 1) * share).cast("int"))
+    e = F.when((F.size("_old") >= least) & (F.col("others") < 0) & (F.col("others") < limit), F.col("residual"))
+    return s.groupBy(*DAY).agg(F.when(F.count(e) >= 3, F.avg(e)).alias("mf_market_down_resilience"))
+
+
 def rank_features(seg: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
     """Each segment's return ranked among all securities (0 to 1, ties in the middle): how often one stays on top from segment to segment but over lunch, and the last half hour's mean rank less the first's."""
     place = Window.partitionBy("trade_date", "segment")
     ties = Window.partitionBy("trade_date", "segment", "seg_return")
-    s = seg.withColumn("q", F.try_divide(F.rank().over(place.orderBy("seg_return")) + (F.count("*").over(ties) - 1) / 2 - 1, F.count("*").over(place) - 1))
+    s = seg.where("seg_return is not null").withColumn("q", F.try_divide(F.rank().over(place.orderBy("seg_return")) + (F.count("*").over(ties) - 1) / 2 - 1, F.count("*").over(place) - 1))
     before = Window.partitionBy(*DAY).orderBy("segment").rangeBetween(-1, -1)
     s = s.withColumn("was", F.when(F.col("segment") != MORNING, F.max("q").over(before)))
     pair, first, last = F.col("q").isNotNull() & F.col("was").isNotNull(), F.col("segment") < tail, F.col("segment") >= SEGMENTS - tail
@@ -263,10 +310,6 @@ def rank_features(seg: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
     )
 
 
-#: Bars from the opening to 14:57, and the bar after which the lunch break comes (fixed values).
-CONTINUOUS, NOON = 238, 120
-
-
 def volume_events(bars: DataFrame) -> DataFrame:
     """Bars of outstanding volume in continuous trading: their number of peaks, returns where volume jumps, volume of bars whose body is small.
 

@@ -214,9 +214,13 @@ def flow(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.nda
     """Signed flow, traded cost and the spectrum of amounts of one session."""
     n, out = len(c), {}
     traded = (a > 0) & (v > 0)
-    sign = np.sign(np.concatenate([[c[0] - o[0]], np.diff(c)])) * traded
-    out["signed_amount_imbalance"], out["tail30_signed_amount_imbalance"] = _share(sign * a, a), _share((sign * a)[-tail:], a[-tail:])
-    parts = np.array_split(np.arange(n), 8)
+    base = np.concatenate([[o[0]], c[:-1]])
+    if n > NOON + 1:
+        base[NOON + 1] = o[NOON + 1]  # what happened over lunch isn't of this bar
+    flows = traded & (np.arange(n) > 0)  # neither does the first bar count
+    sign = np.where(c >= base, 1.0, -1.0) * flows
+    out["signed_amount_imbalance"], out["tail30_signed_amount_imbalance"] = _share(sign * a, a * flows), _share((sign * a)[-tail:], (a * flows)[-tail:])
+    parts = np.array_split(np.arange(1, n), 8)
     whole = [p for p in parts if len(p) and traded[p].any()]
     out["signed_amount_positive_segment_share"] = float(np.mean([(sign[p] * a[p]).sum() > 0 for p in whole])) if len(whole) == 8 else math.nan
     price, volume = a[traded] / v[traded], v[traded]

@@ -202,22 +202,47 @@ def minute_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEG48_SQL = RET_SQL + """,
-sg AS (SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bars) AS INT) AS segment, sum(r) AS seg_return FROM mr GROUP BY 1, 2, 3, 4)"""
+sg AS (SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bars) AS INT) AS segment, sum(CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END) AS seg_return FROM mr GROUP BY 1, 2, 3, 4)"""
 
 
 @query(f"""WITH {SEG48_SQL}, al AS (SELECT trade_date, count(DISTINCT ts_code) AS members FROM sg GROUP BY trade_date),
-    m AS (SELECT sg.*, CASE WHEN count(seg_return) OVER (PARTITION BY sg.trade_date, segment) >= 0.8 * members THEN (sum(seg_return) OVER (PARTITION BY sg.trade_date, segment) - seg_return) / nullif(count(seg_return) OVER (PARTITION BY sg.trade_date, segment) - 1, 0) END AS market FROM sg JOIN al ON al.trade_date = sg.trade_date),
+    m AS (SELECT sg.*, (sum(seg_return) OVER (PARTITION BY sg.trade_date, segment) - seg_return) / nullif(count(seg_return) OVER (PARTITION BY sg.trade_date, segment) - 1, 0) AS others, CASE WHEN count(seg_return) OVER (PARTITION BY sg.trade_date, segment) >= 0.8 * members THEN others END AS market FROM sg JOIN al ON al.trade_date = sg.trade_date),
     dd AS (SELECT ts_code, trade_date, day_index, sum(market) AS sx, sum(seg_return) FILTER (WHERE market IS NOT NULL) AS sy, sum(market * market) AS sxx, sum(market * seg_return) AS sxy, count(market) AS n FROM m GROUP BY 1, 2, 3),
     be AS (SELECT *, sum(n) OVER w AS wn, sum(sx) OVER w AS wx, sum(sy) OVER w AS wy, sum(sxx) OVER w AS wxx, sum(sxy) OVER w AS wxy, count(n) OVER w AS days FROM dd WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)),
     bb AS (SELECT ts_code, trade_date, CASE WHEN days >= 10 AND wn * wxx - wx * wx > 1e-18 THEN (wn * wxy - wx * wy) / (wn * wxx - wx * wx) END AS beta FROM be),
-    e AS (SELECT m.ts_code, m.trade_date, segment, beta, seg_return - beta * market AS res FROM m JOIN bb ON bb.ts_code = m.ts_code AND bb.trade_date = m.trade_date)
-    SELECT ts_code, trade_date, {s('max(beta)', 6, 'beta')}, {s('CASE WHEN count(res) = 48 THEN sum(res) END', 6, 'mf_market_residual_return')}, {s('CASE WHEN count(res) FILTER (WHERE segment >= 42) = 6 THEN sum(res) FILTER (WHERE segment >= 42) END', 6, 'mf_tail30_market_residual_return')},
-        {s('CASE WHEN count(res) = 48 THEN sqrt(sum(res * res)) END', 6, 'mf_market_residual_rv')} FROM e GROUP BY ts_code, trade_date""")
+    e AS (SELECT m.ts_code, m.trade_date, m.day_index, segment, others, beta, seg_return - beta * market AS res FROM m JOIN bb ON bb.ts_code = m.ts_code AND bb.trade_date = m.trade_date),
+    ol AS (SELECT *, list_sort(list_filter(list(others) OVER (PARTITION BY ts_code, segment ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL)) AS old FROM e),
+    dn AS (SELECT *, CASE WHEN len(old) >= 10 AND others < 0 AND others < old[1 + CAST(floor((len(old) - 1) * 0.2) AS INT)] THEN res END AS down FROM ol),
+    a AS (SELECT ts_code, trade_date, day_index, max(beta) AS beta, CASE WHEN count(res) = 48 THEN sum(res) END AS whole, CASE WHEN count(res) FILTER (WHERE segment >= 42) = 6 THEN sum(res) FILTER (WHERE segment >= 42) END AS tail,
+        CASE WHEN count(res) = 48 THEN sqrt(sum(res * res)) END AS rv, CASE WHEN count(down) >= 3 THEN avg(down) END AS resilience FROM dn GROUP BY 1, 2, 3)
+    SELECT ts_code, trade_date, {s('beta', 6, 'beta')}, {s('whole', 6, 'mf_market_residual_return')}, {s('tail', 6, 'mf_tail30_market_residual_return')}, {s('rv', 6, 'mf_market_residual_rv')}, {s('resilience', 6, 'mf_market_down_resilience')},
+        {s('CASE WHEN count(rv) OVER w >= 10 AND stddev_samp(rv) OVER w > 1e-12 THEN (rv - avg(rv) OVER w) / stddev_samp(rv) OVER w END', 6, 'mf_market_residual_rv_z20')} FROM a WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def minute_market_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(minute.residual_features(minute.market_residuals(minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS))))
+    residuals = minute.market_residuals(minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS))
+    daily = minute.residual_features(residuals).join(minute.down_resilience(residuals), minute.DAY)
+    return _shown(daily.withColumn("mf_market_residual_rv_z20", panel.ring_z("mf_market_residual_rv", 20, 10)))
 
 
-@query(f"""WITH {SEG48_SQL}, q AS (SELECT *, (rank() OVER (PARTITION BY trade_date, segment ORDER BY round_even(seg_return, 10)) + (count(*) OVER (PARTITION BY trade_date, segment, round_even(seg_return, 10)) - 1) / 2.0 - 1) / nullif(count(*) OVER (PARTITION BY trade_date, segment) - 1, 0) AS q FROM sg),
+@query(f"""WITH {RET_SQL}, t AS (SELECT *, CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END AS move FROM mr),
+    u AS (SELECT *, CASE WHEN move >= 0 THEN amount ELSE -amount END AS signed FROM t WHERE move IS NOT NULL AND amount > 0 AND volume > 0),
+    g AS (SELECT ts_code, trade_date, day_index, sum(signed) / sum(amount) AS x, sum(signed) FILTER (WHERE minute_index >= bars - 30) / sum(amount) FILTER (WHERE minute_index >= bars - 30) AS y FROM u GROUP BY 1, 2, 3)
+    SELECT ts_code, trade_date, {s('x', 6, 'mf_signed_amount_imbalance')}, {s('y', 6, 'mf_tail30_signed_amount_imbalance')}, {s('CASE WHEN count(x) OVER w >= 10 AND stddev_samp(x) OVER w > 1e-12 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w END', 6, 'mf_signed_amount_imbalance_z20')}
+    FROM g WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+def minute_signed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = minute.signed_amounts(adapters.minute_bars(spark, sf_dir))
+    return _shown(daily.withColumn("mf_signed_amount_imbalance_z20", panel.ring_z("mf_signed_amount_imbalance", 20, 10)))
+
+
+@query(f"""WITH {MINUTE_SQL}, dy AS (SELECT ts_code, trade_date, day_index, arg_min(open, minute_index) AS o, arg_max(close, minute_index) AS c, max(close) FILTER (WHERE minute_index = 30) AS co, max(close) FILTER (WHERE minute_index = 40) AS cn, max(open) FILTER (WHERE minute_index = 41) AS op FROM minute GROUP BY 1, 2, 3),
+    g AS (SELECT *, ln(o / max(c) OVER (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) AS gap FROM dy),
+    l AS (SELECT *, list_filter(list(gap) OVER (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS last FROM g)
+    SELECT ts_code, trade_date, {s('CASE WHEN gap IS NOT NULL AND len(last) >= 5 THEN list_sum(last[-5:]) END', 6, 'mf_overnight_gap_sum_w5')}, {s('CASE WHEN gap >= 0 THEN -1 WHEN gap < 0 THEN 1 END * ln(co / o)', 6, 'mf_gap_open30_reversal')}, {s('ln(op / cn)', 6, 'mf_lunch_gap')} FROM l""")
+def minute_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of these bars are short, so the break is taken to come after bar 40."""
+    return _shown(minute.gap_features(adapters.minute_bars(spark, sf_dir), noon=40))
+
+
+@query(f"""WITH {SEG48_SQL}, q AS (SELECT *, (rank() OVER (PARTITION BY trade_date, segment ORDER BY round_even(seg_return, 10)) + (count(*) OVER (PARTITION BY trade_date, segment, round_even(seg_return, 10)) - 1) / 2.0 - 1) / nullif(count(*) OVER (PARTITION BY trade_date, segment) - 1, 0) AS q FROM sg WHERE seg_return IS NOT NULL),
     w AS (SELECT *, CASE WHEN segment <> 24 THEN max(q) OVER (PARTITION BY ts_code, trade_date ORDER BY segment RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS was FROM q)
     SELECT ts_code, trade_date, {s('CASE WHEN count(*) FILTER (WHERE q IS NOT NULL AND was IS NOT NULL) = 46 THEN count(*) FILTER (WHERE q >= 0.7 AND was >= 0.7) / 46 END', 6, 'mf_cs_rank_top30_persistence')},
         {s('CASE WHEN count(q) FILTER (WHERE segment >= 42) = 6 AND count(q) FILTER (WHERE segment < 6) = 6 THEN avg(q) FILTER (WHERE segment >= 42) - avg(q) FILTER (WHERE segment < 6) END', 6, 'mf_cs_rank_tail30_minus_open30')} FROM w GROUP BY ts_code, trade_date""")

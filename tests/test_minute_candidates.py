@@ -60,3 +60,28 @@ def test_means_and_z_look_only_at_earlier_sessions(spark):
     got = {x.day_index: x for x in minute.prior_means(daily.withColumn("z", minute.prior_z("x")), {"x": "m"}).collect()}
     assert got[10].m is None and got[10].z is None and got[11].m == 5.5 and got[24].m == 13.5
     assert got[24].z == pytest.approx((24 - 13.5) / np.std(np.arange(4, 24), ddof=1))
+
+
+def test_gaps_and_signed_amounts(days):
+    raw, bars = days
+    gaps, signed = ({x.day_index: x for x in f(bars).collect()} for f in (minute.gap_features, minute.signed_amounts))
+    jumps = [np.log(b[0][0] / a[0][-1]) for a, b in zip(raw, raw[1:], strict=False)]
+    for day, (close, volume) in enumerate(raw, 1):
+        before, amount = np.append(close[0], close[:-1]), close * volume
+        sign = np.where(close >= before, 1, -1)
+        sign[121] = 1 if close[121] >= before[121] else -1  # these bars open at the close before them
+        assert signed[day].mf_signed_amount_imbalance == pytest.approx((sign * amount)[1:].sum() / amount[1:].sum())
+        assert signed[day].mf_tail30_signed_amount_imbalance == pytest.approx((sign * amount)[-30:].sum() / amount[-30:].sum())
+        if day < 6:
+            assert gaps[day].mf_overnight_gap_sum_w5 is None
+        else:
+            assert gaps[day].mf_overnight_gap_sum_w5 == pytest.approx(sum(jumps[day - 6 : day - 1]))
+        if day > 1:
+            assert gaps[day].mf_gap_open30_reversal == pytest.approx(-(1 if jumps[day - 2] >= 0 else -1) * np.log(close[30] / close[0]))
+        assert gaps[day].mf_lunch_gap == pytest.approx(0)
+
+
+def test_resilience_takes_segments_below_a_fifth_of_the_prior_ones(spark):
+    rows = [("A", datetime.date(2026, 1, d), d, k, float(d if d < 12 else -1 - k), 0.5 + k) for d in range(1, 13) for k in range(3)]
+    got = {x.day_index: x.mf_market_down_resilience for x in minute.down_resilience(spark.createDataFrame(rows, "ts_code string, trade_date date, day_index int, segment int, others double, residual double")).collect()}
+    assert got[12] == 1.5 and all(got[d] is None for d in range(1, 12))

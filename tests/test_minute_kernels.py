@@ -92,7 +92,10 @@ def test_known_values():
     d, f = k.dos(o, h, low, c, v, c * v), k.flow(o, h, low, c, v, c * v)
     assert d["consist_volume"] == 0.5 and math.isnan(d["positive_consist_volume"])
     assert abs(d["single_vol_prop_entropy"] + sum(x / 4 * math.log(x / 4) for x in c / c.sum())) < 1e-12
-    assert abs(f["signed_amount_imbalance"] - 23 / 44) < 1e-12 and f["traded_volume_above_close_share"] == 0.0
+    # the first bar stays out and an unchanged price counts as one upwards
+    assert f["signed_amount_imbalance"] == 1.0 and f["traded_volume_above_close_share"] == 0.0
+    c = np.array([10.0, 11, 10, 10])
+    assert abs(k.flow(c, c, c, c, v, c * v)["signed_amount_imbalance"] - 11 / 31) < 1e-12
 
 
 def test_complete_sessions_only(spark):
