@@ -2,8 +2,10 @@
 
 Log-odds of words and of word beginnings, with a Dirichlet prior in proportion to the whole sample, come from
 labelled documents. In every text, all maximal segments of positive score are found in one linear scan. How far a
-segment stands out is measured against the extreme-value law that segments of clean text follow. The law and the
-curve from evidence to probability are fitted on labelled documents that the log-odds have not seen.
+segment stands out is measured against the extreme-value law that segments of clean text follow. The law takes words
+to be independent; so it, and a document's score, rest on segments for which each further time that a text has a word
+its log-odds count half as much as the time before. The law and the curve from evidence to probability are fitted on
+labelled documents that the log-odds have not seen.
 """
 
 from __future__ import annotations
@@ -123,21 +125,35 @@ def learn(df: DataFrame, known: DataFrame) -> dict[bytes, float]:
     return {bytes(x["unit"]): float(x["odds"]) for x in rows}
 
 
+def halved(t: list[bytes], s: np.ndarray) -> np.ndarray:
+    """The scores with the log-odds of a word's further occurrences in the text halved each time."""
+    s = s.copy()
+    seen: Counter = Counter()
+    for i in np.flatnonzero(s > 0).tolist():
+        word = t[i].strip(_STRIP)
+        if k := seen[word]:
+            s[i] = (s[i] + DRIFT) * 0.5**k - DRIFT
+        seen[word] += 1
+    return s
+
+
 def find(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, n_tokens, and of all maximal segments their first tokens, the tokens after their last, and scores."""
-    fields = [("doc_id", df.schema["doc_id"].dataType.simpleString()), ("n_tokens", "bigint"), ("first", "array<int>"), ("after", "array<int>"), ("points", "array<double>")]
+    """doc_id, n_tokens, and of all maximal segments their first tokens, the tokens after their last, and scores; fresh: scores of the segments with repeats halved."""
+    fields = [("doc_id", df.schema["doc_id"].dataType.simpleString()), ("n_tokens", "bigint"), ("first", "array<int>"), ("after", "array<int>"), ("points", "array<double>"), ("fresh", "array<double>")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = lexicon.__getitem__
         for batch in batches:
-            sizes, found = [], []
+            sizes, found, fresh = [], [], []
             for text in batch.column("text").to_pylist():
                 t = tokens(text)
                 sizes.append(len(t))
                 s = np.fromiter(map(score, t), float, len(t))
-                found.append(segments(s) if len(t) and s.max() > 0 else [])
+                some = len(t) and s.max() > 0
+                found.append(segments(s) if some else [])
+                fresh.append([p for *_, p in segments(halved(t, s))] if some else [])
             columns = [pa.array([[x[i] for x in f] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *columns], names=[k for k, _ in fields])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *columns, pa.array(fresh, pa.list_(pa.float64()))], names=[k for k, _ in fields])
 
     return df.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields))
 
@@ -177,24 +193,39 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self.a * np.log1p(evidence) + self.b, -40, 40)))
 
 
+def fit_law(seen: Counter, size: int) -> Calibration:
+    """The law from how many segments of each score clean text of so many tokens has.
+
+    Log-odds alone make the decay 1 at least where words are independent and labels right. The highest segments that
+    pull it below that are of other text (one of them can flatten the whole law), and are left out.
+    """
+
+    def root() -> float:
+        return decay(Counter({-DRIFT: max(size - sum(seen.values()), 1)}) + seen)
+
+    seen = Counter(seen)
+    while (shape := root()) < 1 and seen:
+        del seen[max(seen)]
+    shape = min(shape, 2.0)
+    # rate: from how many segments clean text has of each score, by the mean of exp(shape * s), which the law makes constant
+    rate = sum(n * math.exp(min(shape * s, 50)) for s, n in seen.items()) / len(seen) / max(size, 1) if seen else 0.0
+    return Calibration(shape, max(rate, 1.0 / max(size, 1)))
+
+
 def calibrate(found: DataFrame, known: DataFrame) -> Calibration:
     """Fit the law to clean documents of the calibration fold and the curve to all of it; both need only small histograms."""
-    sample = common.cut(found.join(F.broadcast(known), "doc_id").select("n_tokens", "points", "y"))
+    sample = common.cut(found.join(F.broadcast(known), "doc_id").select("n_tokens", "fresh", "y"))
     total = sample.agg(F.sum("n_tokens")).first()[0]
     if not total:
         return Calibration()
     clean = sample.where("y < 0.5")
-    tokens_, docs = clean.agg(F.sum("n_tokens"), F.count("*")).first()
-    seen = Counter({round(float(x["s"]), 1): x["n"] for x in clean.select(F.explode("points").alias("p")).groupBy(F.round("p", 1).alias("s")).agg(F.count("*").alias("n")).collect()})
-    quiet = max((tokens_ or 0) - sum(seen.values()), 1)
-    shape = min(decay(Counter({-DRIFT: quiet}) + seen), 2.0)
-    # rate: from how many segments clean text has of each score, by the mean of exp(shape * s), which the law makes constant
-    rate = sum(n * math.exp(min(shape * s, 50)) for s, n in seen.items()) / max(len(seen), 1) / max(tokens_ or 1, 1) if seen else 1.0 / max(tokens_ or 1, 1)
-    law = Calibration(shape, max(rate, 1.0 / max(tokens_ or 1, 1)))
+    size = clean.agg(F.sum("n_tokens")).first()[0] or 0
+    seen = Counter({round(float(x["s"]), 1): x["n"] for x in clean.select(F.explode("fresh").alias("p")).groupBy(F.round("p", 1).alias("s")).agg(F.count("*").alias("n")).collect()})
+    law = fit_law(seen, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = [sum(law.each(n, p or [])) for n, p in zip(batch.column("n_tokens").to_pylist(), batch.column("points").to_pylist(), strict=True)]
+            e = [sum(law.each(n, p or [])) for n, p in zip(batch.column("n_tokens").to_pylist(), batch.column("fresh").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(np.round(np.log1p(e), 2), 20)), batch.column("y")], names=["e", "y"])
 
     rows = sample.mapInArrow(run, "e double, y double").groupBy("e").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
@@ -225,6 +256,7 @@ def calibrate(found: DataFrame, known: DataFrame) -> Calibration:
 def scores(df: DataFrame, labels: DataFrame, label: str = "toxic", train_where: str = "true", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, score (0 to 1), predicted (1 from threshold on), passages (first token, token after the last, points, evidence).
 
+    Passages are whole, each with its evidence taken alone; the score counts a word's repeats less.
     Learns from at most about `sample` labelled rows that train_where (over doc_id) admits; several labels of a
     document are averaged. Of these, those whose crc32 of the id gives 4 modulo 5 calibrate, the others make the
     lexicon; where either part lacks one of the labels, all of them serve both. Null and empty texts have no tokens and no passages. Null and repeated doc_ids and
@@ -247,9 +279,9 @@ def scores(df: DataFrame, labels: DataFrame, label: str = "toxic", train_where:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, shown = [], []
-            for m, first, after, points in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "first", "after", "points")), strict=True):
+            for m, first, after, points, fresh in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "first", "after", "points", "fresh")), strict=True):
                 each = law.each(m, points)
-                total.append(sum(each))
+                total.append(sum(law.each(m, fresh)))
                 shown.append([{"first": a, "after": b, "points": p, "evidence": v} for a, b, p, v in zip(first, after, points, each, strict=True) if v > 0])
             s = law.score(np.array(total))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array(shown, pa.list_(passage))], names=["doc_id", "n_tokens", "score", "predicted", "passages"])

@@ -252,6 +252,50 @@ def test_toxicity_equals_brute_force(labelled):
     assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
 
 
+def test_one_clean_text_that_repeats_a_word_does_not_flatten_the_law(spark):
+    """Long toxic texts, whose passages stand out against chance only under the law of the other clean texts, are still caught."""
+    random.seed(9)
+    fold = lambda d: crc32(str(d).encode()) % 5
+    rows, labels, some = [], [], 0
+    for d in range(500):
+        words = random.choices([f"word{i}" for i in range(200)], k=random.choice([100, 1500]))
+        if toxic := d % 5 == 0:
+            for k in range(0, len(words), 50):
+                words[k] = random.choice(["scumbag", "moronic", "idiotic"])
+            if some < 12 and fold(d) not in (0, 4):  # a word that a few toxic texts of the lexicon's part have by chance
+                words[-1] = "harmless"
+                some += 1
+        rows.append((d, " ".join(words)))
+        labels.append((d, int(toxic)))
+    odd = [d for d, y in labels if fold(d) == 4 and not y][0]
+    rows[odd] = (odd, " ".join(["harmless"] * 400))
+    got = {r.doc_id: r.predicted for r in toxicity.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), "toxic", queries.TRAIN).collect()}
+    assert some == 12 and got == dict(labels)
+
+
+def test_segments_of_other_text_are_left_out_of_the_law():
+    seen = Counter({0.2: 300, 0.9: 120, 1.9: 30, 3.1: 4})
+    law, with_one = toxicity.fit_law(seen, 2_000_000), toxicity.fit_law(seen + Counter({56.3: 1}), 2_000_000)
+    assert (with_one.shape, with_one.rate) == (law.shape, law.rate) and law.shape > 1
+    assert toxicity.fit_law(Counter({40.0: 3}), 100).shape == 1 == toxicity.fit_law(Counter(), 0).shape
+
+
+def test_further_occurrences_of_a_word_count_less():
+    t = [b"idiot", b"so", b"idiot!", b"fool", b"(idiot)"]
+    got = toxicity.halved(t, np.array([4.0, -2.0, 4.0, 1.0, 4.0])) + toxicity.DRIFT
+    assert got.tolist() == [6.0, 0.0, 3.0, 3.0, 1.5]
+
+
+def test_passages_hold_every_repeat_of_a_word(spark, labelled):
+    docs, labels = labelled
+    words = [f"word{i % 200}" for i in range(400)]
+    words[::50] = ["idiotic"] * 8
+    every = docs.unionByName(spark.createDataFrame([(9999, " ".join(words))], docs.schema))
+    row = toxicity.scores(every, labels).where("doc_id = 9999").first()
+    inside = {i for p in row.passages for i in range(p["first"], p["after"])}
+    assert row.predicted == 1 and set(range(0, 400, 50)) <= inside
+
+
 def test_passages_are_where_the_words_are(labelled):
     docs, labels = labelled
     for r in toxicity.scores(docs, labels).where("predicted = 1").join(docs, "doc_id").limit(20).collect():
