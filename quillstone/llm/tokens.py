@@ -5,26 +5,49 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Words and other pieces that a worker remembers, and the longest of them in characters. All bound memory only: others are encoded anew.
-REMEMBERED_WORDS, REMEMBERED_PIECES, LONGEST = 400_000, 100_000, 48
+#: Words and other pieces that a worker remembers, the longest of them in characters, and bytes that tell what came before. All bound memory only: others are encoded anew.
+REMEMBERED_WORDS, REMEMBERED_PIECES, LONGEST, SEEN = 400_000, 100_000, 48, 1 << 22
 #: A space before something that is no white space; a byte-level pre-tokenizer always starts a token there.
 _BEFORE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 #: The public split pattern of byte-level BPE (fixed value).
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_MARKS = frozenset(".,!?;:|")
+_MARKS = string.punctuation
+#: The time from which on a word that falls into remembered parts is itself remembered; until then, its places are for parts.
+AGAIN = 4
+
+
+class _Memory(dict):
+    """Remembers what comes first, up to half of its places; the other half is for what comes often enough, as most rare words never do."""
+
+    def __init__(self, places: int):
+        self.places, self.seen = places, bytearray(SEEN)
+
+    def keep(self, text: str, ids: bytes, times: int = 2, free: int = 2) -> bytes:
+        """ids, remembered from the given time on that text comes, or at once while a part 1 / free of the places isn't taken."""
+        n = len(self)
+        if n < self.places and len(text) <= LONGEST:
+            if free and free * n < self.places:
+                self[text] = ids
+            elif (count := self.seen[at := hash(text) % SEEN] + 1) >= times:
+                self[text] = ids
+            else:
+                self.seen[at] = count
+        return ids
 
 
-class _Tokens(dict):
+class _Tokens(_Memory):
     """The ids of a pre-token, by the library's model; remembered up to a number."""
 
     def __init__(self, tokenizer):
+        super().__init__(REMEMBERED_PIECES)
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenize = tokenizer.model.tokenize
@@ -36,38 +59,43 @@ class _Tokens(dict):
                 self.shown[byte] = seen
         #: Whether printable ASCII but the space is shown as it is; then a word needs no look at its bytes.
         self.as_is = all(self.shown[b] == chr(b) for b in range(0x21, 0x7F))
+        self.bytes_of = [struct.pack("<I", x) for x in range(max(tokenizer.get_vocab().values(), default=0) + 1)]
 
     def ids(self, piece: str) -> bytes:
         if self.as_is and piece.isascii() and piece.isprintable():
             shown = piece.replace(" ", self.shown[0x20])
         else:
             shown = piece.encode().decode("latin-1").translate(self.shown)
-        found = [x.id for x in self.tokenize(shown)]
-        return struct.pack(f"<{len(found)}I", *found)
+        return b"".join([self.bytes_of[x.id] for x in self.tokenize(shown)])
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.ids(piece)
-        if len(self) < REMEMBERED_PIECES and len(piece) <= LONGEST:
-            self[piece] = ids
-        return ids
+        return self.keep(piece, self.ids(piece))
+
 
+class _Words(_Memory):
+    """The ids of a word with the space before it; remembered up to a number.
 
-class _Words(dict):
-    """The ids of a word with the space before it; remembered up to a number."""
+    Without the pattern, two kinds of words fall into parts: letters with ASCII marks after them, and what one line
+    break between characters other than white space parts, for no pre-token reaches over it.
+    """
 
     def __init__(self, tokens: _Tokens):
+        super().__init__(REMEMBERED_WORDS)
         self.tokens = tokens
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
-            ids = self.tokens.ids(" " + word)
-        elif word[-1:] in _MARKS and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.tokens[word[-1]]
-        else:
-            ids = b"".join(map(self.tokens.__getitem__, _SPLIT.findall(" " + word)))
-        if len(self) < REMEMBERED_WORDS and len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+            return self.keep(word, self.tokens.ids(" " + word))
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            return self.keep(word, self[core] + self.tokens[word[len(core) :]], AGAIN, 0)
+        line, _, rest = word.partition("\n")
+        if rest and line and not line[-1].isspace() and not rest[0].isspace():
+            after = self.tokens[rest] if rest.isalpha() else b"".join(map(self.tokens.__getitem__, _SPLIT.findall(rest)))
+            return self.keep(word, self[line] + self.tokens["\n"] + after, AGAIN, 0)
+        first, *others = _SPLIT.findall(" " + word)
+        ids = self[first[1:]] if first[1:].isalpha() else self.tokens[first]
+        return self.keep(word, ids + b"".join(map(self.tokens.__getitem__, others)))
 
 
 class Encoder:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillstone.llm import common, packing, token_output
+from quillstone.llm import common, packing, token_output, tokens
 from quillstone.llm.tokens import Encoder
 
 
@@ -99,3 +99,21 @@ def test_packed_pieces_fill_sequences_without_gaps(spark, odd, tokenizer):
 
 def test_packing_of_nothing(spark, empty, tokenizer):
     assert packing.pack(empty, tokenizer).count() == 0
+
+
+def test_words_that_come_once_dont_take_the_places_of_those_that_come_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", 100)
+    e = Encoder(tokenizer)
+    letters = [chr(97 + i) + chr(97 + j) + chr(97 + k) for i in range(26) for j in range(26) for k in range(26)]
+    e.encode(["x " + " ".join(letters[:2000])])
+    e.encode(["x zebra apple, zebra apple, zebra"] * 9)
+    assert {"zebra", "apple,"} <= e.words.keys() and len(e.words) <= 100
+
+
+def test_words_in_parts_equal_the_library(tokenizer):
+    e, plain = Encoder(tokenizer), Tokenizer.from_file(tokenizer)
+    random.seed(8)
+    parts = ["that", "É", "ǅ", "9", "'s", "'", "\n", "\n\n", "\x1c", "\x85", " ", "　", ".", "$$", "…", "́", "Ⅷ", "_"]
+    texts = ["a " + "".join(random.choices(parts, k=random.randint(1, 6))) + random.choice([" b", "", " ", "\n"]) for _ in range(5000)]
+    for _ in range(2):  # anew, then partly remembered
+        assert all(np.frombuffer(x, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t, x in zip(texts, e.encode(texts), strict=True))
