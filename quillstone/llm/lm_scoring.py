@@ -5,7 +5,8 @@ predicts the next one; within a class the softmax over words has their log count
 counts of all words but no table of them in the network. Frequent words are classes of their own; the others share
 classes by their last letters and the mark after them. Each class has one place for words never seen in training.
 
-Counts cover all training documents. The network learns by truncated backpropagation through time: a warm start on
+Counts cover all training documents. Words are split, counted and looked up by Arrow's kernels; one pass writes each
+document's class ids (a byte a token), from which the network learns and scores. The network learns by truncated backpropagation through time: a warm start on
 whole texts of a bounded sample on the driver, then one pass over all training documents, in which every partition
 trains on its own documents from the same start, and the results are averaged by tokens (so the parameters depend on
 how the table is partitioned). Scoring carries the state through each whole document. Words beyond the bounded table
@@ -18,30 +19,35 @@ import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
 
-#: Words that tasks know by heart (the most frequent), classes, those of a single word, units of the network, tokens in a training window and its lanes, seed.
+#: Words that tasks know by heart (the most frequent), classes (256 at most, for ids are bytes), those of a single word, units of the network, tokens in a training window and its lanes, seed.
 TABLE, CLASSES, SINGLES, UNITS, STEPS, LANES, SEED = 1 << 18, 128, 64, 16, 16, 256, 5
 #: Documents of the warm start and characters of them in all (whole texts only); passes over them. Rates of the warm start and of the pass over all documents.
 WARM, WARM_CHARS, WARM_PASSES, WARM_RATE, RATE = 512, 4_000_000, 4, 0.01, 0.004
 #: Tokens that a task scores at a time (more only where one document alone has more), and lanes in which their documents lie.
 CHUNK, ROWS = 1_500_000, 384
-#: Rows of class probabilities that are computed at a time.
-BLOCK = 1024
+#: Rows of class probabilities that are computed at a time. Bytes of words that a task counts at a time.
+BLOCK, COUNTED = 1024, 64 << 20
 END, LONGEST, _MARKS = b" ", 32, b".,!?;:|"
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs of everything but ASCII white space; a null text has none."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) runs of everything but ASCII white space, of all texts in a row, and how many each has; a null text has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, cuts = split.flatten(), split.offsets.to_numpy()
+    some = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy() > 0)])  # white space at either end leaves empty words
+    if some[-1] < len(flat):
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat.cast(pa.large_binary() if pa.types.is_large_string(flat.type) else pa.binary()).cast(pa.binary()), np.diff(some[cuts - cuts[0]])
 
 
 def key(word: bytes) -> bytes:
@@ -49,6 +55,12 @@ def key(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else b" " + hashlib.sha256(word).digest()
 
 
+def keys(found: pa.Array) -> pa.Array:
+    """The key of each word."""
+    long = pc.greater(pc.binary_length(found), LONGEST)
+    return pc.replace_with_mask(found, long, pa.array(map(key, found.filter(long).to_pylist()), pa.binary())) if pc.any(long).as_py() else found
+
+
 def ending(word: bytes) -> bytes:
     """The kind of mark after the word, and its last two bytes before it."""
     core = word.rstrip(_MARKS)
@@ -277,22 +289,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (key) and its count over all documents, the end among them; each task adds up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            short = Counter()
-            for w, n in counts.items():
-                short[key(w)] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(short), pa.binary()), pa.array(list(short.values()), pa.int64())], names=["word", "n"])
+        def rows(held: list[pa.Array]) -> pa.RecordBatch:
+            counts = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([keys(counts.field("values")), counts.field("counts")], names=["word", "n"])
 
-        counts: Counter = Counter()
+        held, size, docs_ = [], 0, 0
         for batch in batches:
-            counts[END] += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                counts.update(words(text))
-                if len(counts) > 400_000:
-                    yield rows(counts)
-                    counts.clear()
-        if counts:
-            yield rows(counts)
+            docs_ += batch.num_rows
+            held.append(words(batch.column("text"))[0])
+            size += held[-1].nbytes
+            if size > COUNTED:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+        if docs_:
+            yield pa.RecordBatch.from_pydict({"word": pa.array([END], pa.binary()), "n": pa.array([docs_], pa.int64())})
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -345,24 +357,36 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
     room = np.where(single, np.maximum(tokens_in + 1, 1), tokens_in + words_in + 1)  # a single word's class holds it for certain
     start = np.log((tokens_in + 0.5) / (tokens_in.sum() + 0.5 * classes.size))
 
-    heard = list(table)  # the words of the table, with their classes and log counts in the same order
-    classes_of, points_of = np.array([classes[w] for w in heard], np.int64), np.log10(np.array([table[w] for w in heard], float) + 1)
-    known = _KnownClasses(heard, classes_of, classes)
+    known = _Known(pa.array(list(table), pa.binary()), classes, np.log10(np.array(list(table.values()), float) + 1))
     net = Network(classes.size, UNITS, start)
     if drawn := common.drawn(learnt, "doc_id", "text", WARM, WARM_CHARS):
-        warm, trainer = np.concatenate([known.ids(words(x["text"])) for x in drawn]), Trainer(net, WARM_RATE)
+        warm, trainer = known.read(pa.array([x["text"] for x in drawn], pa.string()))[0].astype(np.int64), Trainer(net, WARM_RATE)
         for _ in range(WARM_PASSES):
             trainer.run(warm, 64)
-    shared = spark.sparkContext.broadcast((heard, classes_of, classes, net.flat()))
+    shared = spark.sparkContext.broadcast((known, classes.size, net.flat(), np.log10(room)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, row = shared.value[0], TaskContext.get().partitionId() << 40
+        for batch in batches:
+            seq, sizes, points, rare, n_rare = own.read(batch.column("text"))
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            n_known = sizes - n_rare - (0 if own.end >= 0 else 1)
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(seq)])
+            rares = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), rare)
+            columns = [pa.array(row + np.arange(len(sizes))), batch.column("doc_id"), batch.column("learnt"), pa.array(sizes), pa.array(n_known), pa.array(points), ids, rares]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "learnt", "n_tokens", "n_known", "points", "ids", "rare"])
+            row += len(sizes)
+
+    flagged = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.expr(train), F.lit(True)).alias("learnt"))
+    encoded = common.cut(flagged.mapInArrow(read, "row bigint, doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, points double, ids binary, rare array<binary>"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *known_, cl, flat = shared.value
-        own = _KnownClasses(*known_, cl)
-        trainer = Trainer(Network(cl.size, UNITS).load(flat.copy()), RATE)
+        _, size, flat, _ = shared.value
+        trainer = Trainer(Network(size, UNITS).load(flat.copy()), RATE)
         done, held, waiting = 0, [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(own.ids(words(text)))
+            for ids in batch.column("ids"):
+                held.append(np.frombuffer(ids.as_buffer(), np.uint8).astype(np.int64))
                 waiting += len(held[-1])
                 if waiting > 1_000_000:
                     trainer.run(np.concatenate(held))
@@ -374,53 +398,38 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
             v = np.append(trainer.net.flat().astype(float), 1.0) * done
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()]), "v": pa.array([v], pa.list_(pa.float64()))})
 
-    summed = common.add_arrays(learnt.select("text").mapInArrow(learn, "part bigint, v array<double>"), "v", "part")
+    summed = common.add_arrays(encoded.where("learnt").select("ids").mapInArrow(learn, "part bigint, v array<double>"), "v", "part")
     flat = net.flat() if summed is None else (summed[:-1] / summed[-1]).astype(np.float32)
-    final = spark.sparkContext.broadcast((heard, classes_of, points_of, classes, flat, np.log10(room)))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("points", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
+    final = spark.sparkContext.broadcast(flat)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("points", pa.float64()), ("model", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_table, class_of, points, cl, flat_, rooms = final.value
-        trained, index = Network(cl.size, UNITS).load(flat_), dict(zip(in_table, range(len(in_table)), strict=True))
-        class_of, points = np.append(class_of, 0), np.append(points, 0.0)  # the last place stands for words beyond the table
-        end = END in index
-        end_points = float(points[index[END]]) if end else 0.0
-        row, held, seqs, waiting = TaskContext.get().partitionId() << 40, [], [], 0
+        _, size, _, rooms = shared.value
+        trained = Network(size, UNITS).load(final.value)
+        held, seqs, waiting = [], [], 0
 
         def flush() -> pa.RecordBatch:
             model = score_documents(trained, seqs) / np.log(10) - [rooms[s].sum() for s in seqs]
-            cols = [*zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols[:5], model, cols[5]], schema.types, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*held, strict=True), model], schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = words(text)
-                at = np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w))
-                seq = np.zeros(len(w) + 1, np.int64)
-                seq[:-1] = class_of[at]
-                rare = []
-                for j in np.flatnonzero(at < 0).tolist():
-                    k = key(w[j])
-                    seq[j] = cl[k]
-                    at[j] = index.get(k, -1) if len(w[j]) > LONGEST else -1
-                    if at[j] < 0:
-                        rare.append(k)
+            for *row, ids in zip(*(batch.column(x).to_pylist() for x in schema.names[:-1]), batch.column("ids"), strict=True):
+                seq = np.frombuffer(ids.as_buffer(), np.uint8).astype(np.int64)
                 if held and waiting + len(seq) > CHUNK:
                     yield flush()
                     held.clear()
                     seqs.clear()
                     waiting = 0
-                held.append((row, doc, len(w) + 1, len(w) - len(rare) + end, float(points[at].sum()) + end_points, rare))
+                held.append(row)
                 seqs.append(seq)
-                row += 1
                 waiting += len(seq)
         if held:
             yield flush()
 
-    scored = common.cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, points double, model double, rare array<binary>"))
-    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word")
+    scored = encoded.drop("learnt", "rare").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, points double, model double")
+    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("p"))
-    out = scored.drop("rare").join(rare, "row", "left").na.fill({"k": 0, "p": 0.0})
+    out = scored.join(rare, "row", "left").na.fill({"k": 0, "p": 0.0})
     points = F.col("points") + F.col("p")
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"),
@@ -428,17 +437,28 @@ def score(df: DataFrame, train: str = "true") -> DataFrame:
     )
 
 
-class _KnownClasses(dict):
-    """Word -> class for the words that tasks know by heart; others by their endings."""
-
-    def __init__(self, heard: list[bytes], classes_of: np.ndarray, classes: Classes):
-        self.classes = classes
-        super().__init__(zip(heard, classes_of.tolist(), strict=True))
-
-    def __missing__(self, word: bytes) -> int:
-        return self.classes[key(word)]
-
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(tokens) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return out
+class _Known:
+    """The words that tasks know by heart, with their classes and points; others have their classes by their endings."""
+
+    def __init__(self, heard: pa.Array, classes: Classes, points: np.ndarray):
+        self.heard, self.classes = heard, classes
+        listed = heard.to_pylist()
+        self.end = listed.index(END) if END in listed else -1
+        # the last place stands for words beyond the table
+        self.class_of, self.points = np.array([*(classes[w] for w in listed), 0], np.uint8), np.append(points, 0.0)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Class ids of all texts in a row, each with its end; tokens of each text, and points of those known by heart; the others of all texts in a row, and how many each has."""
+        found, n = words(texts)
+        found, sizes = keys(found), n + 1
+        ends = np.cumsum(sizes) - 1
+        at = np.full(int(sizes.sum()), self.end)
+        word = np.ones(len(at), bool)
+        word[ends] = False
+        at[word] = places = pc.index_in(found, value_set=self.heard).fill_null(-1).to_numpy()
+        seq, beyond = self.class_of[at], np.flatnonzero(places < 0)
+        rare = found.take(pa.array(beyond))
+        seq[np.flatnonzero(word)[beyond]] = [self.classes[w] for w in rare.to_pylist()]
+        seq[ends] = 0
+        points = np.add.reduceat(self.points[at], ends - n) if len(n) else np.zeros(0)
+        return seq, sizes, points, rare, np.bincount(np.searchsorted(np.cumsum(n), beyond, side="right"), minlength=len(n))

@@ -1,15 +1,17 @@
 import math
 import random
+import re
 import time
 import tracemalloc
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import lm_scoring, quality, queries, toxicity
+from quillstone.llm import common, lm_scoring, quality, queries, toxicity
 
 
 def corpus(n, seed=0):
@@ -317,3 +319,31 @@ def test_classifier_edges(spark, odd, labelled):
     assert len(tox) == odd.count() and all(0 <= r.score <= 1 for r in tox)
     assert toxicity.scores(odd.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.scores(odd, none).collect()} == {0.5}
+
+
+def test_words_and_classes_equal_a_plain_reading():
+    texts = ["  The\x0bthe THE.\t", None, "", " \n", "É É\x1cx\x85y\xa0z\x00 ß", "w" * 40 + " a " + "w" * 33, "unseen, unseen.", "a"]
+    pattern = re.compile(rb"[^\x20\x09-\x0D]+")
+    lists = [pattern.findall((t or "").encode().lower()) for t in texts]
+    for array in (pa.array(texts), pa.array([*texts, *texts]).slice(len(texts)), pa.array(texts, pa.large_string())):
+        found, n = lm_scoring.words(array)
+        assert found.to_pylist() == [w for ws in lists for w in ws] and n.tolist() == [len(ws) for ws in lists]
+    classes = lm_scoring.Classes([b"the", b"a"], [b"2en", b"0ww"])
+    heard = {b"the": 2.0, b"a": 1.5, lm_scoring.key(b"w" * 40): 1.0, lm_scoring.END: 0.5}
+    for end in (True, False):
+        table = {w: x for w, x in heard.items() if end or w != lm_scoring.END}
+        known = lm_scoring._Known(pa.array(list(table), pa.binary()), classes, np.array(list(table.values())))
+        seq, sizes, points, rare, n_rare = known.read(pa.array(texts))
+        by_key = [[lm_scoring.key(w) for w in ws] for ws in lists]
+        assert seq.tolist() == [c for ws in by_key for c in [*(classes[w] for w in ws), 0]] and sizes.tolist() == [len(ws) + 1 for ws in by_key]
+        assert np.allclose(points, [sum(table.get(w, 0) for w in [*ws, lm_scoring.END]) for ws in by_key])
+        assert rare.to_pylist() == [w for ws in by_key for w in ws if w not in table] and n_rare.tolist() == [sum(w not in table for w in ws) for ws in by_key]
+
+
+def test_words_are_looked_up_once_for_learning_and_scoring(spark, monkeypatch):
+    written, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: written.append(cut(df)) or written[-1])
+    docs = spark.createDataFrame(corpus(40), "doc_id bigint, text string")
+    lm_scoring.score(docs, "doc_id > 3").collect()
+    ids = {r.doc_id: r for df in written if "ids" in df.columns for r in df.collect()}
+    assert len(ids) == 40 and all(len(r.ids) == r.n_tokens and r.ids[-1] == 0 and r.learnt == (r.doc_id > 3) for r in ids.values())
