@@ -80,14 +80,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: i
             at = len(MAGIC)
             yield MAGIC
             for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    part = batch.slice(i, 500)
-                    for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist()), strict=True):
-                        frame = squeeze.compress(_pack(ids + end, width))
-                        for k, v in zip(index, (doc, at, len(frame), len(ids) // 4 + 1), strict=True):
-                            index[k].append(v)
-                        at += len(frame)
-                        yield frame
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
+                    frame = squeeze.compress(_pack(ids + end, width))
+                    for k, v in zip(index, (doc, at, len(frame), len(ids) // 4 + 1), strict=True):
+                        index[k].append(v)
+                    at += len(frame)
+                    yield frame
             about = zstandard.ZstdCompressor().compress(json.dumps({"dictionary": digest, "width": width, "tokens": sum(index["n_tokens"]), **index}).encode())
             yield about + len(about).to_bytes(8, "little") + MAGIC
 

@@ -10,6 +10,8 @@ import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words and other pieces that a worker remembers, the longest of them in characters, and bytes that tell what came before. All bound memory only: others are encoded anew.
@@ -20,6 +22,8 @@ _ODD = re.compile(r" (?!\S)")
 #: The public split pattern of byte-level BPE (fixed value).
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _MARKS = string.punctuation
+#: Characters of texts whose words are looked up together.
+TOGETHER = 4_000_000
 #: The time from which on a word that falls into remembered parts is itself remembered; until then, its places are for parts.
 AGAIN = 4
 
@@ -126,15 +130,42 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
-        return [self._one(x) if x else b"" for x in texts]
-
-    def _one(self, text: str) -> bytes:
-        if not self.plain or any(x in text for x in self.special):
-            return self.whole(text)
-        words = _BEFORE.split(text) if _ODD.search(text) else text.split(" ")
-        first = words.pop(0)
-        head = b"".join(map(self.tokens.__getitem__, _SPLIT.findall(first))) if first else b""
-        return head + b"".join(map(self.words.__getitem__, words))
+        out, held, size = [b""] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.plain or any(x in text for x in self.special):
+                out[i] = self.whole(text)
+            elif _ODD.search(text):
+                first, *words = _BEFORE.split(text)
+                out[i] = self.head(first) + b"".join(map(self.words.__getitem__, words))
+            else:
+                held.append(i)
+                size += len(text)
+                if size > TOGETHER:
+                    self.together(texts, held, out)
+                    held, size = [], 0
+        if held:
+            self.together(texts, held, out)
+        return out
+
+    def head(self, first: str) -> bytes:
+        """The ids of what comes before the first such space."""
+        return b"".join(map(self.tokens.__getitem__, _SPLIT.findall(first))) if first else b""
+
+    def together(self, texts: list[str | None], places: list[int], out: list[bytes]) -> None:
+        """Texts without odd spaces: each distinct word of them all is looked up once, and its ids are copied to wherever it stands."""
+        split = pc.split_pattern(pa.array([texts[i] for i in places], pa.large_string()), " ")
+        found, cuts = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        at = found.indices.to_numpy()
+        ids = list(map(self.words.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(n)
+        copied = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1]) + np.repeat(begins[at] - (ends - n), n)]
+        for i, a, b in zip(places, ends[cuts[:-1]].tolist(), ends[cuts[1:] - 1].tolist(), strict=True):
+            text = texts[i]
+            out[i] = self.head(text[: text.find(" ")] if " " in text else text) + copied[a:b].tobytes()  # a first word has no space before it
 
 
 @lru_cache(maxsize=2)

@@ -106,7 +106,8 @@ def test_words_that_come_once_dont_take_the_places_of_those_that_come_again(toke
     e = Encoder(tokenizer)
     letters = [chr(97 + i) + chr(97 + j) + chr(97 + k) for i in range(26) for j in range(26) for k in range(26)]
     e.encode(["x " + " ".join(letters[:2000])])
-    e.encode(["x zebra apple, zebra apple, zebra"] * 9)
+    for _ in range(9):
+        e.encode(["x zebra apple, zebra apple, zebra"])
     assert {"zebra", "apple,"} <= e.words.keys() and len(e.words) <= 100
 
 
@@ -117,3 +118,14 @@ def test_words_in_parts_equal_the_library(tokenizer):
     texts = ["a " + "".join(random.choices(parts, k=random.randint(1, 6))) + random.choice([" b", "", " ", "\n"]) for _ in range(5000)]
     for _ in range(2):  # anew, then partly remembered
         assert all(np.frombuffer(x, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t, x in zip(texts, e.encode(texts), strict=True))
+
+
+def test_each_distinct_word_is_looked_up_once(tokenizer, monkeypatch):
+    e, plain, asked = Encoder(tokenizer), Tokenizer.from_file(tokenizer), []
+    monkeypatch.setattr(tokens._Words, "__missing__", lambda self, word, f=tokens._Words.__missing__: asked.append(word) or f(self, word))
+    e.words.places = 0  # nothing is remembered
+    texts = ["some words here", None, "", "here", " words some some", "words here " * 3 + "é"] * 3
+    assert all(np.frombuffer(x, "<u4").tolist() == (plain.encode(t, add_special_tokens=False).ids if t else []) for t, x in zip(texts, e.encode(texts), strict=True))
+    assert asked.count("words") == 1
+    monkeypatch.setattr(tokens, "TOGETHER", 20)
+    assert e.encode(texts) == Encoder(tokenizer).encode(texts)
