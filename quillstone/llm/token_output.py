@@ -80,7 +80,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: i
             at = len(MAGIC)
             yield MAGIC
             for batch in batches:
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist(), grouped=True), strict=True):
                     frame = squeeze.compress(_pack(ids + end, width))
                     for k, v in zip(index, (doc, at, len(frame), len(ids) // 4 + 1), strict=True):
                         index[k].append(v)

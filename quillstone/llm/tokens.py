@@ -128,16 +128,16 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text counts as empty."""
+    def encode(self, texts: list[str | None], grouped: bool = False) -> list[bytes]:
+        """Ids of each text; a null text counts as empty. Grouped, texts share lookups of words, which is faster and takes some 60 to 130 MB more."""
         out, held, size = [b""] * len(texts), [], 0
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.plain or any(x in text for x in self.special):
                 out[i] = self.whole(text)
-            elif _ODD.search(text):
-                first, *words = _BEFORE.split(text)
+            elif (odd := _ODD.search(text)) or not grouped:
+                first, *words = _BEFORE.split(text) if odd else text.split(" ")
                 out[i] = self.head(first) + b"".join(map(self.words.__getitem__, words))
             else:
                 held.append(i)

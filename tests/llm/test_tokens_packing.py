@@ -116,8 +116,8 @@ def test_words_in_parts_equal_the_library(tokenizer):
     random.seed(8)
     parts = ["that", "É", "ǅ", "9", "'s", "'", "\n", "\n\n", "\x1c", "\x85", " ", "　", ".", "$$", "…", "́", "Ⅷ", "_"]
     texts = ["a " + "".join(random.choices(parts, k=random.randint(1, 6))) + random.choice([" b", "", " ", "\n"]) for _ in range(5000)]
-    for _ in range(2):  # anew, then partly remembered
-        assert all(np.frombuffer(x, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t, x in zip(texts, e.encode(texts), strict=True))
+    for grouped in (False, True):  # anew, then partly remembered
+        assert all(np.frombuffer(x, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t, x in zip(texts, e.encode(texts, grouped), strict=True))
 
 
 def test_each_distinct_word_is_looked_up_once(tokenizer, monkeypatch):
@@ -125,7 +125,7 @@ def test_each_distinct_word_is_looked_up_once(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens._Words, "__missing__", lambda self, word, f=tokens._Words.__missing__: asked.append(word) or f(self, word))
     e.words.places = 0  # nothing is remembered
     texts = ["some words here", None, "", "here", " words some some", "words here " * 3 + "é"] * 3
-    assert all(np.frombuffer(x, "<u4").tolist() == (plain.encode(t, add_special_tokens=False).ids if t else []) for t, x in zip(texts, e.encode(texts), strict=True))
+    assert all(np.frombuffer(x, "<u4").tolist() == (plain.encode(t, add_special_tokens=False).ids if t else []) for t, x in zip(texts, e.encode(texts, grouped=True), strict=True))
     assert asked.count("words") == 1
     monkeypatch.setattr(tokens, "TOGETHER", 20)
-    assert e.encode(texts) == Encoder(tokenizer).encode(texts)
+    assert e.encode(texts, grouped=True) == Encoder(tokenizer).encode(texts)
