@@ -4,8 +4,8 @@ A configuration is a multiset of lengths that fits in one sequence. The program
 every length's count) is solved by column generation: from a greedy cover of all lengths on, a knapsack dynamic program
 prices the best configurations at the basis's duals. (Multiplicative weights with the same pricing came out about one
 per cent above the bound, the README has the figures; this comes out within a hundredth of one per cent.) The fractional
-solution, a whole cover, is rounded, and so again for what remains; what rounding leaves goes best-fit, longest first. Only the histogram (one count per length) reaches the
-driver, and what goes back is a table whose size doesn't depend on the documents: where the pieces of a length go,
+solution, a whole cover, is rounded, and so again for what remains; what rounding leaves goes best-fit, longest first. Only the histogram (one count per length)
+and the number of pieces in each input partition reach the driver, and what goes back is a table whose size doesn't depend on the documents: where the pieces of a length go,
 by their rank in it.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import common
@@ -230,28 +230,68 @@ def places(plan: list[tuple[dict[int, int], int]], room: int) -> dict[int, np.nd
     return {n: np.array(x, np.int64) for n, x in rows.items()}
 
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
+PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("rank", pa.int64())])
+PLACED = pa.schema([*list(PIECE)[:5], pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
+#: Pieces in one batch of a file (a batch ends with the 500 documents that reach them), and in one partition of the result, on average.
+BATCH_PIECES, PARTITION_PIECES = 8192, 1 << 16
+#: The end of a stream of Arrow's format, and the bits of a rank beside a length.
+_ENDS, _RANK = b"\xff\xff\xff\xff\0\0\0\0", 40
 
 
-def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, room: int) -> DataFrame:
-    """Pieces of every document; part and rank number those of one length in each input partition."""
+def write_pieces(df: DataFrame, folder: str, tokenizer: str, end_id: int, room: int) -> dict[int, int]:
+    """Cut every document and write, for each input partition that has any, its pieces and how many it has of each length; pieces by partition.
+
+    A piece's rank numbers those of its length in its partition. Python writes the files: for each file that Spark
+    writes to a local file system without native code, the JVM starts processes (chmod), each of which counts as large as the JVM
+    until it runs its program.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (room + 1)
+        task, own, seen = TaskContext.get(), encoder(tokenizer), [0] * (room + 1)
+
+        def chunks() -> Iterator[bytes]:
+            rows: list[tuple] = []
+            message = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PIECE.types, strict=True)], schema=PIECE).serialize().to_pybytes()
+            yield PIECE.serialize().to_pybytes()
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    some = batch.slice(i, 500)
+                    for doc, ids in zip(some.column("doc_id").to_pylist(), own.encode(some.column("text").to_pylist()), strict=True):
+                        ids += end
+                        n = len(ids) // 4
+                        cuts = [0, *range(n % room or room, n + 1, room)]
+                        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                            rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), seen[b - a]))
+                            seen[b - a] += 1
+                    if len(rows) >= BATCH_PIECES:
+                        yield message()
+                        rows = []
+            if rows:
+                yield message()
+            yield _ENDS
+
+        part, attempt = task.partitionId(), str(task.taskAttemptId())
+        common.write_file(folder, f"part-{part:05d}.pieces", chunks(), attempt)
+        common.write_file(folder, f"part-{part:05d}.counts", iter([np.array(seen, "<i8").tobytes()]), attempt)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([sum(seen)], pa.int64())})
+
+    written = df.select("doc_id", "text").mapInArrow(run, "part bigint, n bigint").where("n > 0")
+    return dict(written.collect())
+
+
+def counted(spark: SparkSession, folder: str, pieces: dict[int, int]) -> DataFrame:
+    """How many pieces of each length each partition has, from the files: part, length, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some, rows = batch.slice(i, 500), []
-                for doc, ids in zip(some.column("doc_id").to_pylist(), own.encode(some.column("text").to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range(n % room or room, n + 1, room)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, seen[b - a]))
-                        seen[b - a] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PIECE.types, strict=True)], schema=PIECE)
+            for part in batch.column("id").to_pylist():
+                if part in pieces:
+                    n = np.frombuffer(common.read_file(folder, f"part-{part:05d}.counts"), "<i8")
+                    has = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(has), part)), "length": pa.array(has), "n": pa.array(n[has])})
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
+    return spark.range(0, max(pieces, default=-1) + 1, 1, max(1, min(len(pieces), spark.sparkContext.defaultParallelism))).mapInArrow(run, "part bigint, length bigint, n bigint")
 
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 2, room: int = 1024) -> DataFrame:
@@ -259,26 +299,33 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, room: int = 1024) -> Da
 
     A document longer than room is cut into pieces of room tokens, of which the first may be shorter; others are
     one piece. A null text is empty (only the end id). Null and repeated doc_ids and repeated rows are kept, each
-    packed for itself. An empty table gives no rows. Other columns are ignored.
+    packed for itself. An empty table gives no rows. Other columns are ignored. The result's partitions follow the
+    number of pieces, not the partitions of the input.
     """
-    pieces = common.cut(cut_pieces(df, tokenizer, end_id, room))
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    spark = df.sparkSession
+    folder = common.new_folder(spark, "pieces")
+    pieces = write_pieces(df, folder, tokenizer, end_id, room)
+    counts = counted(spark, folder, pieces)
     histogram = dict(counts.groupBy("length").agg(F.sum("n").alias("n")).collect())
     table = places(plan(histogram, room), room)
+    rows = np.concatenate([np.empty((0, 4), np.int64), *(table[n] for n in sorted(table))])
+    key = np.repeat(np.array(sorted(table), np.int64), [len(table[n]) for n in sorted(table)]) << _RANK | rows[:, 0]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    based = counts.select("part", F.struct("length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "rank"))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                at, rows = np.flatnonzero(length == n), table[int(n)]
-                row = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1]
-                k, j = np.divmod(rank[at] - row[:, 0], row[:, 2])
-                sequence[at], offset[at] = row[:, 1] + k, row[:, 3] + j * n
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in schema.names[:5]), pa.array(sequence), pa.array(offset)], schema=schema)
-
-    ranked = pieces.join(based, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+            for part, first in zip(batch.column("part").to_pylist(), batch.column("based"), strict=True):
+                length, n = (first.values.field(k).to_numpy() for k in (0, 1))
+                base = np.zeros(room + 1, np.int64)
+                base[length] = n
+                with common.open_stream(folder, f"part-{part:05d}.pieces") as f:
+                    for some in pa.ipc.open_stream(f):
+                        length = some.column("length").to_numpy()
+                        rank = base[length] + some.column("rank").to_numpy()
+                        row = rows[np.searchsorted(key, (length << _RANK) + rank, side="right") - 1]
+                        k, j = np.divmod(rank - row[:, 0], row[:, 2])
+                        yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(row[:, 1] + k), pa.array(row[:, 3] + j * length)], schema=PLACED)
+
+    dealt = based.groupBy("part").agg(F.collect_list("x").alias("based")).repartition(max(1, -(-sum(pieces.values()) // PARTITION_PIECES)))
+    return dealt.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

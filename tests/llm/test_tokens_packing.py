@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -97,6 +98,26 @@ def test_packed_pieces_fill_sequences_without_gaps(spark, odd, tokenizer):
     assert sum(r.doc_id == 5 for r in got) == 2 and sum(r.doc_id is None for r in got) == 2
 
 
+def test_small_partitions_cost_packing_no_files_of_spark_each(spark, tokenizer):
+    # each such file makes an executor's JVM start processes, which count as large as itself until they run their program
+    made = len(common._made)
+    rows = [(i % 50, None if i % 9 == 0 else "word " * (i * 7 % 300)) for i in range(120)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(60), tokenizer, end_id=2, room=64)
+    assert got.rdd.getNumPartitions() == 1
+    pieces = got.collect()
+    folders = [Path(x.removeprefix("file://")) for x in common._made[made:]]
+    assert not [f for x in folders for f in x.rglob("*.parquet")]
+    one = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), tokenizer, end_id=2, room=64).collect()
+    assert sorted(x[:5] for x in pieces) == sorted(x[:5] for x in one)
+    by = {}
+    for x in pieces:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert len(by) == len({x.sequence_id for x in one})
+    for places in by.values():
+        ends = np.cumsum([n for _, n in sorted(places)]).tolist()
+        assert [at for at, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 64
+
+
 def test_packing_of_nothing(spark, empty, tokenizer):
     assert packing.pack(empty, tokenizer).count() == 0
 
