@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -13,11 +14,14 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone import session
 
 #: Documents in one batch for Python, and its bytes (a batch ends with the row that reaches them).
 BATCH, BATCH_BYTES = 2048, 16 << 20
+#: Rows in one group of a table that Python writes (a group ends with the batch that reaches them or BATCH_BYTES).
+GROUP = 1 << 16
 #: Keys that hold at least one in so many rows are hot: there are at most so many of them, which bounds their broadcast.
 HOT = 1000
 
@@ -66,6 +70,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: StructType | None = None) -> DataFrame:
+    """cut() by Python: what f, if given, makes of the batches of df's partitions, in columns of the schema.
+
+    For each file that Spark writes to a local file system without native code, the JVM starts processes (chmod), each
+    of which counts as large as the JVM until it runs its program. Here it starts none.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "kept")
+    fs, path = open_fs(folder)
+    fs.create_dir(path, recursive=True)  # without rows it stays empty
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([write_table(folder, f"part-{task.partitionId():05d}.parquet", f(batches), str(task.taskAttemptId()))], pa.int64())})
+
+    df.mapInArrow(run, "n bigint").collect()
+    return spark.read.schema(schema or df.schema).parquet(folder)
+
+
 _made: list[str] = []
 
 
@@ -103,6 +125,34 @@ def write_file(folder: str, name: str, chunks: Iterator[bytes], attempt: str) ->
     return n
 
 
+def write_table(folder: str, name: str, batches: Iterator[pa.RecordBatch], attempt: str) -> int:
+    """write_file() of a Parquet file; none for no rows. Returns the rows written."""
+    import pyarrow.parquet as pq  # only workers that write tables load it
+
+    def groups() -> Iterator[pa.Table]:
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some += [batch] if batch.num_rows else []
+            if sum(x.num_rows for x in some) >= GROUP or sum(x.nbytes for x in some) >= BATCH_BYTES:
+                yield pa.Table.from_batches(some)
+                some = []
+        if some:
+            yield pa.Table.from_batches(some)
+
+    parts = groups()
+    first = next(parts, None)
+    if first is None:
+        return 0
+    fs, path = open_fs(folder)
+    temporary, n = f"{path}/.{name}.{attempt}", 0
+    with fs.open_output_stream(temporary, compression=None) as f, pq.ParquetWriter(f, first.schema, compression="zstd") as w:
+        for table in chain([first], parts):
+            w.write_table(table)
+            n += table.num_rows
+    fs.move(temporary, f"{path}/{name}")
+    return n
+
+
 def open_file(folder: str, name: str) -> pa.NativeFile:
     """A file that is read from any place in it."""
     fs, path = open_fs(folder)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.llm import common
 
@@ -25,6 +26,8 @@ from quillstone.llm import common
 SAMPLE, PRIOR, FLOOR, LEAST_Z, DRIFT = 65_536, 500.0, 0.5, 3.0, 2.0
 #: Lengths of word beginnings that count as units beside whole words (fixed values), and words that a worker remembers.
 BEGINNINGS, REMEMBERED = (4, 5, 6), 500_000
+#: Documents in one partition of the result, on average (it has no more partitions than the written table is read in).
+PARTITION_ROWS = 1 << 16
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -111,7 +114,7 @@ def learn(df: DataFrame, known: DataFrame) -> dict[bytes, float]:
         yield rows()
 
     c = df.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(run, "unit binary, clean bigint, toxic bigint")
-    c = common.cut(c.groupBy("unit").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")))
+    c = common.kept(c.groupBy("unit").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")))
     sums = c.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
     clean, toxic = float(sums["c"] or 0), float(sums["t"] or 0)
     if not clean or not toxic:
@@ -138,8 +141,9 @@ def halved(t: list[bytes], s: np.ndarray) -> np.ndarray:
 
 
 def find(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, n_tokens, and of all maximal segments their first tokens, the tokens after their last, and scores; fresh: scores of the segments with repeats halved."""
-    fields = [("doc_id", df.schema["doc_id"].dataType.simpleString()), ("n_tokens", "bigint"), ("first", "array<int>"), ("after", "array<int>"), ("points", "array<double>"), ("fresh", "array<double>")]
+    """doc_id, n_tokens, and of all maximal segments their first tokens, the tokens after their last, and scores; fresh: scores of the segments with repeats halved. All written, as by common.cut()."""
+    schema = StructType([df.schema["doc_id"], *StructType.fromDDL("n_tokens bigint, first array<int>, after array<int>, points array<double>, fresh array<double>")])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = lexicon.__getitem__
@@ -153,9 +157,9 @@ def find(df: DataFrame, lexicon: Lexicon) -> DataFrame:
                 found.append(segments(s) if some else [])
                 fresh.append([p for *_, p in segments(halved(t, s))] if some else [])
             columns = [pa.array([[x[i] for x in f] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *columns, pa.array(fresh, pa.list_(pa.float64()))], names=[k for k, _ in fields])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *columns, pa.array(fresh, pa.list_(pa.float64()))], names=names)
 
-    return df.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields))
+    return common.kept(df.select("doc_id", "text"), run, schema)
 
 
 def decay(scores: Counter) -> float:
@@ -214,7 +218,7 @@ def fit_law(seen: Counter, size: int) -> Calibration:
 
 def calibrate(found: DataFrame, known: DataFrame) -> Calibration:
     """Fit the law to clean documents of the calibration fold and the curve to all of it; both need only small histograms."""
-    sample = common.cut(found.join(F.broadcast(known), "doc_id").select("n_tokens", "fresh", "y"))
+    sample = common.kept(found.join(F.broadcast(known), "doc_id").select("n_tokens", "fresh", "y"))
     total = sample.agg(F.sum("n_tokens")).first()[0]
     if not total:
         return Calibration()
@@ -267,12 +271,13 @@ def scores(df: DataFrame, labels: DataFrame, label: str = "toxic", train_where:
     n = own.count()
     if n > sample:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    known = common.cut(own.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 4))
+    known = common.kept(own.withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 4))
     toxic = F.col("y") >= 0.5
     kinds = known.select("held", toxic.alias("toxic")).distinct().count()
     fold = (lambda held: known.where(F.col("held") == held).drop("held")) if kinds == 4 else (lambda _: known.drop("held"))
     lexicon = Lexicon(learn(df, fold(False)))
-    found = common.cut(find(df, lexicon))
+    found = find(df, lexicon)
+    found = found.coalesce(max(1, -(-found.count() // PARTITION_ROWS)))
     law = calibrate(found, fold(True))
     passage = pa.struct([("first", pa.int32()), ("after", pa.int32()), ("points", pa.float64()), ("evidence", pa.float64())])
 
