@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, decontaminate, embedding_dedup, line_dedup, lm_scoring, minhash_dedup, packing, quality, token_output, toxicity, warc
+from quillstone.llm import common, decontaminate, digest_index, embedding_dedup, line_dedup, lm_scoring, minhash_dedup, packing, quality, source_audit, token_output, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,10 +83,47 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.encode("cleaned", "UTF-8")).alias("cleaned_md5"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = digest_index.DigestIndex(spark, common.new_folder(spark, "digest-index"))
+    return index.add(table(spark, sf_dir, "documents")).drop("known")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lm_scoring, op2_token_output, op3_decontamination, op4_quality, op5_embedding_dedup, op6_best_fit_packing, op7_minhash_dedup, op8_warc, op9_toxicity, op10_line_dedup,
+    op11_exact_dedup, op12_vector_codes, op13_source_divergence,
 )}
 
+def _codes_sql(rounds: int = 2) -> str:
+    """Product codes by plain search: each round's assignment and codebook is a table of its own."""
+    near = """d{k} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
+            SELECT vec_id, part.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part JOIN c{k} USING (p)) GROUP BY vec_id, p)"""
+    mean = """c{n} AS MATERIALIZED (
+            SELECT p, e, coalesce(m, c) AS c FROM c{k} LEFT JOIN (
+                SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+                    SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM part JOIN d{k} USING (vec_id, p), range(1, 5) AS r(i) GROUP BY p, e, i) GROUP BY p, e) USING (p, e))"""
+    steps = [near.format(k=0)]
+    for k in range(rounds):
+        steps += [mean.format(k=k, n=k + 1), near.format(k=k + 1)]
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT vec_id, p, x[4 * p + 1:4 * p + 4] AS x FROM v, range(16) AS r(p)),
+        c0 AS MATERIALIZED (SELECT p, e, x AS c FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 64) USING (vec_id)),
+        {", ".join(steps)},
+        code AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{rounds} GROUP BY vec_id),
+        book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN v USING (vec_id), book"""
+
+
 #: DuckDB SQL for the queries' rows.
 ORACLES: dict[str, str] = {
     "op3_decontamination": r"""
@@ -152,4 +189,24 @@ ORACLES: dict[str, str] = {
             FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(cleaned) AS cleaned_md5
         FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op11_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+        g AS (SELECT h, arg_min(doc_id, {'n': -n, 'd': doc_id}) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_source_divergence": r"""
+        WITH doc AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        term AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM doc),
+        lt AS MATERIALIZED (SELECT lang, t, count(*) AS n FROM term GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+        gt AS (SELECT lang, source, t, count(*) AS n FROM term GROUP BY lang, source, t),
+        g AS (SELECT DISTINCT lang, source FROM doc),
+        l AS (SELECT lang, sum(n)::HUGEINT + 2 * count(*) AS w FROM lt GROUP BY lang),
+        cell AS (SELECT g.lang, g.source, lt.t, coalesce(gt.n, 0) AS n, 1 + 1000000000::HUGEINT * (lt.n + 2) // l.w AS q FROM g JOIN lt USING (lang) JOIN l USING (lang) LEFT JOIN gt USING (lang, source, t)),
+        p AS MATERIALIZED (SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS p FROM cell WINDOW w AS (PARTITION BY lang, source)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p AS a JOIN p AS b USING (lang, t) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        own AS (SELECT lang, source, 'term' AS part, t AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM own))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
