@@ -133,9 +133,19 @@ def traded_returns(bars: DataFrame) -> DataFrame:
 
 
 def segments(bars: DataFrame, count: int = 8) -> DataFrame:
-    """Return while trade goes on, and amount, in equal parts of the session; what lies over lunch or before the first close doesn't count."""
+    """Return while trade goes on (none where nothing was traded), amount and its share of the session's, in equal parts of the session.
+
+    What lies over lunch or before the first close doesn't count; the session's amount has the first bar's too. Bars may
+    have a boolean `member`: whether the security belongs to the universe on that session.
+    """
     b = traded_returns(bars).withColumn("segment", F.floor(F.col("minute_index") * count / F.col("bars")).cast("int"))
-    return b.groupBy(*DAY, "segment").agg(F.sum("move").alias("seg_return"), F.sum("amount").alias("seg_amount"))
+    b = b.withColumn("_day", F.sum("amount").over(Window.partitionBy("ts_code", "trade_date")))
+    inside = F.col("minute_index") > 0
+    amount = F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0.0))
+    return b.groupBy(*DAY, "segment").agg(
+        F.when(F.count_if(inside & (F.col("amount") > 0)) > 0, F.sum("move")).alias("seg_return"), amount.alias("seg_amount"), F.when(F.max("_day") > 0, amount / F.max("_day")).alias("seg_share"),
+        *([F.bool_or("member").alias("member")] if "member" in bars.columns else []),
+    )
 
 
 def signed_amounts(bars: DataFrame, tail: int = 30) -> DataFrame:
@@ -258,24 +268,27 @@ def chip_features(bars: DataFrame, quantile: float = 0.8) -> DataFrame:
 SEGMENTS, MORNING = 48, 24
 
 
-def market_residuals(seg: DataFrame, before: int = 20, least: int = 10, coverage: float = 0.8) -> DataFrame:
-    """Residual of each segment's return against the mean of all other securities, with a beta of the prior sessions.
+def market_residuals(seg: DataFrame, before: int = 20, least: int = 10, coverage: float = 0.8, fewest: int = 3) -> DataFrame:
+    """Residual of each segment's return against the mean of the other members of the universe, with a beta of the prior sessions.
 
-    Each security's market leaves itself out: (sum - own) / (n - 1); it exists where at least the share `coverage` of
-    the session's securities has the segment. Sums for the regression are added per session first, so the range
-    window runs over sessions, not bars.
+    Each security's market leaves itself out: (sum - own) / (n - 1), over members that have the segment; without a
+    column `member` all are. Beta takes all such pairs of the calendar sessions before, `least` at least. A residual
+    needs `needed` members with the segment: the share `coverage` of the session's, and `fewest`. Sums for the
+    regression are added per session first, so the range window runs over sessions, not bars.
     """
-    members = seg.groupBy("trade_date").agg(F.count_distinct("ts_code").alias("_all"))
-    m = seg.groupBy("trade_date", "segment").agg(F.sum("seg_return").alias("_s"), F.count("seg_return").alias("_n")).join(members, "trade_date")
-    s = seg.join(m, ["trade_date", "segment"]).withColumn("others", F.try_divide(F.col("_s") - F.col("seg_return"), F.col("_n") - 1))
-    s = s.withColumn("market", F.when(F.col("_n") >= coverage * F.col("_all"), F.col("others")))
-    x, y = F.col("market"), F.when(F.col("market").isNotNull(), F.col("seg_return"))
+    seg = seg if "member" in seg.columns else seg.withColumn("member", F.lit(True))
+    own = F.when(F.col("member"), F.col("seg_return"))
+    members = seg.groupBy("trade_date").agg(F.count_distinct(F.when(F.col("member"), F.col("ts_code"))).alias("_all"))
+    needed = F.greatest(F.ceil(F.round(coverage * F.col("_all"), 9)), F.lit(fewest)).alias("needed")
+    m = seg.groupBy("trade_date", "segment").agg(F.sum(own).alias("_s"), F.count(own).alias("_n")).join(members.select("trade_date", needed), "trade_date")
+    s = seg.join(m, ["trade_date", "segment"]).withColumn("others", F.when(F.col("_n") > 1, (F.col("_s") - F.col("seg_return")) / (F.col("_n") - 1)))
+    x, y = F.col("others"), F.when(F.col("others").isNotNull(), F.col("seg_return"))
     day = s.groupBy(*DAY).agg(F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.count(x).alias("n"))
     w = Window.partitionBy("ts_code").orderBy("day_index").rangeBetween(-before, -1)
     t = lambda c: F.sum(c).over(w)
-    var = t("n") * t("sxx") - t("sx") * t("sx")
-    day = day.withColumn("beta", F.when((F.count("n").over(w) >= least) & (var > 1e-18), (t("n") * t("sxy") - t("sx") * t("sy")) / var))
-    return s.join(day.select(*DAY, "beta"), DAY).withColumn("residual", y - F.col("beta") * x)
+    var = t("sxx") - t("sx") * t("sx") / t("n")
+    day = day.withColumn("beta", F.when((t("n") >= least) & (var > 1e-12), (t("sxy") - t("sx") * t("sy") / t("n")) / var))
+    return s.join(day.select(*DAY, "beta"), DAY).withColumn("residual", F.when(F.col("_n") >= F.col("needed"), y - F.col("beta") * x))
 
 
 def residual_features(residuals: DataFrame, tail: int = 6) -> DataFrame:
@@ -296,11 +309,13 @@ def down_resilience(residuals: DataFrame, before: int = 20, least: int = 10, sha
     return s.groupBy(*DAY).agg(F.when(F.count(e) >= 3, F.avg(e)).alias("mf_market_down_resilience"))
 
 
-def rank_features(seg: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
-    """Each segment's return ranked among all securities (0 to 1, ties in the middle): how often one stays on top from segment to segment but over lunch, and the last half hour's mean rank less the first's."""
-    place = Window.partitionBy("trade_date", "segment")
-    ties = Window.partitionBy("trade_date", "segment", "seg_return")
-    s = seg.where("seg_return is not null").withColumn("q", F.try_divide(F.rank().over(place.orderBy("seg_return")) + (F.count("*").over(ties) - 1) / 2 - 1, F.count("*").over(place) - 1))
+def rank_features(residuals: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
+    """Each segment's residual ranked among the universe's members that have one (0 to 1, ties in the middle), where enough do: how often one stays on top from segment to segment but over lunch, and the last half hour's mean rank less the first's."""
+    place = Window.partitionBy("trade_date", "segment", "_in")
+    ties = Window.partitionBy("trade_date", "segment", "_in", "residual")
+    s = residuals.withColumn("_in", F.col("member") & F.col("residual").isNotNull())
+    n = F.count("*").over(place)
+    s = s.withColumn("q", F.when(F.col("_in") & (n >= F.col("needed")), F.try_divide(F.rank().over(place.orderBy("residual")) + (F.count("*").over(ties) - 1) / 2 - 1, n - 1)))
     before = Window.partitionBy(*DAY).orderBy("segment").rangeBetween(-1, -1)
     s = s.withColumn("was", F.when(F.col("segment") != MORNING, F.max("q").over(before)))
     pair, first, last = F.col("q").isNotNull() & F.col("was").isNotNull(), F.col("segment") < tail, F.col("segment") >= SEGMENTS - tail
@@ -310,6 +325,66 @@ def rank_features(seg: DataFrame, tail: int = 6, top: float = 0.7) -> DataFrame:
     )
 
 
+def abnormal_flows(residuals: DataFrame, before: int = 20, least: int = 10, times: float = 2.0, after: int = 2) -> DataFrame:
+    """Segments whose amount stands out against their own history: which way their excess goes, and how the residuals after them go on.
+
+    A segment is abnormal where its share of the session's amount is at least `times` its mean over the calendar sessions
+    before (`least` at least) and its return isn't 0. The imbalance weighs the signs by the excess over the mean's share
+    of the segments' amount. What follows is the sum of the residuals of the next `after` segments, joined by position
+    and signed; a segment within them starts nothing of its own, which a fold over a session's segments in order sees
+    to. Both need a session whose segments all have a return and a mean; the fold, those that it comes to.
+    """
+    own = Window.partitionBy("ts_code", "segment").orderBy("day_index").rangeBetween(-before, -1)
+    place = Window.partitionBy(*DAY).orderBy("segment")
+    x, base = F.col("seg_return"), F.col("_base")
+    s = residuals.withColumn("_base", F.when(F.count("seg_share").over(own) >= least, F.avg("seg_share").over(own)))
+    s = s.withColumns({"_known": x.isNotNull() & base.isNotNull() & F.col("seg_share").isNotNull(), "_total": F.sum("seg_amount").over(Window.partitionBy(*DAY))})
+    s = s.withColumns({
+        "_hot": F.col("_known") & (F.col("seg_share") >= times * base) & (x != 0), "_excess": F.greatest(F.col("seg_amount") - F.col("_total") * base, F.lit(0.0)),
+        "_next": sum(F.max("residual").over(place.rangeBetween(k, k)) for k in range(1, after + 1)),
+    })
+    each = F.sort_array(F.collect_list(F.struct("segment", "_known", F.when(F.col("_hot"), F.signum(x) * F.col("_next")).alias("go"))))
+    start = F.struct(F.lit(0).alias("to"), F.lit(0.0).alias("t"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
+
+    def step(a: Column, e: Column) -> Column:
+        here = (e["segment"] >= a["to"]) & (e["segment"] < SEGMENTS - after)
+        goes = here & e["_known"] & e["go"].isNotNull()
+        return F.struct(
+            F.when(goes, e["segment"] + after + 1).otherwise(a["to"]).alias("to"), F.when(goes, a["t"] + e["go"]).otherwise(a["t"]).alias("t"), F.when(goes, a["n"] + 1).otherwise(a["n"]).alias("n"),
+            (a["ok"] & (~here | e["_known"])).alias("ok"),
+        )
+
+    hot = F.when(F.col("_hot"), F.col("_excess"))
+    s = s.groupBy(*DAY).agg(
+        F.when((F.count_if("_known") == SEGMENTS) & (F.sum(hot) > 0), F.sum(F.signum(x) * hot) / F.sum(hot)).alias("mf_abnormal_signed_amount_imbalance"),
+        F.when(F.count("*") == SEGMENTS, F.aggregate(each, start, step)).alias("_f"),
+    )
+    return s.select(*DAY, "mf_abnormal_signed_amount_imbalance", F.when(F.col("_f.ok") & (F.col("_f.n") > 0), F.col("_f.t") / F.col("_f.n")).alias("mf_abnormal_flow_followthrough_10m"))
+
+
+def traded_costs(bars: DataFrame, share: float = 0.85) -> DataFrame:
+    """What the session's volume was traded at: the part above the close, the dispersion, the price under which `share` of it lies, the afternoon's price against the morning's, and the part of eight segments with more bought than sold.
+
+    The bar at noon is the morning's last. Bars without amount or volume stay out, but their volume counts in the whole;
+    in the eight segments so does the first bar, and each of them needs some trade.
+    """
+    day = Window.partitionBy("ts_code", "trade_date")
+    b = traded_returns(bars).withColumn("_p", F.when((F.col("volume") > 0) & (F.col("amount") > 0), F.col("amount") / F.col("volume")))
+    b = b.withColumns({"_v": F.sum(F.greatest("volume", F.lit(0.0))).over(day), "_c": F.max_by("close", "minute_index").over(day), "_w": F.when(F.col("_p").isNotNull(), F.col("volume"))})
+    b = b.withColumns({"_vw": F.try_divide(F.sum(F.col("_w") * F.col("_p")).over(day), F.col("_v")), "_cum": F.sum("_w").over(day.orderBy(F.col("_p").asc_nulls_last(), "minute_index"))})
+    b = b.withColumn("_part", F.floor(F.col("minute_index") * 8 / F.col("bars")).cast("int"))
+    p, v, w, vw, c = (F.col(k) for k in ("_p", "_v", "_w", "_vw", "_c"))
+    late, signed = F.col("minute_index") * 2 >= F.col("bars"), F.when(p.isNotNull() & F.col("move").isNotNull(), F.when(F.col("move") >= 0, 1.0).otherwise(-1.0) * F.col("amount"))
+    price = lambda inside: F.try_divide(F.sum(F.when(inside & p.isNotNull(), F.col("amount"))), F.sum(F.when(inside, w)))
+    part = b.groupBy(*DAY, "_part").agg(F.sum(signed).alias("_s"))
+    part = part.groupBy(*DAY).agg(F.when(F.count("_s") == 8, F.count_if(F.col("_s") > 0) / 8).alias("mf_signed_amount_positive_segment_share"))
+    whole = b.groupBy(*DAY).agg(
+        F.try_divide(F.coalesce(F.sum(F.when(p > c, w)), F.lit(0.0)), F.max(v)).alias("mf_traded_volume_above_close_share"), (F.sqrt(F.sum(w * (p - vw) * (p - vw)) / F.max(v)) / F.max(vw)).alias("mf_traded_cost_dispersion"),
+        ((F.min(F.when(F.col("_cum") >= share * v, p)) - F.max(c)) / F.max(vw)).alias("mf_cost_q85_to_close"), F.ln(F.try_divide(price(late), price(~late))).alias("mf_pm_am_vwap_log_ratio"),
+    )
+    return whole.join(part, DAY)
+
+
 def volume_events(bars: DataFrame) -> DataFrame:
     """Bars of outstanding volume in continuous trading: their number of peaks, returns where volume jumps, volume of bars whose body is small.
 
@@ -329,9 +404,9 @@ def volume_events(bars: DataFrame) -> DataFrame:
 
 
 def volume_up_returns(bars: DataFrame) -> DataFrame:
-    """Minus the deviation of returns on bars whose volume stands out, of all and of the positive ones."""
+    """Minus the deviation of returns on bars whose volume stands out from the whole session's, of all but the first bar and of the positive ones."""
     day = Window.partitionBy("ts_code", "trade_date")
-    b = with_returns(bars).withColumn("_high", F.col("volume") > F.avg("volume").over(day) + F.stddev_pop("volume").over(day))
+    b = with_returns(bars).withColumn("_high", (F.col("minute_index") > 0) & (F.col("volume") > F.avg("volume").over(day) + F.stddev_pop("volume").over(day)))
     return b.groupBy(*DAY).agg((-F.stddev_pop(F.when(F.col("_high"), F.col("r")))).alias("mf_volume_up_return_std"), (-F.stddev_pop(F.when(F.col("_high") & (F.col("r") > 0), F.col("r")))).alias("mf_volume_up_positive_return_std"))
 
 

@@ -232,9 +232,10 @@ def flow(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.nda
         q85 = price[order][int(np.searchsorted(np.cumsum(volume[order]), 0.85 * volume.sum() - 1e-9))]
         out["traded_cost_dispersion"] = float(np.sqrt((volume * (price - vwap) ** 2).sum() / volume.sum()) / vwap)
         out["cost_q85_to_close"] = float((q85 - c[-1]) / vwap)
-        half = n // 2
-        if v[:half].sum() > 0 and v[half:].sum() > 0 and a[:half].sum() > 0 and a[half:].sum() > 0:
-            out["pm_am_vwap_log_ratio"] = float(np.log((a[half:].sum() / v[half:].sum()) / (a[:half].sum() / v[:half].sum())))
+        morning = traded & (2 * np.arange(n) < n)  # the bar at noon is its last
+        afternoon = traded & ~morning
+        if morning.any() and afternoon.any():
+            out["pm_am_vwap_log_ratio"] = float(np.log((a[afternoon].sum() / v[afternoon].sum()) / (a[morning].sum() / v[morning].sum())))
     share = a / a.sum() if a.sum() > 0 else np.zeros(n)
     power = np.abs(np.fft.rfft(share - share.mean()))[1:31] ** 2
     out["amount_periodicity_peak_share"] = float(power.max() / power.sum()) if power.sum() > 1e-24 else math.nan

@@ -10,20 +10,21 @@ comparisons of computed values then don't hang on the last bits of a sum, which
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillstone.operators import blocks
+
 BASE = ("O", "H", "L", "C", "V", "VWAP", "RET", "IDX")
 #: Decimals that results of windows keep, and the variance under which a series counts as constant.
 DECIMALS, CONSTANT = 8, 1e-10
-ELEMENTWISE = {"abs": 1, "log": 1, "sign": 1, "sqrt": 1, "pmin": 2, "pmax": 2, "iif": 3, "nz": 2}
+ELEMENTWISE = {"abs": 1, "log": 1, "sign": 1, "sqrt": 1, "pmin": 2, "pmax": 2, "iif": 3, "nz": 2, "fill": 2}
 CROSS = {"rank": 1, "scale": 2, "xmax": 1, "xmin": 1}
 TIME = {"delay": 2, "delta": 2, "sum": 2, "mean": 2, "std": 2, "tmin": 2, "tmax": 2, "tsrank": 2, "corr": 3, "cov": 3, "argmax": 2, "argmin": 2, "decay": 2, "prod": 2, "slope": 2, "beta": 3, "count": 2}
 FOLDS = {"ema": 3, "grow": 1}
+#: Sessions of a block in the scan of recursions, where the caller asks for no blocks of windows.
+SCAN = 64
 DEFAULTS = {"delay": (1,), "delta": (1,), "scale": (1,)}
 
 
@@ -44,18 +45,19 @@ class FormulaError(ValueError):
 
 @dataclass
 class Stage:
-    """Columns of one level: plain ones first, then windows over time and cross-section, then folds (name, kind, input, rate)."""
+    """Columns of one level: plain ones first, then windows over time and cross-section, then folds (name, kind, input, rate). halo: earlier sessions that its windows over time look at."""
 
     plain: dict[str, str] = field(default_factory=dict)
     windows: dict[str, str] = field(default_factory=dict)
     folds: dict[str, tuple[str, str, float]] = field(default_factory=dict)
+    halo: int = 0
 
 
 class Compiler:
-    """Compiles formulas to stages; dialect is "spark" or "duckdb"."""
+    """Compiles formulas to stages; dialect is "spark" or "duckdb". along: what windows over time are partitioned by."""
 
-    def __init__(self, dialect: str = "spark", code: str = "ts_code", date: str = "trade_date", order: str = "day_index"):
-        self.dialect, self.code, self.date, self.order = dialect, code, date, order
+    def __init__(self, dialect: str = "spark", along: str = "ts_code", date: str = "trade_date", order: str = "day_index"):
+        self.dialect, self.along, self.date, self.order = dialect, along, date, order
         self.stages: list[Stage] = []
         self.memo: dict[str, tuple[str, int]] = {}
         self.names: dict[str, str] = {}
@@ -140,7 +142,7 @@ class Compiler:
         raise FormulaError(f"no operator {type(node.op).__name__}")
 
     def _call(self, name: str, args: list[ast.expr]) -> tuple[str, int, str]:
-        arity = (ELEMENTWISE | CROSS | TIME | FOLDS | {"pressure": 1}).get(name)
+        arity = (ELEMENTWISE | CROSS | TIME | FOLDS | {"pressure": 1, "wav": max(2, len(args))}).get(name)
         if arity is None:
             raise FormulaError(f"unknown function {name}")
         args += [ast.Constant(x) for x in DEFAULTS.get(name, ())[len(args) - arity :]] if len(args) < arity else []
@@ -148,6 +150,8 @@ class Compiler:
             raise FormulaError(f"{name} takes {arity} arguments")
         if name == "pressure":
             return self._expr(self._parse(_pressure(args[0].value), {}))
+        if name == "wav":
+            return self._expr(_weighted(args))
         if name in ELEMENTWISE:
             return self._elementwise(name, args)
         return self._windowed(name, args)
@@ -167,6 +171,7 @@ class Compiler:
             "sqrt": f"(CASE WHEN {a} >= {zero} THEN sqrt({a}) END)",
             "sign": f"(CASE WHEN {a} > {zero} THEN {self._number(1)} WHEN {a} < {zero} THEN {self._number(-1)} WHEN {a} = {zero} THEN {zero} END)",
             "nz": f"(CASE WHEN {a} = {zero} THEN {b} ELSE {a} END)",
+            "fill": f"coalesce({a}, {b})",
             "pmin": f"(CASE WHEN {a} <= {b} THEN {a} WHEN {b} < {a} THEN {b} END)",
             "pmax": f"(CASE WHEN {a} >= {b} THEN {a} WHEN {b} > {a} THEN {b} END)",
         }[name], n, "num"
@@ -177,14 +182,17 @@ class Compiler:
         """Rounded half to even in double arithmetic, which is the same everywhere."""
         return rounded(sql, decimals, self.dialect)
 
+    def _stage(self, level: int) -> Stage:
+        while len(self.stages) < level:
+            self.stages.append(Stage())
+        return self.stages[level - 1]
+
     def _column(self, kind: str, sql: str, level: int) -> str:
         """The name of a column of the stage `level` (from 1) for this expression."""
         key = f"{kind}:{level}:{sql}"
         if key not in self.names:
-            while len(self.stages) < level:
-                self.stages.append(Stage())
             self.names[key] = f"{kind}{len(self.names)}"
-            getattr(self.stages[level - 1], "plain" if kind == "p" else "windows")[self.names[key]] = sql
+            getattr(self._stage(level), "plain" if kind == "p" else "windows")[self.names[key]] = sql
         return self.names[key]
 
     def _input(self, node: ast.expr) -> tuple[str, int]:
@@ -216,7 +224,7 @@ class Compiler:
     def _window_sql(self, name: str, cols: list[str], numbers: list[float], level: int) -> str:
         x = cols[0]
         across = f"OVER (PARTITION BY {self.date})"
-        time = f"PARTITION BY {self.code} ORDER BY {self.order}"
+        time = f"PARTITION BY {self.along} ORDER BY {self.order}"
         rounded = self.rounded
         if name == "rank":
             last = f"OVER (PARTITION BY {self.date} ORDER BY {x} ASC NULLS LAST)"
@@ -228,6 +236,7 @@ class Compiler:
         n = int(numbers[0])
         if n < 1 or n != numbers[0]:
             raise FormulaError(f"{name} needs a positive whole number of sessions")
+        self._stage(level).halo = max(self._stage(level).halo, n if name in ("delay", "delta") else n - 1)
         if name == "delay":
             return f"lag({x}, {n}) OVER ({time})"
         if name == "delta":
@@ -283,25 +292,30 @@ def _pressure(variant: int) -> str:
     return f"({top}) / ({low}) * pmax({h}, {l_})"
 
 
-def _fold(kind: str, values: Iterable[float], rate: float) -> list[float | None]:
-    """A recursive average that carries its state over nulls, or growth that starts at 1 and multiplies by positive inputs."""
-    out: list[float | None] = []
-    state = 1.0 if kind == "grow" else None
-    for x in values:
-        if x is None or x != x:
-            out.append(None)
-            continue
-        if kind == "grow":
-            state = state * x if x > 0 else state
-        else:
-            state = x if state is None else (1 - rate) * state + rate * x
-        out.append(float(np.rint(state * 10.0**DECIMALS) / 10.0**DECIMALS))
-    return out
-
-
-def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), code: str = "ts_code", date: str = "trade_date", order: str = "day_index") -> DataFrame:
-    """keep and one column for each formula, over a dense panel with the base columns and a session number."""
-    c = Compiler("spark", code, date, order)
+def _weighted(args: list[ast.expr]) -> ast.expr:
+    """wav(x, w1, ..., wn): the sessions up to this one, the last weighted by wn, over the sum of the weights."""
+    x, *weights = args
+    if not weights or not all(isinstance(w, ast.Constant) and isinstance(w.value, int | float) and not isinstance(w.value, bool) for w in weights) or not sum(w.value for w in weights):
+        raise FormulaError("wav takes a series and weights that don't add up to 0")
+    terms = []
+    for k, w in enumerate(reversed(weights)):
+        late = ast.Call(func=ast.Name(id="delay"), args=[x, ast.Constant(k)], keywords=[]) if k else x
+        terms.insert(0, ast.BinOp(late, ast.Mult(), w))
+    total = terms[0]
+    for t in terms[1:]:
+        total = ast.BinOp(total, ast.Add(), t)
+    return ast.BinOp(total, ast.Div(), ast.Constant(sum(w.value for w in weights)))
+
+
+def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), code: str = "ts_code", date: str = "trade_date", order: str = "day_index", block: int | None = None) -> DataFrame:
+    """keep and one column for each formula, over a dense panel with the base columns and a session number.
+
+    With `block`, windows over time run in blocks of so many sessions of a security, warmed up by as many as the stage
+    looks back on, instead of all sessions of a security in one task. Results don't depend on it. It pays where there
+    are fewer securities than the cluster has cores, or long histories; each stage then copies (block + look-back) / block
+    times its rows. Recursions are scanned over blocks either way.
+    """
+    c = Compiler("spark", f"{code}, _block" if block else code, date, order)
     for name, text in formulas.items():
         c.add(name, text)
     df = panel
@@ -310,27 +324,18 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] =
             df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in stage.plain.items()))
         across = {k: v for k, v in stage.windows.items() if f"PARTITION BY {date}" in v}
         along = {k: v for k, v in stage.windows.items() if k not in across}
-        for some in (along, across):
-            if some:
-                df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in some.items()))
+        if along:
+            df = blocks.blocked(df, block, stage.halo, order) if block else df
+            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in along.items()))
+            df = blocks.own(df) if block else df
+        if across:
+            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in across.items()))
         if stage.folds:
-            df = _with_folds(df, stage.folds, code, order)
+            df = blocks.scan(df, stage.folds, block or SCAN, code, order)
+            df = df.selectExpr(*(x for x in df.columns if x not in stage.folds), *(f"{rounded(k, DECIMALS)} AS {k}" for k in stage.folds))
     return df.selectExpr(*keep, *(f"{sql} AS {name}" for name, sql in c.results.items()))
 
 
-def _with_folds(df: DataFrame, folds: dict[str, tuple[str, str, float]], code: str, order: str) -> DataFrame:
-    """Sequential recursions need a security's sessions in order: one group per security, of a calendar's length."""
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        for name, (kind, source, rate) in folds.items():
-            t[name] = pd.Series(_fold(kind, t[source].tolist(), rate), index=t.index, dtype=float)
-        return t
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{k} double" for k in folds)])
-    return df.groupBy(code).applyInPandas(run, schema)
-
-
 def to_sql(panel: str, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code")) -> str:
     """DuckDB SQL for the same columns, from a relation or CTE `panel`."""
     c = Compiler("duckdb")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillstone.operators import blocks
 from quillstone.plans import adapters
 from quillstone.plans.compiler import evaluate, shown, to_sql
 from quillstone.plans.formulas import REGISTRY
@@ -18,6 +20,7 @@ PRIMITIVES = {
     "primitives_shift": {"lag1": "delay(C)", "lag5": "delay(C, 5)", "delta1": "delta(C)", "delta7": "delta(V, 7)", "ratios": "C / delay(C)", "mfirst": "delay(C, 4)", "mcount": "count(C, 20)"},
     "primitives_moments": {"ts_sum": "sum(V, 10)", "sma": "mean(C, 10)", "std": "std(C, 10)", "tmin": "tmin(L, 10)", "tmax": "tmax(H, 10)", "cor": "corr(C, V, 10)", "cor_constant": "corr(C - C, V, 10)", "cov": "cov(C, V, 10)", "beta": "beta(RET, IDX / delay(IDX) - 1, 20)", "slope": "slope(C, 10)"},
     "primitives_order": {"ts_rank": "tsrank(C, 10)", "mrank": "tsrank(C, 10) / 10", "argmax": "argmax(C, 10)", "argmin": "argmin(C, 10)", "decay": "decay(C, 8)", "product": "prod(C / 1000, 5)"},
+    "primitives_weights": {"wav": "wav(C, 1, 2, 3, 5)", "fill": "fill(C / delay(C) - 1, 0)", "wav_filled": "wav(fill(RET, 0), 0.5, 0, 1)"},
     "primitives_recursive": {"ema": "ema(C, 13, 2)", "ema_of_gaps": "ema(iif(C > delay(C), C, null), 7, 2)", "fold": "grow(C / delay(C) - 1)"},
 }
 
@@ -48,5 +51,54 @@ def _oracle(formulas: dict[str, str]) -> str:
     return f"{head}{', ' + ctes.strip() if ctes.strip() else ''}, result AS (SELECT trade_date{last}) SELECT trade_date, ts_code, {results} FROM result"
 
 
-QUERIES = {name: _query(f) for name, f in _batches().items()}
-ORACLES = {name: _oracle(f) for name, f in _batches().items()}
+#: Formulas that look back far, in one step and in several, and recursions of recursions.
+FAR = {
+    "year": "mean(C, 250)", "far": "C / mean(C, 1024) - 1", "ranks": "mean(rank(delta(C, 20)), 60)", "smooth": "ema(std(C, 20) - delay(std(C, 20), 5), 13, 2)", "twice": "delay(ema(ema(C, 20, 1), 7, 2), 3)",
+    "growth": "grow(C / delay(C))", "reach": "corr(C, V, 100)",
+}
+#: Sessions of a block, and the last sessions of the panel that the burnt-in query shows.
+BLOCK, LAST = 200, 40
+
+
+def formulas_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of up to 1024 sessions in blocks of 200."""
+    df = evaluate(adapters.dense(spark, sf_dir), FAR, block=BLOCK)
+    return df.selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in FAR))
+
+
+def formulas_burnt_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's last sessions, from those and 1024 before them; recursions begin there, and have forgotten it by then."""
+    panel = adapters.dense(spark, sf_dir)
+    last = panel.agg({"day_index": "max"}).first()[0]
+    some = {k: FAR[k] for k in ("year", "smooth", "twice", "reach")}
+    df = evaluate(blocks.burn_in(panel, last - LAST + 1, last), some, ("trade_date", "ts_code", "_target"), block=BLOCK)
+    return df.where("_target").selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in some))
+
+
+def panel_benchmark_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equal-weight index, as if two sessions of five and all from the 2000th on lacked, carried on by the securities' returns."""
+    panel = adapters.panel.densify(adapters.bars(spark, sf_dir))
+    days = panel.groupBy("day_index").agg(F.avg("open").alias("index_open"), F.avg("close").alias("index_close"))
+    lacks = (F.col("day_index") % 5 >= 3) | (F.col("day_index") >= 2000)
+    index = days.select("day_index", *(F.when(~lacks, F.col(k)).alias(k) for k in ("index_open", "index_close")))
+    return blocks.fill_benchmark(index, panel).selectExpr("day_index", *(f"{shown(k)} AS {k}" for k in ("index_open", "index_close")))
+
+
+_FILL_SQL = f"""WITH RECURSIVE {adapters.BARS_SQL.strip()},
+    mv AS (SELECT day_index, avg(ln(close / p)) FILTER (WHERE close > 0 AND open > 0 AND p > 0) AS c, avg(ln(open / p)) FILTER (WHERE close > 0 AND open > 0 AND p > 0) AS o
+        FROM (SELECT *, lag(close) OVER (PARTITION BY ts_code ORDER BY day_index) AS p FROM dense) GROUP BY day_index),
+    ix AS MATERIALIZED (SELECT day_index, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN avg(open) END AS io, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN avg(close) END AS ic, any_value(mv.c) AS c, any_value(mv.o) AS o FROM dense JOIN mv USING (day_index) GROUP BY day_index),
+    line AS (
+        SELECT 0 AS day_index, CAST(NULL AS DOUBLE) AS index_open, CAST(NULL AS DOUBLE) AS index_close
+        UNION ALL
+        SELECT ix.day_index, CASE WHEN ic IS NOT NULL THEN io ELSE index_close * exp(o) END, coalesce(ic, index_close * exp(c)) FROM line JOIN ix ON ix.day_index = line.day_index + 1)
+    SELECT day_index, {shown('index_open', 'duckdb')} AS index_open, {shown('index_close', 'duckdb')} AS index_close FROM line WHERE day_index > 0"""
+
+
+def _burnt_in_sql() -> str:
+    body = _oracle({k: FAR[k] for k in ("year", "smooth", "twice", "reach")})
+    return f"SELECT * FROM ({body}) WHERE trade_date IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem ORDER BY 1 DESC LIMIT {LAST})"
+
+
+QUERIES = {name: _query(f) for name, f in _batches().items()} | {f.__name__: f for f in (formulas_blocked, formulas_burnt_in, panel_benchmark_fill)}
+ORACLES = {name: _oracle(f) for name, f in _batches().items()} | {"formulas_blocked": _oracle(FAR), "formulas_burnt_in": _burnt_in_sql(), "panel_benchmark_fill": _FILL_SQL}

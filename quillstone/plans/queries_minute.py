@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import minute, panel
+from quillstone.operators import minute, panel, session_curves
 from quillstone.plans import adapters
 from quillstone.plans.adapters import MINUTE_SQL
 from quillstone.plans.queries_eval import CORR
@@ -201,16 +201,36 @@ def minute_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.chip_features(adapters.minute_bars(spark, sf_dir)))
 
 
-SEG48_SQL = RET_SQL + """,
-sg AS (SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bars) AS INT) AS segment, sum(CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END) AS seg_return FROM mr GROUP BY 1, 2, 3, 4)"""
+def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of which some have no trade, and a universe that one security leaves on every third session."""
+    idle = (F.col("ts_code") == "error") & (F.col("volume") % 5 == 0)
+    b = adapters.minute_bars(spark, sf_dir).withColumn("amount", F.when(idle, 0.0).otherwise(F.col("amount"))).withColumn("volume", F.when(idle, 0.0).otherwise(F.col("volume")))
+    return b.withColumn("member", (F.col("ts_code") != "view") | (F.col("day_index") % 3 != 0))
 
 
-@query(f"""WITH {SEG48_SQL}, al AS (SELECT trade_date, count(DISTINCT ts_code) AS members FROM sg GROUP BY trade_date),
-    m AS (SELECT sg.*, (sum(seg_return) OVER (PARTITION BY sg.trade_date, segment) - seg_return) / nullif(count(seg_return) OVER (PARTITION BY sg.trade_date, segment) - 1, 0) AS others, CASE WHEN count(seg_return) OVER (PARTITION BY sg.trade_date, segment) >= 0.8 * members THEN others END AS market FROM sg JOIN al ON al.trade_date = sg.trade_date),
-    dd AS (SELECT ts_code, trade_date, day_index, sum(market) AS sx, sum(seg_return) FILTER (WHERE market IS NOT NULL) AS sy, sum(market * market) AS sxx, sum(market * seg_return) AS sxy, count(market) AS n FROM m GROUP BY 1, 2, 3),
-    be AS (SELECT *, sum(n) OVER w AS wn, sum(sx) OVER w AS wx, sum(sy) OVER w AS wy, sum(sxx) OVER w AS wxx, sum(sxy) OVER w AS wxy, count(n) OVER w AS days FROM dd WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-    bb AS (SELECT ts_code, trade_date, CASE WHEN days >= 10 AND wn * wxx - wx * wx > 1e-18 THEN (wn * wxy - wx * wy) / (wn * wxx - wx * wx) END AS beta FROM be),
-    e AS (SELECT m.ts_code, m.trade_date, m.day_index, segment, others, beta, seg_return - beta * market AS res FROM m JOIN bb ON bb.ts_code = m.ts_code AND bb.trade_date = m.trade_date),
+# every 48th part of a session: its return against the other members' mean, and the residual by a regression over the sessions before
+RESIDUAL_SQL = RET_SQL + """,
+mu AS (
+    SELECT * REPLACE (CASE WHEN idle THEN 0 ELSE amount END AS amount, CASE WHEN idle THEN 0 ELSE volume END AS volume), ts_code <> 'view' OR day_index % 3 <> 0 AS member
+    FROM (SELECT *, ts_code = 'error' AND volume % 5 = 0 AS idle FROM mr)),
+sg AS (
+    SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bars) AS INT) AS segment, bool_or(member) AS member, coalesce(sum(amount) FILTER (WHERE minute_index > 0), 0) AS seg_amount, sum(amount) AS all_amount,
+        CASE WHEN max(amount) FILTER (WHERE minute_index > 0) > 0 THEN sum(CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END) END AS seg_return
+    FROM mu GROUP BY 1, 2, 3, 4),
+al AS (SELECT trade_date, greatest(CAST(ceil(count(DISTINCT ts_code) FILTER (WHERE member) * 4 / 5) AS INT), 3) AS needed FROM sg GROUP BY trade_date),
+sn AS (SELECT trade_date, segment, sum(seg_return) FILTER (WHERE member) AS s, count(seg_return) FILTER (WHERE member) AS n FROM sg GROUP BY 1, 2),
+m AS (SELECT sg.*, n, needed, CASE WHEN n > 1 THEN (s - seg_return) / (n - 1) END AS others FROM sg JOIN sn USING (trade_date, segment) JOIN al USING (trade_date)),
+dd AS (SELECT ts_code, trade_date, day_index, sum(others) AS sx, sum(seg_return) FILTER (WHERE others IS NOT NULL) AS sy, sum(others * others) AS sxx, sum(others * seg_return) AS sxy, count(others) AS n FROM m GROUP BY 1, 2, 3),
+be AS (SELECT *, sum(n) OVER w AS wn, sum(sx) OVER w AS wx, sum(sy) OVER w AS wy, sum(sxx) OVER w AS wxx, sum(sxy) OVER w AS wxy FROM dd WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+bb AS (SELECT ts_code, trade_date, CASE WHEN wn >= 10 AND wxx - wx * wx / wn > 1e-12 THEN (wxy - wx * wy / wn) / (wxx - wx * wx / wn) END AS beta FROM be),
+e AS MATERIALIZED (SELECT m.*, beta, CASE WHEN n >= needed THEN seg_return - beta * others END AS res FROM m JOIN bb USING (ts_code, trade_date))"""
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minute.market_residuals(minute.segments(_universe(spark, sf_dir), minute.SEGMENTS))
+
+
+@query(f"""WITH {RESIDUAL_SQL},
     ol AS (SELECT *, list_sort(list_filter(list(others) OVER (PARTITION BY ts_code, segment ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL)) AS old FROM e),
     dn AS (SELECT *, CASE WHEN len(old) >= 10 AND others < 0 AND others < old[1 + CAST(floor((len(old) - 1) * 0.2) AS INT)] THEN res END AS down FROM ol),
     a AS (SELECT ts_code, trade_date, day_index, max(beta) AS beta, CASE WHEN count(res) = 48 THEN sum(res) END AS whole, CASE WHEN count(res) FILTER (WHERE segment >= 42) = 6 THEN sum(res) FILTER (WHERE segment >= 42) END AS tail,
@@ -218,11 +238,41 @@ sg AS (SELECT ts_code, trade_date, day_index, CAST(floor(minute_index * 48 / bar
     SELECT ts_code, trade_date, {s('beta', 6, 'beta')}, {s('whole', 6, 'mf_market_residual_return')}, {s('tail', 6, 'mf_tail30_market_residual_return')}, {s('rv', 6, 'mf_market_residual_rv')}, {s('resilience', 6, 'mf_market_down_resilience')},
         {s('CASE WHEN count(rv) OVER w >= 10 AND stddev_samp(rv) OVER w > 1e-12 THEN (rv - avg(rv) OVER w) / stddev_samp(rv) OVER w END', 6, 'mf_market_residual_rv_z20')} FROM a WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def minute_market_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    residuals = minute.market_residuals(minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS))
+    residuals = _residuals(spark, sf_dir)
     daily = minute.residual_features(residuals).join(minute.down_resilience(residuals), minute.DAY)
     return _shown(daily.withColumn("mf_market_residual_rv_z20", panel.ring_z("mf_market_residual_rv", 20, 10)))
 
 
+@query(f"""WITH RECURSIVE {RESIDUAL_SQL},
+    sh AS (SELECT *, CASE WHEN sum(all_amount) OVER d > 0 THEN seg_amount / sum(all_amount) OVER d END AS share, sum(seg_amount) OVER d AS total FROM e WINDOW d AS (PARTITION BY ts_code, trade_date)),
+    ba AS (SELECT *, CASE WHEN count(share) OVER w >= 10 THEN avg(share) OVER w END AS base, max(res) OVER (d RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) + max(res) OVER (d RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) AS nxt
+        FROM sh WINDOW w AS (PARTITION BY ts_code, segment ORDER BY day_index RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING), d AS (PARTITION BY ts_code, trade_date ORDER BY segment)),
+    k AS MATERIALIZED (SELECT *, seg_return IS NOT NULL AND base IS NOT NULL AND share IS NOT NULL AS known, coalesce(share >= 2 * base AND seg_return <> 0, false) AS hot, greatest(seg_amount - total * base, 0) AS excess FROM ba),
+    ai AS (SELECT ts_code, trade_date, CASE WHEN count(*) FILTER (WHERE known) = 48 AND sum(excess) FILTER (WHERE hot) > 0 THEN sum(sign(seg_return) * excess) FILTER (WHERE hot) / sum(excess) FILTER (WHERE hot) END AS x, count(*) AS parts FROM k GROUP BY 1, 2),
+    fo AS (
+        SELECT ts_code, trade_date, 0 AS place, CAST(0 AS DOUBLE) AS t, 0 AS n, true AS ok FROM ai
+        UNION ALL
+        SELECT ts_code, trade_date, CASE WHEN known AND hot AND nxt IS NOT NULL THEN place + 3 ELSE place + 1 END, t + CASE WHEN known AND hot AND nxt IS NOT NULL THEN sign(seg_return) * nxt ELSE 0 END, fo.n + CASE WHEN known AND hot AND nxt IS NOT NULL THEN 1 ELSE 0 END, ok AND known
+        FROM fo JOIN (SELECT ts_code, trade_date, segment, known, hot, nxt, seg_return FROM k) AS k USING (ts_code, trade_date) WHERE segment = place AND place < 46)
+    SELECT ts_code, trade_date, {s('max(x)', 6, 'mf_abnormal_signed_amount_imbalance')}, {s('max(CASE WHEN place >= 46 AND ok AND fo.n > 0 AND parts = 48 THEN t / fo.n END)', 6, 'mf_abnormal_flow_followthrough_10m')}
+    FROM ai JOIN fo USING (ts_code, trade_date) GROUP BY ts_code, trade_date""")
+def minute_abnormal_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(minute.abnormal_flows(_residuals(spark, sf_dir)))
+
+
+@query(f"""WITH {RESIDUAL_SQL},
+    p AS (SELECT *, CASE WHEN volume > 0 AND amount > 0 THEN amount / volume END AS p, CASE WHEN volume > 0 AND amount > 0 THEN volume END AS w, sum(volume) OVER d AS v, last_value(close) OVER (d ORDER BY minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c,
+        CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END AS move FROM mu WINDOW d AS (PARTITION BY ts_code, trade_date)),
+    q AS (SELECT *, sum(w * p) OVER d / nullif(v, 0) AS vw, sum(w) OVER (d ORDER BY p NULLS LAST, minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, CASE WHEN p IS NOT NULL AND move IS NOT NULL THEN CASE WHEN move >= 0 THEN amount ELSE -amount END END AS signed FROM p WINDOW d AS (PARTITION BY ts_code, trade_date)),
+    parts AS (SELECT ts_code, trade_date, floor(minute_index * 8 / bars) AS part, sum(signed) AS x FROM q GROUP BY 1, 2, 3),
+    pos AS (SELECT ts_code, trade_date, CASE WHEN count(x) = 8 THEN count(*) FILTER (WHERE x > 0) / 8 END AS positive FROM parts GROUP BY 1, 2),
+    g AS (SELECT ts_code, trade_date, coalesce(sum(w) FILTER (WHERE p > c), 0) / nullif(max(v), 0) AS above, sqrt(sum(w * (p - vw) * (p - vw)) / nullif(max(v), 0)) / max(vw) AS dispersion, (min(p) FILTER (WHERE cum >= 0.85 * v) - max(c)) / max(vw) AS q85,
+        ln((sum(amount) FILTER (WHERE p IS NOT NULL AND minute_index * 2 >= bars) / sum(w) FILTER (WHERE minute_index * 2 >= bars)) / (sum(amount) FILTER (WHERE p IS NOT NULL AND minute_index * 2 < bars) / sum(w) FILTER (WHERE minute_index * 2 < bars))) AS pm_am FROM q GROUP BY 1, 2)
+    SELECT ts_code, trade_date, {s('positive', 6, 'mf_signed_amount_positive_segment_share')}, {s('above', 6, 'mf_traded_volume_above_close_share')}, {s('dispersion', 6, 'mf_traded_cost_dispersion')}, {s('q85', 6, 'mf_cost_q85_to_close')}, {s('pm_am', 6, 'mf_pm_am_vwap_log_ratio')} FROM g JOIN pos USING (ts_code, trade_date)""")
+def minute_traded_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(minute.traded_costs(_universe(spark, sf_dir)))
+
+
 @query(f"""WITH {RET_SQL}, t AS (SELECT *, CASE WHEN minute_index = 121 THEN ln(close / open) WHEN minute_index > 0 THEN r END AS move FROM mr),
     u AS (SELECT *, CASE WHEN move >= 0 THEN amount ELSE -amount END AS signed FROM t WHERE move IS NOT NULL AND amount > 0 AND volume > 0),
     g AS (SELECT ts_code, trade_date, day_index, sum(signed) / sum(amount) AS x, sum(signed) FILTER (WHERE minute_index >= bars - 30) / sum(amount) FILTER (WHERE minute_index >= bars - 30) AS y FROM u GROUP BY 1, 2, 3)
@@ -242,14 +292,14 @@ def minute_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.gap_features(adapters.minute_bars(spark, sf_dir), noon=40))
 
 
-@query(f"""WITH {SEG48_SQL}, q AS (SELECT *, (rank() OVER (PARTITION BY trade_date, segment ORDER BY round_even(seg_return, 10)) + (count(*) OVER (PARTITION BY trade_date, segment, round_even(seg_return, 10)) - 1) / 2.0 - 1) / nullif(count(*) OVER (PARTITION BY trade_date, segment) - 1, 0) AS q FROM sg WHERE seg_return IS NOT NULL),
-    w AS (SELECT *, CASE WHEN segment <> 24 THEN max(q) OVER (PARTITION BY ts_code, trade_date ORDER BY segment RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS was FROM q)
+@query(f"""WITH {RESIDUAL_SQL}, i AS (SELECT *, round_even(res, 10) AS x, count(*) OVER (PARTITION BY trade_date, segment) AS k FROM e WHERE member AND res IS NOT NULL),
+    q AS (SELECT *, CASE WHEN k >= needed THEN (rank() OVER (PARTITION BY trade_date, segment ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, segment, x) - 1) / 2.0 - 1) / (k - 1) END AS q FROM i),
+    w AS (SELECT ts_code, trade_date, segment, q.q, CASE WHEN segment <> 24 THEN max(q.q) OVER (PARTITION BY ts_code, trade_date ORDER BY segment RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS was FROM e LEFT JOIN q USING (ts_code, trade_date, segment))
     SELECT ts_code, trade_date, {s('CASE WHEN count(*) FILTER (WHERE q IS NOT NULL AND was IS NOT NULL) = 46 THEN count(*) FILTER (WHERE q >= 0.7 AND was >= 0.7) / 46 END', 6, 'mf_cs_rank_top30_persistence')},
         {s('CASE WHEN count(q) FILTER (WHERE segment >= 42) = 6 AND count(q) FILTER (WHERE segment < 6) = 6 THEN avg(q) FILTER (WHERE segment >= 42) - avg(q) FILTER (WHERE segment < 6) END', 6, 'mf_cs_rank_tail30_minus_open30')} FROM w GROUP BY ts_code, trade_date""")
 def minute_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns are rounded before they are ranked, so that ties don't hang on the order of summation."""
-    seg = minute.segments(adapters.minute_bars(spark, sf_dir), minute.SEGMENTS).withColumn("seg_return", F.bround("seg_return", 10))
-    return _shown(minute.rank_features(seg))
+    """Residuals are rounded before they are ranked, so that ties don't hang on the order of summation."""
+    return _shown(minute.rank_features(_residuals(spark, sf_dir).withColumn("residual", F.bround("residual", 10))))
 
 
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +317,7 @@ def minute_volume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.volume_events(_ranged(spark, sf_dir)))
 
 
-@query(f"""WITH {RET_SQL}, v AS (SELECT *, volume > avg(volume) OVER w + stddev_pop(volume) OVER w AS outstanding FROM mr WINDOW w AS (PARTITION BY ts_code, trade_date))
+@query(f"""WITH {RET_SQL}, v AS (SELECT *, minute_index > 0 AND volume > avg(volume) OVER w + stddev_pop(volume) OVER w AS outstanding FROM mr WINDOW w AS (PARTITION BY ts_code, trade_date))
     SELECT ts_code, trade_date, {s('-stddev_pop(CASE WHEN outstanding THEN r END)', 6, 'mf_volume_up_return_std')}, {s('-stddev_pop(CASE WHEN outstanding AND r > 0 THEN r END)', 6, 'mf_volume_up_positive_return_std')} FROM v GROUP BY ts_code, trade_date""")
 def minute_volume_up_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.volume_up_returns(adapters.minute_bars(spark, sf_dir)))
@@ -292,6 +342,30 @@ def minute_relative_volume_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.relative_volume_ranks(adapters.minute_bars(spark, sf_dir)))
 
 
+@query(f"""WITH {RESIDUAL_SQL},
+    obs AS (SELECT ts_code, trade_date, day_index, row_number() OVER (PARTITION BY ts_code ORDER BY day_index) AS k FROM (SELECT DISTINCT ts_code, trade_date, day_index FROM mu)),
+    pool AS (SELECT o.ts_code, o.trade_date, CASE WHEN b.k = o.k THEN 99 ELSE o.k - b.k END AS late, b.trade_date AS from_date, o.k - b.k AS back FROM obs AS o JOIN obs AS b ON b.ts_code = o.ts_code AND b.k BETWEEN o.k - 9 AND o.k AND b.day_index >= o.day_index - 40),
+    x AS (SELECT p.ts_code, p.trade_date, volume, amount, sum(volume) OVER d AS whole, sum(amount) OVER d AS money, sum(volume) OVER (d ORDER BY abs(ln(close / open)) / pow(volume, 0.25) DESC, late, minute_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM pool AS p JOIN mu ON mu.ts_code = p.ts_code AND mu.trade_date = p.from_date WHERE volume > 0 WINDOW d AS (PARTITION BY p.ts_code, p.trade_date)),
+    ok AS (SELECT ts_code, trade_date FROM pool GROUP BY 1, 2 HAVING count(*) >= 6),
+    q AS (SELECT ts_code, trade_date, sum(amount) / sum(volume) / (max(money) / max(whole)) AS q FROM x WHERE cum - volume < 0.2 * whole GROUP BY 1, 2)
+    SELECT obs.ts_code, obs.trade_date, {s('CASE WHEN ok.ts_code IS NOT NULL THEN q END', 6, 'mf_smart_q_pooled_b025_w10_p20')} FROM obs LEFT JOIN ok USING (ts_code, trade_date) LEFT JOIN q USING (ts_code, trade_date)""")
+def minute_smart_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(session_curves.pooled_smart_ratio(_universe(spark, sf_dir)))
+
+
+@query(f"""WITH {RESIDUAL_SQL},
+    sh AS (SELECT *, CASE WHEN sum(amount) OVER d > 0 THEN amount / sum(amount) OVER d END AS share, count(*) OVER d AS n FROM mu WHERE minute_index < 40 WINDOW d AS (PARTITION BY ts_code, trade_date)),
+    z AS (SELECT *, CASE WHEN count(share) OVER w >= 10 THEN share - avg(share) OVER w END AS z FROM sh WINDOW w AS (PARTITION BY ts_code, minute_index ORDER BY day_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, z - avg(z) OVER (PARTITION BY ts_code, trade_date) AS x FROM z),
+    f AS (SELECT ts_code, trade_date, k, power(sum(x * cos(2 * pi() * k * minute_index / n)), 2) + power(sum(x * sin(2 * pi() * k * minute_index / n)), 2) AS p, count(x) = max(n) AS whole FROM c, range(1, 31) AS r(k) GROUP BY 1, 2, 3),
+    t AS (SELECT ts_code, trade_date, CASE WHEN bool_and(whole) AND sum(p) > 1e-12 THEN sum(p) END AS total, max(p) AS peak, sum(p) FILTER (WHERE k BETWEEN 5 AND 20) AS band FROM f GROUP BY 1, 2)
+    SELECT ts_code, trade_date, {s('peak / total', 6, 'mf_amount_periodicity_peak_share_w20')}, {s('band / total', 6, 'mf_amount_periodicity_band_power_w20')} FROM t""")
+def minute_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 bars stand for the session, so that sessions are of one length."""
+    return _shown(session_curves.periodicity(_universe(spark, sf_dir).where("minute_index < 40")))
+
+
 @query(None)
 def minute_session_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regressions, spectra, distributions and support areas of each session; tests hold the kernels to known values."""

@@ -2,10 +2,11 @@ import math
 from datetime import date, timedelta
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quillstone.plans.compiler import Compiler, FormulaError, _fold, evaluate
+from quillstone.operators import blocks
+from quillstone.plans.compiler import Compiler, FormulaError, evaluate
 from quillstone.plans.formulas import REGISTRY, artifact_id
 
 BASE = "trade_date date, ts_code string, day_index int, O double, H double, L double, C double, V double, VWAP double, RET double, IDX double"
@@ -103,10 +104,11 @@ def test_registry_compiles_in_both_dialects():
         assert set(c.results) == set(REGISTRY)
 
 
-@settings(max_examples=50, deadline=None)
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6)), max_size=20), st.floats(0.01, 0.99))
-def test_fold_matches_its_closed_form(xs, rate):
-    got = _fold("ema", xs, rate)
+def test_recursive_averages_match_their_closed_form(spark, xs, rate):
+    df = spark.createDataFrame([("A", i, x) for i, x in enumerate(xs)], "ts_code string, day_index int, x double")
+    got = [r.e for r in blocks.scan(df, {"e": ("ema", "x", rate)}, 5).orderBy("day_index").collect()]
     known = [x for x in xs if x is not None]
     assert [g is None for g in got] == [x is None for x in xs]
     if known:
