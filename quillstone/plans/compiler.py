@@ -34,9 +34,9 @@ def rounded(sql: str, decimals: int, dialect: str = "spark") -> str:
 
 
 def shown(sql: str, dialect: str = "spark") -> str:
-    """A result to about eight digits: more would show the order in which an engine added up."""
+    """A result to five to nine digits: more would show the order in which an engine added up or multiplied."""
     big = f"CAST(format_string('%.8e', {sql}) AS DOUBLE)" if dialect == "spark" else f"CAST(printf('%.8e', {sql}) AS DOUBLE)"
-    return f"CASE WHEN {sql} IS NULL THEN NULL WHEN abs({sql}) < 1000 THEN {rounded(sql, 5, dialect)} + 0.0 WHEN abs({sql}) < 1e9 THEN {rounded(sql, 4, dialect)} + 0.0 ELSE {big} END".replace("0.0", "0.0D" if dialect == "spark" else "CAST(0 AS DOUBLE)")
+    return f"CASE WHEN {sql} IS NULL THEN NULL WHEN abs({sql}) < 1000 THEN {rounded(sql, 5, dialect)} + 0.0 WHEN abs({sql}) < 1e5 THEN {rounded(sql, 4, dialect)} + 0.0 WHEN abs({sql}) < 1e9 THEN {rounded(sql, 0, dialect)} + 0.0 ELSE {big} END".replace("0.0", "0.0D" if dialect == "spark" else "CAST(0 AS DOUBLE)")
 
 
 class FormulaError(ValueError):

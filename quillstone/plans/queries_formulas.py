@@ -76,9 +76,9 @@ def formulas_burnt_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_benchmark_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal-weight index, as if two sessions of five and all from the 2000th on lacked, carried on by the securities' returns."""
+    """The lowest open and the highest close as an index, as if two sessions of five and all from the 2000th on lacked, carried on by the securities' returns."""
     panel = adapters.panel.densify(adapters.bars(spark, sf_dir))
-    days = panel.groupBy("day_index").agg(F.avg("open").alias("index_open"), F.avg("close").alias("index_close"))
+    days = panel.groupBy("day_index").agg(F.min("open").alias("index_open"), F.max("close").alias("index_close"))
     lacks = (F.col("day_index") % 5 >= 3) | (F.col("day_index") >= 2000)
     index = days.select("day_index", *(F.when(~lacks, F.col(k)).alias(k) for k in ("index_open", "index_close")))
     return blocks.fill_benchmark(index, panel).selectExpr("day_index", *(f"{shown(k)} AS {k}" for k in ("index_open", "index_close")))
@@ -87,7 +87,7 @@ def panel_benchmark_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILL_SQL = f"""WITH RECURSIVE {adapters.BARS_SQL.strip()},
     mv AS (SELECT day_index, avg(ln(close / p)) FILTER (WHERE close > 0 AND open > 0 AND p > 0) AS c, avg(ln(open / p)) FILTER (WHERE close > 0 AND open > 0 AND p > 0) AS o
         FROM (SELECT *, lag(close) OVER (PARTITION BY ts_code ORDER BY day_index) AS p FROM dense) GROUP BY day_index),
-    ix AS MATERIALIZED (SELECT day_index, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN avg(open) END AS io, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN avg(close) END AS ic, any_value(mv.c) AS c, any_value(mv.o) AS o FROM dense JOIN mv USING (day_index) GROUP BY day_index),
+    ix AS MATERIALIZED (SELECT day_index, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN min(open) END AS io, CASE WHEN day_index % 5 < 3 AND day_index < 2000 THEN max(close) END AS ic, any_value(mv.c) AS c, any_value(mv.o) AS o FROM dense JOIN mv USING (day_index) GROUP BY day_index),
     line AS (
         SELECT 0 AS day_index, CAST(NULL AS DOUBLE) AS index_open, CAST(NULL AS DOUBLE) AS index_close
         UNION ALL
