@@ -186,8 +186,8 @@ def drawn(df: DataFrame, id_: str, text: str, rows: int, chars: int) -> list[Row
     return sorted(some.drop("_k").collect(), key=lambda x: (x[id_], x[text])) if some else []
 
 
-def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, row: list[str]) -> DataFrame:
-    """big joined with small, which has one row a key and in column `count` how many of big's `total` rows have the key.
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, row: list[str], how: str = "inner") -> DataFrame:
+    """big joined (inner or left) with small, which has one row a key and in column `count` how many of big's `total` rows have the key.
 
     A hot key's rows are split by a hash of the columns `row` of big, and small's row for it is repeated, so that no task
     gets much more than one in HOT rows of a key. The broadcast that tells big's rows has at most HOT rows.
@@ -196,7 +196,7 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], count: str, tot
     hot = small.where(F.col(count) * HOT >= total).select(*on, parts.alias("_parts"))
     left = big.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*row), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     right = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) * HOT >= total, parts).otherwise(1) - 1)))
-    return left.join(right, [*on, "_part"]).drop("_part")
+    return left.join(right, [*on, "_part"], how).drop("_part")
 
 
 def add_arrays(parts: DataFrame, column: str, order: str, ways: int = 32) -> np.ndarray | None:

@@ -25,6 +25,8 @@ SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1024, 16_000_000, 65_536, 3
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of an archive that are read at a time.
 PART = 65_536
+#: Bytes of records, before compression, that end an archive; a task with more writes several.
+ARCHIVE_BYTES = 256_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -73,21 +75,23 @@ def records(archive: BinaryIO | pa.NativeFile) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
+def write(pages: DataFrame, folder: str, least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archive page_id, url, html; one row per archive: file, n_records.
 
     The payload is the html in UTF-8; a null one is empty. Of pages with equal payloads of at least `least` bytes,
     that with the largest page_id is the response, and the others revisit it; all others are responses. Rows that
     repeat this page_id are responses too; where all are null, all are responses. Other columns are ignored; an
-    empty table gives no archive.
+    empty table gives no archive. A payload that many pages share is split over tasks, and an archive ends with the
+    record that reaches `archive_bytes`.
     """
     spark = pages.sparkSession
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     # a page that is too small to be looked up has a key that no other's equals, so that these don't meet in one task
     alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string"))
     p = p.withColumn("size", F.octet_length("html")).withColumn("key", F.when(F.col("size") >= least, F.sha1(F.encode("html", "UTF-8"))).otherwise(alone))
-    again = p.where(F.col("size") >= least).groupBy("key").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
-    p = p.join(again, "key", "left").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("refers")), F.col("refers")))
+    again = p.where(F.col("size") >= least).groupBy("key").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null")
+    again, total = common.kept(again), p.count()
+    p = common.join_spread(p, again, ["key"], "n", total, ["page_id", "url"], "left").withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("refers")), F.col("refers")))
     chosen = common.drawn(pages.select("page_id", "url", "html"), "page_id", "html", SAMPLE, SAMPLE_CHARS)
     samples = [record(x["page_id"], x["url"], y, hashlib.sha1(y).hexdigest(), None, False) for x in chosen for y in [x["html"].encode("utf-8", "surrogatepass")]]
     try:
@@ -96,21 +100,27 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
         raw = b"".join(samples)[-DICTIONARY_BYTES:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get(), 0
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
+        task, squeeze = TaskContext.get(), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
+        rest = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers")), strict=True))
+        names, counts, following = [], [], next(rest, None)
 
-        def chunks() -> Iterator[bytes]:
-            nonlocal n
+        def archive() -> Iterator[bytes]:
+            nonlocal following
+            held = 0
             yield SKIPPABLE.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw
-            for batch in batches:
-                for page, url, html, refers in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "html", "refers")), strict=True):
-                    payload = html.encode("utf-8", "surrogatepass")
-                    n += 1
-                    yield squeeze.compress(record(page, url, payload, hashlib.sha1(payload).hexdigest(), refers, refers is not None))
-
-        name = f"part-{task.partitionId():05d}.warc.zst"
-        common.write_file(folder, name, chunks(), str(task.taskAttemptId()))
-        yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "n_records": pa.array([n], pa.int64())})
+            while following is not None and held < archive_bytes:
+                page, url, html, refers = following
+                payload = html.encode("utf-8", "surrogatepass")
+                one = record(page, url, payload, hashlib.sha1(payload).hexdigest(), refers, refers is not None)
+                held, counts[-1] = held + len(one), counts[-1] + 1
+                yield squeeze.compress(one)
+                following = next(rest, None)
+
+        while following is not None:
+            names.append(f"part-{task.partitionId():05d}-{len(names):05d}.warc.zst")
+            counts.append(0)
+            common.write_file(folder, names[-1], archive(), str(task.taskAttemptId()))
+        yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "n_records": pa.array(counts, pa.int64())})
 
     return common.cut(p.select("page_id", "url", "html", "refers").mapInArrow(run, "file string, n_records bigint"))
 

@@ -59,6 +59,32 @@ def test_warc_round_trip_with_revisits(spark):
     assert warc.read(spark, folder, warc.write(pages.limit(0), common.new_folder(spark, "w"))).count() == 0
 
 
+def test_a_payload_on_half_the_pages_is_split(spark):
+    hot = "h" * 3000
+    pages = spark.createDataFrame([(i, f"u{i}", hot if i % 2 else f"{i} " * 300) for i in range(4000)], "page_id bigint, url string, html string").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "16", "false"), strict=True):
+            spark.conf.set(k, v)
+        folder = common.new_folder(spark, "w")
+        files = warc.write(pages, folder)
+        sizes = [r.n_records for r in files.collect()]
+        assert len(sizes) == 16 and sum(sizes) == 4000 and max(sizes) < 2 * 250
+        got = {r.page_id: r for r in warc.read(spark, folder, files).drop("payload").collect()}
+        assert all(got[i].refers_to == 3999 for i in range(1, 3998, 2)) and got[3999].record_type == "response" and len(got) == 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_archives_end_with_the_record_that_reaches_their_bytes(spark):
+    pages = spark.createDataFrame([(i, None, "p" * 2000 + str(i)) for i in range(50)], "page_id bigint, url string, html string").coalesce(1)
+    folder = common.new_folder(spark, "w")
+    files = warc.write(pages, folder, archive_bytes=10_000)
+    assert sum(r.n_records for r in files.collect()) == 50 and max(r.n_records for r in files.collect()) <= 5
+    assert sorted(r.page_id for r in warc.read(spark, folder, files).collect()) == list(range(50))
+
+
 def test_line_dedup_equals_brute_force_and_keeps_first_places(spark, odd):
     random.seed(2)
     lines = [f"this is a line that some sites share, number {i}" for i in range(12)] + ["short", ""]

@@ -37,6 +37,23 @@ def test_round_trip_and_short_document_access(spark, odd, tokenizer):
     assert token_output.fetch(folder, first["shard"], 0).tolist() == np.frombuffer(got[0].ids, "<u4").tolist()
 
 
+def test_documents_without_text_fill_shards_too_and_are_found_by_search(spark, monkeypatch, tokenizer):
+    monkeypatch.setattr(token_output, "SHARD_DOCS", 500)
+    monkeypatch.setattr(token_output, "SOME", 7)
+    folder = common.new_folder(spark, "t")
+    rows = [(None, "null id"), (-5, "below 0"), *((3 * i, None if i % 3 else "") for i in range(2000)), (12, "twice"), (7000, "a word " * 3000)]
+    shards = token_output.write(spark.createDataFrame(rows, "doc_id bigint, text string"), folder, tokenizer, end_id=0)
+    sizes = [r.n_docs for r in shards.collect()]
+    assert len(sizes) == 5 and sum(sizes) == len(rows) and max(sizes) < 1000
+    got = token_output.read(spark, folder, shards).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None)
+    at = {(k, r.doc_id): r for k in range(5) for r in token_output.read(spark, folder, shards.where(f"shard = {k}")).collect()}
+    for (k, doc), r in list(at.items())[::97] + [((k, d), r) for (k, d), r in at.items() if d in (None, -5, 7000)]:
+        assert token_output.find(folder, k, doc).tolist() == np.frombuffer(r.ids, "<u4").tolist()
+    with pytest.raises(KeyError):
+        token_output.find(folder, 0, 1)
+
+
 def test_a_shard_of_another_dictionary_is_refused(spark, odd, tokenizer):
     folder = common.new_folder(spark, "t")
     shards = token_output.write(odd, folder, tokenizer, shards=1)
