@@ -23,11 +23,12 @@ class Split:
 
 
 def rolling_windows(sessions: list[tuple[int, object]], train: int, lag: int, period: str = "month") -> list[Split]:
-    """For each calendar month or quarter with enough history: the `train` sessions that end `lag` sessions before it.
+    """For each calendar month, quarter or year with enough history: the `train` sessions that end `lag` sessions before it.
 
     sessions are (number, date) in order. The lag keeps labels that reach into the period out of training.
     """
-    key = (lambda d: (d.year, d.month)) if period == "month" else (lambda d: (d.year, (d.month - 1) // 3))
+    months = {"month": 1, "quarter": 3, "year": 12}[period]
+    key = lambda d: (d.year, (d.month - 1) // months)
     periods: dict[tuple[int, int], list[int]] = {}
     for n, d in sessions:
         periods.setdefault(key(d), []).append(n)
@@ -112,10 +113,10 @@ def fuse(predictions: DataFrame, models: list[str], by: list[str]) -> DataFrame:
     return z.withColumn("fused", F.when(n > 0, total / n)).drop(*(f"_z_{m}" for m in models))
 
 
-def decay_weights(order: str, half_life: float) -> Column:
-    """Weights that halve every half_life sessions back from the last."""
-    last = F.max(order).over(Window.partitionBy())
-    return F.pow(F.lit(0.5), (last - F.col(order)) / F.lit(half_life))
+def decay_weights(df: DataFrame, order: str, half_life: float, name: str = "weight") -> DataFrame:
+    """df with weights that halve every half_life sessions back from the last, which one aggregate finds and a join of one row tells all."""
+    last = df.agg(F.max(order).alias("_last"))
+    return df.join(F.broadcast(last)).withColumn(name, F.pow(F.lit(0.5), (F.col("_last") - F.col(order)) / F.lit(half_life))).drop("_last")
 
 
 def relevance(label: str, by: list[str], levels: int = 31) -> Column:

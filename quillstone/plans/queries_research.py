@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import portfolio, research
+from quillstone.operators import boosting, portfolio, research
 from quillstone.plans import adapters
 from quillstone.plans.adapters import BARS_SQL
 from quillstone.plans.compiler import evaluate, shown, to_sql
@@ -63,8 +63,7 @@ def research_ridge_from_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     {s('pow(0.5, (max(day_index) OVER () - day_index) / 250.0)', 8, 'weight')} FROM lab""")
 def research_relevance_and_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = labelled(spark, sf_dir)
-    last = p.agg(F.max("day_index").alias("last"))
-    p = p.join(F.broadcast(last)).withColumn("weight", F.pow(F.lit(0.5), (F.col("last") - F.col("day_index")) / F.lit(250.0)))
+    p = research.decay_weights(p, "day_index", 250.0)
     return p.withColumn("grade", research.relevance("excess_1", ["trade_date"], 3).cast("bigint")).selectExpr("trade_date", "ts_code", "grade", r("weight", 8))
 
 
@@ -87,3 +86,16 @@ def research_softmax_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def research_hysteresis_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _scores(spark, sf_dir).select("strategy", "trade_date", "ts_code", "score")
     return portfolio.fold(t, "strategy", lambda d: research.hysteresis(d, 0.2, 0.6), "trade_date date, ts_code string, target_weight double")
+
+
+#: Few and small trees over every session, as the check runs on a small machine.
+BOOSTED = boosting.Settings("ranking", trees=4, depth=3, rate=0.1, bins=31, truncation=3, grades=5, half_life=250.0, keep=2)
+
+
+@query(None)
+def research_boosted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's sessions predicted by trees that learnt to rank on the 500 sessions before; all years' trees grow in the same passes."""
+    p = labelled(spark, sf_dir)
+    days = [(x["day_index"], x["trade_date"]) for x in p.select("day_index", "trade_date").distinct().orderBy("day_index").collect()]
+    out = boosting.rolling_predictions(p, ["momentum", "spread", "turnover"], "excess_5", research.rolling_windows(days, 500, 8, "year"), BOOSTED)
+    return out.select("window", "day_index", "ts_code", F.round("prediction", 6).alias("prediction"))

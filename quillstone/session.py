@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Results rely on these: timestamps are exchange-local and read as UTC; errors are errors; plans adapt to what they meet.
 SETTINGS = {
@@ -28,6 +28,17 @@ def session(name: str = "quillstone", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that driver and executors share, spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="quillstone-"))
+    return df.checkpoint()
+
+
 _shipped: set[str] = set()
 
 
