@@ -15,11 +15,38 @@ from quillstone.operators.evaluate import safe_corr
 DAY = ["ts_code", "trade_date", "day_index"]
 
 
+def _prices(bars: DataFrame) -> Column:
+    """Whether a bar's prices (those of open, high, low, close that there are) are positive and finite."""
+    ok = F.lit(True)
+    for c in ("open", "high", "low", "close"):
+        if c in bars.columns:
+            ok = ok & F.coalesce((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf")), F.lit(False))
+    return ok
+
+
 def complete(bars: DataFrame, count: int = 241) -> DataFrame:
-    """Bars of stock-days with exactly `count` bars numbered from 0, all with positive finite prices."""
+    """Bars of stock-days that exclusions() has no reason against, other than bars beyond the session, which go: `count` bars numbered from 0, each once, all with positive finite prices."""
     w = Window.partitionBy("ts_code", "trade_date")
-    good = (F.col("open") > 0) & (F.col("close") > 0) & ~F.isnan("open") & ~F.isnan("close")
-    return bars.withColumn("_n", F.count("*").over(w)).withColumn("_ok", F.min(F.coalesce(good, F.lit(False)).cast("int")).over(w)).withColumn("_last", F.max("minute_index").over(w)).where((F.col("_n") == count) & (F.col("_ok") == 1) & (F.col("_last") == count - 1)).drop("_n", "_ok", "_last")
+    b = bars.where(F.col("ts_code").isNotNull() & F.col("minute_index").between(0, count - 1))
+    b = b.withColumns({"_n": F.count("*").over(w), "_places": F.size(F.collect_set("minute_index").over(w)), "_ok": F.min(_prices(bars).cast("int")).over(w)})
+    return b.where((F.col("_n") == count) & (F.col("_places") == count) & (F.col("_ok") == 1)).drop("_n", "_places", "_ok")
+
+
+def exclusions(bars: DataFrame, count: int = 241) -> DataFrame:
+    """Why stock-days take no part: ts_code, trade_date, reason, bars (that the reason is about).
+
+    minute_index_out_of_range: bars beyond the session, which are left out while the others may still make a whole one.
+    bar_count_invalid: more or fewer than `count` bars in the session. invalid_price: as many as that, but one has a price
+    that isn't positive and finite, or comes twice so that another lacks. Bars without code or number aren't looked at.
+    One aggregation by stock-day.
+    """
+    inside = F.col("minute_index").between(0, count - 1)
+    b = bars.where(F.col("ts_code").isNotNull() & F.col("minute_index").isNotNull())
+    day = b.groupBy("ts_code", "trade_date").agg(F.count_if(~inside).alias("_out"), F.count_if(inside).alias("_in"), F.count_if(inside & ~_prices(bars)).alias("_bad"), F.size(F.collect_set(F.when(inside, F.col("minute_index")))).alias("_places"))
+    lacks = F.col("_in") - F.col("_places")
+    reason = F.when((F.col("_in") > 0) & (F.col("_in") != count), F.struct(F.lit("bar_count_invalid").alias("reason"), F.col("_in").alias("bars"))).when((F.col("_in") == count) & (F.col("_bad") + lacks > 0), F.struct(F.lit("invalid_price").alias("reason"), (F.col("_bad") + lacks).alias("bars")))
+    out = F.when(F.col("_out") > 0, F.struct(F.lit("minute_index_out_of_range").alias("reason"), F.col("_out").alias("bars")))
+    return day.select("ts_code", "trade_date", F.explode(F.array_compact(F.array(out, reason))).alias("_r")).select("ts_code", "trade_date", "_r.reason", "_r.bars")
 
 
 def with_returns(bars: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from quillstone.operators import joins, panel, quality
 from quillstone.plans import adapters
 from quillstone.plans.adapters import BARS_SQL
 from quillstone.plans.compiler import rounded
+from quillstone.session import shared_folder
+from quillstone.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +225,66 @@ def projection_order_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000000).cast("decimal(12,8)").alias("target_weight"), F.col("o_totalprice").cast("decimal(18,2)").alias("capital"), (F.floor(F.col("o_totalprice") / 100) * 100).alias("lot_shares"),
         F.quarter("o_orderdate").cast("bigint").alias("quarter"), F.weekofyear("o_orderdate").cast("bigint").alias("iso_week"), F.year("o_orderdate").cast("bigint").alias("year"), F.upper(F.substring("o_orderpriority", 1, 3)).alias("tag"), F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("padded"),
     )
+
+
+#: Minutes, days and ratios made of the events, with some of each fault that the nine checks look for.
+FAULTY_SQL = """ev AS (
+    SELECT event_id, event_type AS ts_code, CAST(ts AS DATE) AS trade_date, ts AS datetime, 1 + value AS close, 1 + user_id % 50 AS lot, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS minute_index FROM events),
+mi AS (
+    SELECT ts_code, trade_date, CASE WHEN event_id % 89 = 0 AND minute_index > 0 THEN CAST(trade_date AS TIMESTAMP) + INTERVAL 12 HOUR ELSE datetime END AS datetime, minute_index, close - 0.5 AS open, CASE WHEN event_id % 83 = 0 THEN close - 0.25 ELSE close + 1 END AS high, close - 0.75 AS low, close,
+        lot AS volume_lot, CASE WHEN event_id % 79 = 0 THEN lot ELSE lot * 100 END AS volume_share, CASE WHEN event_id % 73 = 0 THEN -1 ELSE lot END AS amount_cny FROM ev),
+sums AS (SELECT ts_code, trade_date, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, sum(volume_lot) AS volume_lot, sum(volume_share) AS volume_share, sum(amount_cny) AS amount_cny, count(*) AS bar_count FROM mi GROUP BY 1, 2),
+da AS (
+    SELECT ts_code, trade_date, open, CASE WHEN day(trade_date) % 9 = 0 THEN low ELSE high END AS high, low, close, CASE WHEN day(trade_date) % 7 = 0 THEN NULL ELSE volume_lot END AS volume_lot, volume_share, amount_cny, bar_count,
+        CASE WHEN day(trade_date) % 5 = 0 THEN 'missing' ELSE 'complete_trading' END AS observation_status FROM sums
+    UNION ALL SELECT ts_code, trade_date, open, high, low, close, volume_lot, volume_share, amount_cny, bar_count, 'partial_observation' FROM sums WHERE ts_code = 'view' AND day(trade_date) % 11 = 0),
+ad AS (
+    SELECT ts_code, trade_date, 1 AS snapshot_date, CASE WHEN day(trade_date) % 4 = 0 THEN 'missing_ratio' ELSE 'valid' END AS validation_status FROM sums WHERE day(trade_date) % 13 <> 0
+    UNION ALL SELECT ts_code, trade_date, 2, 'valid' FROM sums WHERE day(trade_date) % 8 = 0)"""
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = adapters.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ts_code"), F.to_date("ts").alias("trade_date"), F.col("ts").alias("datetime"), (1 + F.col("value")).alias("close"), (1 + F.col("user_id") % 50).alias("lot"))
+    e = e.withColumn("minute_index", F.row_number().over(Window.partitionBy("ts_code", "trade_date").orderBy("datetime", "event_id")) - 1)
+    k, lot, close, day = F.col("event_id"), F.col("lot"), F.col("close"), F.dayofmonth("trade_date")
+    mi = e.select(
+        "ts_code", "trade_date", F.when((k % 89 == 0) & (F.col("minute_index") > 0), (F.col("trade_date").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).cast(e.schema["datetime"].dataType)).otherwise(F.col("datetime")).alias("datetime"), "minute_index", (close - 0.5).alias("open"),
+        F.when(k % 83 == 0, close - 0.25).otherwise(close + 1).alias("high"), (close - 0.75).alias("low"), "close", lot.alias("volume_lot"), F.when(k % 79 == 0, lot).otherwise(lot * 100).alias("volume_share"), F.when(k % 73 == 0, -1).otherwise(lot).alias("amount_cny"),
+    )
+    sums = mi.groupBy("ts_code", "trade_date").agg(
+        F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "datetime").alias("close"), *(F.sum(c).alias(c) for c in ("volume_lot", "volume_share", "amount_cny")), F.count("*").alias("bar_count"),
+    )
+    da = sums.withColumn("high", F.when(day % 9 == 0, F.col("low")).otherwise(F.col("high"))).withColumn("volume_lot", F.when(day % 7 != 0, F.col("volume_lot"))).withColumn("observation_status", F.when(day % 5 == 0, "missing").otherwise("complete_trading"))
+    da = da.unionByName(sums.where((F.col("ts_code") == "view") & (day % 11 == 0)).withColumn("observation_status", F.lit("partial_observation")))
+    ad = sums.where(day % 13 != 0).select("ts_code", "trade_date", F.lit(1).alias("snapshot_date"), F.when(day % 4 == 0, "missing_ratio").otherwise("valid").alias("validation_status"))
+    return mi, da, ad.unionByName(sums.where(day % 8 == 0).select("ts_code", "trade_date", F.lit(2).alias("snapshot_date"), F.lit("valid").alias("validation_status")))
+
+
+@query(f"""WITH {FAULTY_SQL}, n AS (
+    SELECT 'minute_primary_key' AS check_name, coalesce(sum(n - 1), 0) AS violations FROM (SELECT count(*) AS n FROM mi GROUP BY ts_code, datetime HAVING count(*) > 1)
+    UNION ALL SELECT 'minute_ohlc', count(*) FROM mi WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR high < greatest(open, close) OR low > least(open, close)
+    UNION ALL SELECT 'minute_session', count(*) FROM mi WHERE minute_index NOT BETWEEN 0 AND 63
+    UNION ALL SELECT 'minute_volume_unit', count(*) FROM mi WHERE volume_share <> volume_lot * 100 OR volume_lot < 0 OR amount_cny < 0
+    UNION ALL SELECT 'daily_primary_key', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM da GROUP BY ts_code, trade_date HAVING count(*) > 1)
+    UNION ALL SELECT 'daily_ohlc', count(*) FROM da WHERE observation_status <> 'missing' AND (open <= 0 OR high < greatest(open, close) OR low > least(open, close))
+    UNION ALL SELECT 'daily_minute_reaggregation', count(*) FROM da AS d LEFT JOIN sums AS r USING (ts_code, trade_date) WHERE observation_status <> 'missing' AND (d.open IS DISTINCT FROM r.open OR d.high IS DISTINCT FROM r.high OR d.low IS DISTINCT FROM r.low
+        OR d.close IS DISTINCT FROM r.close OR d.volume_lot IS DISTINCT FROM r.volume_lot OR d.volume_share IS DISTINCT FROM r.volume_share OR d.amount_cny IS DISTINCT FROM r.amount_cny OR d.bar_count IS DISTINCT FROM r.bar_count)
+    UNION ALL SELECT 'adjustment_validity', count(*) FROM ad WHERE validation_status <> 'valid'
+    UNION ALL SELECT 'adjustment_coverage', count(*) FROM da LEFT JOIN (SELECT * FROM ad QUALIFY row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY snapshot_date DESC) = 1) AS a USING (ts_code, trade_date) WHERE observation_status <> 'missing' AND (validation_status IS NULL OR validation_status <> 'valid'))
+    SELECT check_name, CASE WHEN check_name = 'adjustment_coverage' THEN 'warning' ELSE 'error' END AS severity, CAST(violations AS BIGINT) AS violations, violations = 0 AS passed FROM n""")
+def lake_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine checks, over tables with faults of each kind; a session has 64 bars here."""
+    return quality.lake_checks(*_faulty(spark, sf_dir), bars=64)
+
+
+@query(f"""WITH {BARS_SQL} SELECT trade_date, ts_code, {s('CASE WHEN dayofweek(trade_date) = 0 THEN close * 2 WHEN month(trade_date) % 2 = 0 THEN close ELSE close + 1 END', 4, 'value')} FROM bars WHERE year(trade_date) < 1996""")
+def store_versioned_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days installed in versions: even months first, all others with a bias while days that are there are skipped, Sundays replaced, and a replacement of everything rolled back."""
+    b = adapters.bars(spark, sf_dir).where("year(trade_date) < 1996").select("trade_date", "ts_code", F.col("close").alias("value"))
+    table = versions.DayTable(spark, shared_folder(spark, "days"))
+    table.install(b.where("month(trade_date) % 2 = 0"))
+    table.install(b.withColumn("value", F.col("value") + 1))
+    good = table.install(b.where("dayofweek(trade_date) = 1").withColumn("value", F.col("value") * 2), "replace")
+    table.install(b.withColumn("value", F.lit(0.0)), "replace")
+    table.rollback(good.version)
+    return table.read().selectExpr("trade_date", "ts_code", r("value", 4))

@@ -302,6 +302,16 @@ def minute_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(minute.rank_features(_residuals(spark, sf_dir).withColumn("residual", F.bround("residual", 10))))
 
 
+@query(f"""WITH {MINUTE_SQL}, b AS (SELECT ts_code, trade_date, CASE WHEN minute_index = 9 AND volume % 4 = 0 THEN 8 ELSE minute_index END AS i, CASE WHEN volume = 7 THEN -close ELSE close END > 0 AND open > 0 AS ok FROM minute WHERE minute_index < 66),
+    d AS (SELECT ts_code, trade_date, count(*) FILTER (WHERE i > 63) AS out, count(*) FILTER (WHERE i <= 63) AS ins, count(*) FILTER (WHERE i <= 63 AND NOT ok) AS bad, count(*) FILTER (WHERE i <= 63) - count(DISTINCT i) FILTER (WHERE i <= 63) AS lacks FROM b GROUP BY 1, 2)
+    SELECT ts_code, trade_date, 'minute_index_out_of_range' AS reason, out AS bars FROM d WHERE out > 0 UNION ALL SELECT ts_code, trade_date, 'bar_count_invalid', ins FROM d WHERE ins > 0 AND ins <> 64 UNION ALL SELECT ts_code, trade_date, 'invalid_price', bad + lacks FROM d WHERE ins = 64 AND bad + lacks > 0""")
+def minute_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of 64 bars stand for whole ones; some bars come twice, some prices are negative."""
+    b = adapters.minute_bars(spark, sf_dir).where("minute_index < 66")
+    b = b.withColumn("minute_index", F.when((F.col("minute_index") == 9) & (F.col("volume") % 4 == 0), 8).otherwise(F.col("minute_index"))).withColumn("close", F.when(F.col("volume") == 7, -F.col("close")).otherwise(F.col("close")))
+    return minute.exclusions(b, 64)
+
+
 def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with a high and a low around open and close, which the events don't have."""
     return adapters.minute_bars(spark, sf_dir).withColumn("high", F.greatest("open", "close") + F.col("volume") % 7 / 10).withColumn("low", F.least("open", "close") * (1 - F.col("volume") % 5 / 50))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,17 +29,30 @@ def session(name: str = "quillstone", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that driver and executors share, spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if not root and not sc.master.startswith("local"):
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="quillstone-"))
+        root = "file://" + tempfile.mkdtemp(prefix="quillstone-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh, not yet made path under the shared folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

@@ -109,3 +109,13 @@ def test_smart_bars_stop_at_the_crossing_one(spark):
     df = spark.createDataFrame(data, "ts_code string, trade_date int, day_index int, minute_index int, volume double, amount double, r double")
     got = minute.smart_ratio(df, {"s": (F.col("r"), 0.15)}).first()["s"]
     assert abs(got - 25.0 / 34.0) < 1e-12
+
+
+def test_exclusions_give_the_reason_and_complete_keeps_the_rest(spark):
+    good = [(i, 1.0, 1.0) for i in range(4)]
+    data = {"whole": good, "beyond": [*good, (4, 1.0, 1.0), (9, 1.0, 1.0)], "short": good[:3], "long": [*good, (2, 1.0, 1.0)], "twice": [*good[:3], (2, 1.0, 1.0)], "zero": [*good[:3], (3, 0.0, 1.0)], "inf": [*good[:3], (3, 1.0, float("inf"))], "null": [*good[:3], (3, None, 1.0)], "out": [(7, 1.0, 1.0)], "bad_out": [*good, (4, -1.0, 1.0)]}
+    df = spark.createDataFrame([(k, 1, *x) for k, v in data.items() for x in v] + [(None, 1, 0, 1.0, 1.0), ("whole", 1, None, 1.0, 1.0)], "ts_code string, trade_date int, minute_index int, open double, close double")
+    assert rows(minute.exclusions(df, 4), "ts_code", "reason", "bars") == sorted([("beyond", "minute_index_out_of_range", 2), ("short", "bar_count_invalid", 3), ("long", "bar_count_invalid", 5), ("twice", "invalid_price", 1), ("zero", "invalid_price", 1), ("inf", "invalid_price", 1), ("null", "invalid_price", 1), ("out", "minute_index_out_of_range", 1), ("bad_out", "minute_index_out_of_range", 1)])
+    kept = rows(minute.complete(df, 4).groupBy("ts_code").count())
+    assert kept == [("bad_out", 4), ("beyond", 4), ("whole", 4)]
+    assert minute.exclusions(df.limit(0)).count() == 0
