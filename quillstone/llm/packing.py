@@ -1,9 +1,11 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
-A configuration is a multiset of lengths that fits in one sequence. The program (fewest configurations that cover
-every length's count) is solved by column generation: from a greedy cover of all lengths on, a knapsack dynamic program
-prices the best configurations at the basis's duals. (Multiplicative weights with the same pricing came out about one
-per cent above the bound, the README has the figures; this comes out within a hundredth of one per cent.) The fractional
+A configuration is a multiset of lengths that fits in one sequence; the program asks for the fewest that cover every
+length's count. Multiplicative weights solve it approximately: a knapsack dynamic program prices all configurations near
+the best at once, they are used together, and the lengths that they cover become cheaper. What they have used is then
+polished: the program over those configurations is solved by pivots from a greedy cover on, and the same knapsack prices
+what is still missing at the basis's duals. (Weights alone end about one per cent above the bound, or cover some lengths
+not at all, the README has the figures; polished, the result is within a hundredth of one per cent.) The fractional
 solution, a whole cover, is rounded, and so again for what remains; what rounding leaves goes best-fit, longest first. Only the histogram (one count per length)
 and the number of pieces in each input partition reach the driver, and what goes back is a table whose size doesn't depend on the documents: where the pieces of a length go,
 by their rank in it.
@@ -25,6 +27,8 @@ from quillstone.llm.tokens import encoder
 
 #: Pivots after which the program stops short of its optimum (what it has is a whole cover all the same), the share (or half a sequence) above the bound at which it ends, columns taken of one pricing, pivots between fresh inverses, and how often the remainder is solved again.
 PIVOTS, GAP, COLUMNS, FRESH, ROUNDS = 4000, 1e-4, 32, 1000, 4
+#: Phases of the weights, how much a phase lowers the price of what it covers most, how near to the best a configuration must come to be used, and histograms of fewer lengths than which are left to pivots alone.
+PHASES, RATE, NEAR, FEW = 30, 0.01, 0.004, 8
 
 
 def _knapsack(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +108,38 @@ def _inverse(basis: np.ndarray) -> np.ndarray | None:
     return inverse[np.argsort(column_of)]
 
 
+def weighted(lengths: np.ndarray, counts: np.ndarray, room: int, phases: int = PHASES) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Multiplicative weights: the configurations that the phases used, how often in all (in units of a phase), and the best lower bound that the prices gave.
+
+    Prices begin as the lengths' shares of the room. In a phase every length's best configuration that comes near the
+    best of all is used, each as often as its scarcest length allows, all scaled so that what is covered most is covered
+    once; then each price falls by how far its length was covered.
+    """
+    demand, prices, bound = counts.astype(float), lengths / room, float(lengths @ counts) / room
+    kinds: dict[bytes, list] = {}
+    for _ in range(phases):
+        best, took = _knapsack(prices, lengths, room)
+        bound = max(bound, float(prices @ demand) / best[room])
+        worth, covered, some = prices + best[room - lengths], np.zeros(len(lengths)), {}
+        for i in np.flatnonzero(worth >= (1 - NEAR) * best[room]):
+            copies = _trace(took, lengths, room - lengths[i])
+            copies[i] += 1
+            some.setdefault(copies.tobytes(), copies)
+        for key, copies in some.items():
+            has = np.flatnonzero(copies)
+            use = float((demand[has] / copies[has]).min())
+            covered[has] += use * copies[has] / demand[has]
+            kinds.setdefault(key, [has, copies[has], 0.0])[2] += use
+        prices = prices / best[room] * np.exp(-RATE * covered / covered.max())
+    return [np.stack(x[:2]) for x in kinds.values()], np.array([x[2] for x in kinds.values()]), bound
+
+
 def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVOTS) -> tuple[list[np.ndarray], np.ndarray, float]:
     """A fractional solution of the configuration program that covers every count exactly: configurations, how often each is used, and a lower bound on any packing.
 
-    Columns are generated: the knapsack prices configurations at the duals of the basis, and the dual value over the
-    best price is the bound. The solution has at most one configuration for each length.
+    Multiplicative weights give the first configurations, over which the program is solved; then columns are generated:
+    the knapsack prices configurations at the duals of the basis, and the dual value over the best price is the bound.
+    The solution has at most one configuration for each length.
     """
     basis, demand = _first_cover(lengths, counts, room), counts.astype(float)
     inverse = _inverse(basis)
@@ -116,7 +147,51 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVO
     sound = (basis.copy(), x.copy())
     off = lambda columns, times: bool(np.abs((columns * times).sum(axis=1) - demand).max() > 1e-6 * demand.max())
     bound, done, stale, before = float(lengths @ demand) / room, 0, 0, -1
-    while done < pivots and x.sum() > max(bound * (1 + GAP), bound + 0.5):
+
+    def enter(has: np.ndarray, copies: np.ndarray) -> bool:
+        """Take a configuration into the basis if that gains."""
+        nonlocal x, duals, done, stale
+        gain = float(duals[has] @ copies) - 1
+        if gain <= 1e-9:
+            return False
+        move = (inverse[:, has] * copies).sum(axis=1)
+        can = np.flatnonzero(move > 1e-7)
+        if not len(can):
+            return False
+        ratio = x[can] / move[can]
+        can = can[ratio <= ratio.min() + 1e-9]
+        out = can[move[can].argmax()]  # of equal ones the largest pivot, which keeps the basis far from singular
+        step = x[out] / move[out]
+        x = np.maximum(x - step * move, 0.0)
+        x[out] = step
+        duals = duals - gain * _swap(inverse, move, out)
+        basis[:, out] = 0
+        basis[has, out] = copies
+        done, stale = done + 1, stale + 1
+        return True
+
+    def refresh() -> bool:
+        """A fresh inverse; False where the basis has become singular."""
+        nonlocal inverse, x, duals, sound, stale
+        fresh, stale = _inverse(basis), 0
+        if fresh is None:
+            return False
+        inverse = fresh
+        x, duals = np.maximum((inverse * demand).sum(axis=1), 0.0), inverse.sum(axis=0)
+        sound = sound if off(basis, x) or x.sum() > sound[1].sum() else (basis.copy(), x.copy())
+        return True
+
+    regular, near = True, lambda: x.sum() <= max(bound * (1 + GAP), bound + 0.5)
+    if len(lengths) >= FEW:
+        kinds, _, least = weighted(lengths, counts, room)
+        bound = max(bound, least)
+        flat, starts = np.concatenate(kinds, axis=1), np.cumsum([0, *(k.shape[1] for k in kinds[:-1])])
+        while regular and done < pivots and not near():
+            gains = np.add.reduceat(duals[flat[0]] * flat[1], starts)
+            if not sum(enter(*kinds[i]) for i in np.argsort(-gains, kind="stable")[:COLUMNS]):
+                break
+            regular = stale < FRESH or refresh()
+    while regular and done < pivots and not near():
         best, took = _knapsack(duals, lengths, room)
         bound = max(bound, float(duals @ demand) / max(best[room], 1.0))
         if best[room] <= 1 + 1e-9 or done == before:
@@ -127,30 +202,9 @@ def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVO
             copies = _trace(took, lengths, room if i < 0 else room - lengths[i])
             if i >= 0:
                 copies[i] += 1
-            gain = float(duals @ copies) - 1
-            if gain <= 1e-9:
-                continue
             has = np.flatnonzero(copies)
-            move = (inverse[:, has] * copies[has]).sum(axis=1)
-            can = np.flatnonzero(move > 1e-7)
-            if not len(can):
-                continue
-            ratio = x[can] / move[can]
-            can = can[ratio <= ratio.min() + 1e-9]
-            out = can[move[can].argmax()]  # of equal ones the largest pivot, which keeps the basis far from singular
-            step = x[out] / move[out]
-            x = np.maximum(x - step * move, 0.0)
-            x[out] = step
-            duals = duals - gain * _swap(inverse, move, out)
-            basis[:, out] = copies
-            done, stale = done + 1, stale + 1
-        if stale >= FRESH:
-            fresh, stale = _inverse(basis), 0
-            if fresh is None:
-                break
-            inverse = fresh
-            x, duals = np.maximum((inverse * demand).sum(axis=1), 0.0), inverse.sum(axis=0)
-            sound = sound if off(basis, x) or x.sum() > sound[1].sum() else (basis.copy(), x.copy())
+            enter(has, copies[has])
+        regular = stale < FRESH or refresh()
     if off(basis, x):  # rounding errors have grown
         basis, x = sound
     return list(basis.T), x, bound

@@ -44,3 +44,16 @@ def test_equal_ratios_leave_the_basis_regular():
     lengths, counts = np.unique(np.concatenate([rng.integers(330, 700, 300), rng.integers(1, 1024, 150)]), return_counts=True)
     kinds, used, bound = packing.solve(lengths, counts, 1024)
     assert np.allclose(np.array(kinds).T @ used, counts) and bound <= used.sum() + 1e-6
+
+
+def test_weights_give_configurations_and_a_bound_and_polishing_reaches_the_optimum(monkeypatch):
+    rng = np.random.default_rng(9)
+    for pool in (rng.integers(300, 520, 20_000), rng.integers(1, 1024, 5000), np.array([400, 400, 700])):
+        lengths, counts = np.unique(pool, return_counts=True)
+        kinds, times, bound = packing.weighted(lengths, counts, 1024)
+        assert all((lengths[has] * copies).sum() <= 1024 and (copies > 0).all() for has, copies in kinds) and (times > 0).all()
+        _, with_weights, _ = packing.solve(lengths, counts, 1024)
+        monkeypatch.setattr(packing, "FEW", 10**9)
+        _, without, least = packing.solve(lengths, counts, 1024)
+        monkeypatch.undo()
+        assert bound <= with_weights.sum() + 1e-6 and abs(with_weights.sum() - without.sum()) <= max(0.5, 2e-4 * least)
