@@ -120,18 +120,20 @@ def weighted(lengths: np.ndarray, counts: np.ndarray, room: int, phases: int = P
     for _ in range(phases):
         best, took = _knapsack(prices, lengths, room)
         bound = max(bound, float(prices @ demand) / best[room])
-        worth, covered, some = prices + best[room - lengths], np.zeros(len(lengths)), {}
+        worth, covered, seen = prices + best[room - lengths], np.zeros(len(lengths)), set()
         for i in np.flatnonzero(worth >= (1 - NEAR) * best[room]):
             copies = _trace(took, lengths, room - lengths[i])
             copies[i] += 1
-            some.setdefault(copies.tobytes(), copies)
-        for key, copies in some.items():
             has = np.flatnonzero(copies)
+            kind = np.stack([has, copies[has]]).astype(np.int32)  # small, as there are some ten thousand
+            if (key := kind.tobytes()) in seen:
+                continue
+            seen.add(key)
             use = float((demand[has] / copies[has]).min())
             covered[has] += use * copies[has] / demand[has]
-            kinds.setdefault(key, [has, copies[has], 0.0])[2] += use
+            kinds.setdefault(key, [kind, 0.0])[1] += use
         prices = prices / best[room] * np.exp(-RATE * covered / covered.max())
-    return [np.stack(x[:2]) for x in kinds.values()], np.array([x[2] for x in kinds.values()]), bound
+    return [x[0] for x in kinds.values()], np.array([x[1] for x in kinds.values()]), bound
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, room: int, pivots: int = PIVOTS) -> tuple[list[np.ndarray], np.ndarray, float]:
