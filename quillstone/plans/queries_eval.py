@@ -12,6 +12,8 @@ from quillstone.operators import panel
 from quillstone.plans import adapters
 from quillstone.plans.adapters import BARS_SQL
 from quillstone.plans.queries_lake import r, s
+from quillstone.session import checkpointed, shared_folder
+from quillstone.sources import results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +104,32 @@ def eval_information_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame
     return _ics(spark, sf_dir).selectExpr("factor_id", "trade_date", "n", r("ic"), r("rank_ic"), r("rank_ic_avg"))
 
 
+@query(f"WITH {IC_SQL} SELECT factor_id, trade_date, n, {s('ic')}, {s('rank_ic')}, {s('rank_ic_avg')} FROM ics")
+def eval_batches_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients by batches of one factor: one batch over a part of the sessions, as if it had stopped there, then what lacks."""
+    store = results.Results(spark, shared_folder(spark, "results"))
+    p = checkpointed(labelled(spark, sf_dir).select("trade_date", "day_index", "ts_code", "momentum", "spread", "turnover", F.col("excess_1").alias("label")))
+    values = p.unpivot(["trade_date", "ts_code"], ["momentum", "spread", "turnover"], "factor_id", "value")
+    batches = results.Batches(store, p.select("trade_date", "ts_code", "label"), {"ranks": "ordinal"})
+    first = p.agg(F.min("trade_date")).first()[0]
+    batches.advance(values.where(F.year("trade_date") == first.year), 1, most=2)
+    batches.advance(values, 1)
+    return batches.done().where("n > 0").selectExpr("factor_id", "trade_date", "n", r("ic"), r("rank_ic"), r("rank_ic_avg"))
+
+
+@query(f"WITH {PANEL_SQL} SELECT trade_date, ts_code, tradable, {s('excess_1')}, {s('excess_5')} FROM lab")
+def eval_cached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels under the digest of the trades and the horizons, made once and read back by a second call that doesn't make them."""
+    store = results.Results(spark, shared_folder(spark, "results"))
+    key = store.key({"labels": "open to open", "horizons": HORIZONS}, trades=adapters.trades(spark, sf_dir))
+    store.get(key, lambda: labelled(spark, sf_dir).select("trade_date", "ts_code", "tradable", "excess_1", "excess_5"))
+
+    def again() -> DataFrame:
+        raise AssertionError("the labels are there")
+
+    return store.get(key, again).selectExpr("trade_date", "ts_code", "tradable", r("excess_1"), r("excess_5"))
+
+
 @query(f"""WITH {IC_SQL}, m AS (SELECT factor_id, year(trade_date) AS year, count(rank_ic) AS n, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS sd, avg(CASE WHEN rank_ic IS NOT NULL THEN CAST(rank_ic > 0 AS INT) END) AS positive FROM ics GROUP BY 1, 2)
     SELECT factor_id, year, n, {s('mean')}, {s('sd')}, {s('CASE WHEN sd > 1e-12 THEN mean / sd * sqrt(252.0) END', 5, 'icir')}, {s('positive')} FROM m""")
 def eval_icir_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
