@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import blocks
-from quillstone.plans import adapters
+from quillstone.plans import adapters, imports
 from quillstone.plans.compiler import evaluate, shown, to_sql
 from quillstone.plans.formulas import REGISTRY
 
@@ -60,6 +60,68 @@ FAR = {
 BLOCK, LAST = 200, 40
 
 
+#: Published formulas as others write them: methods of a class, and functions of a vector script.
+CLASS = """
+class Alphas:
+    def alpha002(self):
+        '''volume against the day's move'''
+        df = -1 * correlation(rank(delta(log(self.volume), 2)), rank((self.close - self.open) / self.open), 6)
+        return df.replace([-np.inf, np.inf], 0)
+    def alpha003(self):
+        return -1 * correlation(rank(self.open), rank(self.volume), 10).replace([-np.inf, np.inf], 0)
+    def alpha004(self):
+        return -1 * ts_rank(rank(self.low), 9)
+    def alpha005(self):
+        return rank((self.open - (ts_sum(self.vwap, 10) / 10))) * (-1 * abs(rank(self.close - self.vwap)))
+    def alpha006(self):
+        return -1 * correlation(self.open, self.volume, 10)
+    def alpha008(self):
+        df = ts_sum(self.open, 5) * ts_sum(self.returns, 5)
+        df = df - delay(df, 10)
+        return -1 * rank(df)
+    def alpha011(self):
+        return (rank(ts_max((self.vwap - self.close), 3)) + rank(ts_min((self.vwap - self.close), 3))) * rank(delta(self.volume, 3))
+    def alpha012(self):
+        return sign(delta(self.volume, 1)) * (-1 * delta(self.close, 1))
+"""
+SCRIPT = r"""
+def gtja001(open, close, vol) {
+    // braces { in comments don't count
+    a = rowRank(log(vol) - move(log(vol), 1), percent);
+    return -1 * mcorr(rowRank(deltas(log(vol), 1)), rowRank((close - open) \ open), 6);
+}
+def gtja002(close, low, high) { return -1 * delta(((close - low) - (high - close)) \ (high - low), 1) }
+def gtja003(close, low, high) {
+    p = move(close, 1);
+    return msum(iif(close == p, 0, close - iif(close > p, min(low, p), max(high, p))), 6);
+}
+def gtja004(close, vol) {
+    m = mavg(close, 8); s = mstd(close, 8); t = mavg(close, 2);
+    return iif(m + s < t, -1, iif(t < m - s || vol \ mavg(vol, 20) >= 1, 1, -1));
+}
+def gtja005(vol, high) { return -1 * mmax(mcorr(mrank(vol, false, 5), mrank(high, false, 5), 5), 3); }
+def gtja006(open, high) { return -1 * rowRank(sign(delta(open * 0.85 + high * 0.15, 4))); }
+def gtja007(vwap, close, vol) { return rowRank(mmax(vwap - close, 3)) + rowRank(mmin(vwap - close, 3)) * rowRank(delta(vol, 3)); }
+def gtja008(high, low, vwap) { return rowRank(-1 * delta((high + low) * 0.1 + vwap * 0.8, 4)); }
+def gtja011(close, low, high, vol) { return msum(((close - low) - (high - close)) \ (high - low) * vol, 6); }
+def gtja189(close) { return mavg(abs(close - mavg(close, 6)), 6); }
+def weights(close) { return mavg(close, 1..4 * 0.5, 4); }
+def parts(close) { return mrank(close, true, 10) + mfirst(close, 3) \ close - ratios(close); }
+""".replace(", percent", "")
+#: What they are in the formula language, for the SQL.
+NATIVE = {
+    "alpha002": "wq002", "alpha003": "wq003", "alpha004": "wq004", "alpha005": "wq005", "alpha006": "wq006", "alpha008": "wq008", "alpha011": "wq011", "alpha012": "wq012",
+} | {k: k for k in ("gtja001", "gtja002", "gtja003", "gtja004", "gtja005", "gtja006", "gtja007", "gtja008", "gtja011", "gtja189")}
+IMPORTED = {k: REGISTRY[v] for k, v in NATIVE.items()} | {"weights": "wav(C, 0.5, 1, 1.5, 2)", "parts": "tsrank(C, 10) / 10 + delay(C, 2) / C - C / delay(C)"}
+
+
+def formulas_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty formulas from foreign texts; the SQL has them from the registry."""
+    formulas = imports.methods(CLASS) | imports.scripts(SCRIPT)
+    df = evaluate(adapters.dense(spark, sf_dir), formulas)
+    return df.selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in formulas))
+
+
 def formulas_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of up to 1024 sessions in blocks of 200."""
     df = evaluate(adapters.dense(spark, sf_dir), FAR, block=BLOCK)
@@ -100,5 +162,5 @@ def _burnt_in_sql() -> str:
     return f"SELECT * FROM ({body}) WHERE trade_date IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem ORDER BY 1 DESC LIMIT {LAST})"
 
 
-QUERIES = {name: _query(f) for name, f in _batches().items()} | {f.__name__: f for f in (formulas_blocked, formulas_burnt_in, panel_benchmark_fill)}
-ORACLES = {name: _oracle(f) for name, f in _batches().items()} | {"formulas_blocked": _oracle(FAR), "formulas_burnt_in": _burnt_in_sql(), "panel_benchmark_fill": _FILL_SQL}
+QUERIES = {name: _query(f) for name, f in _batches().items()} | {f.__name__: f for f in (formulas_imported, formulas_blocked, formulas_burnt_in, panel_benchmark_fill)}
+ORACLES = {name: _oracle(f) for name, f in _batches().items()} | {"formulas_imported": _oracle(IMPORTED), "formulas_blocked": _oracle(FAR), "formulas_burnt_in": _burnt_in_sql(), "panel_benchmark_fill": _FILL_SQL}
