@@ -53,11 +53,11 @@ def equal_weight_index(panel: DataFrame, column: str = "close", date: str = "tra
 NAMES = {"open": "O", "high": "H", "low": "L", "close": "C", "volume": "V", "vwap": "VWAP", "ret": "RET", "index_close": "IDX"}
 
 
-def formula_panel(bars: DataFrame) -> DataFrame:
-    """The dense panel under the names that formulas use."""
+def formula_panel(bars: DataFrame, decimals: int | None = None) -> DataFrame:
+    """The dense panel under the names that formulas use, rounded to decimals where asked for."""
     p = returns(densify(bars))
     p = p.join(equal_weight_index(bars), "trade_date", "left")
-    return p.select("trade_date", "ts_code", "day_index", *((F.rint(F.col(k) * 1e8) / 1e8).alias(v) for k, v in NAMES.items()))
+    return p.select("trade_date", "ts_code", "day_index", *((F.col(k) if decimals is None else F.rint(F.col(k) * 10.0**decimals) / 10.0**decimals).alias(v) for k, v in NAMES.items()))
 
 
 def fin(c: Column | str) -> Column:

@@ -1,6 +1,7 @@
 """Adapters that make market-like input of the star-schema tables, in Spark and, for the checks, in SQL.
 
 P1, a daily panel: security = supplier modulo 5, session = ship date, price = extended price / quantity.
+P1 wide: security = supplier (10, 100, 1000 at the three scales), session = month of the ship date.
 P2, intraday bars: security = event type, session = day, bar = order of the event in its day, price = value.
 """
 
@@ -13,6 +14,8 @@ from quillstone.operators import panel
 from quillstone.plans.compiler import rounded
 from quillstone.session import ship
 
+#: Decimals that the checks round their panel and the formulas' windows to.
+DECIMALS = 8
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -34,7 +37,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.formula_panel(bars(spark, sf_dir))
+    return panel.formula_panel(bars(spark, sf_dir), DECIMALS)
+
+
+def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity", "l_extendedprice", "l_shipdate")
+    t = t.select(
+        *ORDER, "l_shipdate", F.concat(F.lit("S"), F.col("l_suppkey")).alias("ts_code"), F.trunc(F.to_date("l_shipdate"), "month").alias("trade_date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"),
+    )
+    return panel.daily_bars(t, "price", "quantity", "amount", ["l_shipdate", *ORDER])
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide panel, not rounded."""
+    return panel.formula_panel(wide_bars(spark, sf_dir))
 
 
 def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +85,10 @@ panel AS (
     SELECT ret.trade_date, ts_code, day_index, """ + ", ".join(f"{rounded(k, 8, 'duckdb')} AS {v}" for k, v in panel.NAMES.items()) + """
     FROM ret LEFT JOIN idx ON ret.trade_date = idx.trade_date)"""
 
+WIDE_SQL = BARS_SQL.replace("l_suppkey % 5", "l_suppkey").replace("CAST(l_shipdate AS DATE) AS trade_date", "CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date").replace("l_suppkey, l_shipdate ORDER BY", "l_suppkey, date_trunc('month', l_shipdate) ORDER BY l_shipdate,")
+for _name, _column in panel.NAMES.items():
+    WIDE_SQL = WIDE_SQL.replace(f"{rounded(_name, DECIMALS, 'duckdb')} AS {_column}", f"{_name} AS {_column}")
+
 MINUTE_SQL = """
 ev AS (
     SELECT event_type AS ts_code, CAST(ts AS DATE) AS trade_date, ts, event_id, 1 + value AS close, CAST(1 + user_id % 50 AS DOUBLE) AS volume FROM events),

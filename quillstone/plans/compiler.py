@@ -3,8 +3,9 @@
 A formula is parsed once. Every call that needs a window becomes a column of its own, computed in the stage after the
 last of its inputs; equal calls, also of different formulas, share one column. All windows of a stage over time share
 one partitioning (by security) and all over the cross-section another (by session), so a stage costs two shuffles at
-most, however many formulas are compiled together. Results of windows are rounded to fixed decimals: ranks and
-comparisons of computed values then don't hang on the last bits of a sum, which depend on its order.
+most, however many formulas are compiled together. On request results of windows are rounded to fixed decimals: ranks
+and comparisons of computed values then don't hang on the last bits of a sum, which depend on its order. The checks
+ask for that; by default nothing is rounded.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from quillstone.operators import blocks
 
 BASE = ("O", "H", "L", "C", "V", "VWAP", "RET", "IDX")
-#: Decimals that results of windows keep, and the variance under which a series counts as constant.
-DECIMALS, CONSTANT = 8, 1e-10
+#: The part of its mean square under which a series' variance counts as none.
+CONSTANT = 1e-18
 ELEMENTWISE = {"abs": 1, "log": 1, "sign": 1, "sqrt": 1, "pmin": 2, "pmax": 2, "iif": 3, "nz": 2, "fill": 2}
 CROSS = {"rank": 1, "scale": 2, "xmax": 1, "xmin": 1}
 TIME = {"delay": 2, "delta": 2, "sum": 2, "mean": 2, "std": 2, "tmin": 2, "tmax": 2, "tsrank": 2, "corr": 3, "cov": 3, "argmax": 2, "argmin": 2, "decay": 2, "prod": 2, "slope": 2, "beta": 3, "count": 2}
@@ -54,10 +55,10 @@ class Stage:
 
 
 class Compiler:
-    """Compiles formulas to stages; dialect is "spark" or "duckdb". along: what windows over time are partitioned by."""
+    """Compiles formulas to stages; dialect is "spark" or "duckdb". along: what windows over time are partitioned by; decimals: what results of windows are rounded to."""
 
-    def __init__(self, dialect: str = "spark", along: str = "ts_code", date: str = "trade_date", order: str = "day_index"):
-        self.dialect, self.along, self.date, self.order = dialect, along, date, order
+    def __init__(self, dialect: str = "spark", along: str = "ts_code", date: str = "trade_date", order: str = "day_index", decimals: int | None = None):
+        self.dialect, self.along, self.date, self.order, self.decimals = dialect, along, date, order, decimals
         self.stages: list[Stage] = []
         self.memo: dict[str, tuple[str, int]] = {}
         self.names: dict[str, str] = {}
@@ -178,9 +179,9 @@ class Compiler:
 
     # -- windows
 
-    def rounded(self, sql: str, decimals: int = DECIMALS) -> str:
-        """Rounded half to even in double arithmetic, which is the same everywhere."""
-        return rounded(sql, decimals, self.dialect)
+    def rounded(self, sql: str) -> str:
+        """Rounded half to even in double arithmetic, which is the same everywhere; as it is where no decimals are asked for."""
+        return f"({sql})" if self.decimals is None else rounded(sql, self.decimals, self.dialect)
 
     def _stage(self, level: int) -> Stage:
         while len(self.stages) < level:
@@ -278,9 +279,10 @@ class Compiler:
         if name == "cov":
             return f"CASE WHEN count({pair}) {over} = {n} THEN {rounded(f'{covar} * {self._number(n / (n - 1))}')} END"
         vx, vy = f"var_pop({cx}) {over}", f"var_pop({cy}) {over}"
+        varies = lambda v, z: f"{v} > {self._number(CONSTANT)} * avg({z} * {z}) {over}"
         if name == "beta":
-            return f"CASE WHEN count({pair}) {over} >= 2 AND {vy} > {self._number(CONSTANT)} THEN {rounded(f'{covar} / {vy}')} END"
-        return f"CASE WHEN count({pair}) {over} = {n} AND {vx} > {self._number(CONSTANT)} AND {vy} > {self._number(CONSTANT)} THEN {rounded(f'{covar} / sqrt({vx} * {vy})')} END"
+            return f"CASE WHEN count({pair}) {over} >= 2 AND {varies(vy, cy)} THEN {rounded(f'{covar} / {vy}')} END"
+        return f"CASE WHEN count({pair}) {over} = {n} AND {varies(vx, cx)} AND {varies(vy, cy)} THEN {rounded(f'{covar} / sqrt({vx} * {vy})')} END"
 
 
 def _pressure(variant: int) -> str:
@@ -307,15 +309,15 @@ def _weighted(args: list[ast.expr]) -> ast.expr:
     return ast.BinOp(total, ast.Div(), ast.Constant(sum(w.value for w in weights)))
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), code: str = "ts_code", date: str = "trade_date", order: str = "day_index", block: int | None = None) -> DataFrame:
-    """keep and one column for each formula, over a dense panel with the base columns and a session number.
+def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), code: str = "ts_code", date: str = "trade_date", order: str = "day_index", block: int | None = None, decimals: int | None = None) -> DataFrame:
+    """keep and one column for each formula, over a dense panel with the base columns and a session number. With `decimals`, results of windows are rounded to them.
 
     With `block`, windows over time run in blocks of so many sessions of a security, warmed up by as many as the stage
     looks back on, instead of all sessions of a security in one task. Results don't depend on it. It pays where there
     are fewer securities than the cluster has cores, or long histories; each stage then copies (block + look-back) / block
     times its rows. Recursions are scanned over blocks either way.
     """
-    c = Compiler("spark", f"{code}, _block" if block else code, date, order)
+    c = Compiler("spark", f"{code}, _block" if block else code, date, order, decimals)
     for name, text in formulas.items():
         c.add(name, text)
     df = panel
@@ -332,18 +334,18 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] =
             df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in across.items()))
         if stage.folds:
             df = blocks.scan(df, stage.folds, block or SCAN, code, order)
-            df = df.selectExpr(*(x for x in df.columns if x not in stage.folds), *(f"{rounded(k, DECIMALS)} AS {k}" for k in stage.folds))
+            df = df.selectExpr(*(x for x in df.columns if x not in stage.folds), *(f"{c.rounded(k)} AS {k}" for k in stage.folds))
     return df.selectExpr(*keep, *(f"{sql} AS {name}" for name, sql in c.results.items()))
 
 
-def to_sql(panel: str, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code")) -> str:
+def to_sql(panel: str, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), decimals: int | None = None) -> str:
     """DuckDB SQL for the same columns, from a relation or CTE `panel`."""
-    c = Compiler("duckdb")
+    c = Compiler("duckdb", decimals=decimals)
     for name, text in formulas.items():
         c.add(name, text)
     ctes, last = [], panel
     for i, stage in enumerate(c.stages):
-        for part, columns in (("p", stage.plain), ("w", stage.windows), ("f", {k: _fold_sql(*v) for k, v in stage.folds.items()})):
+        for part, columns in (("p", stage.plain), ("w", stage.windows), ("f", {k: _fold_sql(c, *v) for k, v in stage.folds.items()})):
             if columns:
                 ctes.append(f"s{i}{part} AS MATERIALIZED (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in columns.items())} FROM {last})")
                 last = f"s{i}{part}"
@@ -351,10 +353,10 @@ def to_sql(panel: str, formulas: dict[str, str], keep: tuple[str, ...] = ("trade
     return (", ".join(ctes) + " " if ctes else "") + f"SELECT {', '.join(keep)}, {results} FROM {last}"
 
 
-def _fold_sql(kind: str, x: str, rate: float) -> str:
+def _fold_sql(c: Compiler, kind: str, x: str, rate: float) -> str:
     items = f"list({x}) FILTER ({x} IS NOT NULL) OVER (PARTITION BY ts_code ORDER BY day_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     if kind == "grow":
         step = f"list_reduce({items}, lambda a, e: CASE WHEN e > 0 THEN a * e ELSE a END, CAST(1 AS DOUBLE))"
     else:
         step = f"list_reduce({items}, lambda a, e: CAST({1 - rate!r} AS DOUBLE) * a + CAST({rate!r} AS DOUBLE) * e)"
-    return f"CASE WHEN {x} IS NOT NULL THEN {rounded(step, DECIMALS, 'duckdb')} END"
+    return f"CASE WHEN {x} IS NOT NULL THEN {c.rounded(step)} END"

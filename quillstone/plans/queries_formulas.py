@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import blocks
+from quillstone.operators import evaluate as ev
 from quillstone.plans import adapters, imports
 from quillstone.plans.compiler import evaluate, shown, to_sql
 from quillstone.plans.formulas import REGISTRY
@@ -37,17 +38,17 @@ def _batches() -> dict[str, dict[str, str]]:
 
 def _query(formulas: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = evaluate(adapters.dense(spark, sf_dir), formulas)
+        df = evaluate(adapters.dense(spark, sf_dir), formulas, decimals=adapters.DECIMALS)
         return df.selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in formulas))
 
     return run
 
 
-def _oracle(formulas: dict[str, str]) -> str:
-    body = to_sql("panel", formulas)
+def _oracle(formulas: dict[str, str], bars: str = adapters.BARS_SQL, decimals: int | None = adapters.DECIMALS) -> str:
+    body = to_sql("panel", formulas, decimals=decimals)
     ctes, _, last = body.rpartition("SELECT trade_date")
     results = ", ".join(f"{shown(k, 'duckdb')} AS {k}" for k in formulas)
-    head = f"WITH {adapters.BARS_SQL.strip()}"
+    head = f"WITH {bars.strip()}"
     return f"{head}{', ' + ctes.strip() if ctes.strip() else ''}, result AS (SELECT trade_date{last}) SELECT trade_date, ts_code, {results} FROM result"
 
 
@@ -118,13 +119,13 @@ IMPORTED = {k: REGISTRY[v] for k, v in NATIVE.items()} | {"weights": "wav(C, 0.5
 def formulas_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty formulas from foreign texts; the SQL has them from the registry."""
     formulas = imports.methods(CLASS) | imports.scripts(SCRIPT)
-    df = evaluate(adapters.dense(spark, sf_dir), formulas)
+    df = evaluate(adapters.dense(spark, sf_dir), formulas, decimals=adapters.DECIMALS)
     return df.selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in formulas))
 
 
 def formulas_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of up to 1024 sessions in blocks of 200."""
-    df = evaluate(adapters.dense(spark, sf_dir), FAR, block=BLOCK)
+    df = evaluate(adapters.dense(spark, sf_dir), FAR, block=BLOCK, decimals=adapters.DECIMALS)
     return df.selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in FAR))
 
 
@@ -133,7 +134,7 @@ def formulas_burnt_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = adapters.dense(spark, sf_dir)
     last = panel.agg({"day_index": "max"}).first()[0]
     some = {k: FAR[k] for k in ("year", "smooth", "twice", "reach")}
-    df = evaluate(blocks.burn_in(panel, last - LAST + 1, last), some, ("trade_date", "ts_code", "_target"), block=BLOCK)
+    df = evaluate(blocks.burn_in(panel, last - LAST + 1, last), some, ("trade_date", "ts_code", "_target"), block=BLOCK, decimals=adapters.DECIMALS)
     return df.where("_target").selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in some))
 
 
@@ -157,10 +158,39 @@ _FILL_SQL = f"""WITH RECURSIVE {adapters.BARS_SQL.strip()},
     SELECT day_index, {shown('index_open', 'duckdb')} AS index_open, {shown('index_close', 'duckdb')} AS index_close FROM line WHERE day_index > 0"""
 
 
+#: Formulas over the wide panel, whose cross-sections have as many securities as there are suppliers. They look back a few sessions, as a month is one here. The panel isn't rounded, and windows are only where formulas rank what they give, as such ranks have ties.
+WIDE = {
+    "wide_primitives": {k: v for name in ("primitives_cross_section", "primitives_moments", "primitives_order") for k, v in PRIMITIVES[name].items() if k not in ("cor_constant", "fil")},
+    "wide_formulas_wq": {k: REGISTRY[k] for k in ("wq002", "wq003", "wq004", "wq005", "wq006", "wq008", "wq011", "wq012", "wq013", "wq015", "wq016", "wq033", "wq053", "wq101")},
+    "wide_formulas_gtja": {k: REGISTRY[k] for k in ("gtja001", "gtja002", "gtja005", "gtja007", "gtja008", "gtja009", "gtja011", "gtja013", "gtja014", "gtja018", "gtja020", "gtja024", "gtja031", "gtja189")},
+}
+
+
+def _decimals(name: str) -> int | None:
+    return None if name == "wide_primitives" else adapters.DECIMALS
+
+
+def _wide(name: str, formulas: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: evaluate(adapters.wide(spark, sf_dir), formulas, decimals=_decimals(name)).selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in formulas))
+
+
+def wide_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten groups a session by reversal, and what each earns in the next one."""
+    p = evaluate(adapters.wide(spark, sf_dir), {"f": "-RET"}, ("trade_date", "ts_code", "day_index", "RET"))
+    p = p.withColumn("next", F.lead("RET").over(Window.partitionBy("ts_code").orderBy("day_index"))).withColumn("f", F.round("f", 9))
+    return ev.grouped_returns(p, "f", "next", ["trade_date"]).selectExpr("trade_date", "grp", f"{shown('mean_label')} AS mean_label", "n")
+
+
+_DECILES_SQL = f"""WITH {adapters.WIDE_SQL.strip()}, n AS (SELECT trade_date, ts_code, round(-RET, 9) AS f, lead(RET) OVER (PARTITION BY ts_code ORDER BY day_index) AS nxt FROM panel),
+    g AS (SELECT *, ntile(10) OVER (PARTITION BY trade_date ORDER BY f, ts_code) AS grp FROM n WHERE f IS NOT NULL AND nxt IS NOT NULL),
+    m AS (SELECT trade_date, grp, avg(nxt) AS mean_label, count(*) AS n FROM g GROUP BY 1, 2)
+    SELECT trade_date, CAST(grp AS INT) AS grp, {shown('mean_label', 'duckdb')} AS mean_label, n FROM m"""
+
+
 def _burnt_in_sql() -> str:
     body = _oracle({k: FAR[k] for k in ("year", "smooth", "twice", "reach")})
     return f"SELECT * FROM ({body}) WHERE trade_date IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem ORDER BY 1 DESC LIMIT {LAST})"
 
 
-QUERIES = {name: _query(f) for name, f in _batches().items()} | {f.__name__: f for f in (formulas_imported, formulas_blocked, formulas_burnt_in, panel_benchmark_fill)}
-ORACLES = {name: _oracle(f) for name, f in _batches().items()} | {"formulas_imported": _oracle(IMPORTED), "formulas_blocked": _oracle(FAR), "formulas_burnt_in": _burnt_in_sql(), "panel_benchmark_fill": _FILL_SQL}
+QUERIES = {name: _query(f) for name, f in _batches().items()} | {f.__name__: f for f in (formulas_imported, formulas_blocked, formulas_burnt_in, panel_benchmark_fill, wide_deciles)} | {name: _wide(name, f) for name, f in WIDE.items()}
+ORACLES = {name: _oracle(f) for name, f in _batches().items()} | {"formulas_imported": _oracle(IMPORTED), "formulas_blocked": _oracle(FAR), "formulas_burnt_in": _burnt_in_sql(), "panel_benchmark_fill": _FILL_SQL, "wide_deciles": _DECILES_SQL} | {name: _oracle(f, adapters.WIDE_SQL, _decimals(name)) for name, f in WIDE.items()}

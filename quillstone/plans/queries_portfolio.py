@@ -142,13 +142,13 @@ def risk_covariance_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def risk_rolling_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first security's return against the market's, by regressions over the 60 sessions before."""
-    p = panel.formula_panel(adapters.bars(spark, sf_dir)).join(_market(spark, sf_dir), "trade_date").where("RET is not null and MKT is not null")
+    p = adapters.dense(spark, sf_dir).join(_market(spark, sf_dir), "trade_date").where("RET is not null and MKT is not null")
     t = p.select("ts_code", "trade_date", "RET", "MKT")
     return portfolio.fold(t, "ts_code", lambda d: risk.rolling_attribution(d.sort_values("trade_date"), "RET", ["MKT"], 60, 30.0), "trade_date date, beta_MKT double, part_MKT double, specific double")
 
 
 def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.formula_panel(adapters.bars(spark, sf_dir))
+    p = adapters.dense(spark, sf_dir)
     return p.groupBy("trade_date").agg((F.rint(F.avg("RET") * 1e8) / 1e8).alias("MKT"))
 
 
@@ -160,7 +160,7 @@ def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
         {s('CASE WHEN count(la) OVER x >= 15 THEN avg(la) OVER x END', 5, 'liquidity')}, {s('CASE WHEN count(V) OVER x >= 15 THEN avg(V) OVER x END', 4, 'turnover')}
     FROM e WINDOW w AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 59 PRECEDING AND CURRENT ROW), x AS (PARTITION BY ts_code ORDER BY day_index RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def risk_style_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.formula_panel(adapters.bars(spark, sf_dir)).join(F.broadcast(_market(spark, sf_dir)), "trade_date")
+    p = adapters.dense(spark, sf_dir).join(F.broadcast(_market(spark, sf_dir)), "trade_date")
     return risk.styles(p).selectExpr("trade_date", "ts_code", r("beta60", 5), r("residual_vol", 4), r("momentum", 5), r("liquidity", 5), r("turnover", 4))
 
 

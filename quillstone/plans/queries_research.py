@@ -31,13 +31,13 @@ def query(sql: str | None) -> Callable:
 
 SMOOTH = {"smooth": "rank(ema(rank(C - O), 5, 2))", "churn": "abs(rank(C - O) - delay(rank(C - O)))"}
 _smooth_shown = ", ".join(f"{shown(k, 'duckdb')} AS {k}" for k in SMOOTH)
-_smooth_ctes, _, _smooth_last = to_sql("panel", SMOOTH).rpartition("SELECT trade_date")
+_smooth_ctes, _, _smooth_last = to_sql("panel", SMOOTH, decimals=adapters.DECIMALS).rpartition("SELECT trade_date")
 
 
 @query(f"WITH {BARS_SQL.strip()}, {_smooth_ctes.strip()}, result AS (SELECT trade_date{_smooth_last}) SELECT trade_date, ts_code, {_smooth_shown} FROM result")
 def research_score_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal EWMA of ranks, ranked again; and how far ranks move from day to day."""
-    return evaluate(adapters.dense(spark, sf_dir), SMOOTH).selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in SMOOTH))
+    return evaluate(adapters.dense(spark, sf_dir), SMOOTH, decimals=adapters.DECIMALS).selectExpr("trade_date", "ts_code", *(f"{shown(k)} AS {k}" for k in SMOOTH))
 
 
 @query(f"""WITH {PANEL_SQL}, z AS (SELECT trade_date, ts_code, CASE WHEN stddev_pop(momentum) OVER w > 1e-12 THEN (momentum - avg(momentum) OVER w) / stddev_pop(momentum) OVER w END AS a,

@@ -21,8 +21,8 @@ def panel(spark, series):
     return spark.createDataFrame(out, BASE)
 
 
-def values(spark, series, formula):
-    got = evaluate(panel(spark, series), {"f": formula}, keep=("day_index", "ts_code"))
+def values(spark, series, formula, decimals=8):
+    got = evaluate(panel(spark, series), {"f": formula}, keep=("day_index", "ts_code"), decimals=decimals)
     out = {}
     for r in sorted(got.collect(), key=lambda r: (r.ts_code, r.day_index)):
         out.setdefault(r.ts_code, []).append(r.f)
@@ -115,3 +115,13 @@ def test_recursive_averages_match_their_closed_form(spark, xs, rate):
         want = known[0] * (1 - rate) ** (len(known) - 1) + sum(rate * (1 - rate) ** (len(known) - 1 - i) * x for i, x in enumerate(known) if i)
         last = [g for g in got if g is not None][-1]
         assert math.isclose(last, want, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_small_values_are_neither_rounded_away_nor_taken_for_constant(spark):
+    small = [1e-9 * x for x in (1.0, 3.0, 2.0, 5.0, 4.0)]
+    assert values(spark, {"A": small}, "mean(C, 2)", None)["A"][1:] == pytest.approx([2e-9, 2.5e-9, 3.5e-9, 4.5e-9], rel=1e-12)
+    assert values(spark, {"A": small}, "mean(C, 2)", 8)["A"][1] == 0
+    line = values(spark, {"A": small}, "corr(C, IDX, 5)", None)["A"]
+    assert line[-1] == pytest.approx(0.8) and line[:-1] == [None] * 4
+    assert values(spark, {"A": [7.1] * 5}, "corr(C, IDX, 5)", None)["A"][-1] is None
+    assert values(spark, {"A": [1e10 + x for x in (1.0, 3.0, 2.0, 5.0, 4.0)]}, "corr(C, IDX, 5)", None)["A"][-1] is None  # varies by less than a billionth of its size

@@ -9,7 +9,7 @@ import pytest
 from quillstone.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["lake_normalise_quarantine", "lake_daily_bars", "join_asof_snapshot", "join_asof_per_code", "primitives_moments", "primitives_recursive", "formulas_wq001_008", "formulas_gtja160_175", "eval_information_coefficients", "eval_grouping_sets", "minute_core", "minute_market_residuals", "minute_rank_features", "minute_volume_events", "minute_volume_up_returns", "minute_adjusted_amounts", "minute_relative_volume_ranks", "minute_abnormal_flows", "minute_traded_costs", "minute_smart_pooled", "minute_periodicity", "formulas_blocked", "formulas_burnt_in", "panel_benchmark_fill", "primitives_weights", "portfolio_staggered_vintages", "risk_style_exposures"]
+SOME = ["lake_normalise_quarantine", "lake_daily_bars", "join_asof_snapshot", "join_asof_per_code", "primitives_moments", "primitives_recursive", "formulas_wq001_008", "formulas_gtja160_175", "eval_information_coefficients", "eval_grouping_sets", "minute_core", "minute_market_residuals", "minute_rank_features", "minute_volume_events", "minute_volume_up_returns", "minute_adjusted_amounts", "minute_relative_volume_ranks", "minute_abnormal_flows", "minute_traded_costs", "minute_smart_pooled", "minute_periodicity", "formulas_blocked", "formulas_burnt_in", "panel_benchmark_fill", "primitives_weights", "wide_primitives", "wide_formulas_wq", "wide_formulas_gtja", "wide_deciles", "formulas_imported", "eval_batches_resumed", "eval_cached_labels", "lake_validation", "store_versioned_days", "minute_exclusions", "portfolio_staggered_vintages", "risk_style_exposures"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
