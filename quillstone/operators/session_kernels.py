@@ -40,27 +40,29 @@ def corr(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean((a - a.mean()) * (b - b.mean())) / (a.std() * b.std()))
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    total = d
-    for m in range(1, 300):
-        for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + n * d if abs(1 + n * d) > 1e-300 else 1e-300)
-            c = 1 + n / c if abs(1 + n / c) > 1e-300 else 1e-300
-            total *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * total
+def incomplete_beta(a: float, b: float, x: np.ndarray | float) -> np.ndarray:
+    """The regularised incomplete beta function of each x, by its continued fraction, for all of them at once."""
+    x = np.asarray(x, float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        swap = x > (a + 1) / (a + b + 2)
+        p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(z) + q * np.log1p(-z)) / p
+        kept = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+        c, d = np.ones_like(z), 1 / kept(1 - (p + q) * z / (p + 1))
+        total = d.copy()
+        for m in range(1, 300):
+            for n in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+                d = 1 / kept(1 + n * d)
+                c = kept(1 + n / c)
+                total = total * c * d
+            if not (np.abs(c * d - 1) >= 1e-14).any():
+                break
+        part = front * total
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(swap, 1 - part, part)))
 
 
 def t_cdf(x: np.ndarray, df: float) -> np.ndarray:
-    tail = np.array([0.5 * incomplete_beta(df / 2, 0.5, df / (df + v * v)) for v in x])
+    tail = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + np.square(x)))
     return np.where(x > 0, 1 - tail, tail)
 
 

@@ -201,7 +201,7 @@ def view_adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("trade_date")
     f = b.where(day <= 4).select("ts_code", F.col("trade_date").alias("as_of_date"), (1 + F.lit(0.1) * (day % 4)).alias("adj"))
     last = f.groupBy("ts_code").agg(F.max_by("adj", "as_of_date").alias("last"))
-    j = joins.last_known(b, f, "adj").join(F.broadcast(last), "ts_code")
+    j = joins.last_known(b, f, "adj").join(last, "ts_code")
     return j.selectExpr("trade_date", "ts_code", f"{rounded('adj / last', 8)} AS ratio", f"{rounded('close * adj / last', 4)} AS qfq_close", f"{rounded('close * adj', 4)} AS hfq_close")
 
 
