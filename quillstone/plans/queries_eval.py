@@ -13,7 +13,7 @@ from quillstone.plans import adapters
 from quillstone.plans.adapters import BARS_SQL
 from quillstone.plans.queries_lake import r, s
 from quillstone.session import checkpointed, shared_folder
-from quillstone.sources import results
+from quillstone.sources import arrays, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,19 @@ def eval_period_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = labelled(spark, sf_dir).groupBy("trade_date").agg(F.avg("ret_1").alias("r")).where("r is not null")
     m = d.groupBy(F.year("trade_date").cast("bigint").alias("year")).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
     return m.withColumn("sharpe", F.when(F.col("sd") > 1e-12, F.col("mean") / F.col("sd")) * F.lit(252**0.5)).selectExpr("year", "n", r("sharpe", 4), r("mean"))
+
+
+@query(f"""WITH {BARS_SQL}, t AS (SELECT bars.trade_date, bars.ts_code, day_index, close, CASE WHEN day(bars.trade_date) <> 3 THEN volume END AS volume FROM bars JOIN cal ON cal.trade_date = bars.trade_date),
+    q AS (SELECT ts_code, day_index, day_index - min(day_index) OVER w AS span, count(*) OVER w AS n, sum(coalesce(volume, 0)) OVER w AS volume_sum, sum(CAST(volume IS NULL AS INT)) OVER w AS volume_missing, first_value(close) OVER w AS oldest
+        FROM t WINDOW w AS (PARTITION BY ts_code ORDER BY day_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+    SELECT ts_code, day_index, volume_sum, volume_missing::BIGINT AS volume_missing, {s('CAST(CAST(oldest AS FLOAT) AS DOUBLE)', 2, 'oldest')} FROM q WHERE n = 5 AND span = 4""")
+def store_sequence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of eval_sequences from arrays that hold each row once, in single precision."""
+    b = adapters.bars(spark, sf_dir)
+    b = b.join(panel.calendar(b), "trade_date").withColumn("volume", F.when(F.dayofmonth("trade_date") != 3, F.col("volume")))
+    folder = shared_folder(spark, "arrays")
+    arrays.write(b, folder, ["close", "volume"], 4)
+    q = arrays.samples(spark, folder, 5)
+    total = F.aggregate(F.filter("x", lambda v, i: i % 2 == 1), F.lit(0.0), lambda a, v: a + v)
+    missing = F.aggregate(F.filter("missing", lambda v, i: i % 2 == 1), F.lit(0), lambda a, v: a + v).cast("bigint")
+    return q.select("ts_code", "day_index", total.alias("volume_sum"), missing.alias("volume_missing"), F.col("x")[0].cast("double").alias("oldest")).selectExpr("ts_code", "day_index", "volume_sum", "volume_missing", r("oldest", 2))
