@@ -101,7 +101,9 @@ class _Reader(DataSourceReader):
             f.seek(first * width * dtype.itemsize)
             return np.frombuffer(f.read((end - first) * width * dtype.itemsize), dtype).reshape(-1, width)
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no rows, no ranges
+            return
         width, before = len(self.index["columns"]), max(0, partition.first - self.length + 1)
         keys = self._rows(partition.part, "k.u64", 2, before, partition.end).astype(np.int64)
         n = len(keys) - self.length + 1
