@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sessions that a recursive average is warmed up by: the slowest one in use, with a rate of 1/20, has forgotten all but 2e-23 of what came before (fixed value). Sessions before the first wanted one that there must be.
+#: Sessions before the wanted ones that a recursion begins with, and those that there must be (fixed values). A rate of 1/20, the lowest in use, leaves 0.95^1024 of what came before.
 BURN_IN, LEAST_PRIOR = 1024, 254
 
 

@@ -61,59 +61,65 @@ FAR = {
 BLOCK, LAST = 200, 40
 
 
-#: Published formulas as others write them: methods of a class, and functions of a vector script.
+#: Formulas of the registry in the two foreign notations: methods of a class, and functions of a vector script.
 CLASS = """
-class Alphas:
-    def alpha002(self):
-        '''volume against the day's move'''
-        df = -1 * correlation(rank(delta(log(self.volume), 2)), rank((self.close - self.open) / self.open), 6)
-        return df.replace([-np.inf, np.inf], 0)
-    def alpha003(self):
-        return -1 * correlation(rank(self.open), rank(self.volume), 10).replace([-np.inf, np.inf], 0)
-    def alpha004(self):
-        return -1 * ts_rank(rank(self.low), 9)
-    def alpha005(self):
-        return rank((self.open - (ts_sum(self.vwap, 10) / 10))) * (-1 * abs(rank(self.close - self.vwap)))
-    def alpha006(self):
-        return -1 * correlation(self.open, self.volume, 10)
-    def alpha008(self):
-        df = ts_sum(self.open, 5) * ts_sum(self.returns, 5)
-        df = df - delay(df, 10)
-        return -1 * rank(df)
-    def alpha011(self):
-        return (rank(ts_max((self.vwap - self.close), 3)) + rank(ts_min((self.vwap - self.close), 3))) * rank(delta(self.volume, 3))
-    def alpha012(self):
-        return sign(delta(self.volume, 1)) * (-1 * delta(self.close, 1))
+class Signals:
+    def wq002(self):
+        '''volume against the move within the day'''
+        move = (self.close - self.open) / self.open
+        return -correlation(rank(delta(log(self.volume), 2)), rank(move), 6)
+    def wq003(self):
+        first = rank(self.open)
+        traded = rank(self.volume)
+        return -correlation(first, traded, 10).copy()
+    def wq004(self):
+        return -ts_rank(rank(self.low), 9)
+    def wq005(self):
+        mean = ts_sum(self.vwap, 10) / 10
+        away = rank(self.close - self.vwap).abs()
+        return rank(self.open - mean) * -away
+    def wq006(self):
+        return -correlation(self.open, self.volume, 10)
+    def wq008(self):
+        p = ts_sum(self.open, 5) * ts_sum(self.returns, 5)
+        p = p - delay(p, 10)
+        return -rank(p)
+    def wq011(self):
+        gap = self.vwap - self.close
+        spread = rank(ts_max(gap, 3)) + rank(ts_min(gap, 3))
+        return spread * rank(delta(self.volume, 3))
+    def wq012(self):
+        return sign(delta(self.volume, 1)) * -delta(self.close, 1)
 """
 SCRIPT = r"""
 def gtja001(open, close, vol) {
     // braces { in comments don't count
-    a = rowRank(log(vol) - move(log(vol), 1), percent);
-    return -1 * mcorr(rowRank(deltas(log(vol), 1)), rowRank((close - open) \ open), 6);
+    traded = rowRank(deltas(log(vol), 1));
+    return -mcorr(traded, rowRank((close - open) \ open), 6);
 }
-def gtja002(close, low, high) { return -1 * delta(((close - low) - (high - close)) \ (high - low), 1) }
+def gtja002(close, low, high) { place = (close - low - (high - close)) \ (high - low); return -deltas(place, 1) }
 def gtja003(close, low, high) {
     p = move(close, 1);
-    return msum(iif(close == p, 0, close - iif(close > p, min(low, p), max(high, p))), 6);
+    far = iif(close > p, min(low, p), max(high, p));
+    return msum(iif(close == p, 0, close - far), 6);
 }
 def gtja004(close, vol) {
-    m = mavg(close, 8); s = mstd(close, 8); t = mavg(close, 2);
-    return iif(m + s < t, -1, iif(t < m - s || vol \ mavg(vol, 20) >= 1, 1, -1));
+    m = mavg(close, 8); s = mstd(close, 8); now = mavg(close, 2);
+    busy = vol \ mavg(vol, 20);
+    return iif(m + s < now, -1, iif(now < m - s || busy >= 1, 1, -1));
 }
-def gtja005(vol, high) { return -1 * mmax(mcorr(mrank(vol, false, 5), mrank(high, false, 5), 5), 3); }
-def gtja006(open, high) { return -1 * rowRank(sign(delta(open * 0.85 + high * 0.15, 4))); }
-def gtja007(vwap, close, vol) { return rowRank(mmax(vwap - close, 3)) + rowRank(mmin(vwap - close, 3)) * rowRank(delta(vol, 3)); }
-def gtja008(high, low, vwap) { return rowRank(-1 * delta((high + low) * 0.1 + vwap * 0.8, 4)); }
-def gtja011(close, low, high, vol) { return msum(((close - low) - (high - close)) \ (high - low) * vol, 6); }
-def gtja189(close) { return mavg(abs(close - mavg(close, 6)), 6); }
+def gtja005(vol, high) { return -mmax(mcorr(mrank(vol, false, 5), mrank(high, false, 5), 5), 3); }
+def gtja006(open, high) { mix = open * 0.85 + high * 0.15; return -rowRank(sign(deltas(mix, 4))); }
+def gtja007(vwap, close, vol) { gap = vwap - close; return rowRank(mmax(gap, 3)) + rowRank(mmin(gap, 3)) * rowRank(deltas(vol, 3)); }
+def gtja008(high, low, vwap) { mix = (high + low) * 0.1 + vwap * 0.8; return rowRank(-deltas(mix, 4)); }
+def gtja011(close, low, high, vol) { place = (close - low - (high - close)) \ (high - low); return msum(place * vol, 6); }
+def gtja189(close) { away = abs(close - mavg(close, 6)); return mavg(away, 6); }
 def weights(close) { return mavg(close, 1..4 * 0.5, 4); }
 def parts(close) { return mrank(close, true, 10) + mfirst(close, 3) \ close - ratios(close); }
-""".replace(", percent", "")
+"""
 #: What they are in the formula language, for the SQL.
-NATIVE = {
-    "alpha002": "wq002", "alpha003": "wq003", "alpha004": "wq004", "alpha005": "wq005", "alpha006": "wq006", "alpha008": "wq008", "alpha011": "wq011", "alpha012": "wq012",
-} | {k: k for k in ("gtja001", "gtja002", "gtja003", "gtja004", "gtja005", "gtja006", "gtja007", "gtja008", "gtja011", "gtja189")}
-IMPORTED = {k: REGISTRY[v] for k, v in NATIVE.items()} | {"weights": "wav(C, 0.5, 1, 1.5, 2)", "parts": "tsrank(C, 10) / 10 + delay(C, 2) / C - C / delay(C)"}
+NATIVE = ("wq002", "wq003", "wq004", "wq005", "wq006", "wq008", "wq011", "wq012", "gtja001", "gtja002", "gtja003", "gtja004", "gtja005", "gtja006", "gtja007", "gtja008", "gtja011", "gtja189")
+IMPORTED = {k: REGISTRY[k] for k in NATIVE} | {"weights": "wav(C, 0.5, 1, 1.5, 2)", "parts": "tsrank(C, 10) / 10 + delay(C, 2) / C - C / delay(C)"}
 
 
 def formulas_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
