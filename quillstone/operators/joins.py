@@ -48,9 +48,16 @@ def last_known(rows: DataFrame, facts: DataFrame, value: str, code: str = "ts_co
 
 
 def intervals_to_snapshots(intervals: DataFrame, dates: DataFrame, group: str, code: str = "ts_code", start: str = "effective_from", end: str = "effective_to", as_of: str = "as_of_date", inclusive: bool = True) -> DataFrame:
-    """Members on each date: intervals that have begun and not ended (an open end never ends), each once."""
-    live = (F.col(start) <= F.col(as_of)) & (F.col(end).isNull() | ((F.col(end) >= F.col(as_of)) if inclusive else (F.col(end) > F.col(as_of))))
-    return intervals.join(F.broadcast(dates.select(as_of).distinct()), live).select(group, as_of, code).distinct()
+    """Members on each date: intervals that have begun and not ended (an open end never ends), each once.
+
+    Only intervals are shuffled: a member's are sorted by their beginning, and each gives the dates that those before it
+    haven't given, so that no dates have to be held to be told apart. `dates` is a calendar, and broadcast.
+    """
+    before = Window.partitionBy(group, code).orderBy(F.col(start), F.col(end).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = intervals.where(F.col(start).isNotNull()).select(group, code, F.col(start).alias("_from"), F.col(end).alias("_to"), F.max(end).over(before).alias("_done"), F.coalesce(F.max(F.col(end).isNull()).over(before), F.lit(False)).alias("_open"))
+    within = lambda last: (F.col(as_of) <= last) if inclusive else (F.col(as_of) < last)
+    live = (F.col("_from") <= F.col(as_of)) & (F.col("_to").isNull() | within(F.col("_to"))) & (F.col("_done").isNull() | ~within(F.col("_done")))
+    return spans.where(~F.col("_open")).join(F.broadcast(dates.select(as_of).distinct()), live).select(group, as_of, code)
 
 
 def precedence_union(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,17 @@ def test_checks(spark):
     assert rows(rep, "check_name", "violations", "passed") == [("pk", 1, False), ("pos", 2, False)]
     with pytest.raises(ValueError, match="pk"):
         quality.raise_on_errors(rep)
+
+
+def test_overlapping_intervals_give_each_date_once_without_holding_the_dates(spark):
+    day = lambda k: None if k is None else date(2024, 1, 1) + timedelta(k)
+    r = random.Random(3)
+    spans = [(r.choice("XY"), r.choice(["a", "b", "c", None]), r.choice([None, *range(12)]), r.choice([None, *range(20), *range(20)])) for _ in range(60)]
+    dates = spark.createDataFrame([(day(k),) for k in [*range(0, 25, 2), 4, 6]], "as_of_date date")
+    for some in (spans, spans[:9], spans[9:14], []):
+        iv = spark.createDataFrame([(g, c, day(a), day(b)) for g, c, a, b in some], "index_code string, ts_code string, effective_from date, effective_to date")
+        for inclusive in (True, False):
+            got = [tuple(x) for x in joins.intervals_to_snapshots(iv, dates, "index_code", inclusive=inclusive).collect()]
+            want = {(g, day(k), c) for g, c, a, b in some for k in range(0, 25, 2) if a is not None and a <= k and (b is None or k < b + inclusive)}
+            assert len(got) == len(want) and set(got) == want
+    assert "HashAggregate(keys=[index_code" not in joins.intervals_to_snapshots(iv, dates, "index_code")._jdf.queryExecution().executedPlan().toString()
