@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from quillstone.operators.minute import DAY
 
 #: Frequencies of a spectrum, in cycles a session, and the band whose share is a feature (fixed values).
 FREQUENCIES, BAND = range(1, 31), range(5, 21)
+#: Bytes of curves in one batch for Python (a batch ends with the row that reaches them).
+BATCH_BYTES = 16 << 20
 
 
 def volume_curves(bars: DataFrame, power: float) -> DataFrame:
@@ -25,35 +28,36 @@ def volume_curves(bars: DataFrame, power: float) -> DataFrame:
 
 
 def _pooled(share: float, pool: int, least: int, reach: int, name: str):
-    """For applyInArrow: merges the curves of a session and those before it; the block's own sessions only are returned."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("day_index")
-        days, mine = table["day_index"].to_pylist(), table["_own"].to_pylist()
-        curves = [tuple(np.asarray(x, float) for x in row) for row in zip(*(table[c].to_pylist() for c in ("key", "volume", "amount")), strict=True)]
-        out: list[float | None] = []
-        for i, day in enumerate(days):
-            before = [j for j in range(i - 1, max(-1, i - pool), -1) if days[j] >= day - reach]
-            if not mine[i] or len(before) < least:
-                out.append(None)
-                continue
-            # runs that are sorted already, the latest earlier session first and the session itself last: a stable sort merges them
-            key, v, a = (np.concatenate([curves[j][k] for j in (*before, i)]) for k in range(3))
-            order = np.argsort(-key, kind="stable")
-            v, a = v[order], a[order]
-            whole, money = v.sum(), a.sum()
-            if not len(v) or whole <= 0 or money <= 0:
-                out.append(None)
+    """For applyInArrow: merges the curves of a session and those before it, which come in order; the block's own sessions only are returned. Of a block no more than `pool` curves and one batch are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[tuple[int, list[np.ndarray]]] = deque(maxlen=pool)
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            day = row.column("day_index")[0].as_py()
+            # copies, as a view would keep its whole batch
+            held.append((day, [np.array(row.column(c).flatten(), float) for c in ("key", "volume", "amount")]))
+            if not row.column("_own")[0].as_py():
                 continue
-            cum = np.cumsum(v)
-            last = min(int(np.searchsorted(cum, share * whole)), len(v) - 1)  # the bar that reaches the share is one of them
-            out.append(float(a[: last + 1].sum() / cum[last] / (money / whole)))
-        keep = pa.array(mine)
-        return table.select(DAY).append_column(name, pa.array(out, pa.float64())).filter(keep)
+            before = [x for d, x in reversed(held) if d >= day - reach]  # the session itself first
+            ratio = _ratio([*before[1:], before[0]], share) if len(before) > least else None
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in DAY), pa.array([ratio], pa.float64())], [*DAY, name])
 
     return run
 
 
+def _ratio(curves: list[list[np.ndarray]], share: float) -> float | None:
+    """Price of the bars that hold `share` of the volume against all. Curves are sorted already, the latest earlier session first and the session itself last: a stable sort merges them."""
+    key, v, a = (np.concatenate(x) for x in zip(*curves, strict=True))
+    order = np.argsort(-key, kind="stable")
+    v, a = v[order], a[order]
+    whole, money = v.sum(), a.sum()
+    if not len(v) or whole <= 0 or money <= 0:
+        return None
+    cum = np.cumsum(v)
+    last = min(int(np.searchsorted(cum, share * whole)), len(v) - 1)  # the bar that reaches the share is one of them
+    return float(a[: last + 1].sum() / cum[last] / (money / whole))
+
+
 def pooled_smart_ratio(bars: DataFrame, name: str = "mf_smart_q_pooled_b025_w10_p20", power: float = 0.25, share: float = 0.2, pool: int = 10, least: int = 5, reach: int = 40, block: int = 60) -> DataFrame:
     """Price of the bars with the most movement for their volume against all, both weighted by volume, over the session and the up to pool - 1 observed ones before it.
 
@@ -61,9 +65,10 @@ def pooled_smart_ratio(bars: DataFrame, name: str = "mf_smart_q_pooled_b025_w10_
     pool's volume, the one that reaches it included. Ties go to the later of the earlier sessions, the session's own
     last, then by minute. Needs `least` earlier sessions within the `reach` calendar sessions before. Each stock-day's
     bars are sorted once, and blocks of sessions with a halo of `reach` merge the sorted curves, so a bar is sent
-    (block + reach) / block times, not `pool` times, and a task holds one block of one security.
+    (block + reach) / block times, not `pool` times, and Python holds the curves of one pool.
     """
-    curves = blocks.blocked(volume_curves(bars, power), block, reach)
+    bars.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    curves = blocks.blocked(volume_curves(bars, power), block, reach).repartition("ts_code", "_block").sortWithinPartitions("ts_code", "_block", "day_index")
     types = dict(curves.dtypes)
     return curves.groupBy("ts_code", "_block").applyInArrow(_pooled(share, pool, least, reach, name), ", ".join([*(f"{k} {types[k]}" for k in DAY), f"{name} double"]))
 

@@ -231,3 +231,19 @@ def test_pooled_smart_money_and_spectra_of_full_sessions(spark):
     none = bars.limit(0)
     assert session_curves.pooled_smart_ratio(none).count() == 0 and session_curves.periodicity(none).count() == 0
     assert session_curves.periodicity(bars.withColumn("amount", minute.F.lit(0.0))).where("mf_amount_periodicity_peak_share_w20 is not null").count() == 0
+
+
+def test_pooled_curves_come_in_order_and_no_more_than_a_pool_are_held():
+    import pyarrow as pa
+
+    from quillstone.operators import session_curves
+
+    def days():
+        for d in range(1, 200):
+            alive.append(d)
+            yield pa.RecordBatch.from_pydict({"ts_code": ["S"], "trade_date": [d], "day_index": [d], "key": [[3.0, 2.0]], "volume": [[1.0, 9.0]], "amount": [[2.0, 9.0 + d]], "_own": [d > 40]})
+
+    alive: list[int] = []
+    got = session_curves._pooled(0.2, 10, 5, 40, "q")(days())
+    assert next(got).to_pydict()["trade_date"] == [41] and alive[-1] == 41  # results come while a block is still read
+    assert [x["trade_date"][0].as_py() for x in got] == list(range(42, 200))
