@@ -11,9 +11,11 @@ ask for that; by default nothing is rounded.
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillstone.operators import blocks
 
@@ -317,27 +319,88 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] =
     are fewer securities than the cluster has cores, or long histories; each stage then copies (block + look-back) / block
     times its rows. Recursions are scanned over blocks either way.
     """
-    c = Compiler("spark", f"{code}, _block" if block else code, date, order, decimals)
+    across = f"{order}, {date}"
+    c = Compiler("spark", f"{code}, _block" if block else code, across, order, decimals)
     for name, text in formulas.items():
         c.add(name, text)
-    df = panel
-    for stage in c.stages:
-        if stage.plain:
-            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in stage.plain.items()))
-        across = {k: v for k, v in stage.windows.items() if f"PARTITION BY {date}" in v}
-        along = {k: v for k, v in stage.windows.items() if k not in across}
-        if along:
-            df = blocks.blocked(df, block, stage.halo, order) if block else df
-            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in along.items()))
-            df = blocks.own(df) if block else df
-        if across:
-            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in across.items()))
-        if stage.folds:
-            df = blocks.scan(df, stage.folds, block or SCAN, code, order)
-            df = df.selectExpr(*(x for x in df.columns if x not in stage.folds), *(f"{c.rounded(k)} AS {k}" for k in stage.folds))
+    sessions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df, here = panel, None
+    for group in _visits(c, f"PARTITION BY {across}", bool(block)):
+        if group.plain:
+            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in group.plain.items()))
+        if group.across and not here:
+            df = df.repartitionById(sessions, F.col(order).cast("int"))
+        here = group.across
+        if group.windows:
+            df = blocks.blocked(df, block, group.halo, order) if block and not here else df
+            df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in group.windows.items()))
+            df = blocks.own(df) if block and not here else df
+        if group.folds:
+            df = blocks.scan(df, group.folds, block or SCAN, code, order)
+            df = df.selectExpr(*(x for x in df.columns if x not in group.folds), *(f"{c.rounded(k)} AS {k}" for k in group.folds))
     return df.selectExpr(*keep, *(f"{sql} AS {name}" for name, sql in c.results.items()))
 
 
+@dataclass
+class Group(Stage):
+    """A stage whose windows are all of one kind; across: over the cross-section, else over time."""
+
+    across: bool = False
+
+
+def _visits(c: Compiler, mark: str, blocked: bool = False) -> list[Group]:
+    """The columns of all stages in groups, such that rows change between securities and sessions as seldom as may be.
+
+    While rows lie by security, all windows over time whose inputs are there are computed, then those that need these,
+    and so on; then all over the cross-section, whose SQL has the mark, in the same way. Folds wait until nothing else
+    can be computed. Of the two orders the one with fewer changes is taken, where the panel lies by security; on a tie
+    the cross-section comes first, as rows are short then.
+    """
+    kind, sql, level = {}, {}, {}
+    for i, stage in enumerate(c.stages):
+        for name, text in (stage.plain | stage.windows).items():
+            kind[name], sql[name], level[name] = "plain" if name in stage.plain else "across" if mark in text else "along", text, i
+        for name, fold in stage.folds.items():
+            kind[name], sql[name], level[name] = "fold", fold[1], i
+    words = lambda text: {w for w in re.findall(r"[A-Za-z_]\w*", text) if w in sql}
+    needs = {name: words(text) - {name} for name, text in sql.items()}
+    for i, (name, text) in enumerate(c.results.items()):
+        others = set().union(*needs.values(), *(words(t) for n, t in c.results.items() if n != name))
+        if not text.isidentifier() and words(text) - others:  # its inputs go as soon as it is there
+            c.results[name], needs[f"_r{i}"], kind[f"_r{i}"] = f"_r{i}", words(text), "result"
+            sql[f"_r{i}"] = text
+
+    def ordered(now: str) -> list[Group]:
+        done, out, idle = set(), [], 0
+        ready = lambda n: all(m in done or (kind[m] == "plain" and ready(m)) for m in needs[n])
+        pending = lambda k: [n for n in sql if n not in done and kind[n] == k and ready(n)]
+        while any(n not in done and kind[n] != "plain" for n in sql):
+            some = pending(now) or (pending("fold") if idle > 1 else [])
+            if not some and idle > 1:
+                some = pending("result")
+            if not some:
+                now, idle = "across" if now == "along" else "along", idle + 1
+                continue
+            early, late = pending("result"), list(some)
+            for n in late:
+                late += [m for m in needs[n] if kind[m] == "plain" and m not in done and m not in late]
+            plain = {n: sql[n] for n in sql if n in early or (n in late and kind[n] == "plain")}
+            folds = {n: c.stages[level[n]].folds[n] for n in some if kind[n] == "fold"}
+            windows = {n: sql[n] for n in some if kind[n] in ("across", "along")}
+            out.append(Group(plain, windows, folds, max((c.stages[level[n]].halo for n in windows), default=0), now == "across" and bool(windows)))
+            done |= {*plain, *windows, *folds}
+            if folds:
+                now = "along"
+            idle = 0
+        return out
+
+    def changes(groups: list[Group]) -> int:
+        at = [False, *(g.across for g in groups if g.windows or g.folds)]
+        return sum(a != b for a, b in zip(at, at[1:], strict=False))
+
+    return min((ordered("across"), ordered("along")), key=changes)
+
+
 def to_sql(panel: str, formulas: dict[str, str], keep: tuple[str, ...] = ("trade_date", "ts_code"), decimals: int | None = None) -> str:
     """DuckDB SQL for the same columns, from a relation or CTE `panel`."""
     c = Compiler("duckdb", decimals=decimals)

@@ -125,3 +125,22 @@ def test_small_values_are_neither_rounded_away_nor_taken_for_constant(spark):
     assert line[-1] == pytest.approx(0.8) and line[:-1] == [None] * 4
     assert values(spark, {"A": [7.1] * 5}, "corr(C, IDX, 5)", None)["A"][-1] is None
     assert values(spark, {"A": [1e10 + x for x in (1.0, 3.0, 2.0, 5.0, 4.0)]}, "corr(C, IDX, 5)", None)["A"][-1] is None  # varies by less than a billionth of its size
+
+
+def test_cross_sections_are_dealt_evenly_and_rows_change_places_seldom(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import compiler, queries_formulas
+
+    p = spark.range(8 * 50).selectExpr("cast(id % 8 + 1 AS int) AS day_index", "concat('d', id % 8) AS trade_date", "concat('S', id div 8) AS ts_code", "cast(id AS double) AS C")
+    dealt = evaluate(p, {"r": "rank(C)"}, ("trade_date",)).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count_distinct("trade_date").alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).collect()
+    assert [x.n for x in dealt] == [2] * 4 and all((x.least, x.most) == (0.02, 1.0) for x in dealt)
+    for name, most in (("wide_formulas_wq", 4), ("wide_formulas_gtja", 2)):
+        c = compiler.Compiler(decimals=8)
+        for k, text in queries_formulas.WIDE[name].items():
+            c.add(k, text)
+        columns = sum(len(x.windows) + len(x.folds) for x in c.stages)
+        visits = compiler._visits(c, "PARTITION BY trade_date")
+        at = [False, *(x.across for x in visits if x.windows or x.folds)]
+        assert sum(a != b for a, b in zip(at, at[1:], strict=False)) <= most
+        assert sum(len(x.windows) + len(x.folds) for x in visits) == columns
