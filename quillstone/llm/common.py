@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -220,6 +223,21 @@ def add_arrays(parts: DataFrame, column: str, order: str, ways: int = 32) -> np.
     return np.sum([x["v"] for x in sums], axis=0) if sums else None
 
 
+def give_back(tokenizer: bool = True) -> None:
+    """Give the system the memory that a worker still holds of earlier tasks: its tokenizers, if so told, and what allocators keep.
+
+    Workers are used again for other stages, and what they hold counts for their executor. For the beginning of tasks.
+    """
+    if tokenizer and (module := sys.modules.get(f"{__package__}.tokens")):
+        module.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries than glibc
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state of the task: make() runs once in each task and returns the function for its batches."""
 

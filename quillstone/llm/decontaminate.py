@@ -181,6 +181,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, coverag
         built = spark.sparkContext.broadcast(automaton(items, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.give_back()
             for batch in batches:
                 found = [built.value.scan(words(x)) for x in batch.column("text").to_pylist()]
                 before = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True) if "_spans" in batch.schema.names else [([], [])] * len(found)

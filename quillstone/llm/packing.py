@@ -304,6 +304,7 @@ def write_pieces(df: DataFrame, folder: str, tokenizer: str, end_id: int, room:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back(tokenizer=False)
         task, own, seen = TaskContext.get(), encoder(tokenizer), [0] * (room + 1)
 
         def chunks() -> Iterator[bytes]:

@@ -106,11 +106,12 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", train_where:
     k = len(STATISTICS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in batches:
             rows = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("y"), batch.column("held")], names=["x", "y", "held"])
 
-    known = common.cut(known.mapInArrow(measure, "x array<double>, y double, held boolean"))
+    known = common.kept(known.mapInArrow(measure, "x array<double>, y double, held boolean"))
     sums = known.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k)]).first()
     if not sums["n"]:
         return Model(np.zeros(k), np.ones(k))
@@ -167,6 +168,7 @@ def scores(df: DataFrame, model: Model, threshold: float = 0.3, text: str = "tex
     df = df.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in batches:
             if batch.num_rows:
                 s = model.score(np.array([statistics(t) for t in batch.column(text).to_pylist()]))

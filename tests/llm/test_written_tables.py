@@ -3,7 +3,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from quillstone.llm import common, queries, toxicity
+from quillstone.llm import common, quality, queries, tokens, toxicity
 
 
 def test_toxicity_writes_no_table_by_spark(spark):
@@ -41,3 +41,16 @@ def test_groups_of_a_written_table_hold_every_row_and_a_later_attempt_replaces_i
     assert pq.read_table(tmp_path / "t.parquet") == pa.Table.from_batches(batches).combine_chunks()
     assert pq.ParquetFile(tmp_path / "t.parquet").num_row_groups > 1
     assert common.write_table(str(tmp_path), "none.parquet", iter(batches[:1]), "1") == 0 and not (tmp_path / "none.parquet").exists()
+
+
+def test_a_worker_gives_back_its_tokenizer_and_quality_writes_no_table_by_spark(spark, tokenizer):
+    tokens.encoder(tokenizer)
+    common.give_back(tokenizer=False)
+    assert tokens.encoder.cache_info().currsize == 1
+    common.give_back()
+    assert tokens.encoder.cache_info().currsize == 0
+    made = len(common._made)
+    docs = spark.createDataFrame([(d, "plain words " * (d % 9)) for d in range(200)], "doc_id bigint, text string").repartition(8)
+    quality.train(docs, spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id bigint, quality int"), "quality")
+    folders = [Path(x.removeprefix("file://")) for x in common._made[made:]]
+    assert folders and not [f for x in folders for f in x.rglob("*") if f.name == "_SUCCESS" or f.suffix == ".crc"]
