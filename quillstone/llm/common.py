@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from quillstone import session
 
 #: Documents in one batch for Python, and its bytes (a batch ends with the row that reaches them).
-BATCH, BATCH_BYTES = 2048, 16 << 20
+BATCH, BATCH_BYTES = 2048, 4 << 20
 #: Rows in one group of a table that Python writes (a group ends with the batch that reaches them or BATCH_BYTES).
 GROUP = 1 << 16
 #: Keys that hold at least one in so many rows are hot: there are at most so many of them, which bounds their broadcast.

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.llm import common
 
@@ -111,7 +112,8 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", train_where:
             rows = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("y"), batch.column("held")], names=["x", "y", "held"])
 
-    known = common.kept(known.mapInArrow(measure, "x array<double>, y double, held boolean"))
+    # one Python step, not one before another: in a stage of two each task takes two workers, which stay and all come to hold what later tasks load
+    known = common.kept(known, measure, StructType.fromDDL("x array<double>, y double, held boolean"))
     sums = known.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k)]).first()
     if not sums["n"]:
         return Model(np.zeros(k), np.ones(k))

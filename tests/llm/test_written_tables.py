@@ -54,3 +54,13 @@ def test_a_worker_gives_back_its_tokenizer_and_quality_writes_no_table_by_spark(
     quality.train(docs, spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id bigint, quality int"), "quality")
     folders = [Path(x.removeprefix("file://")) for x in common._made[made:]]
     assert folders and not [f for x in folders for f in x.rglob("*") if f.name == "_SUCCESS" or f.suffix == ".crc"]
+
+
+def test_quality_has_no_stage_of_two_python_steps(spark, monkeypatch):
+    """In such a stage each task takes two workers, and all of them come to hold the tokenizers of later tasks."""
+    given = []
+    kept = common.kept
+    monkeypatch.setattr(common, "kept", lambda df, *more: given.append(df) or kept(df, *more))
+    docs = spark.createDataFrame([(d, "plain words " * (d % 9)) for d in range(200)], "doc_id bigint, text string").repartition(8)
+    quality.train(docs, spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id bigint, quality int"), "quality")
+    assert given and not [df for df in given if "InArrow" in df._jdf.queryExecution().toString()]
