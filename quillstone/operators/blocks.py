@@ -50,7 +50,7 @@ def _average(rate: float) -> Callable[[Column, Column], Column]:
     return lambda s, v: (1 - rate) * s + rate * v
 
 
-def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, code: str = "ts_code", order: str = "day_index") -> DataFrame:
+def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, code: str = "ts_code", order: str = "day_index", whole_codes: bool = False) -> DataFrame:
     """df with a column for each recursion {name: (kind, input, rate)} along a security's sessions.
 
     "ema": the first value, then (1 - rate) * state + rate * value; "grow": 1, then state * value for positive values. A
@@ -59,8 +59,14 @@ def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, cod
     security's blocks, a calendar's length over `size`) gives each block the state it begins with; and the row's state is
     a * state + b. No task has more of a security than a block, and no Python is involved. Columns _block, _a.., _b.. are
     used.
+
+    With whole_codes a security's rows may lie in one task, as windows over all its sessions need them anyway: each row
+    then looks back on the maps of its security's earlier blocks, and df is neither computed twice nor shuffled for a join.
     """
     df = df.withColumn("_block", F.floor(F.col(order) / size).cast("int"))
+    along = Window.partitionBy(code).orderBy("_block", order)
+    if whole_codes:  # this window comes first, so that rows are dealt by security once
+        df = df.withColumn("_next", F.lead("_block").over(along))
     w = Window.partitionBy(code, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     maps: dict[str, Column] = {}
     for k, (kind, source, rate) in enumerate(folds.values()):
@@ -73,6 +79,24 @@ def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, cod
     mapped = df.withColumns(maps)
     n = range(len(folds))
     kinds = [(kind, source) for kind, source, _ in folds.values()]
+    start = lambda k, first: F.lit(1.0) if kinds[k][0] == "grow" else first
+    results = {name: F.when(_finite(F.col(source)).isNotNull(), F.col(f"_a{k}") * F.col(f"_s{k}") + F.col(f"_b{k}")) for k, (name, (_, source, _r)) in enumerate(folds.items())}
+    if whole_codes:
+        mapped = mapped.withColumns({f"_f{k}": F.first(_finite(F.col(kinds[k][1])), ignorenulls=True).over(w) for k in n})
+        ends = F.when(F.col("_next").isNull() | (F.col("_next") != F.col("_block")), F.struct(*(F.col(f"_{x}{k}") for k in n for x in "abf")))
+        mapped = mapped.withColumn("_line", F.collect_list(ends).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+
+        def carried(k: int) -> Column:
+            """The state that a row's block begins with."""
+
+            def step(s: Column, e: Column) -> Column:
+                state = F.coalesce(s, start(k, e[f"_f{k}"]))
+                return F.coalesce(e[f"_a{k}"] * state + e[f"_b{k}"], state)
+
+            return F.coalesce(F.aggregate("_line", F.lit(None).cast("double"), step), start(k, F.col(f"_f{k}")))
+
+        mapped = mapped.withColumns({f"_s{k}": carried(k) for k in n})
+        return mapped.withColumns(results).drop("_block", "_next", "_line", *(f"_{x}{k}" for k in n for x in "abfs"))
     whole = mapped.groupBy(code, "_block").agg(*(F.struct(F.max_by(f"_a{k}", order).alias("a"), F.max_by(f"_b{k}", order).alias("b"), F.min_by(_finite(F.col(kinds[k][1])), F.when(_finite(F.col(kinds[k][1])).isNotNull(), F.col(order))).alias("first")).alias(f"_m{k}") for k in n))
     line = whole.groupBy(code).agg(F.sort_array(F.collect_list(F.struct("_block", *(f"_m{k}" for k in n)))).alias("_line"))
 
@@ -81,8 +105,7 @@ def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, cod
 
         def step(done: Column, e: Column) -> Column:
             m = e[f"_m{k}"]
-            start = F.lit(1.0) if kinds[k][0] == "grow" else m["first"]
-            state = F.coalesce(done["s"], start)
+            state = F.coalesce(done["s"], start(k, m["first"]))
             after = F.coalesce(m["a"] * state + m["b"], state)
             return F.struct(after.alias("s"), F.array_append(done["l"], F.struct(e["_block"].alias("_block"), state.alias("s"))).alias("l"))
 
@@ -92,7 +115,6 @@ def scan(df: DataFrame, folds: dict[str, tuple[str, str, float]], size: int, cod
     states = line.select(code, F.explode(F.arrays_zip(*(begun(k).alias(f"l{k}") for k in n))).alias("_z"))
     states = states.select(code, F.col("_z.l0._block").alias("_block"), *(F.col(f"_z.l{k}.s").alias(f"_s{k}") for k in n))
     out = mapped.join(states, [code, "_block"])
-    results = {name: F.when(_finite(F.col(source)).isNotNull(), F.col(f"_a{k}") * F.col(f"_s{k}") + F.col(f"_b{k}")) for k, (name, (_, source, _r)) in enumerate(folds.items())}
     return out.withColumns(results).drop("_block", *(f"_{x}{k}" for k in n for x in "abs"))
 
 

@@ -336,7 +336,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keep: tuple[str, ...] =
             df = df.selectExpr("*", *(f"{sql} AS {name}" for name, sql in group.windows.items()))
             df = blocks.own(df) if block and not here else df
         if group.folds:
-            df = blocks.scan(df, group.folds, block or SCAN, code, order)
+            df = blocks.scan(df, group.folds, block or SCAN, code, order, not block)
             df = df.selectExpr(*(x for x in df.columns if x not in group.folds), *(f"{c.rounded(k)} AS {k}" for k in group.folds))
     return df.selectExpr(*keep, *(f"{sql} AS {name}" for name, sql in c.results.items()))
 

@@ -71,6 +71,25 @@ def test_scans_equal_a_loop(spark, size):
     assert blocks.scan(df.limit(0), folds, size).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_scans_of_whole_securities_equal_those_by_block_and_deal_rows_once(spark, size):
+    r = random.Random(size)
+    series = {"a": [r.choice([None, float("nan"), r.uniform(-1, 2)]) for _ in range(300)], "late": [None] * 130 + [3.0, None, 5.0] + [None] * 40, "none": [None] * 5, "once": [None, 4.0]}
+    df = spark.createDataFrame([(k, i, x) for k, v in series.items() for i, x in enumerate(v) if (k, i) != ("a", 17)], "ts_code string, day_index int, x double").repartition(3)
+    folds = {"e": ("ema", "x", 2 / 7), "all": ("ema", "x", 1.0), "g": ("grow", "x", 0.0)}
+    whole = blocks.scan(df, folds, size, whole_codes=True)
+    plan = whole._jdf.queryExecution().executedPlan().toString()  # before it runs, as it then shows two plans
+    seen = lambda out: sorted((x.ts_code, x.day_index, x.e, x["all"], x.g) for x in out.collect())
+    assert str(seen(whole)) == str(seen(blocks.scan(df, folds, size)))
+    assert set(whole.columns) == {*df.columns, *folds} and blocks.scan(df.limit(0), folds, size, whole_codes=True).count() == 0
+    assert plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_formulas_with_recursions_compute_the_panel_once(panel):
+    plan = evaluate(panel, {"a": "ema(C, 7, 2) - delay(C)", "b": "ema(mean(V, 3), 4, 1)"})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_burn_in_keeps_what_recursions_need(panel):
     part = blocks.burn_in(panel, 1300, 1390, sessions=400)
     assert part.agg(F.min("day_index"), F.max("day_index")).first()[:] == (900, 1390)
